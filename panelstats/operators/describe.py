@@ -126,9 +126,11 @@ def boxplot_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 30) -> DataFrame:
     """AG8: equal-width bins on [min, max] per group, last bin closed."""
     d = df.filter(F.col(value).isNotNull())
+    if not keys:  # one global group: a constant key keeps this an equi-join
+        return histogram(d.withColumn("_all", F.lit(1)), value, ["_all"], bins).drop("_all")
     rng = d.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     w = (F.col("hi") - F.col("lo")) / bins
-    j = d.join(rng, on=list(keys)) if keys else d.crossJoin(F.broadcast(rng))
+    j = d.join(rng, on=list(keys))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / w), F.lit(bins - 1))
     b = F.when(w > 0, b).otherwise(F.lit(0)).cast("int")
     j = j.select(*keys, b.alias("bin"), "lo", "hi")
@@ -184,10 +186,13 @@ def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
 
 
 def binned_trend(df: DataFrame, x: str, y: str, keys: Sequence[str], tie: str, bins: int = 20) -> DataFrame:
-    """AG12: equal-count bins of x (ntile, ties broken by ``tie``), mean x and y per bin."""
+    """AG12: equal-count bins of x (SQL ``ntile``; ties broken by ``tie``), mean x and y per bin.
+
+    Ranks come from the skew-safe range-partitioned ranking, not from a window
+    over the whole group.
+    """
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(x, tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    d = d.withColumn("bin", ntile_from_rank(F.row_number().over(w), n, bins))
-    return d.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"),
+    r = rank_within(d, x, keys, tie=[tie], carry=[y])
+    r = r.withColumn("bin", ntile_from_rank(F.col("_rank"), F.col("_n"), bins))
+    return r.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"),
                                        F.avg(y).alias("mean_y"))

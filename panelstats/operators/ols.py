@@ -106,8 +106,9 @@ def join_groups(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     """
     if keys:
         return big.join(small, on=list(keys), how=how)
-    # Global model: ``small`` has exactly one row by construction (global aggregate).
-    return big.join(F.broadcast(small), how=how)
+    # Global model: ``small`` is one row (global aggregate); a constant key keeps an equi-join.
+    one = F.lit(1).alias("_all")
+    return big.select("*", one).join(F.broadcast(small.select("*", one)), on="_all", how=how).drop("_all")
 
 
 def fitted_expr(xs: Sequence[str], beta: str = "beta") -> Column:

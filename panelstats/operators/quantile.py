@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 _LOW33 = (1 << 33) - 1
 
 
-def rank_within(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, value, ``_rank`` (1-based ascending, NULL values dropped), ``_n``."""
-    keys = list(keys)
-    d = df.select(*keys, value).filter(F.col(value).isNotNull())
-    s = (d.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequence[str] = (),
+                carry: Sequence[str] = ()) -> DataFrame:
+    """keys, value, carry, ``_rank`` (1-based, ascending by value then ``tie``;
+    NULL values dropped), ``_n`` (group size)."""
+    keys, tie = list(keys), list(tie)
+    extra = [c for c in [*tie, *carry] if c not in keys and c != value]
+    d = df.select(*keys, value, *extra).filter(F.col(value).isNotNull())
+    s = (d.repartitionByRange(*keys, value, *tie).sortWithinPartitions(*keys, value, *tie)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     part = s.groupBy("_pid", *keys).agg(F.min("_idx").alias("_i0"), F.count(F.lit(1)).alias("_c"))
@@ -39,7 +42,8 @@ def rank_within(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
         F.sum("_c").over(wall).alias("_n"),
     )
     ranked = s.join(part, on=["_pid", *keys])
-    return ranked.select(*keys, value, (F.col("_off") + F.col("_idx") - F.col("_i0") + 1).alias("_rank"), "_n")
+    return ranked.select(*keys, value, *extra,
+                         (F.col("_off") + F.col("_idx") - F.col("_i0") + 1).alias("_rank"), "_n")
 
 
 def quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float],
