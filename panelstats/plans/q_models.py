@@ -4,39 +4,297 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
+from ..operators import joins as J
+from ..operators import models as MD
 from ..operators import ols as O
+from ..operators import windows as WN
+from ..operators.transforms import union_by_name
 from ..sources import views
+from . import literals as LIT
 from . import sql as S
+from .q_windows import CUBIC_CTES, CUBIC_EXPR
 from .registry import register, rounded
 
+K = ["entity"]
 XS = ["x1", "x2"]
+_W = "(partition by entity order by m)"
 
-_OLS2_SQL = S.with_(S.PANEL, f"st as ({S.solve2(S.stats2('panel'))})", """fit as (
-  select *, my - b1 * m1 - b2 * m2 as b0, syy - b1 * s1y - b2 * s2y as rss from st)""") + """
-select entity, n, round(b0, 6) as b0, round(b1, 6) as b1, round(b2, 6) as b2,
-       round(sqrt(rss / (n - 3) * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)), 6) as se0,
-       round(sqrt(rss / (n - 3) * s22 / det), 6) as se1,
-       round(sqrt(rss / (n - 3) * s11 / det), 6) as se2,
-       round(1 - rss / syy, 6) as r2,
-       round(1 - (rss / syy) * (n - 1) / (n - 3), 6) as adj_r2,
-       round(sqrt(rss / (n - 3)), 6) as sigma,
-       round(rss, 6) as rss,
-       round(((syy - rss) / 2) / (rss / (n - 3)), 6) as f_stat
-from fit"""
-
-
-def ols_wide(fit, keys=("entity",)):
-    """Flatten the first three coefficients/SEs of a 2-regressor fit."""
+
+def _wide_select(k: int, name: str = "f", keys: str = "entity") -> str:
+    b = ", ".join(f"round(b{i}, 6) as b{i}" for i in range(k + 1))
+    se = ", ".join(f"round(se{i}, 6) as se{i}" for i in range(k + 1))
+    return (f"select {keys}, n, {b}, {se}, round(1 - rss / syy, 6) as r2, "
+            f"round(1 - (rss / syy) * (n - 1) / (n - {k + 1}), 6) as adj_r2, round(sqrt(rss / (n - {k + 1})), 6) as sigma, "
+            f"round(rss, 6) as rss, round(((syy - rss) / {k}) / (rss / (n - {k + 1})), 6) as f_stat from {name}")
+
+
+def ols_wide(fit, keys=("entity",), k: int = 2):
+    """Flatten coefficients/SEs of a k-regressor fit into b0..bk, se0..sek."""
     return fit.select(
         *keys, "n",
-        *[F.col("beta")[i].alias(f"b{i}") for i in range(3)],
-        *[F.col("se")[i].alias(f"se{i}") for i in range(3)],
+        *[F.col("beta")[i].alias(f"b{i}") for i in range(k + 1)],
+        *[F.col("se")[i].alias(f"se{i}") for i in range(k + 1)],
         "r2", "adj_r2", "sigma", "rss", "f_stat",
     )
 
 
-@register("ols_static", sql=_OLS2_SQL)
+@register("ols_static", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + _wide_select(2))
 def q_ols_static(spark, sf_dir):
     """RG1: static OLS y ~ x1 + x2 per entity from one aggregate + batched solve."""
-    fit = O.ols(views.panel(spark, sf_dir), "y", XS, ["entity"])
+    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    return rounded(ols_wide(fit))
+
+
+@register("ols_rows", sql=S.with_(S.ROWS, *S.ols_ctes("f", "rows", "y", XS))
+          + "select * exclude (rss) from (" + _wide_select(2) + ")")
+def q_ols_rows(spark, sf_dir):
+    """RG1 on raw rows: price ~ quantity + discount per return flag over all of
+    lineitem. Few, hot groups: the partial aggregate reduces them map-side.
+    (RSS is ~1e13 here; ``sigma`` carries it at a magnitude a 6-decimal check can compare.)"""
+    fit = O.ols(views.rows(spark, sf_dir), "y", XS, K)
+    return rounded(ols_wide(fit).drop("rss"))
+
+
+_COEF_SQL = S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + """
+select entity, '(Intercept)' as term, round(b0, 6) as estimate, round(se0, 6) as se, round(b0 / se0, 6) as t_stat from f
+union all select entity, 'x1', round(b1, 6), round(se1, 6), round(b1 / se1, 6) from f
+union all select entity, 'x2', round(b2, 6), round(se2, 6), round(b2 / se2, 6) from f"""
+
+
+@register("ols_coef", sql=_COEF_SQL)
+def q_ols_coef(spark, sf_dir):
+    """RG4: coefficient table (estimate, se, t); the t-tail p-value is in
+    ``coef_table`` and unit-tested, not part of the SQL check."""
+    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    return rounded(O.coef_table(fit, XS, K, with_p=False).select("entity", "term", "estimate", "se", "t_stat"))
+
+
+@register("ols_fit", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + """
+select entity, n, cast(3 as integer) as k, cast(n - 3 as bigint) as df_resid, round(rss, 6) as rss,
+       round(1 - rss / syy, 6) as r2, round(1 - (rss / syy) * (n - 1) / (n - 3), 6) as adj_r2,
+       round(sqrt(rss / (n - 3)), 6) as sigma, round(((syy - rss) / 2) / (rss / (n - 3)), 6) as f_stat,
+       cast(2 as integer) as df_model
+from f""")
+def q_ols_fit(spark, sf_dir):
+    """RG5: fit table (R², adj. R², F, df, sigma, RSS); F p-value unit-tested."""
+    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    return rounded(O.fit_table(fit, K, with_p=False))
+
+
+@register("ols_residuals", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + """
+select p.entity, p.m, round(p.y, 6) as y, round(f.b0 + f.b1 * p.x1 + f.b2 * p.x2, 6) as fitted,
+       round(p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2), 6) as resid
+from panel p join f using (entity)""")
+def q_ols_residuals(spark, sf_dir):
+    """RG3/DG11: fitted values and residuals joined back to the rows."""
+    p = views.panel(spark, sf_dir)
+    fit = O.ols(p, "y", XS, K)
+    return rounded(O.residuals(p, fit, "y", XS, K).select("entity", "m", "y", "fitted", "resid"))
+
+
+_PERIOD_SQL = ("case when t < date '1996-01-01' then 'before 1996' "
+               "when t >= date '1996-01-01' and t < date '1998-01-01' then '1996-1997' "
+               "when t >= date '1998-01-01' and t < date '2000-01-01' then '1998-1999' "
+               "when t >= date '2000-01-01' then 'since 2000' end")
+
+
+@register("ols_by_regime", sql=S.with_(S.PANEL, f"pp as (select *, {_PERIOD_SQL} as regime from panel)",
+                                       *S.ols_ctes("f", "pp", "y", XS, keys="entity, regime"))
+          + _wide_select(2, keys="entity, regime"))
+def q_ols_by_regime(spark, sf_dir):
+    """RG21: the model fitted separately per (entity, regime); regime = period label."""
+    p = views.panel(spark, sf_dir).withColumn("regime", L.period_label(F.col("t")))
+    fit = O.ols(p, "y", XS, ["entity", "regime"])
+    return rounded(ols_wide(fit, ("entity", "regime")))
+
+
+@register("ols_alt_fill", sql=S.with_(*CUBIC_CTES, f"filled as (select entity, m, y, x1, {CUBIC_EXPR} as x2c from c)",
+                                      *S.ols_ctes("f", "filled", "y", ["x1", "x2c"])) + _wide_select(2))
+def q_ols_alt_fill(spark, sf_dir):
+    """RG2: static model on the sparse gap filled by the local cubic (alternative) fill."""
+    p = WN.fill_cubic_local(views.panel_sparse(spark, sf_dir), "x2", K, "m", out="x2c")
+    fit = O.ols(p, "y", ["x1", "x2c"], K)
     return rounded(ols_wide(fit))
+
+
+@register("vif", sql=S.with_(S.PANEL, """c as (select entity, 1 / (1 - corr(x1, x2) * corr(x1, x2)) as v from panel group by entity)""") + """
+select entity, 'x1' as term, round(v, 6) as vif, case when v >= 10 then 'high' when v >= 5 then 'moderate' else 'low' end as band from c
+union all select entity, 'x2', round(v, 6), case when v >= 10 then 'high' when v >= 5 then 'moderate' else 'low' end from c""")
+def q_vif(spark, sf_dir):
+    """RG20: variance inflation factors from the inverse correlation matrix, bands 5/10."""
+    return rounded(MD.vif(views.panel(spark, sf_dir), "y", XS, K))
+
+
+def _hc1_sql(k: int) -> str:
+    c, det = S._inverse_terms(k)
+    p = k + 1
+
+    def M(a, b):
+        if a == 0 and b == 0:
+            quad = " + ".join(f"m{i} * m{j} * {c[(i, j)]}" for i in range(k) for j in range(k))
+            return f"(1.0 / n + ({quad}) / {det})"
+        if a == 0 or b == 0:
+            j = (b if a == 0 else a) - 1
+            return f"(-({' + '.join(f'{c[(j, i)]} * m{i}' for i in range(k))}) / {det})"
+        return f"({c[(a - 1, b - 1)]} / {det})"
+
+    xs = ["1"] + [f"x{i + 1}" for i in range(k)]
+    meat = {}
+    for a in range(p):
+        for b in range(a, p):
+            meat[(a, b)] = meat[(b, a)] = f"h{a}_{b}"
+    hsum = ", ".join(f"sum(e * e * {xs[a]} * {xs[b]}) as h{a}_{b}" for a in range(p) for b in range(a, p))
+    ses = []
+    for j in range(p):
+        terms = " + ".join(f"{M(j, a)} * {meat[(a, b)]} * {M(b, j)}" for a in range(p) for b in range(p))
+        ses.append(f"round(sqrt(n / (n - {p}) * ({terms})), 6) as se{j}")
+    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS),
+                   "r as (select p.entity, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from panel p join f using (entity))",
+                   f"mt as (select entity, {hsum} from r group by entity)") + \
+        f"select entity, {', '.join(ses)} from f join mt using (entity)"
+
+
+@register("se_hc1", sql=_hc1_sql(2))
+def q_se_hc1(spark, sf_dir):
+    """RG13: HC1 sandwich standard errors (Σe²xx' aggregate, n/(n−k))."""
+    p = views.panel(spark, sf_dir)
+    fit = O.ols(p, "y", XS, K)
+    se = MD.robust_se(p, fit, "y", XS, K, "m", "hc1")
+    return rounded(se.select("entity", *[F.col("se")[i].alias(f"se{i}") for i in range(3)]))
+
+
+_LAG1_CTE = f"lg as (select *, lag(y, 1) over {_W} as y_l1 from panel)"
+
+
+@register("ols_lag_level", sql=S.with_(S.PANEL, _LAG1_CTE, *S.ols_ctes("f", "lg", "y", ["x1", "x2", "y_l1"]))
+          + _wide_select(3))
+def q_ols_lag_level(spark, sf_dir):
+    """RG9: y ~ x1 + x2 + L(y, 1) (window lag; the first row of each series drops)."""
+    d = WN.lags(views.panel(spark, sf_dir), "y", K, "m", [1])
+    fit = O.ols(d, "y", [*XS, "y_l1"], K)
+    return rounded(ols_wide(fit, k=3))
+
+
+# ------------------------------------------------------- rows-only (numpy-tested)
+def lag_level_models(p, keys=K, lags=LIT.LAG_ORDERS):
+    """RG8 on RG9: y ~ x1 + x2 + L(y, k), k = 1..4 — one exploded aggregate."""
+    d = WN.lags(p, "y", keys, "m", list(lags))
+    specs = {f"lag{k}": {"x1": F.col("x1"), "x2": F.col("x2"), "ylag": F.col(f"y_l{k}")} for k in lags}
+    st, slots = MD.stacked_specs(d, "y", specs, keys)
+    fit = O.ols(st, "_y", slots, [*keys, "model"])
+    return MD.model_select(MD.information_criteria(fit, [*keys, "model"]), keys)
+
+
+def diff_frame(p, k: int, keys=K):
+    d = WN.diffs(p, "y", keys, "m", k)
+    return d, [*XS, *[f"d_y_l{i}" for i in range(1, k + 1)]]
+
+
+def lag_diff_models(p, keys=K, lags=LIT.LAG_ORDERS):
+    """RG10 + RG8: Δy ~ x1 + x2 + Δy lags 1..k for k = 1..4, one aggregate."""
+    d = WN.diffs(p, "y", keys, "m", max(lags))
+    specs = {f"diff{k}": {"x1": F.col("x1"), "x2": F.col("x2"),
+                          **{f"dl{i}": (F.col(f"d_y_l{i}") if i <= k else None) for i in range(1, max(lags) + 1)}}
+             for k in lags}
+    st, slots = MD.stacked_specs(d, "d_y", specs, keys)
+    fit = O.ols(st, "_y", slots, [*keys, "model"])
+    return MD.model_select(MD.information_criteria(fit, [*keys, "model"]), keys)
+
+
+@register("model_select")
+def q_model_select(spark, sf_dir):
+    """RG8/PR16/SO4: AIC/BIC of the lag-1..4 level models, deltas, best per criterion."""
+    return lag_level_models(views.panel(spark, sf_dir))
+
+
+@register("ols_lag_diff")
+def q_ols_lag_diff(spark, sf_dir):
+    """RG10: differenced lag models 1..4 with information criteria and the best one."""
+    return lag_diff_models(views.panel(spark, sf_dir))
+
+
+def shift_model(p, keys=K):
+    """RG6: y ~ x1 + x2 + window indicators (constant indicators drop per group)."""
+    f = J.window_flags(p, LIT.WINDOWS)
+    labels = [w[0] for w in LIT.WINDOWS]
+    return f, O.ols(f, "y", [*XS, *labels], keys), [*XS, *labels]
+
+
+@register("ols_shifts")
+def q_ols_shifts(spark, sf_dir):
+    """RG6: intercept-shift model with the four window indicators (coefficient table)."""
+    f, fit, xs = shift_model(views.panel(spark, sf_dir))
+    return O.coef_table(fit, xs, K)
+
+
+@register("joint_f")
+def q_joint_f(spark, sf_dir):
+    """RG7: joint F test that all window-indicator coefficients are zero; ΔR²."""
+    p = views.panel(spark, sf_dir)
+    f, fu, _ = shift_model(p)
+    fr = O.ols(f, "y", XS, K)
+    return MD.joint_f(fu, fr, K)
+
+
+@register("coef_vs_benchmark")
+def q_coef_vs_benchmark(spark, sf_dir):
+    """RG12: t tests of the static coefficients against fixed values (two-sided / greater)."""
+    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    return MD.coef_vs_benchmark(O.coef_table(fit, XS, K), LIT.BENCHMARKS, K)
+
+
+@register("coef_compare")
+def q_coef_compare(spark, sf_dir):
+    """RG11: static model with classical SE vs. Newey–West(12) SE, ±1.96·se, no intercept."""
+    p = views.panel(spark, sf_dir)
+    fit = O.ols(p, "y", XS, K)
+    a = O.coef_table(fit, XS, K, with_p=False).withColumn("model", F.lit("ols"))
+    nw = MD.robust_se(p, fit, "y", XS, K, "m", "nw", 12, adjust=True)
+    b = MD.se_table(nw, fit, XS, K).withColumn("model", F.lit("newey_west_12"))
+    return MD.coef_compare(a, b, L.VARIABLE_LABELS, K)
+
+
+@register("rank_check")
+def q_rank_check(spark, sf_dir):
+    """RG19: rank, condition number and aliased terms of the shift-model design."""
+    f = J.window_flags(views.panel(spark, sf_dir), LIT.WINDOWS)
+    return MD.rank_check(f, "y", [*XS, *[w[0] for w in LIT.WINDOWS]], K)
+
+
+@register("union_models")
+def q_union_models(spark, sf_dir):
+    """ST1: fit tables of the static and lag-1 models stacked by column name."""
+    p = views.panel(spark, sf_dir)
+    a = O.fit_table(O.ols(p, "y", XS, K), K).withColumn("model", F.lit("static"))
+    d = WN.lags(p, "y", K, "m", [1])
+    b = O.fit_table(O.ols(d, "y", [*XS, "y_l1"], K), K).withColumn("model", F.lit("lag1")) \
+        .withColumn("lag_order", F.lit(1))
+    return union_by_name(a, b)
+
+
+def _robust(kind, param=0, adjust=True):
+    def q(spark, sf_dir):
+        p = views.panel(spark, sf_dir)
+        fit = O.ols(p, "y", XS, K)
+        return MD.se_table(MD.robust_se(p, fit, "y", XS, K, "m", kind, param, adjust), fit, XS, K)
+    return q
+
+
+register("se_newey_west")(_robust("nw", 12, True))
+register("se_newey_west6")(_robust("nw", 6, False))
+register("se_kernel_bartlett")(_robust("bartlett", 12, True))
+register("se_nw_prewhite")(_robust("nw_prewhite", 12, True))
+
+
+def _series_robust(kind):
+    def q(spark, sf_dir):
+        p = views.panel(spark, sf_dir)
+        fit = O.ols(p, "y", XS, K)
+        se = MD.series_robust_se(p, fit, "y", XS, K, "m", kind)
+        return MD.se_table(se.drop("bandwidth"), fit, XS, K).join(se.select(*K, "bandwidth"), K)
+    return q
+
+
+register("se_hac_qs")(_series_robust("qs_andrews"))
+register("se_nw_auto")(_series_robust("nw_auto"))

@@ -77,8 +77,8 @@ def q_fill_linear_edges(spark, sf_dir):
     return rounded(WN.fill_linear(p, "x2", ["entity"], "m", hold_edges=True))
 
 
-_CUBIC_SQL = S.with_(S.PANEL_SPARSE, """k as (
-  select entity, t, m, x2, cast(row_number() over (partition by entity order by m) as integer) as pos
+CUBIC_CTES = [S.PANEL_SPARSE, """k as (
+  select entity, t, m, y, x1, x2, cast(row_number() over (partition by entity order by m) as integer) as pos
   from panel_sparse)""", """kn as (
   select entity, pos, lag(pos) over w as pp, lag(x2) over w as pv, lead(pos) over w as np, lead(x2) over w as nv
   from k where x2 is not null window w as (partition by entity order by pos))""", """j as (
@@ -96,12 +96,14 @@ _CUBIC_SQL = S.with_(S.PANEL_SPARSE, """k as (
                 wf as (partition by entity order by m rows between current row and unbounded following))""",
                        """h as (
   select *, p1 - p0 as h, (pos - p0) / (p1 - p0) as s, (v1 - v0) / (p1 - p0) as sec from n)""", """c as (
-  select *, coalesce((v1 - a2v) / (p1 - a2p), sec) as m0, coalesce((b2v - v0) / (b2p - p0), sec) as m1 from h)""") + """
-select entity, t, m, round(x2, 6) as x2,
-       round(case when x2 is not null then x2 when p0 is not null and p1 is not null then
+  select *, coalesce((v1 - a2v) / (p1 - a2p), sec) as m0, coalesce((b2v - v0) / (b2p - p0), sec) as m1 from h)"""]
+
+CUBIC_EXPR = """case when x2 is not null then x2 when p0 is not null and p1 is not null then
          (2 * s * s * s - 3 * s * s + 1) * v0 + (s * s * s - 2 * s * s + s) * h * m0
-         + (-2 * s * s * s + 3 * s * s) * v1 + (s * s * s - s * s) * h * m1 end, 6) as x2_cubic
-from c"""
+         + (-2 * s * s * s + 3 * s * s) * v1 + (s * s * s - s * s) * h * m1 end"""
+
+_CUBIC_SQL = S.with_(*CUBIC_CTES) + f"""
+select entity, t, m, round(x2, 6) as x2, round({CUBIC_EXPR}, 6) as x2_cubic from c"""
 
 
 @register("fill_cubic_local", sql=_CUBIC_SQL)

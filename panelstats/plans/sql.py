@@ -47,3 +47,56 @@ def solve2(stats: str, keys: str = "entity") -> str:
          (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as b2,
          s11 * s22 - s12 * s12 as det, s1y, s2y
   from ({stats})"""
+
+
+def _inverse_terms(k: int) -> tuple[dict, str]:
+    """Symbolic adjugate entries ``C[i,j]`` and determinant of the symmetric
+    centred matrix with entries ``s{i}_{j}`` (i <= j), for k = 1, 2, 3."""
+    s = lambda i, j: f"s{min(i, j)}_{max(i, j)}"
+    if k == 1:
+        return {(0, 0): "1.0"}, s(0, 0)
+    if k == 2:
+        c = {(0, 0): s(1, 1), (1, 1): s(0, 0), (0, 1): f"(-{s(0, 1)})"}
+        c[(1, 0)] = c[(0, 1)]
+        return c, f"({s(0, 0)} * {s(1, 1)} - {s(0, 1)} * {s(0, 1)})"
+    if k == 3:
+        c = {
+            (0, 0): f"({s(1, 1)} * {s(2, 2)} - {s(1, 2)} * {s(1, 2)})",
+            (0, 1): f"(-({s(0, 1)} * {s(2, 2)} - {s(0, 2)} * {s(1, 2)}))",
+            (0, 2): f"({s(0, 1)} * {s(1, 2)} - {s(0, 2)} * {s(1, 1)})",
+            (1, 1): f"({s(0, 0)} * {s(2, 2)} - {s(0, 2)} * {s(0, 2)})",
+            (1, 2): f"(-({s(0, 0)} * {s(1, 2)} - {s(0, 1)} * {s(0, 2)}))",
+            (2, 2): f"({s(0, 0)} * {s(1, 1)} - {s(0, 1)} * {s(0, 1)})",
+        }
+        for (i, j) in list(c):
+            c[(j, i)] = c[(i, j)]
+        det = f"({s(0, 0)} * {c[(0, 0)]} + {s(0, 1)} * {c[(0, 1)]} + {s(0, 2)} * {c[(0, 2)]})"
+        return c, det
+    raise ValueError("closed form only for k <= 3")
+
+
+def ols_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", where: str = "") -> list[str]:
+    """CTEs ``{name}_s`` (centred sums) and ``{name}`` with keys, n, b0..bk,
+    se0..sek, rss, syy, df — closed-form OLS with intercept for k <= 3."""
+    k = len(xs)
+    conds = [f"{c} is not null" for c in [y, *xs]] + ([where] if where else [])
+    sums = [f"count(*) as n", f"avg({y}) as my", f"var_pop({y}) * count(*) as syy"]
+    sums += [f"avg({x}) as m{i}" for i, x in enumerate(xs)]
+    sums += [f"covar_pop({x}, {y}) * count(*) as sy{i}" for i, x in enumerate(xs)]
+    for i in range(k):
+        for j in range(i, k):
+            f = f"var_pop({xs[i]})" if i == j else f"covar_pop({xs[i]}, {xs[j]})"
+            sums.append(f"{f} * count(*) as s{i}_{j}")
+    cte_s = f"{name}_s as (select {keys}, {', '.join(sums)} from {src} where {' and '.join(conds)} group by {keys})"
+    c, det = _inverse_terms(k)
+    b = [f"({' + '.join(f'{c[(i, j)]} * sy{j}' for j in range(k))}) / {det}" for i in range(k)]
+    cte_b = (f"{name}_b as (select *, {', '.join(f'{bi} as b{i + 1}' for i, bi in enumerate(b))}, {det} as det "
+             f"from {name}_s)")
+    rss = "syy - " + " - ".join(f"b{i + 1} * sy{i}" for i in range(k))
+    b0 = "my - " + " - ".join(f"b{i + 1} * m{i}" for i in range(k))
+    quad = " + ".join(f"m{i} * m{j} * {c[(i, j)]}" for i in range(k) for j in range(k))
+    se = [f"sqrt(rss / (n - {k + 1}) * (1.0 / n + ({quad}) / det)) as se0"]
+    se += [f"sqrt(rss / (n - {k + 1}) * {c[(i, i)]} / det) as se{i + 1}" for i in range(k)]
+    cte_r = f"{name}_r as (select *, {b0} as b0, {rss} as rss, n - {k + 1} as df from {name}_b)"
+    cte = f"{name} as (select *, {', '.join(se)} from {name}_r)"
+    return [cte_s, cte_b, cte_r, cte]
