@@ -151,7 +151,7 @@ def autocorrelations(res: DataFrame, keys: Sequence[str], max_lag: F.Column | in
     c = centred_resid(res, keys).select(*keys, "pos", "_c", "_nn")
     lmax = F.floor(10 * F.log10(F.col("_nn"))).cast("int") if max_lag is None else (
         max_lag if isinstance(max_lag, F.Column) else F.lit(max_lag))
-    lmax = F.least(lmax, F.col("_nn") - 1)
+    lmax = F.least(lmax, F.col("_nn") - 1).cast("int")
     ks = c.select(*keys, "pos", "_c", F.explode(F.sequence(F.lit(1), F.greatest(lmax, F.lit(1)))).alias("lag"),
                   lmax.alias("_L"))
     ks = ks.filter(F.col("lag") <= F.col("_L"))

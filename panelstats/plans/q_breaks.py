@@ -1,3 +1,168 @@
-"""Registered queries."""
+"""Registered structural-break queries."""
 
 from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..operators import breaks as B
+from ..operators import diagnostics as DG
+from ..operators import joins as J
+from ..operators import ols as O
+from ..operators.describe import long_values
+from ..sources import views
+from . import literals as LIT
+from . import sql as S
+from .q_diag import _RES
+from .q_models import shift_model
+from .registry import register, rounded
+
+K = ["entity"]
+XS = ["x1", "x2"]
+
+_PRE = [S.PANEL, """c as (
+  select entity, m, x1 - avg(x1) over (partition by entity) as a1, x2 - avg(x2) over (partition by entity) as a2,
+         y - avg(y) over (partition by entity) as ay from panel)""", """pre as (
+  select entity, m, cast(row_number() over w as integer) as pos, count(*) over (partition by entity) as n,
+    sum(a1) over wr as p1, sum(a2) over wr as p2, sum(ay) over wr as py, sum(a1 * a1) over wr as p11,
+    sum(a1 * a2) over wr as p12, sum(a1 * ay) over wr as p1y, sum(a2 * a2) over wr as p22,
+    sum(a2 * ay) over wr as p2y, sum(ay * ay) over wr as pyy,
+    sum(a1) over g as t1, sum(a2) over g as t2, sum(ay) over g as ty, sum(a1 * a1) over g as t11,
+    sum(a1 * a2) over g as t12, sum(a1 * ay) over g as t1y, sum(a2 * a2) over g as t22,
+    sum(a2 * ay) over g as t2y, sum(ay * ay) over g as tyy
+  from c window w as (partition by entity order by m),
+                wr as (partition by entity order by m rows between unbounded preceding and current row),
+                g as (partition by entity))"""]
+
+
+def _seg_rss(c: str, s: dict) -> str:
+    """Segment RSS with intercept from raw (series-centred) sums; 2 regressors."""
+    S11 = f"({s['11']} - {s['1']} * {s['1']} / {c})"
+    S12 = f"({s['12']} - {s['1']} * {s['2']} / {c})"
+    S22 = f"({s['22']} - {s['2']} * {s['2']} / {c})"
+    s1 = f"({s['1y']} - {s['1']} * {s['y']} / {c})"
+    s2 = f"({s['2y']} - {s['2']} * {s['y']} / {c})"
+    syy = f"({s['yy']} - {s['y']} * {s['y']} / {c})"
+    det = f"({S11} * {S22} - {S12} * {S12})"
+    b1 = f"(({S22} * {s1} - {S12} * {s2}) / {det})"
+    b2 = f"(({S11} * {s2} - {S12} * {s1}) / {det})"
+    return f"({syy} - {b1} * {s1} - {b2} * {s2})"
+
+
+_NAMES = ["1", "2", "y", "11", "12", "1y", "22", "2y", "yy"]
+_PFX = {k: f"p{k}" for k in _NAMES}
+_TOT = {k: f"t{k}" for k in _NAMES}
+_REST = {k: f"(t{k} - p{k})" for k in _NAMES}
+_RSS_CTE = f"""rs as (select *, {_seg_rss('pos', _PFX)} as rss1, {_seg_rss('(n - pos)', _REST)} as rss2,
+  {_seg_rss('n', _TOT)} as rss from pre)"""
+_PATH = [*_PRE, _RSS_CTE, """path as (
+  select entity, m, pos, n, rss, rss1 + rss2 as u, (rss - (rss1 + rss2)) / ((rss1 + rss2) / (n - 6)) as f
+  from rs where pos >= floor(n * 0.15) and pos <= n - floor(n * 0.15))"""]
+
+
+@register("sup_f", sql=S.with_(*_PATH, """r as (
+  select *, row_number() over (partition by entity order by f desc, pos) as rk, count(*) over (partition by entity) as n_cand
+  from path)""") + """
+select entity, n_cand, round(f, 6) as sup_f, pos as break_pos, m as break_m from r where rk = 1""")
+def q_sup_f(spark, sf_dir):
+    """SB4: F at every candidate split (15 % trim) from one prefix-sum window; sup and its date."""
+    p = views.panel(spark, sf_dir)
+    return rounded(B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m"))
+
+
+@register("break_conf_set", sql=S.with_(*_PATH, "b as (select entity, min(u) as best from path group by entity)") + f"""
+select entity, m, pos from path join b using (entity) where n * ln(u / best) <= {B.LR_CRIT_95!r}""")
+def q_break_conf_set(spark, sf_dir):
+    """SB8 (re-aimed): break dates inside the 95 % likelihood-ratio set."""
+    p = views.panel(spark, sf_dir)
+    return B.break_conf_set(B.split_path(p, "y", XS, K, "m"), K).select("entity", "m", "pos")
+
+
+@register("regime_label", sql=S.with_(*_PATH, """r as (
+  select *, row_number() over (partition by entity order by f desc, pos) as rk from path)""",
+                                      "b as (select entity, pos as bp from r where rk = 1)",
+                                      "pp as (select entity, m, cast(row_number() over (partition by entity order by m) as integer) as pos from panel)") + """
+select entity, m, pos, cast(case when pos > bp then 2 else 1 end as integer) as regime from pp join b using (entity)""")
+def q_regime_label(spark, sf_dir):
+    """SB7/WN9: regime number per period from the sup-F break date."""
+    p = views.panel(spark, sf_dir)
+    br = B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m").select("entity", F.col("break_pos"))
+    return B.regime_from_break(p.select("entity", "m"), br, K, "m").select("entity", "m", "pos", "regime")
+
+
+_EV_POS = [S.PANEL, """p as (select *, cast(row_number() over (partition by entity order by m) as integer) as pos,
+         count(*) over (partition by entity) as n_rows from panel)""", LIT.events_sql(), """cc as (
+  select p.*, ev.label, row_number() over (partition by p.entity, ev.label order by p.m) as rn
+  from p, ev where p.m >= ev.ev_m)""", "evpos as (select entity, label, pos from cc where rn = 1 and pos > 10 and pos < n_rows - 10)"]
+
+
+@register("chow_test", sql=S.with_(*_EV_POS, *_PRE[1:], _RSS_CTE) + """
+select entity, label, pos, m, round(((rss - (rss1 + rss2)) / 3) / ((rss1 + rss2) / (n - 6)), 6) as f_stat,
+       3 as df1, n - 6 as df2
+from rs join evpos using (entity, pos)""")
+def q_chow_test(spark, sf_dir):
+    """SB5: Chow F at the (edge-guarded) event dates; F-tail p unit-tested."""
+    p = views.panel(spark, sf_dir)
+    pos = J.asof_forward(p, LIT.EVENTS, K, "m", ["t"], guard=10).select("entity", "label", "pos")
+    return rounded(B.chow_at(p, pos, "y", XS, K, "m").drop("p_value"))
+
+
+_KOLMOGOROV_SQL = "2 * (select sum(power(-1.0, j + 1) * exp(-2 * j * j * s.statistic * s.statistic)) from range(1, 101) r(j))"
+
+
+@register("ols_cusum", sql=S.with_(*_RES, """s as (
+  select entity, max(abs(cs)) as statistic from (
+    select entity, sum(e) over (partition by entity order by m rows between unbounded preceding and current row)
+           / (sqrt(sum(e * e) over (partition by entity) / (count(*) over (partition by entity) - 3))
+              * sqrt(count(*) over (partition by entity))) as cs from res) group by entity)""") + f"""
+select entity, round(statistic, 6) as statistic, round({_KOLMOGOROV_SQL}, 6) as p_value from s""")
+def q_ols_cusum(spark, sf_dir):
+    """SB1: OLS-CUSUM sup statistic and its Brownian-bridge p-value."""
+    _, _, res = _static_res(spark, sf_dir)
+    return rounded(B.ols_cusum(res, K, "m", 3))
+
+
+def _static_res(spark, sf_dir):
+    p = views.panel(spark, sf_dir)
+    fit = O.ols(p, "y", XS, K)
+    return p, fit, O.residuals(p, fit, "y", XS, K)
+
+
+@register("ols_mosum", sql=S.with_(*_RES, """q as (
+  select entity, m, cast(row_number() over (partition by entity order by m) as integer) as pos, count(*) over (partition by entity) as n,
+         sum(e) over (partition by entity order by m rows between unbounded preceding and current row) as s,
+         sqrt(sum(e * e) over (partition by entity) / (count(*) over (partition by entity) - 3)) as sigma from res)""",
+                                       "h as (select *, cast(floor(n * 0.15) as integer) as nh from q)") + """
+select a.entity, round(max(abs((a.s - coalesce(b.s, 0.0)) / (a.sigma * sqrt(a.n)))), 6) as statistic, any_value(a.nh) as window
+from h a left join h b on a.entity = b.entity and b.pos = a.pos - a.nh
+where a.pos >= a.nh group by a.entity""")
+def q_ols_mosum(spark, sf_dir):
+    """SB2: OLS-MOSUM sup statistic (window floor(0.15 n))."""
+    _, _, res = _static_res(spark, sf_dir)
+    return rounded(B.ols_mosum(res, K, "m", 3))
+
+
+@register("rec_cusum")
+def q_rec_cusum(spark, sf_dir):
+    """SB3: recursive residuals from running sums, recursive CUSUM sup over 1 + 2t, p-value."""
+    p = views.panel(spark, sf_dir)
+    return B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m")
+
+
+@register("bai_perron")
+def q_bai_perron(spark, sf_dir):
+    """SB6: optimal 0..5 break partitions per entity (h = 15 %), RSS, BIC, AIC, dates."""
+    p = views.panel(spark, sf_dir)
+    return B.bai_perron(p, "y", XS, K, "m")
+
+
+@register("model_paths_long")
+def q_model_paths_long(spark, sf_dir):
+    """SB9: actual, static-model and shift-model paths per period, long form."""
+    p = views.panel(spark, sf_dir)
+    f, fu, xs = shift_model(p)
+    base = O.residuals(p, O.ols(p, "y", XS, K), "y", XS, K).select("entity", "m", "y", F.col("fitted").alias("static"))
+    shift = O.residuals(f, fu, "y", xs, K).select("entity", "m", F.col("fitted").alias("shift"))
+    wide = base.join(shift, on=["entity", "m"]).withColumnRenamed("y", "actual")
+    return long_values(wide, ["actual", "static", "shift"], ["entity", "m"], "path", "value")

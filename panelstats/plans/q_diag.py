@@ -1,3 +1,161 @@
-"""Registered queries."""
+"""Registered diagnostic queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diagnostics as DG
+from ..operators import ols as O
+from ..operators.describe import long_values
+from ..sources import views
+from . import sql as S
+from .q_models import shift_model
+from .registry import register, rounded
+
+K = ["entity"]
+XS = ["x1", "x2"]
+
+# residuals of the static model, positions and centred residuals, as oracle CTEs
+_RES = [S.PANEL, *S.ols_ctes("f", "panel", "y", XS), """res as (
+  select p.entity, p.m, p.t, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e
+  from panel p join f using (entity))""", """rp as (
+  select *, row_number() over (partition by entity order by m) as pos, e - avg(e) over (partition by entity) as c,
+         count(*) over (partition by entity) as nn
+  from res)"""]
+
+
+def _static(spark, sf_dir):
+    p = views.panel(spark, sf_dir)
+    fit = O.ols(p, "y", XS, K)
+    return p, fit, DG.resid_series(p, "y", XS, K, "m", fit)
+
+
+@register("bp_test", sql=S.with_(*_RES, "e2 as (select entity, x1, x2, e * e as e2 from res)",
+                                 *S.ols_ctes("a", "e2", "e2", XS)) + """
+select entity, 'breusch_pagan' as test, round(n * (1 - rss / syy), 6) as statistic, 2 as df,
+       round(exp(-(n * (1 - rss / syy)) / 2), 6) as p_value
+from a""")
+def q_bp_test(spark, sf_dir):
+    """DG1: studentised Breusch–Pagan (n·R² of e² on x1, x2); χ²(2) p-value."""
+    _, _, res = _static(spark, sf_dir)
+    return rounded(DG.breusch_pagan(res, XS, K))
+
+
+@register("white_test")
+def q_white_test(spark, sf_dir):
+    """DG2: White test (levels, squares, cross product), χ²(5)."""
+    _, _, res = _static(spark, sf_dir)
+    return DG.white(res, XS, K)
+
+
+@register("gq_test", sql=S.with_(S.PANEL, """g as (
+  select *, row_number() over (partition by entity order by x1, m) as r, count(*) over (partition by entity) as nn from panel)""",
+                                 "gs as (select *, case when r <= floor(nn * 0.5) then 1 else 2 end as segment from g)",
+                                 *S.ols_ctes("f", "gs", "y", XS, keys="entity, segment")) + """
+select entity,
+       round(max(case when segment = 2 then rss / df end) / max(case when segment = 1 then rss / df end), 6) as statistic,
+       cast(max(case when segment = 1 then df end) as bigint) as df1,
+       cast(max(case when segment = 2 then df end) as bigint) as df2
+from f group by entity""")
+def q_gq_test(spark, sf_dir):
+    """DG3: Goldfeld–Quandt ordered by x1, split at half (F tail p unit-tested)."""
+    p = views.panel(spark, sf_dir)
+    return rounded(DG.goldfeld_quandt(p, "y", XS, K, "x1", "m").drop("p_value"))
+
+
+@register("dw_test", sql=S.with_(*_RES) + """
+select entity, round(sum(d * d) / sum(e * e), 6) as statistic from (
+  select entity, e, e - lag(e) over (partition by entity order by m) as d from res) group by entity""")
+def q_dw_test(spark, sf_dir):
+    """DG4: Durbin–Watson statistic (moments, z and p are unit-tested)."""
+    _, fit, res = _static(spark, sf_dir)
+    return rounded(DG.durbin_watson(res, fit, XS, K, "m").select("entity", "statistic"))
+
+
+@register("bg_test")
+def q_bg_test(spark, sf_dir):
+    """DG5: Breusch–Godfrey of orders 3, 6 and 12 (zero-filled lags), χ²(q)."""
+    _, _, res = _static(spark, sf_dir)
+    out = None
+    for q in (3, 6, 12):
+        t = DG.breusch_godfrey(res, XS, K, "m", q)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+_LB_SQL = S.with_(*_RES, """ac as (
+  select a.entity, l.k as lag, sum(a.c * b.c) as num from rp a cross join range(1, 13) l(k)
+  join rp b on a.entity = b.entity and b.pos = a.pos - l.k group by a.entity, l.k)""",
+                  "den as (select entity, sum(c * c) as d, any_value(nn) as n from rp group by entity)",
+                  """q as (select ac.entity, any_value(n) * (any_value(n) + 2) * sum((num / d) * (num / d) / (n - lag)) as statistic
+  from ac join den using (entity) group by ac.entity)""") + """
+select entity, round(statistic, 6) as statistic, 12 as df,
+       round(exp(-statistic / 2) * (1 + statistic / 2 + power(statistic / 2, 2) / 2 + power(statistic / 2, 3) / 6
+             + power(statistic / 2, 4) / 24 + power(statistic / 2, 5) / 120), 6) as p_value
+from q"""
+
+
+@register("ljung_box", sql=_LB_SQL)
+def q_ljung_box(spark, sf_dir):
+    """DG6: Ljung–Box Q at lag 12 on the static residuals, χ²(12)."""
+    _, _, res = _static(spark, sf_dir)
+    return rounded(DG.ljung_box(res, K, 12))
+
+
+@register("jarque_bera", sql=S.with_(*_RES, """mo as (
+  select entity, count(*) as n, avg(c * c) as m2, avg(c * c * c) as m3, avg(c * c * c * c) as m4 from rp group by entity)""",
+                                     """st as (select entity, n, m3 / power(m2, 1.5) as s, m4 / (m2 * m2) as k from mo)""") + """
+select entity, round(n / 6 * (s * s + (k - 3) * (k - 3) / 4), 6) as statistic, round(s, 6) as skewness,
+       round(k, 6) as kurtosis, round(exp(-(n / 6 * (s * s + (k - 3) * (k - 3) / 4)) / 2), 6) as p_value
+from st""")
+def q_jarque_bera(spark, sf_dir):
+    """DG7: Jarque–Bera on the static residuals, χ²(2)."""
+    _, _, res = _static(spark, sf_dir)
+    return rounded(DG.jarque_bera(res, K))
+
+
+@register("acf", sql=S.with_(*_RES, """ac as (
+  select a.entity, cast(l.k as integer) as lag, sum(a.c * b.c) as num
+  from rp a join (select entity, any_value(nn) as nn from rp group by entity) z using (entity)
+  cross join range(1, 200) l(k)
+  join rp b on a.entity = b.entity and b.pos = a.pos - l.k
+  where l.k <= least(floor(10 * log10(z.nn)), z.nn - 1) group by a.entity, l.k)""",
+                             "den as (select entity, sum(c * c) as d, any_value(nn) as n from rp group by entity)") + """
+select ac.entity, lag, n, round(num / d, 6) as acf from ac join den using (entity)""")
+def q_acf(spark, sf_dir):
+    """DG8: residual autocorrelations to lag floor(10·log10 n) (equi-join on position − lag)."""
+    _, _, res = _static(spark, sf_dir)
+    return rounded(DG.autocorrelations(res, K))
+
+
+@register("pacf")
+def q_pacf(spark, sf_dir):
+    """DG9: partial autocorrelations by Durbin–Levinson on the acf."""
+    _, _, res = _static(spark, sf_dir)
+    return DG.partial_autocorrelations(DG.autocorrelations(res, K), K)
+
+
+@register("adf_test")
+def q_adf_test(spark, sf_dir):
+    """DG10: augmented Dickey–Fuller (trend) for y, x1, x2 per entity."""
+    p = views.panel(spark, sf_dir)
+    long = long_values(p, ["y", "x1", "x2"], ["entity", "m"])
+    return DG.adf(long, "value", ["entity", "variable"], "m")
+
+
+@register("residual_compare")
+def q_residual_compare(spark, sf_dir):
+    """DG12: residuals of the static and the intercept-shift model side by side, long form."""
+    p = views.panel(spark, sf_dir)
+    f, fu, xs = shift_model(p)
+    base = O.residuals(p, O.ols(p, "y", XS, K), "y", XS, K).select("entity", "m", F.col("resid").alias("static"))
+    shift = O.residuals(f, fu, "y", xs, K).select("entity", "m", F.col("resid").alias("shift"))
+    wide = base.join(shift, on=["entity", "m"])
+    return long_values(wide, ["static", "shift"], ["entity", "m"], "model", "resid")
+
+
+@register("qq_pairs")
+def q_qq_pairs(spark, sf_dir):
+    """AG13: normal Q–Q pairs of the static residuals (exact ranks, Arrow inverse normal)."""
+    _, _, res = _static(spark, sf_dir)
+    return DG.qq_pairs(res, K)
