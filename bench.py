@@ -35,7 +35,7 @@ XS = ["x1", "x2"]
 
 
 def _queries(spark, sf_dir):
-    pw = lambda: views.panel_wide(spark, sf_dir)
+    pw = lambda: views.panel_wide(spark, sf_dir, materialize=True)
     rows = lambda: views.rows(spark, sf_dir)
 
     def ols_panel():

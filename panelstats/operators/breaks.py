@@ -265,31 +265,38 @@ def rec_cusum_p_udf(x: pd.Series) -> pd.Series:
 
 
 # ------------------------------------------------------------ Bai–Perron
-def _rss_triangle(X: np.ndarray, y: np.ndarray, h: int) -> np.ndarray:
-    """RSS[i, j] of rows i..j (inclusive, j − i + 1 ≥ h) via recursive residuals."""
+def _rss_triangle(X: np.ndarray, y: np.ndarray, h: int, block: int = 1 << 20) -> np.ndarray:
+    """RSS[i, j] of rows i..j (inclusive, j − i + 1 ≥ h), NaN elsewhere.
+
+    Prefix sums of the series-centred [x…, y] and their cross products give
+    every segment's centred moments as a difference; all segments are solved
+    in batches (vectorised numpy), in blocks of start rows to bound memory.
+    """
     n, p = X.shape
+    Z = np.column_stack([X[:, 1:], y])
+    Z = Z - Z.mean(axis=0)
+    q = Z.shape[1]
+    k = q - 1
+    P1 = np.vstack([np.zeros(q), np.cumsum(Z, axis=0)])                      # (n+1, q)
+    P2 = np.concatenate([np.zeros((1, q, q)), np.cumsum(Z[:, :, None] * Z[:, None, :], axis=0)])
     R = np.full((n, n), np.nan)
-    for i in range(n - h + 1):
-        Xs, ys = X[i:], y[i:]
-        # initial fit on the first h rows of the segment, then update
-        XtX = Xs[:h].T @ Xs[:h]
-        Xty = Xs[:h].T @ ys[:h]
-        try:
-            inv = np.linalg.inv(XtX)
-        except np.linalg.LinAlgError:
-            inv = np.linalg.pinv(XtX)
-        b = inv @ Xty
-        rss = float(((ys[:h] - Xs[:h] @ b) ** 2).sum())
-        R[i, i + h - 1] = rss
-        for t in range(h, n - i):
-            x = Xs[t]
-            f = 1.0 + x @ inv @ x
-            e = ys[t] - x @ b
-            rss += e * e / f
-            R[i, i + t] = rss
-            ix = inv @ x
-            inv = inv - np.outer(ix, ix) / f
-            b = b + ix * e / f
+    starts_per_block = max(1, block // max(n, 1))
+    for i0 in range(0, n - h + 1, starts_per_block):
+        ii = np.arange(i0, min(n - h + 1, i0 + starts_per_block))
+        I, J = np.meshgrid(ii, np.arange(n), indexing="ij")
+        ok = J - I + 1 >= h
+        I, J = I[ok], J[ok]
+        c = (J - I + 1).astype(float)
+        s1 = P1[J + 1] - P1[I]
+        s2 = P2[J + 1] - P2[I]
+        C = s2 - s1[:, :, None] * s1[:, None, :] / c[:, None, None]
+        Sxx, sxy, syy = C[:, :k, :k], C[:, :k, k], C[:, k, k]
+        if k:
+            b = np.linalg.solve(Sxx + 0.0, sxy[..., None])[..., 0]
+            rss = syy - np.einsum("gi,gi->g", b, sxy)
+        else:
+            rss = syy
+        R[I, J] = rss
     return R
 
 
@@ -298,22 +305,19 @@ def bai_perron_series(X: np.ndarray, y: np.ndarray, h: int, max_breaks: int):
     n = len(y)
     R = _rss_triangle(X, y, h)
     M = min(max_breaks, n // h - 1)
-    # best[m][j]: min RSS of rows 0..j with m breaks; arg[m][j]: last break end
     best = [R[0].copy()]
     arg = [np.full(n, -1)]
+    kk = np.arange(n)
     for m in range(1, M + 1):
-        cur = np.full(n, np.inf)
-        am = np.full(n, -1)
-        for j in range((m + 1) * h - 1, n):
-            lo, hi = m * h - 1, j - h
-            if hi < lo:
-                continue
-            cand = best[m - 1][lo:hi + 1] + R[lo + 1:hi + 2, j]
-            if np.all(~np.isfinite(cand)):
-                continue
-            k = int(np.nanargmin(cand))
-            cur[j] = cand[k]
-            am[j] = lo + k
+        prev = best[m - 1]
+        # cand[k, j] = best_{m-1}[k] + RSS[k+1, j] for m·h−1 ≤ k ≤ j−h
+        Rs = np.vstack([R[1:], np.full((1, n), np.nan)])
+        cand = prev[:, None] + Rs
+        valid = (kk[:, None] >= m * h - 1) & (kk[:, None] <= kk[None, :] - h)
+        cand = np.where(valid & np.isfinite(cand), cand, np.inf)
+        am = np.argmin(cand, axis=0)
+        cur = cand[am, kk]
+        am = np.where(np.isfinite(cur), am, -1)
         best.append(cur)
         arg.append(am)
     out = []

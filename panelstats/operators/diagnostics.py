@@ -163,12 +163,18 @@ def autocorrelations(res: DataFrame, keys: Sequence[str], max_lag: F.Column | in
     return num.join(den, on=list(keys)).select(*keys, "lag", "n", (F.col("_num") / F.col("_den")).alias("acf"))
 
 
-def ljung_box(res: DataFrame, keys: Sequence[str], lag: int = 12) -> DataFrame:
-    """DG6: Q = n(n+2) Σ_{k≤lag} r_k²/(n−k), χ²(lag)."""
-    a = autocorrelations(res, keys, lag)
-    q = a.groupBy(*keys).agg(
-        (F.first("n") * (F.first("n") + 2) * F.sum(F.col("acf") ** 2 / (F.col("n") - F.col("lag")))).alias("statistic"))
-    q = q.select(*keys, "statistic", F.lit(lag).alias("df"))
+def ljung_box(res: DataFrame, keys: Sequence[str], lag: int = 12, order: str = "m") -> DataFrame:
+    """DG6: Q = n(n+2) Σ_{k≤lag} r_k²/(n−k), χ²(lag). A fixed number of lags:
+    window ``lag`` products summed in one aggregate (no self-join)."""
+    c = centred_resid(res, keys)
+    w = Window.partitionBy(*keys).orderBy(order)
+    lagged = c.select(*keys, "_c", "_nn", *[F.lag("_c", k).over(w).alias(f"_l{k}") for k in range(1, lag + 1)])
+    g = lagged.groupBy(*keys).agg(F.first("_nn").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_d"),
+                                  *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lag + 1)])
+    n = F.col("n")
+    terms = [(F.col(f"_s{k}") / F.col("_d")) ** 2 / (n - k) for k in range(1, lag + 1)]
+    stat = n * (n + 2) * sum(terms[1:], terms[0])
+    q = g.select(*keys, stat.alias("statistic"), F.lit(lag).alias("df"))
     return q.withColumn("p_value", chi2_pvalue_udf("statistic", F.col("df").cast("double")))
 
 

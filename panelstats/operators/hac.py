@@ -42,25 +42,17 @@ def hc_meat(sc: DataFrame, p: int, keys: Sequence[str], u: str = "u") -> DataFra
 
 def gamma_sums(sc: DataFrame, p: int, keys: Sequence[str], order: str, max_lag: int,
                u: str = "u") -> DataFrame:
-    """keys + ``gam``: Γ_0..Γ_L flattened as [l][a][b] (Γ_l = Σ_t u_t u_{t-l}')."""
+    """keys + ``gam``: Γ_0..Γ_L flattened as [l][a][b] (Γ_l = Σ_t u_t u_{t-l}').
+
+    Window lags of the score vector, then ONE aggregate with a sum per
+    (l, a, b) — partial aggregation on the map side, no row explosion.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     lagged = sc.select(*keys, F.col(u).alias("_u0"),
                        *[F.lag(u, l).over(w).alias(f"_u{l}") for l in range(1, max_lag + 1)])
-    prods = []
-    for l in range(max_lag + 1):
-        for a in range(p):
-            for b in range(p):
-                idx = (l * p + a) * p + b
-                prods.append(F.struct(F.lit(idx).alias("i"),
-                                      (F.col("_u0")[a] * F.col(f"_u{l}")[b]).alias("v")))
-    ex = lagged.select(*keys, F.explode(F.array(*prods)).alias("c")).filter(F.col("c.v").isNotNull())
-    g = ex.groupBy(*keys, F.col("c.i").alias("i")).agg(F.sum("c.v").alias("v"))
-    size = (max_lag + 1) * p * p
-    packed = g.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_cells"))
-    # every index is present unless the series is shorter than the lag; fill by position
-    return packed.select(*keys, F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.coalesce(F.element_at(F.map_from_entries("_cells"), i), F.lit(0.0))).alias("gam"))
+    sums = [F.coalesce(F.sum(F.col("_u0")[a] * F.col(f"_u{l}")[b]), F.lit(0.0))
+            for l in range(max_lag + 1) for a in range(p) for b in range(p)]
+    return lagged.groupBy(*keys).agg(F.array(*sums).alias("gam"))
 
 
 def var1_prewhiten(sc: DataFrame, p: int, keys: Sequence[str], order: str, u: str = "u",

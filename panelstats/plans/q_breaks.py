@@ -67,7 +67,7 @@ _PATH = [*_PRE, _RSS_CTE, """path as (
 select entity, n_cand, round(f, 6) as sup_f, pos as break_pos, m as break_m from r where rk = 1""")
 def q_sup_f(spark, sf_dir):
     """SB4: F at every candidate split (15 % trim) from one prefix-sum window; sup and its date."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return rounded(B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m"))
 
 
@@ -75,7 +75,7 @@ def q_sup_f(spark, sf_dir):
 select entity, m, pos from path join b using (entity) where n * ln(u / best) <= {B.LR_CRIT_95!r}""")
 def q_break_conf_set(spark, sf_dir):
     """SB8 (re-aimed): break dates inside the 95 % likelihood-ratio set."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return B.break_conf_set(B.split_path(p, "y", XS, K, "m"), K).select("entity", "m", "pos")
 
 
@@ -86,7 +86,7 @@ def q_break_conf_set(spark, sf_dir):
 select entity, m, pos, cast(case when pos > bp then 2 else 1 end as integer) as regime from pp join b using (entity)""")
 def q_regime_label(spark, sf_dir):
     """SB7/WN9: regime number per period from the sup-F break date."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     br = B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m").select("entity", F.col("break_pos"))
     return B.regime_from_break(p.select("entity", "m"), br, K, "m").select("entity", "m", "pos", "regime")
 
@@ -103,7 +103,7 @@ select entity, label, pos, m, round(((rss - (rss1 + rss2)) / 3) / ((rss1 + rss2)
 from rs join evpos using (entity, pos)""")
 def q_chow_test(spark, sf_dir):
     """SB5: Chow F at the (edge-guarded) event dates; F-tail p unit-tested."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     pos = J.asof_forward(p, LIT.EVENTS, K, "m", ["t"], guard=10).select("entity", "label", "pos")
     return rounded(B.chow_at(p, pos, "y", XS, K, "m").drop("p_value"))
 
@@ -124,7 +124,7 @@ def q_ols_cusum(spark, sf_dir):
 
 
 def _static_res(spark, sf_dir):
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     return p, fit, O.residuals(p, fit, "y", XS, K)
 
@@ -146,21 +146,21 @@ def q_ols_mosum(spark, sf_dir):
 @register("rec_cusum")
 def q_rec_cusum(spark, sf_dir):
     """SB3: recursive residuals from running sums, recursive CUSUM sup over 1 + 2t, p-value."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m")
 
 
 @register("bai_perron")
 def q_bai_perron(spark, sf_dir):
     """SB6: optimal 0..5 break partitions per entity (h = 15 %), RSS, BIC, AIC, dates."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return B.bai_perron(p, "y", XS, K, "m")
 
 
 @register("model_paths_long")
 def q_model_paths_long(spark, sf_dir):
     """SB9: actual, static-model and shift-model paths per period, long form."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     f, fu, xs = shift_model(p)
     base = O.residuals(p, O.ols(p, "y", XS, K), "y", XS, K).select("entity", "m", "y", F.col("fitted").alias("static"))
     shift = O.residuals(f, fu, "y", xs, K).select("entity", "m", F.col("fitted").alias("shift"))

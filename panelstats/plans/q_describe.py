@@ -26,7 +26,7 @@ select entity, variable, count(value) as n, round(avg(value), 6) as mean, round(
 from l group by entity, variable""")
 def q_describe_basic(spark, sf_dir):
     """AG1/RS2: n, mean, sd, min, quartiles, max per (entity, variable); exact quantiles."""
-    return rounded(DS.describe_basic(views.panel(spark, sf_dir), VARS, ["entity"]))
+    return rounded(DS.describe_basic(views.panel(spark, sf_dir, materialize=True), VARS, ["entity"]))
 
 
 @register("describe_full", sql=S.with_(S.PANEL, _LONG.format(src="panel"), """mo as (
@@ -49,7 +49,7 @@ select mo.entity, mo.variable, mo.n, round(mean, 6) as mean, round(sd, 6) as sd,
 from mo join c using (entity, variable) join tm using (entity, variable)""")
 def q_describe_full(spark, sf_dir):
     """AG2: full description (trimmed mean, MAD, range, type-3 skew/kurtosis, se)."""
-    return rounded(DS.describe_full(views.panel(spark, sf_dir), VARS, ["entity"]))
+    return rounded(DS.describe_full(views.panel(spark, sf_dir, materialize=True), VARS, ["entity"]))
 
 
 _PERIOD_SQL = ("case when t < date '1996-01-01' then 'before 1996' "
@@ -64,7 +64,7 @@ select entity, {_PERIOD_SQL} as period, variable, count(value) as n, round(avg(v
 from l group by all""")
 def q_describe_by_period(spark, sf_dir):
     """AG3: mean and sd per (entity, period, variable)."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return rounded(DS.describe_by_group(p, VARS, L.period_label(F.col("t")), "period", ["entity"]))
 
 
@@ -74,7 +74,7 @@ union all select entity, 'x1', count(*) filter (where x1 is null), count(x1) fro
 union all select entity, 'x2', count(*) filter (where x2 is null), count(x2) from panel_sparse group by entity""")
 def q_null_profile(spark, sf_dir):
     """AG4: NULL and valid counts per column and entity."""
-    return DS.null_profile(views.panel_sparse(spark, sf_dir), VARS, ["entity"])
+    return DS.null_profile(views.panel_sparse(spark, sf_dir, materialize=True), VARS, ["entity"])
 
 
 def _corr_sql(where: str) -> str:
@@ -99,13 +99,13 @@ _cp_cte, _cp_sel = _corr_sql("")
 @register("corr_complete", sql=S.with_(S.PANEL_SPARSE, _cc_cte) + _cc_sel)
 def q_corr_complete(spark, sf_dir):
     """AG5/RS3: correlation matrix on complete rows, as long triples."""
-    return rounded(DS.corr_long(views.panel_sparse(spark, sf_dir), VARS, ["entity"], listwise=True))
+    return rounded(DS.corr_long(views.panel_sparse(spark, sf_dir, materialize=True), VARS, ["entity"], listwise=True))
 
 
 @register("corr_pairwise", sql=S.with_(S.PANEL_SPARSE, _cp_cte) + _cp_sel)
 def q_corr_pairwise(spark, sf_dir):
     """AG6/RS3: correlation matrix, each pair on its own complete rows."""
-    return rounded(DS.corr_long(views.panel_sparse(spark, sf_dir), VARS, ["entity"], listwise=False))
+    return rounded(DS.corr_long(views.panel_sparse(spark, sf_dir, materialize=True), VARS, ["entity"], listwise=False))
 
 
 @register("boxplot_by_month", sql=S.with_(S.PANEL, """q as (
@@ -119,7 +119,7 @@ select entity, month, count(y) as n, round(any_value(q1), 6) as q1, round(any_va
 from j group by entity, month""")
 def q_boxplot_by_month(spark, sf_dir):
     """AG7: per calendar month: quartiles, 1.5·IQR whiskers, outlier count."""
-    p = views.panel(spark, sf_dir).withColumn("month", F.month("t"))
+    p = views.panel(spark, sf_dir, materialize=True).withColumn("month", F.month("t"))
     return rounded(DS.boxplot_stats(p, "y", ["entity", "month"]))
 
 
@@ -132,7 +132,7 @@ select entity, bin, count(*) as count, round(any_value(lo) + bin * (any_value(hi
 from b group by entity, bin""")
 def q_histogram30(spark, sf_dir):
     """AG8: 30 equal-width bins of y per entity."""
-    return rounded(DS.histogram(views.panel(spark, sf_dir), "y", ["entity"], 30))
+    return rounded(DS.histogram(views.panel(spark, sf_dir, materialize=True), "y", ["entity"], 30))
 
 
 @register("density_grid", sql=S.with_(S.PANEL, """par0 as (
@@ -147,14 +147,14 @@ select g.entity, g.i, round(any_value(g0 + i * step), 6) as x,
 from g join vals using (entity) group by g.entity, g.i""")
 def q_density_grid(spark, sf_dir):
     """AG9: Gaussian kernel density of y on a 512-point grid per entity."""
-    return rounded(DS.density_grid(views.panel(spark, sf_dir), "y", ["entity"]))
+    return rounded(DS.density_grid(views.panel(spark, sf_dir, materialize=True), "y", ["entity"]))
 
 
 @register("time_span", sql=S.with_(S.SERIES) + """
 select entity, min(t) as t_first, max(t) as t_last, count(*) as n from series group by entity""")
 def q_time_span(spark, sf_dir):
     """AG10: first/last time and row count per series."""
-    return DS.time_span(views.series(spark, sf_dir), "t", ["entity"])
+    return DS.time_span(views.series(spark, sf_dir, materialize=True), "t", ["entity"])
 
 
 @register("binned_trend", sql=S.with_(S.PANEL, """b as (
@@ -163,4 +163,4 @@ select entity, cast(bin as integer) as bin, count(*) as n, round(avg(x1), 6) as
 from b group by entity, bin""")
 def q_binned_trend(spark, sf_dir):
     """AG12 (re-aimed smoother): 20 equal-count bins of x1, mean x1 and y per bin."""
-    return rounded(DS.binned_trend(views.panel(spark, sf_dir), "x1", "y", ["entity"], tie="m", bins=20))
+    return rounded(DS.binned_trend(views.panel(spark, sf_dir, materialize=True), "x1", "y", ["entity"], tie="m", bins=20))

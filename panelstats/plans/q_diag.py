@@ -25,7 +25,7 @@ _RES = [S.PANEL, *S.ols_ctes("f", "panel", "y", XS), """res as (
 
 
 def _static(spark, sf_dir):
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     return p, fit, DG.resid_series(p, "y", XS, K, "m", fit)
 
@@ -59,7 +59,7 @@ select entity,
 from f group by entity""")
 def q_gq_test(spark, sf_dir):
     """DG3: Goldfeld–Quandt ordered by x1, split at half (F tail p unit-tested)."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return rounded(DG.goldfeld_quandt(p, "y", XS, K, "x1", "m").drop("p_value"))
 
 
@@ -138,7 +138,7 @@ def q_pacf(spark, sf_dir):
 @register("adf_test")
 def q_adf_test(spark, sf_dir):
     """DG10: augmented Dickey–Fuller (trend) for y, x1, x2 per entity."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     long = long_values(p, ["y", "x1", "x2"], ["entity", "m"])
     return DG.adf(long, "value", ["entity", "variable"], "m")
 
@@ -146,7 +146,7 @@ def q_adf_test(spark, sf_dir):
 @register("residual_compare")
 def q_residual_compare(spark, sf_dir):
     """DG12: residuals of the static and the intercept-shift model side by side, long form."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     f, fu, xs = shift_model(p)
     base = O.residuals(p, O.ols(p, "y", XS, K), "y", XS, K).select("entity", "m", F.col("resid").alias("static"))
     shift = O.residuals(f, fu, "y", xs, K).select("entity", "m", F.col("resid").alias("shift"))

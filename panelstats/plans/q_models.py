@@ -42,7 +42,7 @@ def ols_wide(fit, keys=("entity",), k: int = 2):
 @register("ols_static", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + _wide_select(2))
 def q_ols_static(spark, sf_dir):
     """RG1: static OLS y ~ x1 + x2 per entity from one aggregate + batched solve."""
-    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
     return rounded(ols_wide(fit))
 
 
@@ -66,7 +66,7 @@ union all select entity, 'x2', round(b2, 6), round(se2, 6), round(b2 / se2, 6) f
 def q_ols_coef(spark, sf_dir):
     """RG4: coefficient table (estimate, se, t); the t-tail p-value is in
     ``coef_table`` and unit-tested, not part of the SQL check."""
-    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
     return rounded(O.coef_table(fit, XS, K, with_p=False).select("entity", "term", "estimate", "se", "t_stat"))
 
 
@@ -78,7 +78,7 @@ select entity, n, cast(3 as integer) as k, cast(n - 3 as bigint) as df_resid, ro
 from f""")
 def q_ols_fit(spark, sf_dir):
     """RG5: fit table (R², adj. R², F, df, sigma, RSS); F p-value unit-tested."""
-    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
     return rounded(O.fit_table(fit, K, with_p=False))
 
 
@@ -88,7 +88,7 @@ select p.entity, p.m, round(p.y, 6) as y, round(f.b0 + f.b1 * p.x1 + f.b2 * p.x2
 from panel p join f using (entity)""")
 def q_ols_residuals(spark, sf_dir):
     """RG3/DG11: fitted values and residuals joined back to the rows."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     return rounded(O.residuals(p, fit, "y", XS, K).select("entity", "m", "y", "fitted", "resid"))
 
@@ -104,7 +104,7 @@ _PERIOD_SQL = ("case when t < date '1996-01-01' then 'before 1996' "
           + _wide_select(2, keys="entity, regime"))
 def q_ols_by_regime(spark, sf_dir):
     """RG21: the model fitted separately per (entity, regime); regime = period label."""
-    p = views.panel(spark, sf_dir).withColumn("regime", L.period_label(F.col("t")))
+    p = views.panel(spark, sf_dir, materialize=True).withColumn("regime", L.period_label(F.col("t")))
     fit = O.ols(p, "y", XS, ["entity", "regime"])
     return rounded(ols_wide(fit, ("entity", "regime")))
 
@@ -113,7 +113,7 @@ def q_ols_by_regime(spark, sf_dir):
                                       *S.ols_ctes("f", "filled", "y", ["x1", "x2c"])) + _wide_select(2))
 def q_ols_alt_fill(spark, sf_dir):
     """RG2: static model on the sparse gap filled by the local cubic (alternative) fill."""
-    p = WN.fill_cubic_local(views.panel_sparse(spark, sf_dir), "x2", K, "m", out="x2c")
+    p = WN.fill_cubic_local(views.panel_sparse(spark, sf_dir, materialize=True), "x2", K, "m", out="x2c")
     fit = O.ols(p, "y", ["x1", "x2c"], K)
     return rounded(ols_wide(fit))
 
@@ -123,7 +123,7 @@ select entity, 'x1' as term, round(v, 6) as vif, case when v >= 10 then 'high' w
 union all select entity, 'x2', round(v, 6), case when v >= 10 then 'high' when v >= 5 then 'moderate' else 'low' end from c""")
 def q_vif(spark, sf_dir):
     """RG20: variance inflation factors from the inverse correlation matrix, bands 5/10."""
-    return rounded(MD.vif(views.panel(spark, sf_dir), "y", XS, K))
+    return rounded(MD.vif(views.panel(spark, sf_dir, materialize=True), "y", XS, K))
 
 
 def _hc1_sql(k: int) -> str:
@@ -158,7 +158,7 @@ def _hc1_sql(k: int) -> str:
 @register("se_hc1", sql=_hc1_sql(2))
 def q_se_hc1(spark, sf_dir):
     """RG13: HC1 sandwich standard errors (Σe²xx' aggregate, n/(n−k))."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     se = MD.robust_se(p, fit, "y", XS, K, "m", "hc1")
     return rounded(se.select("entity", *[F.col("se")[i].alias(f"se{i}") for i in range(3)]))
@@ -171,7 +171,7 @@ _LAG1_CTE = f"lg as (select *, lag(y, 1) over {_W} as y_l1 from panel)"
           + _wide_select(3))
 def q_ols_lag_level(spark, sf_dir):
     """RG9: y ~ x1 + x2 + L(y, 1) (window lag; the first row of each series drops)."""
-    d = WN.lags(views.panel(spark, sf_dir), "y", K, "m", [1])
+    d = WN.lags(views.panel(spark, sf_dir, materialize=True), "y", K, "m", [1])
     fit = O.ols(d, "y", [*XS, "y_l1"], K)
     return rounded(ols_wide(fit, k=3))
 
@@ -205,13 +205,13 @@ def lag_diff_models(p, keys=K, lags=LIT.LAG_ORDERS):
 @register("model_select")
 def q_model_select(spark, sf_dir):
     """RG8/PR16/SO4: AIC/BIC of the lag-1..4 level models, deltas, best per criterion."""
-    return lag_level_models(views.panel(spark, sf_dir))
+    return lag_level_models(views.panel(spark, sf_dir, materialize=True))
 
 
 @register("ols_lag_diff")
 def q_ols_lag_diff(spark, sf_dir):
     """RG10: differenced lag models 1..4 with information criteria and the best one."""
-    return lag_diff_models(views.panel(spark, sf_dir))
+    return lag_diff_models(views.panel(spark, sf_dir, materialize=True))
 
 
 def shift_model(p, keys=K):
@@ -224,14 +224,14 @@ def shift_model(p, keys=K):
 @register("ols_shifts")
 def q_ols_shifts(spark, sf_dir):
     """RG6: intercept-shift model with the four window indicators (coefficient table)."""
-    f, fit, xs = shift_model(views.panel(spark, sf_dir))
+    f, fit, xs = shift_model(views.panel(spark, sf_dir, materialize=True))
     return O.coef_table(fit, xs, K)
 
 
 @register("joint_f")
 def q_joint_f(spark, sf_dir):
     """RG7: joint F test that all window-indicator coefficients are zero; ΔR²."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     f, fu, _ = shift_model(p)
     fr = O.ols(f, "y", XS, K)
     return MD.joint_f(fu, fr, K)
@@ -240,14 +240,14 @@ def q_joint_f(spark, sf_dir):
 @register("coef_vs_benchmark")
 def q_coef_vs_benchmark(spark, sf_dir):
     """RG12: t tests of the static coefficients against fixed values (two-sided / greater)."""
-    fit = O.ols(views.panel(spark, sf_dir), "y", XS, K)
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
     return MD.coef_vs_benchmark(O.coef_table(fit, XS, K), LIT.BENCHMARKS, K)
 
 
 @register("coef_compare")
 def q_coef_compare(spark, sf_dir):
     """RG11: static model with classical SE vs. Newey–West(12) SE, ±1.96·se, no intercept."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     a = O.coef_table(fit, XS, K, with_p=False).withColumn("model", F.lit("ols"))
     nw = MD.robust_se(p, fit, "y", XS, K, "m", "nw", 12, adjust=True)
@@ -258,14 +258,14 @@ def q_coef_compare(spark, sf_dir):
 @register("rank_check")
 def q_rank_check(spark, sf_dir):
     """RG19: rank, condition number and aliased terms of the shift-model design."""
-    f = J.window_flags(views.panel(spark, sf_dir), LIT.WINDOWS)
+    f = J.window_flags(views.panel(spark, sf_dir, materialize=True), LIT.WINDOWS)
     return MD.rank_check(f, "y", [*XS, *[w[0] for w in LIT.WINDOWS]], K)
 
 
 @register("union_models")
 def q_union_models(spark, sf_dir):
     """ST1: fit tables of the static and lag-1 models stacked by column name."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     a = O.fit_table(O.ols(p, "y", XS, K), K).withColumn("model", F.lit("static"))
     d = WN.lags(p, "y", K, "m", [1])
     b = O.fit_table(O.ols(d, "y", [*XS, "y_l1"], K), K).withColumn("model", F.lit("lag1")) \
@@ -275,7 +275,7 @@ def q_union_models(spark, sf_dir):
 
 def _robust(kind, param=0, adjust=True):
     def q(spark, sf_dir):
-        p = views.panel(spark, sf_dir)
+        p = views.panel(spark, sf_dir, materialize=True)
         fit = O.ols(p, "y", XS, K)
         return MD.se_table(MD.robust_se(p, fit, "y", XS, K, "m", kind, param, adjust), fit, XS, K)
     return q
@@ -289,7 +289,7 @@ register("se_nw_prewhite")(_robust("nw_prewhite", 12, True))
 
 def _series_robust(kind):
     def q(spark, sf_dir):
-        p = views.panel(spark, sf_dir)
+        p = views.panel(spark, sf_dir, materialize=True)
         fit = O.ols(p, "y", XS, K)
         se = MD.series_robust_se(p, fit, "y", XS, K, "m", kind)
         return MD.se_table(se.drop("bandwidth"), fit, XS, K).join(se.select(*K, "bandwidth"), K)

@@ -214,7 +214,7 @@ from l""")
 def q_zscore_long(spark, sf_dir):
     """PR15: z-score per (entity, variable): aggregate moments, join back."""
     from ..operators.transforms import zscore
-    long = DS.long_values(views.panel(spark, sf_dir), ["y", "x1", "x2"], ["entity", "m"])
+    long = DS.long_values(views.panel(spark, sf_dir, materialize=True), ["y", "x1", "x2"], ["entity", "m"])
     return rounded(zscore(long, "value", ["entity", "variable"]).select("entity", "m", "variable", "value", "z"))
 
 
@@ -223,7 +223,7 @@ select entity, printf('b1=%.3f, b2=%.3f, n=%d', b1, b2, n) as label from st""")
 def q_format_labels(spark, sf_dir):
     """PR17: formatted model summary text per entity."""
     from ..operators import ols as O
-    fit = O.ols(views.panel(spark, sf_dir), "y", ["x1", "x2"], ["entity"])
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", ["x1", "x2"], ["entity"])
     return fit.select("entity", F.format_string("b1=%.3f, b2=%.3f, n=%d", F.col("beta")[1], F.col("beta")[2],
                                                 F.col("n")).alias("label"))
 
@@ -274,7 +274,7 @@ _POS_CTE = """p as (select *, cast(row_number() over (partition by entity order
   from p, ev)""") + "select entity, label, ev_m as event_m, m, pos, n_rows, t, round(y, 6) as y from c where rn = 1")
 def q_asof_nearest(spark, sf_dir):
     """JN1: nearest period to each event month (earlier row on a tie)."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return rounded(J.asof_nearest(p, LIT.EVENTS, ["entity"], "m", ["t", "y"]))
 
 
@@ -285,7 +285,7 @@ select entity, label, ev_m as event_m, m, pos, n_rows, t, round(y, 6) as y
 from c where rn = 1 and pos > 10 and pos < n_rows - 10""")
 def q_asof_forward(spark, sf_dir):
     """JN2/JN6/FL6: first period at or after each event, edge-guarded (±10 rows)."""
-    p = views.panel(spark, sf_dir)
+    p = views.panel(spark, sf_dir, materialize=True)
     return rounded(J.asof_forward(p, LIT.EVENTS, ["entity"], "m", ["t", "y"], guard=10))
 
 
@@ -323,7 +323,7 @@ def q_flag_counts(spark, sf_dir):
 select entity, m, round(y, 6) as y, round(lag(y, 1) over (partition by entity order by m), 6) as y_l1 from panel""")
 def q_lag_selfjoin(spark, sf_dir):
     """JN5: lag 1 by an equi-join on (entity, m-1) — equals the window lag on a gapless panel."""
-    p = views.panel(spark, sf_dir).select("entity", "m", "y")
+    p = views.panel(spark, sf_dir, materialize=True).select("entity", "m", "y")
     return rounded(WN.lag_selfjoin(p, "y", ["entity"], "m", 1).select("entity", "m", "y", "y_l1"))
 
 

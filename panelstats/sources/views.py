@@ -10,6 +10,12 @@
 Every view is a lazy plan: the scan keeps only the named columns and the
 monthly aggregate is a partial + final hash aggregate (map-side combine), so a
 hot entity does not land in one task before the data is reduced.
+
+``materialize=True`` writes the (small: entities × periods) aggregate once to
+the shared checkpoint folder and returns a plan that reads it. Queries that
+use a panel several times (fit, join back, several tests) pass it, so the raw
+table is scanned once instead of once per branch — Spark does not reuse the
+exchanges here because join-inferred filters differ between branches.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tables import table
 
 PANEL_COLUMNS = ("entity", "t", "m", "y", "x1", "x2")
@@ -49,30 +56,33 @@ def _monthly(li: DataFrame, entity: Column) -> DataFrame:
     return agg.select("entity", month_start(F.col("m")).alias("t"), "m", "y", "x1", "x2")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _maybe(df: DataFrame, materialize: bool) -> DataFrame:
+    return cut_lineage(df) if materialize else df
+
+
+def panel(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_shipdate",
                "l_extendedprice", "l_discount", "l_quantity")
-    return _monthly(li, F.concat("l_returnflag", "l_linestatus"))
+    return _maybe(_monthly(li, F.concat("l_returnflag", "l_linestatus")), materialize)
 
 
-def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_wide(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate",
                "l_extendedprice", "l_discount", "l_quantity")
-    return _monthly(li, F.col("l_suppkey").cast("string"))
+    return _maybe(_monthly(li, F.col("l_suppkey").cast("string")), materialize)
 
 
-def panel_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_sparse(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     p = panel(spark, sf_dir)
-    return p.withColumn("x2", F.when(F.month("t") == 12, F.col("x2")))
+    return _maybe(p.withColumn("x2", F.when(F.month("t") == 12, F.col("x2"))), materialize)
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def series(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     ev = table(spark, sf_dir, "events", "event_type", "ts", "value")
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
-    return (
+    return _maybe(
         ev.groupBy(F.col("event_type").alias("entity"), hour.alias("t"))
-        .agg(_exact_mean("value").alias("y"), F.count(F.lit(1)).alias("n"))
-    )
+        .agg(_exact_mean("value").alias("y"), F.count(F.lit(1)).alias("n")), materialize)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
