@@ -298,3 +298,33 @@ def _series_robust(kind):
 
 register("se_hac_qs")(_series_robust("qs_andrews"))
 register("se_nw_auto")(_series_robust("nw_auto"))
+
+
+@register("effect_labels")
+def q_effect_labels(spark, sf_dir):
+    """PR18: sign and significance wording of every coefficient (p from the t tail)."""
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
+    c = O.coef_table(fit, XS, K)
+    return c.select("entity", "term", L.recode(F.col("term")).alias("label"), "estimate", "p_value",
+                    L.significance_label(F.col("p_value")).alias("significance"),
+                    L.effect_label(F.col("estimate"), F.col("p_value")).alias("effect"))
+
+
+@register("model_table")
+def q_model_table(spark, sf_dir):
+    """SC8: tidy comparison table of the static, lag-1 and shift models (terms × models),
+    written as Parquet to the shared scratch folder and read back."""
+    from ..sources import csv as C
+    p = views.panel(spark, sf_dir, materialize=True)
+    d = WN.lags(p, "y", K, "m", [1])
+    f, fu, xs_shift = shift_model(p)
+    parts = [
+        O.coef_table(O.ols(p, "y", XS, K), XS, K).withColumn("model", F.lit("static")),
+        O.coef_table(O.ols(d, "y", [*XS, "y_l1"], K), [*XS, "y_l1"], K).withColumn("model", F.lit("lag1")),
+        O.coef_table(fu, xs_shift, K).withColumn("model", F.lit("shift")),
+    ]
+    tidy = union_by_name(*parts).select("entity", "model", "term", L.recode(F.col("term")).alias("label"),
+                                        "estimate", "se", "t_stat", "p_value")
+    path = C.scratch_path(spark, "model-table")
+    tidy.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -67,7 +67,7 @@ def q_scan_dirty_numeric(spark, sf_dir):
     trailing tab; 'NA' as the NULL token."""
     p = views.panel_sparse(spark, sf_dir)
     fixture = p.select(
-        F.date_format("t", "yyyy-MM").alias("_c0"), "entity",
+        F.date_format("t", "yyyy-MM").alias(""), "entity",
         F.concat(_num_text(F.col("y")), F.lit("\t")).alias("Rate"),
         _num_text(F.col("x1")).alias("HICP"),
         F.concat(_num_text(F.col("x2")), F.lit("\t")).alias("Output Gap"),
@@ -80,6 +80,33 @@ def q_scan_dirty_numeric(spark, sf_dir):
     return rounded(out)
 
 
+@register("rename_positional", sql=S.with_(S.PANEL) + _PANEL_ROUNDED.format(src="panel"))
+def q_rename_positional(spark, sf_dir):
+    """SC3: header kept verbatim (first name empty), first four columns renamed by
+    position after an arity check, later columns keep their names."""
+    p = views.panel(spark, sf_dir)
+    fixture = p.select(F.date_format("t", "yyyy-MM").alias(""), _num_text(F.col("y")).alias("EZB Leitzins"),
+                       _num_text(F.col("x1")).alias("HICP"), _num_text(F.col("x2")).alias("Output Gap"), "entity")
+    path = C.write_csv(fixture, C.scratch_path(spark, "panel-positional"))
+    raw = C.rename_positional(C.read_text_table(spark, path), ["month_text", "y", "x1", "x2"])
+    typed = C.convert_columns(raw, {"y": ".", "x1": ".", "x2": "."}, month_col="month_text")
+    return rounded(typed.select("entity", F.col("month_text").alias("t"),
+                                views.month_index(F.col("month_text")).alias("m"), "y", "x1", "x2"))
+
+
+@register("sink_csv", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", ["x1", "x2"])) + """
+select entity, n, round(b0, 6) as b0, round(b1, 6) as b1, round(b2, 6) as b2, round(r2, 6) as r2
+from (select *, 1 - rss / syy as r2 from f)""")
+def q_sink_csv(spark, sf_dir):
+    """SC7: a result table written as header CSV (no row names) and read back typed."""
+    from ..operators import ols as O
+    fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", ["x1", "x2"], ["entity"])
+    out = fit.select("entity", "n", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)], "r2")
+    path = C.write_csv(out, C.scratch_path(spark, "ols-csv"))
+    schema = "entity string, n long, b0 double, b1 double, b2 double, r2 double"
+    return rounded(C.read_csv(spark, path, T._parse_datatype_string(schema)))
+
+
 @register("head_tail", sql=S.with_(S.PANEL, """r as (
   select entity, t, m, y,
          cast(row_number() over (partition by entity order by m) as integer) as rn_head,
@@ -319,6 +346,21 @@ def q_flag_counts(spark, sf_dir):
     return g.unpivot(["entity"], labels, "flag", "n")
 
 
+@register("flag_first_rows", sql=S.with_(S.PANEL, _flags_sql(), """l as (
+  select entity, m, 'W1' as flag, W1 as v from f union all select entity, m, 'W2', W2 from f
+  union all select entity, m, 'W3', W3 from f union all select entity, m, 'W4', W4 from f)""", """r as (
+  select entity, flag, m, cast(row_number() over (partition by entity, flag order by m) as integer) as rn
+  from l where v = 1)""") + "select entity, flag, m, rn from r where rn <= 3")
+def q_flag_first_rows(spark, sf_dir):
+    """AG11: the first three periods inside each window per entity (top-k is the feature)."""
+    p = views.panel(spark, sf_dir).select("entity", "t", "m", "y")
+    f = J.window_flags(p, LIT.WINDOWS)
+    labels = [w[0] for w in LIT.WINDOWS]
+    long = f.unpivot(["entity", "m"], labels, "flag", "v").filter(F.col("v") == 1)
+    w = Window.partitionBy("entity", "flag").orderBy("m")
+    return long.select("entity", "flag", "m", F.row_number().over(w).alias("rn")).filter(F.col("rn") <= 3)
+
+
 @register("lag_selfjoin", sql=S.with_(S.PANEL) + """
 select entity, m, round(y, 6) as y, round(lag(y, 1) over (partition by entity order by m), 6) as y_l1 from panel""")
 def q_lag_selfjoin(spark, sf_dir):
