@@ -31,26 +31,46 @@ from . import ols as O
 LR_CRIT_95 = -2.0 * math.log(1.0 - math.sqrt(0.95))
 
 
-def prefix_sums(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str) -> DataFrame:
+def prefix_sums(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str,
+                buckets: str | None = None, bucket_size: int = 64) -> DataFrame:
     """Per row: pos, n_rows, prefix sums (rows 1..pos) and totals of
-    [x…, y] and their cross products, on series-centred values."""
+    [x…, y] and their cross products, on series-centred values.
+
+    Default: one window per series (a panel series is bounded by its number of
+    periods). ``buckets``: an integer column to cut a very long series into
+    buckets — series means, totals and counts then come from aggregates and
+    the running sums from :func:`windows.running_sums_long`, so no task holds
+    a whole series.
+    """
     xs = list(xs)
     d = df.filter(O.complete([y, *xs]))
-    wall = Window.partitionBy(*keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     cols = [*xs, y]
-    d = d.select(*keys, order, *[(F.col(c) - F.avg(c).over(wall)).alias(f"_c_{c}") for c in cols])
     q = len(cols)
-    prods = [F.col(f"_c_{c}") for c in cols]
     pairs = [(a, b) for a in range(q) for b in range(a, q)]
+    if buckets is None:
+        wall = Window.partitionBy(*keys)
+        w = Window.partitionBy(*keys).orderBy(order)
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        d = d.select(*keys, order, *[(F.col(c) - F.avg(c).over(wall)).alias(f"_c_{c}") for c in cols])
+        prods = [F.col(f"_c_{c}") for c in cols]
+        first = [*prods, *[prods[a] * prods[b] for a, b in pairs]]
+        return d.select(
+            *keys, order,
+            F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(wall).alias("n_rows"),
+            F.array(*[F.sum(v).over(run) for v in first]).alias("pre"),
+            F.array(*[F.sum(v).over(wall) for v in first]).alias("tot"),
+        )
+    from .windows import running_sums_long
+    mu = d.groupBy(*keys).agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols], F.count(F.lit(1)).alias("n_rows"))
+    c = d.join(mu, on=list(keys)).select(*keys, order, buckets, "n_rows",
+                                        *[(F.col(x) - F.col(f"_mu_{x}")).alias(f"_c_{x}") for x in cols])
+    prods = [F.col(f"_c_{x}") for x in cols]
     first = [*prods, *[prods[a] * prods[b] for a, b in pairs]]
-    return d.select(
-        *keys, order,
-        F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(wall).alias("n_rows"),
-        F.array(*[F.sum(v).over(run) for v in first]).alias("pre"),
-        F.array(*[F.sum(v).over(wall) for v in first]).alias("tot"),
-    )
+    vals = {f"_p{i}": v for i, v in enumerate(first)}
+    r = running_sums_long(c, vals, keys, order, buckets, bucket_size)
+    tot = c.groupBy(*keys).agg(F.array(*[F.sum(v) for v in first]).alias("tot"))
+    return r.join(tot, on=list(keys)).select(
+        *keys, order, "pos", "n_rows", F.array(*[F.col(n) for n in vals]).alias("pre"), "tot")
 
 
 def _segment_rss(c, P, q):

@@ -168,3 +168,32 @@ def fraction_windows(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
 def shift_col(c: str, k: int, w) -> Column:
     return F.lag(c, k).over(w)
+
+
+def running_sums_long(df: DataFrame, values: dict, keys: Sequence[str], order: str,
+                      bucket_col: str, bucket_size: int = 64) -> DataFrame:
+    """Running sums and row positions for series too long for one task.
+
+    Two levels: rows are cut into buckets ``floor(bucket_col / bucket_size)``;
+    the window runs per (keys, bucket) only; bucket totals and counts form a
+    small table whose running totals (a window over keys on that small table)
+    are joined back as offsets. Equals the one-window result for any series.
+
+    ``values``: {output name: Column}. Adds ``pos`` and one column per value.
+    """
+    keys = list(keys)
+    b = F.floor(F.col(bucket_col) / bucket_size).alias("_bk")
+    d = df.select("*", b, *[c.alias(f"_v_{n}") for n, c in values.items()])
+    wb = Window.partitionBy(*keys, "_bk").orderBy(order)
+    run = wb.rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", F.row_number().over(wb).alias("_lpos"),
+                     *[F.sum(f"_v_{n}").over(run).alias(f"_l_{n}") for n in values])
+    tot = d.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_bc"),
+                                      *[F.sum(f"_v_{n}").alias(f"_bt_{n}") for n in values])
+    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_bk", F.coalesce(F.sum("_bc").over(wk), F.lit(0)).alias("_oc"),
+                     *[F.coalesce(F.sum(f"_bt_{n}").over(wk), F.lit(0.0)).alias(f"_o_{n}") for n in values])
+    j = local.join(off, on=[*keys, "_bk"])
+    out = j.select(*df.columns, (F.col("_oc") + F.col("_lpos")).cast("int").alias("pos"),
+                   *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in values])
+    return out
