@@ -21,6 +21,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOW33 = (1 << 33) - 1
+TARGET_RANGE_BYTES = 128 << 20
+MAX_RANGE_PARTITIONS = 200_000
+
+
+def range_partitions(df: DataFrame, target_bytes: int = TARGET_RANGE_BYTES) -> int:
+    """Number of range partitions: Catalyst's size estimate / target, at least
+    ``spark.sql.shuffle.partitions``. AQE can coalesce range partitions after the
+    fact but never splits them, so the count must scale with the input."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # estimate unavailable (e.g. remote session): fall back to the conf
+        return conf
+    if size >= 1 << 60:  # Catalyst's "unknown" (defaultSizeInBytes = Long.MaxValue)
+        return conf
+    return int(min(max(conf, -(-size // target_bytes)), MAX_RANGE_PARTITIONS))
 
 
 def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequence[str] = (),
@@ -30,7 +46,7 @@ def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequen
     keys, tie = list(keys), list(tie)
     extra = [c for c in [*tie, *carry] if c not in keys and c != value]
     d = df.select(*keys, value, *extra).filter(F.col(value).isNotNull())
-    s = (d.repartitionByRange(*keys, value, *tie).sortWithinPartitions(*keys, value, *tie)
+    s = (d.repartitionByRange(range_partitions(d), *keys, value, *tie).sortWithinPartitions(*keys, value, *tie)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     part = s.groupBy("_pid", *keys).agg(F.min("_idx").alias("_i0"), F.count(F.lit(1)).alias("_c"))

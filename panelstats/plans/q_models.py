@@ -202,10 +202,29 @@ def lag_diff_models(p, keys=K, lags=LIT.LAG_ORDERS):
     return MD.model_select(MD.information_criteria(fit, [*keys, "model"]), keys)
 
 
-@register("model_select")
+def _model_select_sql() -> str:
+    ctes = [S.PANEL, "lg as (select *, " + ", ".join(f"lag(y, {k}) over {_W} as l{k}" for k in LIT.LAG_ORDERS)
+            + " from panel)"]
+    for k in LIT.LAG_ORDERS:
+        ctes += S.ols_ctes(f"m{k}", "lg", "y", ["x1", "x2", f"l{k}"])
+    ctes.append("u as (" + " union all ".join(f"select entity, 'lag{k}' as model, n, rss from m{k}"
+                                                for k in LIT.LAG_ORDERS) + ")")
+    ctes.append(f"ic as (select *, (-n / 2.0) * ({MD.LOG_2PI!r} + ln(rss / n) + 1) as ll from u)")
+    ctes.append("ic2 as (select *, -2 * ll + 2 * (4 + 1) as aic, -2 * ll + ln(n) * (4 + 1) as bic from ic)")
+    ctes.append("""b as (select entity, min(aic) as amin, min(bic) as bmin,
+  max(case when ra = 1 then model end) as best_aic, max(case when rb = 1 then model end) as best_bic
+  from (select *, row_number() over (partition by entity order by aic, model) as ra,
+               row_number() over (partition by entity order by bic, model) as rb from ic2) group by entity)""")
+    return S.with_(*ctes) + """
+select entity, model, n, cast(4 as integer) as k, round(rss, 6) as rss, round(ll, 6) as loglik, round(aic, 6) as aic,
+       round(bic, 6) as bic, round(aic - amin, 6) as d_aic, round(bic - bmin, 6) as d_bic, best_aic, best_bic
+from ic2 join b using (entity)"""
+
+
+@register("model_select", sql=_model_select_sql())
 def q_model_select(spark, sf_dir):
     """RG8/PR16/SO4: AIC/BIC of the lag-1..4 level models, deltas, best per criterion."""
-    return lag_level_models(views.panel(spark, sf_dir, materialize=True))
+    return rounded(lag_level_models(views.panel(spark, sf_dir, materialize=True)))
 
 
 @register("ols_lag_diff")
@@ -262,15 +281,27 @@ def q_rank_check(spark, sf_dir):
     return MD.rank_check(f, "y", [*XS, *[w[0] for w in LIT.WINDOWS]], K)
 
 
-@register("union_models")
+def _union_models_sql() -> str:
+    fit_cols = ("n, cast({p} as integer) as k, cast(n - {p} as bigint) as df_resid, round(rss, 6) as rss, "
+                "round(1 - rss / syy, 6) as r2, round(1 - (rss / syy) * (n - 1) / (n - {p}), 6) as adj_r2, "
+                "round(sqrt(rss / (n - {p})), 6) as sigma, round(((syy - rss) / {q}) / (rss / (n - {p})), 6) as f_stat, "
+                "cast({q} as integer) as df_model")
+    return S.with_(S.PANEL, *S.ols_ctes("a", "panel", "y", XS), _LAG1_CTE,
+                   *S.ols_ctes("b", "lg", "y", ["x1", "x2", "y_l1"])) + f"""
+select entity, {fit_cols.format(p=3, q=2)}, 'static' as model, cast(null as integer) as lag_order from a
+union all select entity, {fit_cols.format(p=4, q=3)}, 'lag1' as model, cast(1 as integer) as lag_order from b"""
+
+
+@register("union_models", sql=_union_models_sql())
 def q_union_models(spark, sf_dir):
-    """ST1: fit tables of the static and lag-1 models stacked by column name."""
+    """ST1: fit tables of the static and lag-1 models stacked by column name
+    (the lag model's extra column is NULL for the static one)."""
     p = views.panel(spark, sf_dir, materialize=True)
-    a = O.fit_table(O.ols(p, "y", XS, K), K).withColumn("model", F.lit("static"))
+    a = O.fit_table(O.ols(p, "y", XS, K), K, with_p=False).withColumn("model", F.lit("static"))
     d = WN.lags(p, "y", K, "m", [1])
-    b = O.fit_table(O.ols(d, "y", [*XS, "y_l1"], K), K).withColumn("model", F.lit("lag1")) \
+    b = O.fit_table(O.ols(d, "y", [*XS, "y_l1"], K), K, with_p=False).withColumn("model", F.lit("lag1")) \
         .withColumn("lag_order", F.lit(1))
-    return union_by_name(a, b)
+    return rounded(union_by_name(a, b))
 
 
 def _robust(kind, param=0, adjust=True):

@@ -109,3 +109,14 @@ def test_long_series_running_sum_equals_window(ref_series):
     b = B.prefix_sums(ref_series, "y", XS, K, "m", buckets="m").select("m", "pre").orderBy("m").collect()
     for x, y in zip(a, b):
         np.testing.assert_allclose(x.pre, y.pre, rtol=1e-9, atol=1e-9)
+
+
+def test_hot_key_ranks_spread_over_tasks(spark):
+    """A group holding most rows is ranked by many tasks, not one."""
+    rng = np.random.default_rng(1)
+    rows = [("hot", float(v)) for v in rng.normal(size=20000)] + [("cold", 1.0)] * 10
+    df = spark.createDataFrame(rows, "entity string, v double")
+    d = df.repartitionByRange(Q.range_partitions(df), "entity", "v").withColumn("_pid", F.spark_partition_id())
+    assert d.filter(F.col("entity") == "hot").select("_pid").distinct().count() > 4
+    r = Q.rank_within(df, "v", K).filter(F.col("entity") == "hot")
+    assert r.agg(F.min("_rank"), F.max("_rank"), F.countDistinct("_rank")).collect()[0] == (1, 20000, 20000)
