@@ -63,10 +63,12 @@ def goldfeld_quandt(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str
                     tie: str, point: float = 0.5) -> DataFrame:
     """DG3: order by ``by`` (ties by ``tie``), split after floor(point·n) rows,
     statistic = (RSS2/df2)/(RSS1/df1), p from the upper F tail."""
+    from .quantile import rank_within
     d = df.filter(O.complete([y, *xs]))
-    w = Window.partitionBy(*keys).orderBy(by, tie)
-    d = d.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    d = d.withColumn("segment", F.when(F.col("_r") <= F.floor(F.col("_n") * point), 1).otherwise(2))
+    # skew-safe ordering (range-partitioned ranks), also for row-level inputs
+    carry = [c for c in dict.fromkeys([y, *xs]) if c != by]
+    d = rank_within(d, by, keys, tie=[tie], carry=carry)
+    d = d.withColumn("segment", F.when(F.col("_rank") <= F.floor(F.col("_n") * point), 1).otherwise(2))
     fit = O.ols(d, y, xs, [*keys, "segment"])
     s = fit.groupBy(*keys).agg(
         F.max(F.when(F.col("segment") == 1, F.col("rss") / F.col("df_resid"))).alias("_s1"),

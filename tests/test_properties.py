@@ -120,3 +120,12 @@ def test_hot_key_ranks_spread_over_tasks(spark):
     assert d.filter(F.col("entity") == "hot").select("_pid").distinct().count() > 4
     r = Q.rank_within(df, "v", K).filter(F.col("entity") == "hot")
     assert r.agg(F.min("_rank"), F.max("_rank"), F.countDistinct("_rank")).collect()[0] == (1, 20000, 20000)
+
+
+def test_prebinned_density_close_to_exact(panel):
+    from panelstats.operators import describe as DS
+    ex = {(r.entity, r.i): r.density for r in DS.density_grid(panel, "y", K).collect()}
+    pb = {(r.entity, r.i): r.density for r in DS.density_grid(panel, "y", K, prebin=4096).collect()}
+    assert ex.keys() == pb.keys()
+    diff = max(abs(ex[k] - pb[k]) for k in ex)
+    assert diff < 1e-3 * max(ex.values())
