@@ -159,3 +159,33 @@ def q_qq_pairs(spark, sf_dir):
     """AG13: normal Q–Q pairs of the static residuals (exact ranks, Arrow inverse normal)."""
     _, _, res = _static(spark, sf_dir)
     return DG.qq_pairs(res, K)
+
+
+_RES_ROWS = [S.ROWS, *S.ols_ctes("f", "rows", "y", XS), """res as (
+  select p.entity, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from rows p join f using (entity))"""]
+
+
+@register("bp_rows", sql=S.with_(*_RES_ROWS, "e2 as (select entity, x1, x2, e * e as e2 from res)",
+                                 *S.ols_ctes("a", "e2", "e2", XS)) + """
+select entity, 'breusch_pagan' as test, round(n * (1 - rss / syy), 6) as statistic, 2 as df,
+       round(exp(-(n * (1 - rss / syy)) / 2), 6) as p_value
+from a""")
+def q_bp_rows(spark, sf_dir):
+    """DG1 on raw rows (hot groups): Breusch–Pagan of the row-level regression."""
+    r = views.rows(spark, sf_dir)
+    res = O.residuals(r, O.ols(r, "y", XS, K), "y", XS, K)
+    return rounded(DG.breusch_pagan(res, XS, K))
+
+
+@register("jarque_bera_rows", sql=S.with_(*_RES_ROWS, """c as (select entity, e - avg(e) over (partition by entity) as c from res)""",
+                                          """mo as (select entity, count(*) as n, avg(c * c) as m2, avg(c * c * c) as m3,
+  avg(c * c * c * c) as m4 from c group by entity)""",
+                                          "st as (select entity, n, m3 / power(m2, 1.5) as s, m4 / (m2 * m2) as k from mo)") + """
+select entity, round(n / 6 * (s * s + (k - 3) * (k - 3) / 4), 6) as statistic, round(s, 6) as skewness,
+       round(k, 6) as kurtosis, round(exp(-(n / 6 * (s * s + (k - 3) * (k - 3) / 4)) / 2), 6) as p_value
+from st""")
+def q_jarque_bera_rows(spark, sf_dir):
+    """DG7 on raw rows (hot groups): Jarque–Bera of the row-level residuals."""
+    r = views.rows(spark, sf_dir)
+    res = O.residuals(r, O.ols(r, "y", XS, K), "y", XS, K)
+    return rounded(DG.jarque_bera(res, K))

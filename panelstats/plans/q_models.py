@@ -126,7 +126,7 @@ def q_vif(spark, sf_dir):
     return rounded(MD.vif(views.panel(spark, sf_dir, materialize=True), "y", XS, K))
 
 
-def _hc1_sql(k: int) -> str:
+def _hc1_sql(k: int, src_cte: str = S.PANEL, src: str = "panel") -> str:
     c, det = S._inverse_terms(k)
     p = k + 1
 
@@ -149,8 +149,8 @@ def _hc1_sql(k: int) -> str:
     for j in range(p):
         terms = " + ".join(f"{M(j, a)} * {meat[(a, b)]} * {M(b, j)}" for a in range(p) for b in range(p))
         ses.append(f"round(sqrt(n / (n - {p}) * ({terms})), 6) as se{j}")
-    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS),
-                   "r as (select p.entity, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from panel p join f using (entity))",
+    return S.with_(src_cte, *S.ols_ctes("f", src, "y", XS),
+                   f"r as (select p.entity, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from {src} p join f using (entity))",
                    f"mt as (select entity, {hsum} from r group by entity)") + \
         f"select entity, {', '.join(ses)} from f join mt using (entity)"
 
@@ -359,3 +359,14 @@ def q_model_table(spark, sf_dir):
     path = C.scratch_path(spark, "model-table")
     tidy.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+@register("se_hc1_rows", sql=_hc1_sql(2, S.ROWS, "rows"))
+def q_se_hc1_rows(spark, sf_dir):
+    """RG13 on raw rows (all of lineitem, 3 hot groups): HC1 standard errors.
+    Fit = one partial aggregate; the residual meat is a second aggregate over the
+    rows joined to the (3-row, AQE-broadcast) coefficient table."""
+    r = views.rows(spark, sf_dir)
+    fit = O.ols(r, "y", XS, K)
+    se = MD.robust_se(r, fit, "y", XS, K, "m", "hc1")
+    return rounded(se.select("entity", *[F.col("se")[i].alias(f"se{i}") for i in range(3)]))
