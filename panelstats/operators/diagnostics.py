@@ -168,8 +168,11 @@ def autocorrelations(res: DataFrame, keys: Sequence[str], max_lag: F.Column | in
 def ljung_box(res: DataFrame, keys: Sequence[str], lag: int = 12, order: str = "m") -> DataFrame:
     """DG6: Q = n(n+2) Σ_{k≤lag} r_k²/(n−k), χ²(lag). A fixed number of lags:
     window ``lag`` products summed in one aggregate (no self-join)."""
-    c = centred_resid(res, keys)
+    wall = Window.partitionBy(*keys)
     w = Window.partitionBy(*keys).orderBy(order)
+    # centring by a window over the same partitioning as the lags: one exchange
+    c = res.select(*keys, order, (F.col("resid") - F.avg("resid").over(wall)).alias("_c"),
+                   F.count(F.lit(1)).over(wall).alias("_nn"))
     lagged = c.select(*keys, "_c", "_nn", *[F.lag("_c", k).over(w).alias(f"_l{k}") for k in range(1, lag + 1)])
     g = lagged.groupBy(*keys).agg(F.first("_nn").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_d"),
                                   *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lag + 1)])
@@ -181,14 +184,14 @@ def ljung_box(res: DataFrame, keys: Sequence[str], lag: int = 12, order: str = "
 
 
 def jarque_bera(res: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """DG7: JB = n/6 (S² + (K−3)²/4) on demeaned residuals; p = exp(−JB/2) (χ², 2 df)."""
-    c = centred_resid(res, keys)
-    g = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_c") ** 2).alias("_m2"),
-                             F.avg(F.col("_c") ** 3).alias("_m3"), F.avg(F.col("_c") ** 4).alias("_m4"))
-    s = F.col("_m3") / F.pow(F.col("_m2"), 1.5)
-    k = F.col("_m4") / (F.col("_m2") * F.col("_m2"))
+    """DG7: JB = n/6 (S² + (K−3)²/4) with population skewness S and kurtosis K
+    of the residuals — one aggregate (Spark's stable central-moment merge);
+    p = exp(−JB/2) (χ², 2 df)."""
+    g = res.groupBy(*keys).agg(F.count("resid").alias("n"), F.skewness("resid").alias("skewness"),
+                               (F.kurtosis("resid") + 3).alias("kurtosis"))
+    s, k = F.col("skewness"), F.col("kurtosis")
     jb = F.col("n") / 6 * (s * s + (k - 3) * (k - 3) / 4)
-    return g.select(*keys, jb.alias("statistic"), s.alias("skewness"), k.alias("kurtosis")) \
+    return g.select(*keys, jb.alias("statistic"), "skewness", "kurtosis") \
         .withColumn("p_value", F.exp(-F.col("statistic") / 2))
 
 
