@@ -103,6 +103,7 @@ def main() -> None:
         t0 = time.perf_counter()
         _run(build())
         times[name] = round(time.perf_counter() - t0, 3)
+        print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

@@ -26,17 +26,24 @@ MAX_RANGE_PARTITIONS = 200_000
 
 
 def range_partitions(df: DataFrame, target_bytes: int = TARGET_RANGE_BYTES) -> int:
-    """Number of range partitions: Catalyst's size estimate / target, at least
-    ``spark.sql.shuffle.partitions``. AQE can coalesce range partitions after the
-    fact but never splits them, so the count must scale with the input."""
+    """Number of range partitions for ``df``: the bytes of the plan's leaf
+    relations (files scanned / checkpoints read) / target, at least
+    ``spark.sql.shuffle.partitions``. AQE can coalesce range partitions but
+    never splits them, so the count must scale with the input. Leaf sizes are
+    used rather than the root estimate: without CBO Catalyst multiplies the
+    children's sizes for a join, which would overshoot by orders of magnitude.
+    """
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            size = int(str(leaves.apply(i).stats().sizeInBytes()))
+            if size < 1 << 60:  # Catalyst's "unknown" is Long.MaxValue
+                total += size
     except Exception:  # estimate unavailable (e.g. remote session): fall back to the conf
         return conf
-    if size >= 1 << 60:  # Catalyst's "unknown" (defaultSizeInBytes = Long.MaxValue)
-        return conf
-    return int(min(max(conf, -(-size // target_bytes)), MAX_RANGE_PARTITIONS))
+    return int(min(max(conf, -(-total // target_bytes)), MAX_RANGE_PARTITIONS))
 
 
 def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequence[str] = (),

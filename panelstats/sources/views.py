@@ -11,8 +11,9 @@ Every view is a lazy plan: the scan keeps only the named columns and the
 monthly aggregate is a partial + final hash aggregate (map-side combine), so a
 hot entity does not land in one task before the data is reduced.
 
-``materialize=True`` writes the (small: entities × periods) aggregate once to
-the shared checkpoint folder and returns a plan that reads it. Queries that
+``materialize=True`` writes the (small: entities × periods) aggregate once as
+a Parquet table under the shared checkpoint folder and returns a plan that
+reads it. Queries that
 use a panel several times (fit, join back, several tests) pass it, so the raw
 table is scanned once instead of once per branch — Spark does not reuse the
 exchanges here because join-inferred filters differ between branches.
