@@ -6,8 +6,9 @@ spread over many tasks. Inside a partition rows are sorted; a row's position
 is read from ``monotonically_increasing_id`` (its low 33 bits are the row
 index within the partition). A small aggregate of (partition, group) counts
 gives every partition its offset inside each group, so the global rank is
-``offset + local index``. Everything is DataFrame code; the only per-group
-state is one row per (partition, group).
+``offset + local index``. The sorted frame is written once (one range shuffle)
+and read by both steps. Everything is DataFrame code; the only per-group state
+is one row per (partition, group).
 
 Quantiles follow the linear definition (R type 7, DuckDB ``quantile_cont``):
 h = (n-1)p, Q = x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h]).
@@ -16,10 +17,13 @@ h = (n-1)p, Q = x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h]).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 TARGET_RANGE_BYTES = 128 << 20
 MAX_RANGE_PARTITIONS = 200_000
@@ -56,6 +60,10 @@ def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequen
     s = (d.repartitionByRange(range_partitions(d), *keys, value, *tie).sortWithinPartitions(*keys, value, *tie)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
+    # The frame is read twice (partition offsets, then the join back). Written
+    # once to the shared checkpoint folder, the range shuffle runs once — AQE
+    # does not reuse a range exchange between the two branches.
+    s = cut_lineage(s, "ranks")
     part = s.groupBy("_pid", *keys).agg(F.min("_idx").alias("_i0"), F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_pid") if keys else Window.orderBy("_pid")
     wall = Window.partitionBy(*keys) if keys else Window.partitionBy()
@@ -64,37 +72,37 @@ def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequen
         (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_off"),
         F.sum("_c").over(wall).alias("_n"),
     )
-    ranked = s.join(part, on=["_pid", *keys])
-    return ranked.select(*keys, value, *extra,
+    # null-safe equality: keeps NULL group keys and adds no inferred filters,
+    # so both uses of the range-partitioned frame stay identical (one exchange)
+    p = part.select(*[F.col(c).alias(f"_p_{c}") for c in ["_pid", *keys]], "_i0", "_off", "_n")
+    cond = [s[c].eqNullSafe(p[f"_p_{c}"]) for c in ["_pid", *keys]]
+    ranked = s.join(p, on=cond)
+    return ranked.select(*[s[c] for c in keys], s[value], *[s[c] for c in extra],
                          (F.col("_off") + F.col("_idx") - F.col("_i0") + 1).alias("_rank"), "_n")
 
 
 def quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float],
               names: Sequence[str] | None = None, ranked: DataFrame | None = None) -> DataFrame:
-    """One row per group with one column per probability (exact, type 7)."""
+    """One row per group with one column per probability (exact, type 7).
+
+    Every ranked row carries its rank and its group size, so the two order
+    statistics each quantile needs are picked by a filter and one aggregate.
+    """
     keys = list(keys)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     r = ranked if ranked is not None else rank_within(df, value, keys)
-    counts = r.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    pa = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    need = counts.select(*keys, "_n", F.explode(pa).alias("q"))
-    h = (F.col("_n") - 1) * F.col("q.p")
-    need = need.select(*keys, F.col("q.i").alias("_qi"), (F.floor(h) + 1).alias("_lo"),
-                       (h - F.floor(h)).alias("_frac"), "_n")
-    need = need.select(*keys, "_qi", "_frac",
-                       F.explode(F.array(F.col("_lo"), F.least(F.col("_lo") + 1, F.col("_n")))).alias("_rank"),
-                       "_lo")
-    hit = r.join(need.dropDuplicates([*keys, "_qi", "_rank"]), on=[*keys, "_rank"])
-    per_q = hit.groupBy(*keys, "_qi").agg(
-        F.max(F.when(F.col("_rank") == F.col("_lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("_rank") != F.col("_lo"), F.col(value))).alias("_vhi"),
-        F.max("_frac").alias("_frac"),
-    )
-    q = F.col("_vlo") + F.col("_frac") * (F.coalesce(F.col("_vhi"), F.col("_vlo")) - F.col("_vlo"))
-    per_q = per_q.select(*keys, "_qi", q.alias("_q"))
-    out = per_q.groupBy(*keys).agg(*[F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(nm)
-                                     for i, nm in enumerate(names)])
-    return out
+    n, rk, v = F.col("_n"), F.col("_rank"), F.col(value)
+    picks, aggs, outs = [], [], []
+    for i, (p, nm) in enumerate(zip(probs, names)):
+        h = (n - 1) * float(p)
+        lo = F.floor(h) + 1
+        hi = F.least(lo + 1, n)
+        picks.append((rk == lo) | (rk == hi))
+        aggs += [F.max(F.when(rk == lo, v)).alias(f"_lo{i}"), F.max(F.when(rk == hi, v)).alias(f"_hi{i}"),
+                 F.max(h - F.floor(h)).alias(f"_f{i}")]
+        outs.append((F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm))
+    sel = r.filter(reduce(lambda a, b: a | b, picks))
+    return sel.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
 def trimmed_mean(ranked: DataFrame, value: str, keys: Sequence[str], trim: float = 0.1) -> DataFrame:
