@@ -198,24 +198,26 @@ def jarque_bera(res: DataFrame, keys: Sequence[str]) -> DataFrame:
 _PACF = T.ArrayType(T.DoubleType())
 
 
+def durbin_levinson(r: np.ndarray) -> np.ndarray:
+    """Partial autocorrelations from autocorrelations r_1..r_L (Durbin–Levinson)."""
+    r = np.asarray(r, dtype=float)
+    L = len(r)
+    pac = np.zeros(L)
+    phi = np.zeros(L)
+    if L:
+        phi[0] = pac[0] = r[0]
+    for k in range(1, L):
+        num = r[k] - np.dot(phi[:k], r[k - 1::-1][:k])
+        den = 1 - np.dot(phi[:k], r[:k])
+        a = num / den
+        phi[:k] = phi[:k] - a * phi[:k][::-1]
+        phi[k] = pac[k] = a
+    return pac
+
+
 @F.pandas_udf(_PACF)
 def durbin_levinson_udf(acf: pd.Series) -> pd.Series:
-    out = []
-    for r in acf:
-        r = np.asarray(r, dtype=float)
-        L = len(r)
-        pac = np.zeros(L)
-        phi = np.zeros(L)
-        if L:
-            phi[0] = pac[0] = r[0]
-        for k in range(1, L):
-            num = r[k] - np.dot(phi[:k], r[k - 1::-1][:k])
-            den = 1 - np.dot(phi[:k], r[:k])
-            a = num / den
-            phi[:k] = phi[:k] - a * phi[:k][::-1]
-            phi[k] = pac[k] = a
-        out.append(list(pac))
-    return pd.Series(out)
+    return pd.Series([list(durbin_levinson(r)) for r in acf])
 
 
 def partial_autocorrelations(acf: DataFrame, keys: Sequence[str]) -> DataFrame:
