@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import chi2_pvalue_udf, f_pvalue_udf, norm_cdf_udf, norm_ppf_udf
-from ..functions.linalg import stack
 from . import ols as O
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..operators import breaks as B
-from ..operators import diagnostics as DG
 from ..operators import joins as J
 from ..operators import ols as O
 from ..operators.describe import long_values

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import windows as WN
 from ..sources import views
 from . import sql as S
