@@ -87,7 +87,10 @@ def panel_sparse(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
 
 def series(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     ev = table(spark, sf_dir, "events", "event_type", "ts", "value")
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    # hour start built from the fields: time-zone free for TIMESTAMP_NTZ
+    # (date_trunc would round-trip through the session zone)
+    ts = F.col("ts")
+    hour = F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
     return _maybe(
         ev.groupBy(F.col("event_type").alias("entity"), hour.alias("t"))
         .agg(_exact_mean("value").alias("y"), F.count(F.lit(1)).alias("n")), materialize)
