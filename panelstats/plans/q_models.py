@@ -370,3 +370,25 @@ def q_se_hc1_rows(spark, sf_dir):
     fit = O.ols(r, "y", XS, K)
     se = MD.robust_se(r, fit, "y", XS, K, "m", "hc1")
     return rounded(se.select("entity", *[F.col("se")[i].alias(f"se{i}") for i in range(3)]))
+
+
+@register("ols_panel_wide", sql=S.with_(S.PANEL_WIDE, *S.ols_ctes("f", "panel_wide", "y", XS)) + _wide_select(2))
+def q_ols_panel_wide(spark, sf_dir):
+    """RG1 on the supplier panel: one model per supplier (entity count grows with
+    the scale factor) from one aggregate and one batched solve."""
+    fit = O.ols(views.panel_wide(spark, sf_dir), "y", XS, K)
+    return rounded(ols_wide(fit))
+
+
+@register("ols_by_bp_regime")
+def q_ols_by_bp_regime(spark, sf_dir):
+    """RG21/SB7: regimes from the BIC-best Bai–Perron partition of each entity,
+    then the model fitted per (entity, regime)."""
+    from ..operators import breaks as B
+    p = views.panel(spark, sf_dir, materialize=True)
+    bp = B.bai_perron(p, "y", XS, K, "m")
+    best = bp.groupBy(*K).agg(F.min_by(F.col("break_pos"), F.struct("bic", "breaks")).alias("_bp"))
+    breaks = best.select(*K, F.explode("_bp").alias("break_pos"))
+    reg = B.regime_from_break(p, breaks, K, "m")
+    fit = O.ols(reg, "y", XS, [*K, "regime"])
+    return ols_wide(fit, (*K, "regime"))

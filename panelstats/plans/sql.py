@@ -11,6 +11,15 @@ PANEL = """panel as (
          cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(*) - 25.5 as x2
   from lineitem group by 1, 2, 3)"""
 
+PANEL_WIDE = """panel_wide as (
+  select cast(l_suppkey as varchar) as entity,
+         cast(date_trunc('month', l_shipdate) as date) as t,
+         cast(year(l_shipdate) * 12 + month(l_shipdate) - 1 as integer) as m,
+         cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*) / 1000 as y,
+         cast(sum(cast(l_discount as decimal(18,2))) as double) / count(*) * 100 - 5 as x1,
+         cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(*) - 25.5 as x2
+  from lineitem group by 1, 2, 3)"""
+
 PANEL_SPARSE = PANEL + """,
 panel_sparse as (
   select entity, t, m, y, x1, case when month(t) = 12 then x2 end as x2 from panel)"""

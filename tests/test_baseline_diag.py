@@ -149,3 +149,16 @@ def test_bai_perron(ref_series):
     assert best.breaks == 3
     months = [(m // 12, m % 12 + 1) for m in best.break_m]
     assert months == [(2008, 11), (2013, 10), (2021, 7)]
+
+
+def test_regimes_from_bai_perron(ref_series):
+    """SB7/RG21: the BIC-best partition labels rows 1..4 and each regime is fitted."""
+    bp = B.bai_perron(ref_series, "y", XS, K, "m")
+    best = bp.groupBy(*K).agg(F.min_by(F.col("break_pos"), F.struct("bic", "breaks")).alias("_bp"))
+    breaks = best.select(*K, F.explode("_bp").alias("break_pos"))
+    reg = B.regime_from_break(ref_series, breaks, K, "m")
+    ends = sorted(r.break_pos for r in breaks.collect())
+    counts = [r["count"] for r in reg.groupBy("regime").count().orderBy("regime").collect()]
+    assert counts == [ends[0], ends[1] - ends[0], ends[2] - ends[1], 277 - ends[2]]
+    fit = O.ols(reg, "y", XS, [*K, "regime"]).collect()
+    assert len(fit) == 4 and all(r.n == c for r, c in zip(sorted(fit, key=lambda r: r.regime), counts))
