@@ -136,37 +136,47 @@ def sandwich_se(xtx_inv: np.ndarray, S: np.ndarray, scale: float = 1.0) -> np.nd
 _SE = T.ArrayType(T.DoubleType())
 
 
+def _square(series: pd.Series) -> tuple[np.ndarray, int]:
+    width = max((len(v) for v in series.to_numpy() if v is not None), default=0)
+    p = int(round(math.sqrt(width)))
+    return stack(series, width).reshape(-1, p, p), p
+
+
+def _sandwich_batch(M: np.ndarray, S: np.ndarray, scale: np.ndarray) -> pd.Series:
+    V = np.einsum("gij,gjk,gkl->gil", M, S, M) * scale[:, None, None]
+    se = np.sqrt(np.einsum("gii->gi", V))
+    return pd.Series([[float(v) if np.isfinite(v) else None for v in row] for row in se])
+
+
 def hac_se_udf(kind: str, param: float, adjust: bool):
-    """Arrow UDF: (xtx_inv, gam, n, D) → se array; ``kind`` 'nw' (lag L) or 'bartlett' (bw)."""
+    """Arrow UDF: (xtx_inv, gam, n, D) → se array; ``kind`` 'nw' (lag L) or
+    'bartlett' (bandwidth). Vectorised over the batch of groups."""
 
     @F.pandas_udf(_SE)
     def _udf(xtx_inv: pd.Series, gam: pd.Series, n: pd.Series, dmat: pd.Series) -> pd.Series:
-        out = []
-        for xi, g, nn, dm in zip(xtx_inv, gam, n, dmat):
-            M = np.asarray(xi, dtype=float)
-            p = int(round(math.sqrt(len(M))))
-            M = M.reshape(p, p)
-            G = np.asarray(g, dtype=float).reshape(-1, p, p)
-            w = bartlett_weights(int(param)) if kind == "nw" else bartlett_bw_weights(param, G.shape[0])
-            S = meat_from_gammas(G, w)
-            if dm is not None and len(dm):
-                D = np.asarray(dm, dtype=float).reshape(p, p)
-                S = D @ S @ D.T
-            scale = nn / (nn - p) if adjust else 1.0
-            out.append(list(sandwich_se(M, S, scale)))
-        return pd.Series(out)
+        M, p = _square(xtx_inv)
+        G = stack(gam, max(len(v) for v in gam.to_numpy())).reshape(len(gam), -1, p, p)
+        w = bartlett_weights(int(param)) if kind == "nw" else bartlett_bw_weights(param, G.shape[1])
+        L = min(len(w), G.shape[1]) - 1
+        S = w[0] * G[:, 0]
+        for l in range(1, L + 1):
+            S = S + w[l] * (G[:, l] + np.swapaxes(G[:, l], 1, 2))
+        if dmat.notna().any():
+            D, _ = _square(dmat)
+            S = np.einsum("gij,gjk,glk->gil", D, S, D)
+        nn = n.to_numpy(float)
+        scale = nn / (nn - p) if adjust else np.ones_like(nn)
+        return _sandwich_batch(M, S, scale)
 
     return _udf
 
 
 @F.pandas_udf(_SE)
 def hc1_se_udf(xtx_inv: pd.Series, meat: pd.Series, n: pd.Series) -> pd.Series:
-    out = []
-    for xi, mt, nn in zip(xtx_inv, meat, n):
-        M = np.asarray(xi, dtype=float)
-        p = int(round(math.sqrt(len(M))))
-        out.append(list(sandwich_se(M.reshape(p, p), np.asarray(mt, dtype=float).reshape(p, p), nn / (nn - p))))
-    return pd.Series(out)
+    M, p = _square(xtx_inv)
+    S, _ = _square(meat)
+    nn = n.to_numpy(float)
+    return _sandwich_batch(M, S, nn / (nn - p))
 
 
 # ------------------------------------------------- per-series (all lags)
