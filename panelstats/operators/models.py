@@ -114,18 +114,17 @@ _VIF = T.ArrayType(T.DoubleType())
 
 @F.pandas_udf(_VIF)
 def vif_udf(sxx: pd.Series) -> pd.Series:
+    """Diagonal of the inverse correlation matrix, batched over groups."""
     kk = max((len(v) for v in sxx.to_numpy() if v is not None), default=0)
     k = int(round(math.sqrt(kk)))
     S = stack(sxx, kk).reshape(-1, k, k)
-    d = np.sqrt(np.einsum("gii->gi", S))
-    R = S / d[:, :, None] / d[:, None, :]
-    out = []
-    for r in R:
-        try:
-            out.append(list(np.diag(np.linalg.inv(r))))
-        except np.linalg.LinAlgError:
-            out.append([None] * k)
-    return pd.Series(out)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.sqrt(np.einsum("gii->gi", S))
+        R = S / d[:, :, None] / d[:, None, :]
+        ok = np.isfinite(R).all(axis=(1, 2)) & (np.abs(np.linalg.det(np.nan_to_num(R))) > 1e-12)
+        inv = np.linalg.inv(np.where(ok[:, None, None], np.nan_to_num(R), np.eye(k)[None]))
+    diag = np.einsum("gii->gi", inv)
+    return pd.Series([[float(v) for v in row] if good else [None] * k for row, good in zip(diag, ok)])
 
 
 def vif(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -142,16 +141,20 @@ _RANK = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("con
 
 @F.pandas_udf(_RANK)
 def rank_udf(sxx: pd.Series) -> pd.DataFrame:
+    """Numerical rank and condition number of the centred design, batched."""
     kk = max((len(v) for v in sxx.to_numpy() if v is not None), default=0)
     k = int(round(math.sqrt(kk)))
     S = np.nan_to_num(stack(sxx, kk).reshape(-1, k, k))
-    ranks, conds = [], []
-    for s in S:
-        ev = np.linalg.eigvalsh(s) if k else np.array([])
-        top = ev.max() if len(ev) else 0.0
-        ranks.append(int((ev > 1e-10 * max(top, 1e-300)).sum()) if len(ev) else 0)
-        conds.append(float(math.sqrt(top / ev.min())) if len(ev) and ev.min() > 0 else None)
-    return pd.DataFrame({"rank": ranks, "condition": conds})
+    if k == 0:
+        return pd.DataFrame({"rank": [0] * len(S), "condition": [None] * len(S)})
+    ev = np.linalg.eigvalsh(S)
+    top = ev.max(axis=1)
+    rank = (ev > 1e-10 * np.maximum(top, 1e-300)[:, None]).sum(axis=1)
+    low = ev.min(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cond = np.sqrt(top / low)
+    return pd.DataFrame({"rank": rank.astype("int32"),
+                         "condition": [float(c) if low_ > 0 and np.isfinite(c) else None for c, low_ in zip(cond, low)]})
 
 
 def rank_check(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
