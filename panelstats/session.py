@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     """Return the active session or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        return active
+        return ready(active)
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
@@ -37,7 +38,48 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ready(spark)
+
+
+_SHIPPED: dict[int, str] = {}
+
+
+def _package_zip() -> str:
+    """Zip this package (Python sources only) once per driver process."""
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="panelstats-pyfiles-")
+    path = os.path.join(out_dir, "panelstats.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``panelstats`` importable in the Python workers.
+
+    Arrow UDFs and ``applyInPandas`` functions are pickled by reference to this
+    package; the workers import it from a zip that Spark distributes with every
+    task (``addPyFile``; ``addArtifacts`` on Spark Connect). Done once per session.
+    """
+    key = id(spark)
+    if key in _SHIPPED:
+        return
+    path = _package_zip()
+    try:
+        spark.sparkContext.addPyFile(path)
+    except Exception:  # Spark Connect has no SparkContext
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED[key] = path
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + package shipped: call before building a query."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

@@ -35,3 +35,23 @@ def test_oracle_small(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() >= 0
+
+
+def test_runs_from_another_directory(tmp_path):
+    """Workers must import the package even when the driver runs elsewhere
+    (the zip shipped by ``session.ship_package``)."""
+    import subprocess
+    import sys
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        "sys.path.insert(0, '/root/repo')\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', len(E.entry(spark).collect()))\n"
+        "print('QQ', E.queries()['qq_pairs'](spark, '/root/testdata/sf0.001').count())\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "ROWS 18" in out.stdout and "QQ" in out.stdout
