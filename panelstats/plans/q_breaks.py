@@ -140,11 +140,36 @@ def q_ols_mosum(spark, sf_dir):
     return rounded(B.ols_mosum(res, K, "m", 3))
 
 
-@register("rec_cusum")
+_REC_SQL = S.with_(S.PANEL, """c as (
+  select entity, m, x1 - avg(x1) over (partition by entity) as a1, x2 - avg(x2) over (partition by entity) as a2,
+         y - avg(y) over (partition by entity) as ay from panel)""", """pr as (
+  select entity, m, a1, a2, ay, row_number() over w as pos,
+    sum(a1) over wp as p1, sum(a2) over wp as p2, sum(ay) over wp as py, sum(a1 * a1) over wp as p11,
+    sum(a1 * a2) over wp as p12, sum(a2 * a2) over wp as p22, sum(a1 * ay) over wp as p1y, sum(a2 * ay) over wp as p2y
+  from c window w as (partition by entity order by m),
+                wp as (partition by entity order by m rows between unbounded preceding and 1 preceding))""", """st as (
+  select entity, m, a1, a2, ay, pos, pos - 1 as cn,
+    p11 - p1 * p1 / (pos - 1) as s11, p12 - p1 * p2 / (pos - 1) as s12, p22 - p2 * p2 / (pos - 1) as s22,
+    p1y - p1 * py / (pos - 1) as s1y, p2y - p2 * py / (pos - 1) as s2y,
+    a1 - p1 / (pos - 1) as d1, a2 - p2 / (pos - 1) as d2, ay - py / (pos - 1) as dy
+  from pr where pos > 3)""", """rr as (
+  select entity, m, (dy - ((s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12)) * d1
+                        - ((s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12)) * d2)
+         / sqrt(1 + 1.0 / cn + (s22 * d1 * d1 - 2 * s12 * d1 * d2 + s11 * d2 * d2) / (s11 * s22 - s12 * s12)) as w
+  from st)""", """pth as (
+  select entity, sum(w) over (partition by entity order by m rows between unbounded preceding and current row)
+           / (stddev_samp(w) over (partition by entity) * sqrt(count(*) over (partition by entity))) as proc,
+         row_number() over (partition by entity order by m) / count(*) over (partition by entity) as tt
+  from rr)""") + """
+select entity, round(max(abs(proc) / (1 + 2 * tt)), 6) as statistic from pth group by entity"""
+
+
+@register("rec_cusum", sql=_REC_SQL)
 def q_rec_cusum(spark, sf_dir):
-    """SB3: recursive residuals from running sums, recursive CUSUM sup over 1 + 2t, p-value."""
+    """SB3: recursive residuals from running sums, recursive CUSUM sup over 1 + 2t
+    (the p-value is in ``breaks.rec_cusum`` and unit-tested)."""
     p = views.panel(spark, sf_dir, materialize=True)
-    return B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m")
+    return rounded(B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m").drop("p_value"))
 
 
 @register("bai_perron")
