@@ -55,7 +55,7 @@ _RSS_CTE = f"""rs as (select *, {_seg_rss('pos', _PFX)} as rss1, {_seg_rss('(n -
   {_seg_rss('n', _TOT)} as rss from pre)"""
 _PATH = [*_PRE, _RSS_CTE, """path as (
   select entity, m, pos, n, rss, rss1 + rss2 as u, (rss - (rss1 + rss2)) / ((rss1 + rss2) / (n - 6)) as f
-  from rs where pos >= floor(n * 0.15) and pos <= n - floor(n * 0.15))"""]
+  from rs where pos >= floor(n * 0.15::double) and pos <= n - floor(n * 0.15::double))"""]
 
 
 @register("sup_f", sql=S.with_(*_PATH, """r as (
@@ -130,7 +130,7 @@ def _static_res(spark, sf_dir):
   select entity, m, cast(row_number() over (partition by entity order by m) as integer) as pos, count(*) over (partition by entity) as n,
          sum(e) over (partition by entity order by m rows between unbounded preceding and current row) as s,
          sqrt(sum(e * e) over (partition by entity) / (count(*) over (partition by entity) - 3)) as sigma from res)""",
-                                       "h as (select *, cast(floor(n * 0.15) as integer) as nh from q)") + """
+                                       "h as (select *, cast(floor(n * 0.15::double) as integer) as nh from q)") + """
 select a.entity, round(max(abs((a.s - coalesce(b.s, 0.0)) / (a.sigma * sqrt(a.n)))), 6) as statistic, any_value(a.nh) as window
 from h a left join h b on a.entity = b.entity and b.pos = a.pos - a.nh
 where a.pos >= a.nh group by a.entity""")

@@ -39,7 +39,7 @@ def q_describe_basic(spark, sf_dir):
   select l.*, mo.n, row_number() over (partition by l.entity, l.variable order by value) as rk
   from l join mo using (entity, variable))""", """tm as (
   select entity, variable, avg(value) as trimmed_mean from r
-  where rk >= floor(n * 0.1) + 1 and rk <= n + 1 - (floor(n * 0.1) + 1) group by entity, variable)""") + """
+  where rk >= floor(n * 0.1::double) + 1 and rk <= n + 1 - (floor(n * 0.1::double) + 1) group by entity, variable)""") + """
 select mo.entity, mo.variable, mo.n, round(mean, 6) as mean, round(sd, 6) as sd, round(median, 6) as median,
        round(trimmed_mean, 6) as trimmed_mean, round(mad_raw * 1.4826, 6) as mad, round(mn, 6) as min,
        round(mx, 6) as max, round(mx - mn, 6) as range,

@@ -50,7 +50,7 @@ def q_white_test(spark, sf_dir):
 
 @register("gq_test", sql=S.with_(S.PANEL, """g as (
   select *, row_number() over (partition by entity order by x1, m) as r, count(*) over (partition by entity) as nn from panel)""",
-                                 "gs as (select *, case when r <= floor(nn * 0.5) then 1 else 2 end as segment from g)",
+                                 "gs as (select *, case when r <= floor(nn * 0.5::double) then 1 else 2 end as segment from g)",
                                  *S.ols_ctes("f", "gs", "y", XS, keys="entity, segment")) + """
 select entity,
        round(max(case when segment = 2 then rss / df end) / max(case when segment = 1 then rss / df end), 6) as statistic,

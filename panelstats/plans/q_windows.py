@@ -111,14 +111,17 @@ def q_fill_cubic_local(spark, sf_dir):
     return rounded(WN.fill_cubic_local(p, "x2", ["entity"], "m"))
 
 
+# Shares are applied in double arithmetic (as Spark and the reference do):
+# DuckDB would otherwise multiply by an exact DECIMAL literal (720 * 0.7 = 504,
+# while 720 * 0.7 in double is 503.99999999999994).
 @register("fraction_windows", sql=S.with_(S.SERIES, """p as (
   select entity, t, cast(row_number() over (partition by entity order by t) as integer) as pos,
          count(*) over (partition by entity) as n_rows from series)""") + """
 select entity, t, pos, n_rows,
-  cast(n_rows > 100 and pos <= greatest(1, floor(n_rows * 0.25)) as integer) as w1,
-  cast(n_rows > 100 and pos >= floor(n_rows * 0.25) + 1 and pos <= floor(n_rows * 0.5) as integer) as w2,
-  cast(n_rows > 100 and n_rows > 200 and pos >= floor(n_rows * 0.7) and pos <= floor(n_rows * 0.85) as integer) as w3,
-  cast(n_rows > 100 and n_rows > 200 and pos >= floor(n_rows * 0.9) as integer) as w4
+  cast(n_rows > 100 and pos <= greatest(1, floor(n_rows * 0.25::double)) as integer) as w1,
+  cast(n_rows > 100 and pos >= floor(n_rows * 0.25::double) + 1 and pos <= floor(n_rows * 0.5::double) as integer) as w2,
+  cast(n_rows > 100 and n_rows > 200 and pos >= floor(n_rows * 0.7::double) and pos <= floor(n_rows * 0.85::double) as integer) as w3,
+  cast(n_rows > 100 and n_rows > 200 and pos >= floor(n_rows * 0.9::double) as integer) as w4
 from p""")
 def q_fraction_windows(spark, sf_dir):
     """WN10: labels by share of rows on the hourly series (size guards 100/200)."""
