@@ -129,7 +129,7 @@ def split_path(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], or
     cand = ps.filter((F.col("pos") >= F.floor(n * trim)) & (F.col("pos") <= n - F.floor(n * trim)))
     cand = cand.withColumn("_s", split_rss_udf("pre", "tot", "pos", "n_rows"))
     u = F.col("_s.rss1") + F.col("_s.rss2")
-    f = (F.col("_s.rss") - u) / (u / (n - 2 * p))
+    f = F.try_divide(F.col("_s.rss") - u, F.try_divide(u, n - 2 * p))
     return cand.select(*keys, order, "pos", "n_rows", F.col("_s.rss").alias("rss_full"), u.alias("rss_split"),
                        f.alias("f_stat"))
 
@@ -151,7 +151,7 @@ def chow_at(df: DataFrame, positions: DataFrame, y: str, xs: Sequence[str], keys
     j = ps.join(positions, on=[*keys, "pos"])
     j = j.withColumn("_s", split_rss_udf("pre", "tot", "pos", "n_rows"))
     u = F.col("_s.rss1") + F.col("_s.rss2")
-    f = ((F.col("_s.rss") - u) / p) / (u / (F.col("n_rows") - 2 * p))
+    f = F.try_divide((F.col("_s.rss") - u) / p, F.try_divide(u, F.col("n_rows") - 2 * p))
     from ..functions.dist import f_pvalue_udf
     out = j.select(*keys, *[c for c in positions.columns if c not in keys and c != "pos"], "pos", order,
                    f.alias("f_stat"), F.lit(p).alias("df1"), (F.col("n_rows") - 2 * p).alias("df2"))
@@ -162,7 +162,7 @@ def break_conf_set(path: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SB8 (re-aimed): candidates with n·log(RSS(τ)/RSS*) ≤ −2·log(1 − √0.95)."""
     best = path.groupBy(*keys).agg(F.min("rss_split").alias("_best"))
     j = path.join(best, on=list(keys))
-    lr = F.col("n_rows") * F.log(F.col("rss_split") / F.col("_best"))
+    lr = F.col("n_rows") * F.log(F.try_divide(F.col("rss_split"), F.col("_best")))
     return j.filter(lr <= LR_CRIT_95).drop("_best")
 
 
@@ -186,8 +186,8 @@ def ols_cusum(res: DataFrame, keys: Sequence[str], order: str, p: int) -> DataFr
     wall = Window.partitionBy(*keys)
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     n = F.count(F.lit(1)).over(wall)
-    sig = F.sqrt(F.sum(F.col("resid") ** 2).over(wall) / (n - p))
-    path = res.select(*keys, order, (F.sum("resid").over(w) / (sig * F.sqrt(n))).alias("cusum"))
+    sig = F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2).over(wall), n - p))
+    path = res.select(*keys, order, F.try_divide(F.sum("resid").over(w), sig * F.sqrt(n)).alias("cusum"))
     g = path.groupBy(*keys).agg(F.max(F.abs("cusum")).alias("statistic"))
     return g.withColumn("p_value", kolmogorov_p(F.col("statistic")))
 
@@ -203,12 +203,12 @@ def ols_mosum(res: DataFrame, keys: Sequence[str], order: str, p: int, h: float
     n = F.count(F.lit(1)).over(wall)
     d = res.select(*keys, order, F.row_number().over(w).alias("pos"), n.alias("n_rows"),
                    F.sum("resid").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("S"),
-                   F.sqrt(F.sum(F.col("resid") ** 2).over(wall) / (n - p)).alias("sigma"))
+                   F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2).over(wall), n - p)).alias("sigma"))
     d = d.withColumn("nh", F.floor(F.col("n_rows") * h).cast("int"))
     past = d.select(*keys, F.col("pos").alias("_pp"), F.col("S").alias("_Sp"))
     cur = d.filter(F.col("pos") >= F.col("nh"))
     j = cur.join(past, on=[*[cur[k] == past[k] for k in keys], cur["pos"] - cur["nh"] == past["_pp"]], how="left")
-    mos = (cur["S"] - F.coalesce(F.col("_Sp"), F.lit(0.0))) / (cur["sigma"] * F.sqrt(cur["n_rows"]))
+    mos = F.try_divide(cur["S"] - F.coalesce(F.col("_Sp"), F.lit(0.0)), cur["sigma"] * F.sqrt(cur["n_rows"]))
     j = j.select(*[cur[k] for k in keys], cur["nh"], mos.alias("mosum"))
     return j.groupBy(*keys).agg(F.max(F.abs("mosum")).alias("statistic"), F.first("nh").alias("window"))
 
@@ -267,7 +267,7 @@ def rec_cusum(rr: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     m = F.count(F.lit(1)).over(wall)
     idx = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    path = rr.select(*keys, order, (F.sum("w").over(w) / (F.stddev_samp("w").over(wall) * F.sqrt(m))).alias("_proc"),
+    path = rr.select(*keys, order, F.try_divide(F.sum("w").over(w), F.stddev_samp("w").over(wall) * F.sqrt(m)).alias("_proc"),
                      (idx / m).alias("_t"))
     g = path.groupBy(*keys).agg(F.max(F.abs("_proc") / (1 + 2 * F.col("_t"))).alias("statistic"))
     return g.withColumn("p_value", rec_cusum_p_udf("statistic"))

@@ -174,11 +174,11 @@ def density_grid(df: DataFrame, value: str, keys: Sequence[str], points: int = 5
     j = vals.join(par, keys).select(*keys, "_v", "_c", "_n", "bw", "g0", "step",
                                     F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     x = F.col("g0") + F.col("i") * F.col("step")
-    z = (x - F.col("_v")) / F.col("bw")
+    z = F.try_divide(x - F.col("_v"), F.col("bw"))
     contrib = F.col("_c") * F.exp(-0.5 * z * z)
     return j.groupBy(*keys, "i").agg(
         F.first(x).alias("x"),
-        (F.sum(contrib) / (F.first("_n") * F.first("bw") * F.lit(2.5066282746310002))).alias("density"))
+        F.try_divide(F.sum(contrib), F.first("_n") * F.first("bw") * F.lit(2.5066282746310002)).alias("density"))
 
 
 def time_span(df: DataFrame, time_col: str, keys: Sequence[str]) -> DataFrame:

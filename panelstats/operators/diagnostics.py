@@ -70,11 +70,11 @@ def goldfeld_quandt(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str
     d = d.withColumn("segment", F.when(F.col("_rank") <= F.floor(F.col("_n") * point), 1).otherwise(2))
     fit = O.ols(d, y, xs, [*keys, "segment"])
     s = fit.groupBy(*keys).agg(
-        F.max(F.when(F.col("segment") == 1, F.col("rss") / F.col("df_resid"))).alias("_s1"),
-        F.max(F.when(F.col("segment") == 2, F.col("rss") / F.col("df_resid"))).alias("_s2"),
+        F.max(F.when(F.col("segment") == 1, F.try_divide(F.col("rss"), F.col("df_resid")))).alias("_s1"),
+        F.max(F.when(F.col("segment") == 2, F.try_divide(F.col("rss"), F.col("df_resid")))).alias("_s2"),
         F.max(F.when(F.col("segment") == 1, F.col("df_resid"))).alias("df1"),
         F.max(F.when(F.col("segment") == 2, F.col("df_resid"))).alias("df2"))
-    out = s.select(*keys, (F.col("_s2") / F.col("_s1")).alias("statistic"), "df1", "df2")
+    out = s.select(*keys, F.try_divide(F.col("_s2"), F.col("_s1")).alias("statistic"), "df1", "df2")
     return out.withColumn("p_value", f_pvalue_udf("statistic", F.col("df2").cast("double"), F.col("df1").cast("double")))
 
 
@@ -121,12 +121,12 @@ def durbin_watson(res: DataFrame, fit: DataFrame, xs: Sequence[str], keys: Seque
     aggs += [F.sum(dx[a] * dx[b]).alias(f"_d{a}_{b}") for a in range(p) for b in range(p)]
     aggs += [F.sum(ax[a] * ax[b]).alias(f"_a{a}_{b}") for a in range(p) for b in range(p)]
     g = d.groupBy(*keys).agg(*aggs)
-    g = g.select(*keys, (F.col("_num") / F.col("_den")).alias("statistic"),
+    g = g.select(*keys, F.try_divide(F.col("_num"), F.col("_den")).alias("statistic"),
                  F.array(*[F.col(f"_d{a}_{b}") for a in range(p) for b in range(p)]).alias("xax"),
                  F.array(*[F.col(f"_a{a}_{b}") for a in range(p) for b in range(p)]).alias("xa2x"))
     j = g.join(fit.select(*keys, "n", "xtx_inv"), on=list(keys))
     j = j.withColumn("_m", dw_moments_udf("xtx_inv", "xax", "xa2x", F.col("n").cast("double")))
-    z = (F.col("statistic") - F.col("_m.mean")) / F.sqrt(F.col("_m.var"))
+    z = F.try_divide(F.col("statistic") - F.col("_m.mean"), F.sqrt(F.col("_m.var")))
     j = j.select(*keys, "statistic", F.col("_m.mean").alias("mean"), F.col("_m.var").alias("var"), z.alias("z"))
     return j.withColumn("p_value", norm_cdf_udf("z"))
 
@@ -161,7 +161,7 @@ def autocorrelations(res: DataFrame, keys: Sequence[str], max_lag: F.Column | in
     j = j.select(*[ks[k] for k in keys], "lag", (F.col("_c") * F.col("_cp")).alias("_prod"))
     num = j.groupBy(*keys, "lag").agg(F.sum("_prod").alias("_num"))
     den = c.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_c")).alias("_den"), F.first("_nn").alias("n"))
-    return num.join(den, on=list(keys)).select(*keys, "lag", "n", (F.col("_num") / F.col("_den")).alias("acf"))
+    return num.join(den, on=list(keys)).select(*keys, "lag", "n", F.try_divide(F.col("_num"), F.col("_den")).alias("acf"))
 
 
 def ljung_box(res: DataFrame, keys: Sequence[str], lag: int = 12, order: str = "m") -> DataFrame:
@@ -176,7 +176,7 @@ def ljung_box(res: DataFrame, keys: Sequence[str], lag: int = 12, order: str = "
     g = lagged.groupBy(*keys).agg(F.first("_nn").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_d"),
                                   *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lag + 1)])
     n = F.col("n")
-    terms = [(F.col(f"_s{k}") / F.col("_d")) ** 2 / (n - k) for k in range(1, lag + 1)]
+    terms = [F.try_divide(F.try_divide(F.col(f"_s{k}"), F.col("_d")) ** 2, n - k) for k in range(1, lag + 1)]
     stat = n * (n + 2) * sum(terms[1:], terms[0])
     q = g.select(*keys, stat.alias("statistic"), F.lit(lag).alias("df"))
     return q.withColumn("p_value", chi2_pvalue_udf("statistic", F.col("df").cast("double")))
@@ -270,7 +270,7 @@ def adf(df: DataFrame, col: str, keys: Sequence[str], order: str) -> DataFrame:
     d = d.filter(F.col("_pos") > F.col("_k") + 1)
     xs = ["_lvl", "_pos", *[f"_dl{l}" for l in range(1, maxk)]]
     fit = O.ols(d, "_dy", xs, keys)
-    st = fit.select(*keys, (F.col("beta")[1] / F.col("se")[1]).alias("statistic"),
+    st = fit.select(*keys, F.try_divide(F.col("beta")[1], F.col("se")[1]).alias("statistic"),
                     (F.col("n") + F.lit(0)).alias("n_used"))
     nref = d.groupBy(*keys).agg((F.first("_N") - 1).alias("_nd"), (F.first("_k")).alias("lag_order"))
     j = st.join(nref, on=list(keys))

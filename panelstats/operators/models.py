@@ -49,7 +49,7 @@ def stacked_specs(df: DataFrame, y: str, specs: dict[str, dict[str, Column | Non
 def information_criteria(fit: DataFrame, keys: Sequence[str]) -> DataFrame:
     """RG8: log-likelihood, AIC = −2ll + 2(k+1), BIC = −2ll + log(n)(k+1)."""
     n = F.col("n").cast("double")
-    ll = -n / 2 * (F.lit(LOG_2PI) + F.log(F.col("rss") / n) + 1)
+    ll = -n / 2 * (F.lit(LOG_2PI) + F.log(F.try_divide(F.col("rss"), n)) + 1)
     return fit.select(*keys, "n", "k", "rss", ll.alias("loglik"),
                       (-2 * ll + 2 * (F.col("k") + 1)).alias("aic"),
                       (-2 * ll + F.log(n) * (F.col("k") + 1)).alias("bic"))
@@ -74,7 +74,7 @@ def joint_f(unrestricted: DataFrame, restricted: DataFrame, keys: Sequence[str])
     r = restricted.select(*keys, F.col("rss").alias("rss_r"), F.col("k").alias("k_r"), F.col("r2").alias("r2_r"))
     j = u.join(r, on=list(keys))
     q = F.col("k_u") - F.col("k_r")
-    f = ((F.col("rss_r") - F.col("rss_u")) / q) / (F.col("rss_u") / F.col("df_u"))
+    f = F.try_divide(F.try_divide(F.col("rss_r") - F.col("rss_u"), q), F.try_divide(F.col("rss_u"), F.col("df_u")))
     from ..functions.dist import f_pvalue_udf
     return j.select(*keys, q.alias("q"), "df_u", f.alias("f_stat"),
                     (F.col("r2_u") - F.col("r2_r")).alias("d_r2")) \
@@ -87,7 +87,7 @@ def coef_vs_benchmark(coef: DataFrame, benchmarks: Sequence[tuple[str, float, st
     spark = coef.sparkSession
     bm = spark.createDataFrame(list(benchmarks), "term string, b0 double, alternative string")
     j = coef.join(F.broadcast(bm), on="term")
-    t = (F.col("estimate") - F.col("b0")) / F.col("se")
+    t = F.try_divide(F.col("estimate") - F.col("b0"), F.col("se"))
     j = j.select(*keys, "term", "b0", "alternative", "estimate", "se", "df_resid", t.alias("t_stat"))
     df = F.col("df_resid").cast("double")
     p = F.when(F.col("alternative") == "greater", t_upper_udf("t_stat", df)).otherwise(t_pvalue_udf("t_stat", df))
@@ -230,5 +230,5 @@ def se_table(se: DataFrame, fit: DataFrame, xs: Sequence[str], keys: Sequence[st
     ex = j.select(*keys, "df_resid", F.posexplode(F.arrays_zip("beta", "se")).alias("pos", "z"))
     out = ex.select(*keys, F.element_at(names, F.col("pos") + 1).alias("term"),
                     F.col("z.beta").alias("estimate"), F.col("z.se").alias("se"), "df_resid")
-    out = out.withColumn("t_stat", F.col("estimate") / F.col("se"))
+    out = out.withColumn("t_stat", F.try_divide(F.col("estimate"), F.col("se")))
     return out.withColumn("p_value", t_pvalue_udf("t_stat", F.col("df_resid").cast("double")))

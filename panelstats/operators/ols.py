@@ -80,7 +80,7 @@ def coef_table(fit: DataFrame, xs: Sequence[str], keys: Sequence[str] = (),
     out = ex.select(
         *keys, F.element_at(names, F.col("pos") + 1).alias("term"), "df_resid",
         F.col("z.beta").alias("estimate"), F.col("z.se").alias("se"),
-    ).withColumn("t_stat", F.col("estimate") / F.col("se"))
+    ).withColumn("t_stat", F.try_divide(F.col("estimate"), F.col("se")))
     if with_p:
         out = out.withColumn("p_value", t_pvalue_udf("t_stat", F.col("df_resid").cast("double")))
     return out

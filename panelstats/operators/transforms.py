@@ -17,7 +17,7 @@ def zscore(df: DataFrame, value: str, keys: Sequence[str], out: str = "z") -> Da
     """PR15: (x - mean) / sd (n-1) within ``keys``."""
     st = df.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
     j = df.join(st, on=list(keys), how="left")
-    return j.withColumn(out, (F.col(value) - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
+    return j.withColumn(out, F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd")
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str],

@@ -129,3 +129,32 @@ def test_prebinned_density_close_to_exact(panel):
     assert ex.keys() == pb.keys()
     diff = max(abs(ex[k] - pb[k]) for k in ex)
     assert diff < 1e-3 * max(ex.values())
+
+
+def test_degenerate_groups_do_not_raise_under_ansi(spark):
+    """Perfect fits, constant series and empty groups give NULLs, not DIVIDE_BY_ZERO."""
+    from panelstats.operators import describe as DS
+    from panelstats.operators import diagnostics as DG
+    from panelstats.operators import models as MD
+    from panelstats.operators.transforms import zscore
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    rows = []
+    for m in range(40):
+        x1, x2 = float(m % 7), float((m * 3) % 5)
+        rows.append(("perfect", m, 1 + 2 * x1 + 3 * x2, x1, x2))   # zero residuals
+        rows.append(("flat", m, 5.0, x1, x2))                        # constant y
+        rows.append(("empty", m, None, x1, x2))                      # no complete row
+    df = spark.createDataFrame(rows, "entity string, m int, y double, x1 double, x2 double")
+    fit = O.ols(df, "y", XS, K)
+    res = DG.resid_series(df, "y", XS, K, "m", fit)
+    outs = [
+        O.coef_table(fit, XS, K), O.fit_table(fit, K), MD.information_criteria(fit, K),
+        DG.durbin_watson(res, fit, XS, K, "m"), DG.ljung_box(res, K, 12), DG.autocorrelations(res, K),
+        DG.jarque_bera(res, K), DG.breusch_pagan(res, XS, K), DG.goldfeld_quandt(df, "y", XS, K, "x1", "m"),
+        B.ols_cusum(res, K, "m", 3), B.ols_mosum(res, K, "m", 3), B.split_path(df, "y", XS, K, "m"),
+        B.rec_cusum(B.recursive_residuals(df, "y", XS, K, "m"), K, "m"),
+        zscore(df.filter(F.col("entity") == "flat"), "y", K), DS.density_grid(df, "y", K),
+        MD.robust_se(df, fit, "y", XS, K, "m", "hc1"),
+    ]
+    for o in outs:
+        o.collect()
