@@ -76,6 +76,22 @@ def _queries(spark, sf_dir):
     def describe_rows():
         return DS.describe_basic(rows(), ["y", "x1"], K)
 
+    def shift_model_joint_f():
+        from panelstats.plans import literals as LIT
+        from panelstats.operators import joins as J
+        p = pw()
+        f = J.window_flags(p, LIT.WINDOWS)
+        labels = [w[0] for w in LIT.WINDOWS]
+        return MD.joint_f(O.ols(f, "y", [*XS, *labels], K), O.ols(f, "y", XS, K), K)
+
+    def asof_events():
+        from panelstats.plans import literals as LIT
+        from panelstats.operators import joins as J
+        return J.asof_forward(pw(), LIT.EVENTS, K, "m", ["t", "y"], guard=10)
+
+    def rec_cusum():
+        return B.rec_cusum(B.recursive_residuals(pw(), "y", XS, K, "m"), K, "m")
+
     def fill_rolling():
         p = pw().withColumn("x2", F.when(F.month("t") == 12, F.col("x2")))
         return WN.rolling_mean(WN.fill_linear(p, "x2", K, "m", hold_edges=True), "y", K, "m", 12)
@@ -85,6 +101,7 @@ def _queries(spark, sf_dir):
         "ljung_box": ljung_box, "newey_west12": newey_west12, "lag_model_select": lag_model_select,
         "sup_f": sup_f, "bai_perron": bai_perron, "describe_full": describe_full,
         "describe_rows": describe_rows, "fill_rolling": fill_rolling,
+        "shift_model_joint_f": shift_model_joint_f, "asof_events": asof_events, "rec_cusum": rec_cusum,
     }
 
 
