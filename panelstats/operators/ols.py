@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import f_pvalue_udf, t_pvalue_udf
 from ..functions.linalg import solve_udf
+from ..session import cut_lineage
 
 INTERCEPT = "(Intercept)"
 
@@ -66,9 +67,17 @@ def fit_from_stats(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return stats.select(*keys, "n", "mx", "my", solved).select(*keys, "n", "mx", "my", "fit.*")
 
 
-def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """RG1: one row per group with ``beta``/``se`` arrays in ``terms(xs)`` order."""
-    return fit_from_stats(sufficient_stats(df, y, xs, keys), keys)
+def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
+        materialize: bool = False) -> DataFrame:
+    """RG1: one row per group with ``beta``/``se`` arrays in ``terms(xs)`` order.
+
+    ``materialize``: write the (one row per group) fit once to the shared
+    checkpoint folder. Use it when the fit feeds several branches over a raw
+    table (residuals, then a second aggregate): AQE does not reuse the
+    aggregate's exchange there, and each branch would re-scan the raw rows.
+    """
+    fit = fit_from_stats(sufficient_stats(df, y, xs, keys), keys)
+    return cut_lineage(fit, "fit") if materialize else fit
 
 
 def coef_table(fit: DataFrame, xs: Sequence[str], keys: Sequence[str] = (),

@@ -173,7 +173,7 @@ from a""")
 def q_bp_rows(spark, sf_dir):
     """DG1 on raw rows (hot groups): Breusch–Pagan of the row-level regression."""
     r = views.rows(spark, sf_dir)
-    res = O.residuals(r, O.ols(r, "y", XS, K), "y", XS, K)
+    res = O.residuals(r, O.ols(r, "y", XS, K, materialize=True), "y", XS, K)
     return rounded(DG.breusch_pagan(res, XS, K))
 
 
@@ -187,5 +187,5 @@ from st""")
 def q_jarque_bera_rows(spark, sf_dir):
     """DG7 on raw rows (hot groups): Jarque–Bera of the row-level residuals."""
     r = views.rows(spark, sf_dir)
-    res = O.residuals(r, O.ols(r, "y", XS, K), "y", XS, K)
+    res = O.residuals(r, O.ols(r, "y", XS, K, materialize=True), "y", XS, K)
     return rounded(DG.jarque_bera(res, K))

@@ -367,7 +367,7 @@ def q_se_hc1_rows(spark, sf_dir):
     Fit = one partial aggregate; the residual meat is a second aggregate over the
     rows joined to the (3-row, AQE-broadcast) coefficient table."""
     r = views.rows(spark, sf_dir)
-    fit = O.ols(r, "y", XS, K)
+    fit = O.ols(r, "y", XS, K, materialize=True)
     se = MD.robust_se(r, fit, "y", XS, K, "m", "hc1")
     return rounded(se.select("entity", *[F.col("se")[i].alias(f"se{i}") for i in range(3)]))
 
