@@ -41,11 +41,16 @@ def q_bp_test(spark, sf_dir):
     return rounded(DG.breusch_pagan(res, XS, K))
 
 
-@register("white_test")
+_WHITE_SQL = S.with_(*_RES, """w as (select entity, e * e as e2, x1, x2, x1 * x1 as x1_sq, x1 * x2 as x1_x_x2,
+  x2 * x2 as x2_sq from res)""", *S.mgs_ctes("a", "w", "e2", ["x1", "x2", "x1_sq", "x1_x_x2", "x2_sq"])) + """
+select entity, 'white' as test, round(n * (1 - rss / tss), 6) as statistic, 5 as df from a"""
+
+
+@register("white_test", sql=_WHITE_SQL)
 def q_white_test(spark, sf_dir):
-    """DG2: White test (levels, squares, cross product), χ²(5)."""
+    """DG2: White test (levels, squares, cross product), n·R²; χ²(5) p unit-tested."""
     _, _, res = _static(spark, sf_dir)
-    return DG.white(res, XS, K)
+    return rounded(DG.white(res, XS, K).drop("p_value"))
 
 
 @register("gq_test", sql=S.with_(S.PANEL, """g as (
@@ -72,15 +77,26 @@ def q_dw_test(spark, sf_dir):
     return rounded(DG.durbin_watson(res, fit, XS, K, "m").select("entity", "statistic"))
 
 
-@register("bg_test")
+def _bg_sql() -> str:
+    parts, ctes = [], []
+    for q in (3, 6, 12):
+        lags = ", ".join(f"coalesce(lag(e, {l}) over (partition by entity order by m), 0) as el{l}" for l in range(1, q + 1))
+        ctes.append(f"bg{q}_in as (select entity, e, x1, x2, {lags} from res)")
+        ctes += S.mgs_ctes(f"bg{q}", f"bg{q}_in", "e", ["x1", "x2", *[f"el{l}" for l in range(1, q + 1)]])
+        parts.append(f"select entity, 'breusch_godfrey_{q}' as test, round(n * (1 - rss / tss), 6) as statistic, "
+                     f"{q} as df from bg{q}")
+    return S.with_(*_RES, *ctes) + "\nunion all ".join(parts)
+
+
+@register("bg_test", sql=_bg_sql())
 def q_bg_test(spark, sf_dir):
-    """DG5: Breusch–Godfrey of orders 3, 6 and 12 (zero-filled lags), χ²(q)."""
+    """DG5: Breusch–Godfrey of orders 3, 6 and 12 (zero-filled lags), n·R²; χ²(q) p unit-tested."""
     _, _, res = _static(spark, sf_dir)
     out = None
     for q in (3, 6, 12):
         t = DG.breusch_godfrey(res, XS, K, "m", q)
         out = t if out is None else out.unionByName(t)
-    return out
+    return rounded(out.drop("p_value"))
 
 
 _LB_SQL = S.with_(*_RES, """ac as (

@@ -227,10 +227,30 @@ def q_model_select(spark, sf_dir):
     return rounded(lag_level_models(views.panel(spark, sf_dir, materialize=True)))
 
 
-@register("ols_lag_diff")
+def _lag_diff_sql() -> str:
+    lags = LIT.LAG_ORDERS
+    dl = ", ".join(f"lag(y, {k}) over {_W} - lag(y, {k + 1}) over {_W} as dl{k}" for k in lags)
+    ctes = [S.PANEL, f"dd as (select entity, x1, x2, y - lag(y, 1) over {_W} as d_y, {dl} from panel)"]
+    for k in lags:
+        ctes += S.mgs_ctes(f"d{k}", "dd", "d_y", ["x1", "x2", *[f"dl{i}" for i in range(1, k + 1)]])
+    ctes.append("u as (" + " union all ".join(f"select entity, 'diff{k}' as model, n, {k + 3} as kk, rss from d{k}"
+                                                for k in lags) + ")")
+    ctes.append(f"ic as (select *, (-n / 2.0) * ({MD.LOG_2PI!r} + ln(rss / n) + 1) as ll from u)")
+    ctes.append("ic2 as (select *, -2 * ll + 2 * (kk + 1) as aic, -2 * ll + ln(n) * (kk + 1) as bic from ic)")
+    ctes.append("""b as (select entity, min(aic) as amin, min(bic) as bmin,
+  max(case when ra = 1 then model end) as best_aic, max(case when rb = 1 then model end) as best_bic
+  from (select *, row_number() over (partition by entity order by aic, model) as ra,
+               row_number() over (partition by entity order by bic, model) as rb from ic2) group by entity)""")
+    return S.with_(*ctes) + """
+select entity, model, n, cast(kk as integer) as k, round(rss, 6) as rss, round(ll, 6) as loglik, round(aic, 6) as aic,
+       round(bic, 6) as bic, round(aic - amin, 6) as d_aic, round(bic - bmin, 6) as d_bic, best_aic, best_bic
+from ic2 join b using (entity)"""
+
+
+@register("ols_lag_diff", sql=_lag_diff_sql())
 def q_ols_lag_diff(spark, sf_dir):
     """RG10: differenced lag models 1..4 with information criteria and the best one."""
-    return lag_diff_models(views.panel(spark, sf_dir, materialize=True))
+    return rounded(lag_diff_models(views.panel(spark, sf_dir, materialize=True)))
 
 
 def shift_model(p, keys=K):
@@ -247,13 +267,27 @@ def q_ols_shifts(spark, sf_dir):
     return O.coef_table(fit, xs, K)
 
 
-@register("joint_f")
+def _joint_f_sql() -> str:
+    labels = [w[0] for w in LIT.WINDOWS]
+    flags = ", ".join(f"case when m >= {LIT.month_number(a)} and m <= {LIT.month_number(b)} then 1.0 else 0.0 end as {l}"
+                      for l, a, b in LIT.WINDOWS)
+    return S.with_(S.PANEL, f"f as (select entity, y, x1, x2, {flags} from panel)",
+                   *S.mgs_ctes("u", "f", "y", [*XS, *labels]),
+                   *S.mgs_ctes("r", "f", "y", XS)) + f"""
+select entity, cast({len(labels)} as integer) as q, u.n - {len(labels) + 3} as df_u,
+       round(((r.rss - u.rss) / {len(labels)}) / (u.rss / (u.n - {len(labels) + 3})), 6) as f_stat,
+       round((1 - u.rss / u.tss) - (1 - r.rss / r.tss), 6) as d_r2
+from u join r using (entity)"""
+
+
+@register("joint_f", sql=_joint_f_sql())
 def q_joint_f(spark, sf_dir):
-    """RG7: joint F test that all window-indicator coefficients are zero; ΔR²."""
+    """RG7: joint F test that all window-indicator coefficients are zero; ΔR²
+    (the F-tail p-value is unit-tested)."""
     p = views.panel(spark, sf_dir, materialize=True)
     f, fu, _ = shift_model(p)
     fr = O.ols(f, "y", XS, K)
-    return MD.joint_f(fu, fr, K)
+    return rounded(MD.joint_f(fu, fr, K).drop("p_value"))
 
 
 @register("coef_vs_benchmark")

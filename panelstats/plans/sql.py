@@ -109,3 +109,29 @@ def ols_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
     cte_r = f"{name}_r as (select *, {b0} as b0, {rss} as rss, n - {k + 1} as df from {name}_b)"
     cte = f"{name} as (select *, {', '.join(se)} from {name}_r)"
     return [cte_s, cte_b, cte_r, cte]
+
+
+def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", where: str = "") -> list[str]:
+    """OLS with intercept for any number of regressors by modified Gram–Schmidt
+    over window sums (oracle only). Ends in ``{name}`` with one row per group:
+    keys, n, tss, rss, and ``b_last``/``se_last`` of the LAST regressor
+    (Frisch–Waugh: its coefficient is the projection on its orthogonalised part).
+    """
+    k = len(xs)
+    g = f"over (partition by {keys})"
+    conds = [f"{c} is not null" for c in [y, *xs]] + ([where] if where else [])
+    cols = ", ".join([f"{y} - avg({y}) {g} as ry", f"{y} - avg({y}) {g} as y0"]
+                     + [f"{x} - avg({x}) {g} as r{i}" for i, x in enumerate(xs)])
+    ctes = [f"{name}_0 as (select {keys}, {cols} from (select * from {src} where {' and '.join(conds)}))"]
+    for step in range(k):
+        q = f"r{step}"
+        den = f"sum({q} * {q}) {g}"
+        upd = [f"ry - (sum(ry * {q}) {g} / {den}) * {q} as ry", "y0"]
+        upd += [f"r{j} - (sum(r{j} * {q}) {g} / {den}) * {q} as r{j}" if j > step else f"r{j}" for j in range(k)]
+        ctes.append(f"{name}_{step + 1} as (select {keys}, {', '.join(upd)} from {name}_{step})")
+    last = f"r{k - 1}"
+    ctes.append(f"""{name} as (select {keys}, count(*) as n, sum(y0 * y0) as tss, sum(ry * ry) as rss,
+  sum(y0 * {last}) / sum({last} * {last}) as b_last,
+  sqrt(sum(ry * ry) / (count(*) - {k + 1}) / sum({last} * {last})) as se_last
+  from {name}_{k} group by {keys})""")
+    return ctes
