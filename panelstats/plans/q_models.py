@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -155,6 +157,65 @@ def _hc1_sql(k: int, src_cte: str = S.PANEL, src: str = "panel") -> str:
         f"select entity, {', '.join(ses)} from f join mt using (entity)"
 
 
+def _hac_sql(weights: list[float], adjust: bool) -> str:
+    """Static-model sandwich with S = w0·Γ0 + Σ_l w_l (Γ_l + Γ_l'), Γ_l(a,b) = Σ_t u_ta u_(t−l)b,
+    u = x·e (x with the constant), lags by window ``lag`` over the series."""
+    k = 2
+    c, det = S._inverse_terms(k)
+    p = k + 1
+
+    def M(a, b):
+        if a == 0 and b == 0:
+            quad = " + ".join(f"m{i} * m{j} * {c[(i, j)]}" for i in range(k) for j in range(k))
+            return f"(1.0 / n + ({quad}) / {det})"
+        if a == 0 or b == 0:
+            j = (b if a == 0 else a) - 1
+            return f"(-({' + '.join(f'{c[(j, i)]} * m{i}' for i in range(k))}) / {det})"
+        return f"({c[(a - 1, b - 1)]} / {det})"
+
+    L = len(weights) - 1
+    u = ["e", "e * x1", "e * x2"]
+    lagged = ", ".join(f"lag({u[b]}, {l}) over (partition by entity order by m) as u{b}_l{l}"
+                       for l in range(1, L + 1) for b in range(p))
+    base = ", ".join(f"{u[a]} as u{a}_l0" for a in range(p))
+    sums = []
+    for l in range(L + 1):
+        for a in range(p):
+            for b in range(p):
+                sums.append(f"coalesce(sum(u{a}_l0 * u{b}_l{l}), 0) as g{l}_{a}_{b}")
+    meat = {}
+    for a in range(p):
+        for b in range(p):
+            terms = [f"{weights[0]!r} * g0_{a}_{b}"] + [f"{weights[l]!r} * (g{l}_{a}_{b} + g{l}_{b}_{a})"
+                                                        for l in range(1, L + 1)]
+            meat[(a, b)] = "(" + " + ".join(terms) + ")"
+    scale = "n / (n - 3.0)" if adjust else "1.0"
+    ses = []
+    for j in range(p):
+        body = " + ".join(f"{M(j, a)} * {meat[(a, b)]} * {M(b, j)}" for a in range(p) for b in range(p))
+        ses.append(f"sqrt({scale} * ({body})) as hse{j}")
+    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS),
+                   "r as (select p.entity, p.m, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from panel p join f using (entity))",
+                   f"ru as (select entity, m, {base}, {lagged} from r)",
+                   f"g as (select entity, {', '.join(sums)} from ru group by entity)",
+                   f"hs as (select f.*, {', '.join(ses)} from f join g using (entity))")
+
+
+def _se_table_sql(weights: list[float], adjust: bool) -> str:
+    return _hac_sql(weights, adjust) + """
+select entity, '(Intercept)' as term, round(b0, 6) as estimate, round(hse0, 6) as se, n - 3 as df_resid, round(b0 / hse0, 6) as t_stat from hs
+union all select entity, 'x1', round(b1, 6), round(hse1, 6), n - 3, round(b1 / hse1, 6) from hs
+union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / hse2, 6) from hs"""
+
+
+def _nw(L: int) -> list[float]:
+    return [1.0 - l / (L + 1.0) for l in range(L + 1)]
+
+
+def _bartlett(bw: float) -> list[float]:
+    return [1.0 - l / bw for l in range(int(math.ceil(bw)))]
+
+
 @register("se_hc1", sql=_hc1_sql(2))
 def q_se_hc1(spark, sf_dir):
     """RG13: HC1 sandwich standard errors (Σe²xx' aggregate, n/(n−k))."""
@@ -315,7 +376,18 @@ def q_coef_vs_benchmark(spark, sf_dir):
     return MD.coef_vs_benchmark(O.coef_table(fit, XS, K), LIT.BENCHMARKS, K)
 
 
-@register("coef_compare")
+def _coef_compare_sql() -> str:
+    rows = []
+    for model, se in (("ols", "se"), ("newey_west_12", "hse")):
+        for i, x in enumerate(XS, start=1):
+            lab = L.VARIABLE_LABELS.get(x, x)
+            rows.append(f"select entity, '{model}' as model, '{x}' as term, '{lab}' as label, round(b{i}, 6) as estimate, "
+                        f"round({se}{i}, 6) as se, round(b{i} - 1.96 * {se}{i}, 6) as lower, "
+                        f"round(b{i} + 1.96 * {se}{i}, 6) as upper from hs")
+    return _hac_sql(_nw(12), True) + "\nunion all ".join(rows)
+
+
+@register("coef_compare", sql=_coef_compare_sql())
 def q_coef_compare(spark, sf_dir):
     """RG11: static model with classical SE vs. Newey–West(12) SE, ±1.96·se, no intercept."""
     p = views.panel(spark, sf_dir, materialize=True)
@@ -323,7 +395,7 @@ def q_coef_compare(spark, sf_dir):
     a = O.coef_table(fit, XS, K, with_p=False).withColumn("model", F.lit("ols"))
     nw = MD.robust_se(p, fit, "y", XS, K, "m", "nw", 12, adjust=True)
     b = MD.se_table(nw, fit, XS, K).withColumn("model", F.lit("newey_west_12"))
-    return MD.coef_compare(a, b, L.VARIABLE_LABELS, K)
+    return rounded(MD.coef_compare(a, b, L.VARIABLE_LABELS, K))
 
 
 @register("rank_check")
@@ -360,13 +432,15 @@ def _robust(kind, param=0, adjust=True):
     def q(spark, sf_dir):
         p = views.panel(spark, sf_dir, materialize=True)
         fit = O.ols(p, "y", XS, K)
-        return MD.se_table(MD.robust_se(p, fit, "y", XS, K, "m", kind, param, adjust), fit, XS, K)
+        out = MD.se_table(MD.robust_se(p, fit, "y", XS, K, "m", kind, param, adjust), fit, XS, K)
+        return rounded(out.drop("p_value")) if kind != "nw_prewhite" else out
+    q.__doc__ = f"Robust standard errors ({kind}, {param}); t-tail p-values unit-tested."
     return q
 
 
-register("se_newey_west")(_robust("nw", 12, True))
-register("se_newey_west6")(_robust("nw", 6, False))
-register("se_kernel_bartlett")(_robust("bartlett", 12, True))
+register("se_newey_west", sql=_se_table_sql(_nw(12), True))(_robust("nw", 12, True))
+register("se_newey_west6", sql=_se_table_sql(_nw(6), False))(_robust("nw", 6, False))
+register("se_kernel_bartlett", sql=_se_table_sql(_bartlett(12), True))(_robust("bartlett", 12, True))
 register("se_nw_prewhite")(_robust("nw_prewhite", 12, True))
 
 
