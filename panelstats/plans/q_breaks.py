@@ -11,7 +11,7 @@ from ..operators.describe import long_values
 from ..sources import views
 from . import literals as LIT
 from . import sql as S
-from .q_diag import _RES
+from .q_diag import _RES, shift_resid_ctes
 from .q_models import shift_model
 from .registry import register, rounded
 
@@ -179,7 +179,10 @@ def q_bai_perron(spark, sf_dir):
     return B.bai_perron(p, "y", XS, K, "m")
 
 
-@register("model_paths_long")
+@register("model_paths_long", sql=S.with_(*shift_resid_ctes()) + """
+select entity, m, 'actual' as path, round(y, 6) as value from res
+union all select entity, m, 'static', round(y - e, 6) from res
+union all select entity, m, 'shift', round(y - e_shift, 6) from shr""")
 def q_model_paths_long(spark, sf_dir):
     """SB9: actual, static-model and shift-model paths per period, long form."""
     p = views.panel(spark, sf_dir, materialize=True)
@@ -187,18 +190,4 @@ def q_model_paths_long(spark, sf_dir):
     base = O.residuals(p, O.ols(p, "y", XS, K), "y", XS, K).select("entity", "m", "y", F.col("fitted").alias("static"))
     shift = O.residuals(f, fu, "y", xs, K).select("entity", "m", F.col("fitted").alias("shift"))
     wide = base.join(shift, on=["entity", "m"]).withColumnRenamed("y", "actual")
-    return long_values(wide, ["actual", "static", "shift"], ["entity", "m"], "path", "value")
-
-
-@register("regime_counts", sql=S.with_(*_PATH, """r as (
-  select *, row_number() over (partition by entity order by f desc, pos) as rk from path)""",
-                                       "b as (select entity, pos as bp from r where rk = 1)",
-                                       "pp as (select entity, m, cast(row_number() over (partition by entity order by m) as integer) as pos from panel)") + """
-select entity, cast(case when pos > bp then 2 else 1 end as integer) as regime, count(*) as n
-from pp join b using (entity) group by all""")
-def q_regime_counts(spark, sf_dir):
-    """AG11/RG19: rows per regime of the sup-F split."""
-    p = views.panel(spark, sf_dir, materialize=True)
-    br = B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m").select("entity", F.col("break_pos"))
-    reg = B.regime_from_break(p.select("entity", "m"), br, K, "m")
-    return reg.groupBy("entity", "regime").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(long_values(wide, ["actual", "static", "shift"], ["entity", "m"], "path", "value"))

@@ -17,7 +17,7 @@ XS = ["x1", "x2"]
 
 # residuals of the static model, positions and centred residuals, as oracle CTEs
 _RES = [S.PANEL, *S.ols_ctes("f", "panel", "y", XS), """res as (
-  select p.entity, p.m, p.t, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e
+  select p.entity, p.m, p.t, p.x1, p.x2, p.y, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e
   from panel p join f using (entity))""", """rp as (
   select *, row_number() over (partition by entity order by m) as pos, e - avg(e) over (partition by entity) as c,
          count(*) over (partition by entity) as nn
@@ -159,7 +159,20 @@ def q_adf_test(spark, sf_dir):
     return DG.adf(long, "value", ["entity", "variable"], "m")
 
 
-@register("residual_compare")
+def shift_resid_ctes() -> list[str]:
+    """Static residuals (closed form) and shift-model residuals (Gram–Schmidt) per row."""
+    from . import literals as LIT
+    flags = ", ".join(f"case when m >= {LIT.month_number(a)} and m <= {LIT.month_number(b)} then 1.0 else 0.0 end as {l}"
+                      for l, a, b in LIT.WINDOWS)
+    labels = [w[0] for w in LIT.WINDOWS]
+    return [*_RES, f"fl as (select entity, m, y, x1, x2, {flags} from panel)",
+            *S.mgs_ctes("sh", "fl", "y", [*XS, *labels], carry=("m", "y")),
+            f"shr as (select entity, m, y, ry as e_shift from sh_{len(XS) + len(labels)})"]
+
+
+@register("residual_compare", sql=S.with_(*shift_resid_ctes()) + """
+select entity, m, 'static' as model, round(e, 6) as resid from res
+union all select entity, m, 'shift', round(e_shift, 6) from shr""")
 def q_residual_compare(spark, sf_dir):
     """DG12: residuals of the static and the intercept-shift model side by side, long form."""
     p = views.panel(spark, sf_dir, materialize=True)
@@ -167,7 +180,7 @@ def q_residual_compare(spark, sf_dir):
     base = O.residuals(p, O.ols(p, "y", XS, K), "y", XS, K).select("entity", "m", F.col("resid").alias("static"))
     shift = O.residuals(f, fu, "y", xs, K).select("entity", "m", F.col("resid").alias("shift"))
     wide = base.join(shift, on=["entity", "m"])
-    return long_values(wide, ["static", "shift"], ["entity", "m"], "model", "resid")
+    return rounded(long_values(wide, ["static", "shift"], ["entity", "m"], "model", "resid"))
 
 
 @register("qq_pairs")

@@ -112,7 +112,7 @@ def ols_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
 
 
 def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", where: str = "",
-             center: bool = True) -> list[str]:
+             center: bool = True, carry: tuple[str, ...] = ()) -> list[str]:
     """OLS for any number of regressors by modified Gram–Schmidt over window
     sums (oracle only). Ends in ``{name}`` with one row per group: keys, n,
     tss, rss, and ``b_last``/``se_last`` of the LAST regressor (Frisch–Waugh:
@@ -120,6 +120,8 @@ def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
     ``center=True``: intercept model (columns centred first, df = n − k − 1);
     ``center=False``: no implicit intercept — pass a constant column in ``xs``
     (df = n − k), e.g. last, to get the intercept and its standard error.
+    ``carry``: row columns passed through; ``{name}_{len(xs)}`` then holds each
+    row's residual ``ry`` next to them.
     """
     k = len(xs)
     g = f"over (partition by {keys})"
@@ -131,13 +133,14 @@ def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
         cols = ", ".join([f"{y} as ry", f"{y} - avg({y}) {g} as y0", f"{y} as ry0"]
                          + [f"{x} as r{i}" for i, x in enumerate(xs)])
     dfp = k + 1 if center else k
-    ctes = [f"{name}_0 as (select {keys}, {cols} from (select * from {src} where {' and '.join(conds)}))"]
+    kc = ", ".join([keys, *carry])
+    ctes = [f"{name}_0 as (select {kc}, {cols} from (select * from {src} where {' and '.join(conds)}))"]
     for step in range(k):
         q = f"r{step}"
         den = f"sum({q} * {q}) {g}"
         upd = [f"ry - (sum(ry * {q}) {g} / {den}) * {q} as ry", "y0", *([] if center else ["ry0"])]
         upd += [f"r{j} - (sum(r{j} * {q}) {g} / {den}) * {q} as r{j}" if j > step else f"r{j}" for j in range(k)]
-        ctes.append(f"{name}_{step + 1} as (select {keys}, {', '.join(upd)} from {name}_{step})")
+        ctes.append(f"{name}_{step + 1} as (select {kc}, {', '.join(upd)} from {name}_{step})")
     last = f"r{k - 1}"
     ctes.append(f"""{name} as (select {keys}, count(*) as n, sum(y0 * y0) as tss, sum(ry * ry) as rss,
   sum({"y0" if center else "ry0"} * {last}) / sum({last} * {last}) as b_last,
