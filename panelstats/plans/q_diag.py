@@ -151,12 +151,54 @@ def q_pacf(spark, sf_dir):
     return DG.partial_autocorrelations(DG.autocorrelations(res, K), K)
 
 
-@register("adf_test")
+def _interp_sql(x: str, xp: list[float], fp: list[float]) -> str:
+    """Piecewise-linear interpolation clamped at both ends (numpy ``interp``)."""
+    parts = [f"case when {x} <= {xp[0]!r} then {fp[0]!r}"]
+    for i in range(1, len(xp)):
+        parts.append(f"when {x} <= {xp[i]!r} then {fp[i - 1]!r} + ({x} - {xp[i - 1]!r}) * "
+                     f"({fp[i]!r} - {fp[i - 1]!r}) / ({xp[i]!r} - {xp[i - 1]!r})")
+    parts.append(f"else {fp[-1]!r} end")
+    return " ".join(parts)
+
+
+def _adf_sql() -> str:
+    maxk = 12
+    dls = ", ".join(f"case when kk >= {l} then lag(value, {l}) over w - lag(value, {l + 1}) over w else 0.0 end as dl{l}"
+                    for l in range(1, maxk))
+    long = """l as (
+  select entity, m, 'y' as variable, y as value from panel union all
+  select entity, m, 'x1', x1 from panel union all select entity, m, 'x2', x2 from panel)"""
+    base = f"""b as (select *, row_number() over w as pos, count(*) over (partition by entity, variable) as nn,
+  cast(floor(pow(count(*) over (partition by entity, variable) - 1, 1.0 / 3)) as integer) as kk
+  from l window w as (partition by entity, variable order by m))"""
+    feat = f"""ff as (select entity, variable, kk, nn, pos, value - lag(value, 1) over w as dy, lag(value, 1) over w as lvl,
+  cast(pos as double) as tpos, {dls}
+  from b window w as (partition by entity, variable order by m))"""
+    xs = ["tpos", *[f"dl{l}" for l in range(1, maxk)], "lvl"]
+    ctes = [S.PANEL, long, base, feat, "fz as (select * from ff where pos > kk + 1)",
+            *S.mgs_ctes("adf", "fz", "dy", xs, keys="entity, variable", carry=("kk", "nn"), df_params="max(kk) + 3")]
+    # the per-group lag count rides along in the carried column
+    ctes[-1] = ctes[-1].replace("count(*) as n,", "count(*) as n, max(kk) as kk, max(nn) as nn,")
+    crit = [_interp_sql("(nn - 1)", list(map(float, DG.ADF_SIZES)), [-v for v in row]) for row in DG.ADF_TABLE]
+    ctes.append("st as (select *, b_last / se_last as stat, " + ", ".join(f"{c} as c{i}" for i, c in enumerate(crit))
+                + " from adf)")
+    pv = [f"when stat <= c0 then {DG.ADF_PROBS[0]!r}"]
+    for i in range(1, len(DG.ADF_PROBS)):
+        pv.append(f"when stat <= c{i} then {DG.ADF_PROBS[i - 1]!r} + (stat - c{i - 1}) * "
+                  f"({DG.ADF_PROBS[i]!r} - {DG.ADF_PROBS[i - 1]!r}) / (c{i} - c{i - 1})")
+    ctes.append(f"pv as (select *, case {' '.join(pv)} else {DG.ADF_PROBS[-1]!r} end as p from st)")
+    return S.with_(*ctes) + """
+select entity, variable, round(stat, 6) as statistic, kk as lag_order, round(p, 6) as p_value,
+       case when p < 0.05 then 'yes' else 'no' end as stationary
+from pv"""
+
+
+@register("adf_test", sql=_adf_sql())
 def q_adf_test(spark, sf_dir):
     """DG10: augmented Dickey–Fuller (trend) for y, x1, x2 per entity."""
     p = views.panel(spark, sf_dir, materialize=True)
     long = long_values(p, ["y", "x1", "x2"], ["entity", "m"])
-    return DG.adf(long, "value", ["entity", "variable"], "m")
+    return rounded(DG.adf(long, "value", ["entity", "variable"], "m"))
 
 
 def shift_resid_ctes() -> list[str]:

@@ -112,7 +112,7 @@ def ols_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
 
 
 def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", where: str = "",
-             center: bool = True, carry: tuple[str, ...] = ()) -> list[str]:
+             center: bool = True, carry: tuple[str, ...] = (), df_params: str | None = None) -> list[str]:
     """OLS for any number of regressors by modified Gram–Schmidt over window
     sums (oracle only). Ends in ``{name}`` with one row per group: keys, n,
     tss, rss, and ``b_last``/``se_last`` of the LAST regressor (Frisch–Waugh:
@@ -121,7 +121,8 @@ def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
     ``center=False``: no implicit intercept — pass a constant column in ``xs``
     (df = n − k), e.g. last, to get the intercept and its standard error.
     ``carry``: row columns passed through; ``{name}_{len(xs)}`` then holds each
-    row's residual ``ry`` next to them.
+    row's residual ``ry`` next to them. All-zero columns (unused slots) are
+    skipped; ``df_params`` overrides the parameter count (SQL over carried columns).
     """
     k = len(xs)
     g = f"over (partition by {keys})"
@@ -137,13 +138,15 @@ def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
     ctes = [f"{name}_0 as (select {kc}, {cols} from (select * from {src} where {' and '.join(conds)}))"]
     for step in range(k):
         q = f"r{step}"
-        den = f"sum({q} * {q}) {g}"
-        upd = [f"ry - (sum(ry * {q}) {g} / {den}) * {q} as ry", "y0", *([] if center else ["ry0"])]
-        upd += [f"r{j} - (sum(r{j} * {q}) {g} / {den}) * {q} as r{j}" if j > step else f"r{j}" for j in range(k)]
+        den = f"nullif(sum({q} * {q}) {g}, 0)"
+        upd = [f"ry - coalesce(sum(ry * {q}) {g} / {den}, 0) * {q} as ry", "y0", *([] if center else ["ry0"])]
+        upd += [f"r{j} - coalesce(sum(r{j} * {q}) {g} / {den}, 0) * {q} as r{j}" if j > step else f"r{j}"
+                for j in range(k)]
         ctes.append(f"{name}_{step + 1} as (select {kc}, {', '.join(upd)} from {name}_{step})")
     last = f"r{k - 1}"
+    dfx = f"({df_params})" if df_params else str(dfp)
     ctes.append(f"""{name} as (select {keys}, count(*) as n, sum(y0 * y0) as tss, sum(ry * ry) as rss,
   sum({"y0" if center else "ry0"} * {last}) / sum({last} * {last}) as b_last,
-  sqrt(sum(ry * ry) / (count(*) - {dfp}) / sum({last} * {last})) as se_last
+  sqrt(sum(ry * ry) / (count(*) - {dfx}) / sum({last} * {last})) as se_last
   from {name}_{k} group by {keys})""")
     return ctes
