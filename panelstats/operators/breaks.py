@@ -181,13 +181,28 @@ def kolmogorov_p(x: F.Column, terms: int = 100) -> F.Column:
                            lambda acc, j: acc + F.pow(F.lit(-1.0), j + 1) * F.exp(-2 * j * j * x * x))
 
 
-def ols_cusum(res: DataFrame, keys: Sequence[str], order: str, p: int) -> DataFrame:
-    """SB1: path cumsum(e)/(σ̂√n), σ̂² = Σe²/(n − p); sup |path| and its p-value."""
-    wall = Window.partitionBy(*keys)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(wall)
-    sig = F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2).over(wall), n - p))
-    path = res.select(*keys, order, F.try_divide(F.sum("resid").over(w), sig * F.sqrt(n)).alias("cusum"))
+def ols_cusum(res: DataFrame, keys: Sequence[str], order: str, p: int,
+              buckets: str | None = None, bucket_size: int = 64) -> DataFrame:
+    """SB1: path cumsum(e)/(σ̂√n), σ̂² = Σe²/(n − p); sup |path| and its p-value.
+
+    ``buckets`` (an integer column, e.g. the period number): for a single very
+    long series the running sum is two-level (:func:`windows.running_sums_long`)
+    and σ̂, n come from an aggregate — no task holds the whole series.
+    """
+    if buckets is None:
+        wall = Window.partitionBy(*keys)
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        n = F.count(F.lit(1)).over(wall)
+        sig = F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2).over(wall), n - p))
+        path = res.select(*keys, order, F.try_divide(F.sum("resid").over(w), sig * F.sqrt(n)).alias("cusum"))
+    else:
+        from .windows import running_sums_long
+        st = res.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("resid") ** 2).alias("_ss"))
+        run = running_sums_long(res.select(*keys, order, buckets, "resid"), {"_cs": F.col("resid")},
+                                keys, order, buckets, bucket_size)
+        j = run.join(st, on=list(keys))
+        sig = F.sqrt(F.try_divide(F.col("_ss"), F.col("_n") - p))
+        path = j.select(*keys, order, F.try_divide(F.col("_cs"), sig * F.sqrt(F.col("_n"))).alias("cusum"))
     g = path.groupBy(*keys).agg(F.max(F.abs("cusum")).alias("statistic"))
     return g.withColumn("p_value", kolmogorov_p(F.col("statistic")))
 

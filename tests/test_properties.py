@@ -158,3 +158,12 @@ def test_degenerate_groups_do_not_raise_under_ansi(spark):
     ]
     for o in outs:
         o.collect()
+
+
+def test_long_series_cusum_equals_window(ref_series):
+    from panelstats.operators import diagnostics as DG
+    res = DG.resid_series(ref_series, "y", XS, K, "m")
+    a = B.ols_cusum(res, K, "m", 3).collect()[0]
+    b = B.ols_cusum(res, K, "m", 3, buckets="m", bucket_size=16).collect()[0]
+    assert a.statistic == pytest.approx(b.statistic, rel=1e-12)
+    assert a.p_value == pytest.approx(b.p_value, rel=1e-9)
