@@ -258,19 +258,39 @@ def recursive_resid_udf(pre_prev: pd.Series, row: pd.Series, pos: pd.Series) ->
     return pd.Series(np.where(ok, w, np.nan)).where(ok, None)
 
 
-def recursive_residuals(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str) -> DataFrame:
-    """Recursive residuals for t = p+1..n from running sums of rows 1..t−1."""
+def recursive_residuals(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str,
+                        buckets: str | None = None, bucket_size: int = 64) -> DataFrame:
+    """Recursive residuals for t = p+1..n from running sums of rows 1..t−1.
+
+    ``buckets``: two-level running sums (inclusive sums minus the row's own
+    products) and series means from an aggregate, for a single very long series.
+    """
     xs = list(xs)
     d = df.filter(O.complete([y, *xs]))
-    wall = Window.partitionBy(*keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    cols = [F.lit(1.0), *[F.col(x) - F.avg(x).over(wall) for x in xs], F.col(y) - F.avg(y).over(wall)]
-    q = len(cols)
-    d = d.select(*keys, order, F.array(*cols).alias("_r"), F.row_number().over(w).alias("pos"))
-    prods = [F.col("_r")[a] * F.col("_r")[b] for a in range(q) for b in range(a, q)]
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    d = d.select("*", F.array(*[F.sum(v).over(prev) for v in prods]).alias("_pp"))
     p = len(xs) + 1
+    if buckets is None:
+        wall = Window.partitionBy(*keys)
+        w = Window.partitionBy(*keys).orderBy(order)
+        cols = [F.lit(1.0), *[F.col(x) - F.avg(x).over(wall) for x in xs], F.col(y) - F.avg(y).over(wall)]
+        q = len(cols)
+        d = d.select(*keys, order, F.array(*cols).alias("_r"), F.row_number().over(w).alias("pos"))
+        prods = [F.col("_r")[a] * F.col("_r")[b] for a in range(q) for b in range(a, q)]
+        prev = w.rowsBetween(Window.unboundedPreceding, -1)
+        d = d.select("*", F.array(*[F.sum(v).over(prev) for v in prods]).alias("_pp"))
+    else:
+        from .windows import running_sums_long
+        mu = d.groupBy(*keys).agg(*[F.avg(c).alias(f"_mu_{c}") for c in [*xs, y]])
+        c = d.join(mu, on=list(keys)).select(
+            *keys, order, buckets,
+            F.array(F.lit(1.0), *[F.col(x) - F.col(f"_mu_{x}") for x in xs], F.col(y) - F.col(f"_mu_{y}")).alias("_r"))
+        q = p + 1
+        pairs = [(a, b) for a in range(q) for b in range(a, q)]
+        vals = {f"_s{i}": F.col("_r")[a] * F.col("_r")[b] for i, (a, b) in enumerate(pairs)}
+        r = running_sums_long(c, vals, keys, order, buckets, bucket_size)
+        own = [F.col("_r")[a] * F.col("_r")[b] for a, b in pairs]
+        d = r.select(*keys, order, "_r", "pos",
+                     F.when(F.col("pos") > 1, F.array(*[F.col(f"_s{i}") - own[i] for i in range(len(pairs))]))
+                     .alias("_pp"))
     d = d.filter(F.col("pos") > p)
     return d.select(*keys, order, "pos", recursive_resid_udf("_pp", "_r", "pos").alias("w"))
 

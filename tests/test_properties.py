@@ -167,3 +167,11 @@ def test_long_series_cusum_equals_window(ref_series):
     b = B.ols_cusum(res, K, "m", 3, buckets="m", bucket_size=16).collect()[0]
     assert a.statistic == pytest.approx(b.statistic, rel=1e-12)
     assert a.p_value == pytest.approx(b.p_value, rel=1e-9)
+
+
+def test_long_series_recursive_residuals_equal_window(ref_series):
+    a = {r.m: r.w for r in B.recursive_residuals(ref_series, "y", XS, K, "m").collect()}
+    b = {r.m: r.w for r in B.recursive_residuals(ref_series, "y", XS, K, "m", buckets="m", bucket_size=16).collect()}
+    assert a.keys() == b.keys() and len(a) == 274
+    for m in a:
+        assert a[m] == pytest.approx(b[m], rel=1e-7, abs=1e-9)
