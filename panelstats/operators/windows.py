@@ -187,3 +187,40 @@ def running_sums_long(df: DataFrame, values: dict, keys: Sequence[str], order: s
     out = j.select(*df.columns, (F.col("_oc") + F.col("_lpos")).cast("int").alias("pos"),
                    *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in values])
     return out
+
+
+def fill_linear_long(df: DataFrame, col: str, keys: Sequence[str], order: str, bucket_col: str,
+                     bucket_size: int = 64, hold_edges: bool = False, out: str | None = None) -> DataFrame:
+    """WN4/WN5 for a single very long series: same result as :func:`fill_linear`.
+
+    Positions come from :func:`running_sums_long`; each bucket's first and last
+    known points are an aggregate; a window over that small bucket table carries
+    the nearest known point across bucket boundaries; inside a bucket the
+    ``last/first(ignorenulls)`` windows run per (keys, bucket) only.
+    """
+    keys = list(keys)
+    out = out or f"{col}_filled"
+    base = running_sums_long(df, {"_one": F.lit(1)}, keys, order, bucket_col, bucket_size).drop("_one")
+    base = base.withColumn("_bk", F.floor(F.col(bucket_col) / bucket_size))
+    known = F.when(F.col(col).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(col).alias("v")))
+    base = base.withColumn("_k", known)
+    bt = base.groupBy(*keys, "_bk").agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"),
+                                        F.count(col).alias("_cnt"))
+    wk = Window.partitionBy(*keys).orderBy("_bk")
+    bt = bt.select(*keys, "_bk",
+                   F.last("_last", ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
+                   F.first("_first", ignorenulls=True).over(wk.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
+                   F.sum("_cnt").over(Window.partitionBy(*keys)).alias("_nk"))
+    j = base.join(bt, on=[*keys, "_bk"])
+    wb = Window.partitionBy(*keys, "_bk").orderBy(order)
+    j = j.select("*",
+                 F.coalesce(F.last("_k", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)),
+                            F.col("_cp")).alias("_a"),
+                 F.coalesce(F.first("_k", ignorenulls=True).over(wb.rowsBetween(0, Window.unboundedFollowing)),
+                            F.col("_cn")).alias("_b"))
+    a_p, a_v, b_p, b_v = F.col("_a.p"), F.col("_a.v"), F.col("_b.p"), F.col("_b.v")
+    interior = a_v + (b_v - a_v) * ((F.col("pos") - a_p) / (b_p - a_p))
+    filled = F.when(F.col(col).isNotNull(), F.col(col)).when(a_p.isNotNull() & b_p.isNotNull(), interior)
+    if hold_edges:
+        filled = F.when(F.col("_nk") >= 2, F.coalesce(filled, a_v, b_v)).otherwise(F.col(col))
+    return j.select(*df.columns, filled.alias(out))

@@ -175,3 +175,14 @@ def test_long_series_recursive_residuals_equal_window(ref_series):
     assert a.keys() == b.keys() and len(a) == 274
     for m in a:
         assert a[m] == pytest.approx(b[m], rel=1e-7, abs=1e-9)
+
+
+@pytest.mark.parametrize("edges", [False, True])
+def test_long_series_fill_equals_window(spark, edges):
+    p = views.panel_sparse(spark, SF_SMALL, materialize=True).select("entity", "t", "m", "x2")
+    a = {(r.entity, r.m): r.x2_filled for r in WN.fill_linear(p, "x2", K, "m", hold_edges=edges).collect()}
+    b = {(r.entity, r.m): r.x2_filled
+         for r in WN.fill_linear_long(p, "x2", K, "m", "m", bucket_size=5, hold_edges=edges).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], rel=1e-12)
