@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -41,11 +42,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return ready(spark)
 
 
-_SHIPPED: dict[int, str] = {}
+_SHIPPED: set = set()
+_ZIP: list[str] = []
+_LOCK = threading.Lock()
 
 
 def _package_zip() -> str:
     """Zip this package (Python sources only) once per driver process."""
+    if _ZIP:
+        return _ZIP[0]
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="panelstats-pyfiles-")
     path = os.path.join(out_dir, "panelstats.zip")
@@ -55,6 +60,7 @@ def _package_zip() -> str:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    _ZIP.append(path)
     return path
 
 
@@ -63,17 +69,27 @@ def ship_package(spark: SparkSession) -> None:
 
     Arrow UDFs and ``applyInPandas`` functions are pickled by reference to this
     package; the workers import it from a zip that Spark distributes with every
-    task (``addPyFile``; ``addArtifacts`` on Spark Connect). Done once per session.
+    task (``addPyFile``; ``addArtifacts`` on Spark Connect). Once per context;
+    thread-safe; sessions sharing a context share the registration.
     """
-    key = id(spark)
-    if key in _SHIPPED:
-        return
-    path = _package_zip()
-    try:
-        spark.sparkContext.addPyFile(path)
-    except Exception:  # Spark Connect has no SparkContext
-        spark.addArtifacts(path, pyfile=True)
-    _SHIPPED[key] = path
+    with _LOCK:
+        try:
+            sc = spark.sparkContext
+            key = ("sc", sc.applicationId)
+        except Exception:  # Spark Connect has no SparkContext
+            sc, key = None, ("connect", id(spark))
+        if key in _SHIPPED:
+            return
+        path = _package_zip()
+        try:
+            if sc is not None:
+                sc.addPyFile(path)
+            else:
+                spark.addArtifacts(path, pyfile=True)
+        except Exception as e:  # registered before (e.g. by another session): fine
+            if "already" not in str(e).lower():
+                raise
+        _SHIPPED.add(key)
 
 
 def ready(spark: SparkSession) -> SparkSession:
