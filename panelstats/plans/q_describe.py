@@ -77,8 +77,7 @@ def q_null_profile(spark, sf_dir):
     return DS.null_profile(views.panel_sparse(spark, sf_dir, materialize=True), VARS, ["entity"])
 
 
-def _corr_sql(where: str) -> str:
-    pairs = [("y", "x1"), ("y", "x2"), ("x1", "x2")]
+def _corr_sql(where: str) -> tuple[str, str]:
     cells = []
     for a in VARS:
         for b in VARS:
@@ -88,7 +87,6 @@ def _corr_sql(where: str) -> str:
                 x, y = (a, b) if VARS.index(a) < VARS.index(b) else (b, a)
                 r = f"corr({x}, {y})"
             cells.append(f"select entity, '{a}' as var_a, '{b}' as var_b, round({r}, 6) as r from src group by entity")
-    del pairs
     return f"src as (select * from panel_sparse {where})", "\nunion all ".join(cells)
 
 
