@@ -442,15 +442,86 @@ def _robust(kind, param=0, adjust=True):
         p = views.panel(spark, sf_dir, materialize=True)
         fit = O.ols(p, "y", XS, K)
         out = MD.se_table(MD.robust_se(p, fit, "y", XS, K, "m", kind, param, adjust), fit, XS, K)
-        return rounded(out.drop("p_value")) if kind != "nw_prewhite" else out
+        return rounded(out.drop("p_value"))
     q.__doc__ = f"Robust standard errors ({kind}, {param}); t-tail p-values unit-tested."
     return q
 
 
+def _inv3_general(m) -> dict:
+    """Symbolic inverse of a general 3×3 matrix given entry names m(i, j)."""
+    def minor(i, j):
+        r = [a for a in range(3) if a != i]
+        c = [b for b in range(3) if b != j]
+        return f"({m(r[0], c[0])} * {m(r[1], c[1])} - {m(r[0], c[1])} * {m(r[1], c[0])})"
+    det = f"({m(0, 0)} * {minor(0, 0)} - {m(0, 1)} * {minor(0, 1)} + {m(0, 2)} * {minor(0, 2)})"
+    inv = {}
+    for i in range(3):
+        for j in range(3):
+            sign = "" if (i + j) % 2 == 0 else "-"
+            inv[(i, j)] = f"({sign}{minor(j, i)} / {det})"
+    return inv
+
+
+def _prewhite_sql(L: int = 12) -> str:
+    """VAR(1)-prewhitened Newey–West sandwich of the static model (oracle)."""
+    k, p = 2, 3
+    w = _nw(L)
+    c2, det2 = S._inverse_terms(k)
+
+    def M(a, b):
+        if a == 0 and b == 0:
+            quad = " + ".join(f"m{i} * m{j} * {c2[(i, j)]}" for i in range(k) for j in range(k))
+            return f"(1.0 / n + ({quad}) / {det2})"
+        if a == 0 or b == 0:
+            j = (b if a == 0 else a) - 1
+            return f"(-({' + '.join(f'{c2[(j, i)]} * m{i}' for i in range(k))}) / {det2})"
+        return f"({c2[(a - 1, b - 1)]} / {det2})"
+
+    u = ["e", "e * x1", "e * x2"]
+    ru = ("ru as (select entity, m, " + ", ".join(f"{u[a]} as u{a}" for a in range(p)) + ", "
+          + ", ".join(f"lag({u[a]}, 1) over (partition by entity order by m) as l{a}" for a in range(p)) + " from r)")
+    cl = ("cl as (select entity, " + ", ".join(f"sum(u{a} * l{b}) as c{a}{b}" for a in range(p) for b in range(p)) + ", "
+          + ", ".join(f"sum(l{a} * l{b}) as q{a}{b}" for a in range(p) for b in range(p)) + " from ru group by entity)")
+    qinv = _inv3_general(lambda i, j: f"q{i}{j}")
+    am = ("am as (select entity, " + ", ".join(
+        f"({' + '.join(f'c{a}{kk} * {qinv[(kk, b)]}' for kk in range(p))}) as a{a}{b}" for a in range(p) for b in range(p))
+        + " from cl)")
+    ia = _inv3_general(lambda i, j: f"({'1.0' if i == j else '0.0'} - a{i}{j})")
+    dm = "dm as (select *, " + ", ".join(f"{ia[(i, j)]} as d{i}{j}" for i in range(p) for j in range(p)) + " from am)"
+    vr = ("vr as (select ru.entity, ru.m, " + ", ".join(
+        f"u{a} - ({' + '.join(f'a{a}{b} * l{b}' for b in range(p))}) as v{a}" for a in range(p))
+        + " from ru join am using (entity))")
+    lagged = ", ".join(f"lag(v{b}, {l}) over (partition by entity order by m) as v{b}_l{l}"
+                       for l in range(1, L + 1) for b in range(p))
+    vl = f"vl as (select entity, m, v0, v1, v2, v0 as v0_l0, v1 as v1_l0, v2 as v2_l0, {lagged} from vr)"
+    gs = ("gv as (select entity, " + ", ".join(f"coalesce(sum(v{a} * v{b}_l{l}), 0) as g{l}_{a}_{b}"
+                                                for l in range(L + 1) for a in range(p) for b in range(p))
+          + " from vl group by entity)")
+    sv = {}
+    for a in range(p):
+        for b in range(p):
+            terms = [f"{w[0]!r} * g0_{a}_{b}"] + [f"{w[l]!r} * (g{l}_{a}_{b} + g{l}_{b}_{a})" for l in range(1, L + 1)]
+            sv[(a, b)] = "(" + " + ".join(terms) + ")"
+    smat = ("sm as (select gv.entity, " + ", ".join(
+        f"({' + '.join(f'd{a}{i} * {sv[(i, j)]} * d{b}{j}' for i in range(p) for j in range(p))}) as s{a}{b}"
+        for a in range(p) for b in range(p)) + " from gv join dm using (entity))")
+    ses = []
+    for j in range(p):
+        body = " + ".join(f"{M(j, a)} * s{a}{b} * {M(b, j)}" for a in range(p) for b in range(p))
+        ses.append(f"sqrt(n / (n - 3.0) * ({body})) as hse{j}")
+    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS),
+                   "r as (select p.entity, p.m, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from panel p join f using (entity))",
+                   ru, cl, am, dm, vr, vl, gs, smat,
+                   f"hs as (select f.*, {', '.join(ses)} from f join sm using (entity))") + """
+select entity, '(Intercept)' as term, round(b0, 6) as estimate, round(hse0, 6) as se, n - 3 as df_resid, round(b0 / hse0, 6) as t_stat from hs
+union all select entity, 'x1', round(b1, 6), round(hse1, 6), n - 3, round(b1 / hse1, 6) from hs
+union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / hse2, 6) from hs"""
+
+
 register("se_newey_west", sql=_se_table_sql(_nw(12), True))(_robust("nw", 12, True))
 register("se_newey_west6", sql=_se_table_sql(_nw(6), False))(_robust("nw", 6, False))
 register("se_kernel_bartlett", sql=_se_table_sql(_bartlett(12), True))(_robust("bartlett", 12, True))
-register("se_nw_prewhite")(_robust("nw_prewhite", 12, True))
+register("se_nw_prewhite", sql=_prewhite_sql(12))(_robust("nw_prewhite", 12, True))
 
 
 def _series_robust(kind):
