@@ -533,8 +533,63 @@ def _series_robust(kind):
     return q
 
 
+def _nw_auto_sql() -> str:
+    """Newey–West with the automatic (1994) Bartlett lag, via a position self-join (oracle)."""
+    k, p = 2, 3
+    c2, det2 = S._inverse_terms(k)
+
+    def M(a, b):
+        if a == 0 and b == 0:
+            quad = " + ".join(f"m{i} * m{j} * {c2[(i, j)]}" for i in range(k) for j in range(k))
+            return f"(1.0 / n + ({quad}) / {det2})"
+        if a == 0 or b == 0:
+            j = (b if a == 0 else a) - 1
+            return f"(-({' + '.join(f'{c2[(j, i)]} * m{i}' for i in range(k))}) / {det2})"
+        return f"({c2[(a - 1, b - 1)]} / {det2})"
+
+    u = ["e", "e * x1", "e * x2"]
+    ru = ("ru as (select entity, row_number() over (partition by entity order by m) as pos, "
+          + ", ".join(f"{u[a]} as u{a}" for a in range(p)) + ", e * x1 + e * x2 as uw, "
+          "count(*) over (partition by entity) as nn from r)")
+    nl = "nl as (select entity, any_value(nn) as nn, cast(floor(4 * pow(any_value(nn) / 100.0, 2.0 / 9)) as integer) as nlag from ru group by entity)"
+    sg = """sg as (select a.entity, a.pos - b.pos as j, sum(a.uw * b.uw) / any_value(nl.nn) as sig
+  from ru a join ru b on a.entity = b.entity and b.pos <= a.pos join nl on nl.entity = a.entity
+  where a.pos - b.pos <= nl.nlag group by a.entity, a.pos - b.pos)"""
+    bw = """bw as (select sg.entity, any_value(nl.nn) as nn,
+  sum(case when j = 0 then sig else 2 * sig end) as s0, sum(2 * j * sig) as s1
+  from sg join nl using (entity) group by sg.entity)"""
+    lg = "lg as (select entity, 1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(nn, 1.0 / 3) as lag from bw)"
+    pairs = []
+    for a in range(p):
+        for b in range(p):
+            pairs.append(f"sum(case when x.pos = y.pos then x.u{a} * y.u{b} else (1 - (x.pos - y.pos) / (lg.lag + 1)) "
+                         f"* (x.u{a} * y.u{b} + x.u{b} * y.u{a}) end) as s{a}{b}")
+    sm = ("sm as (select x.entity, " + ", ".join(pairs) + " from ru x join ru y on x.entity = y.entity and y.pos <= x.pos "
+          "join lg on lg.entity = x.entity where x.pos - y.pos <= floor(lg.lag) group by x.entity)")
+    ses = []
+    for j in range(p):
+        body = " + ".join(f"{M(j, a)} * s{a}{b} * {M(b, j)}" for a in range(p) for b in range(p))
+        ses.append(f"sqrt(n / (n - 3.0) * ({body})) as hse{j}")
+    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS),
+                   "r as (select p.entity, p.m, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from panel p join f using (entity))",
+                   ru, nl, sg, bw, lg, sm,
+                   f"hs as (select f.*, lg.lag as bandwidth, {', '.join(ses)} from f join sm using (entity) join lg using (entity))") + """
+select entity, '(Intercept)' as term, round(b0, 6) as estimate, round(hse0, 6) as se, n - 3 as df_resid, round(b0 / hse0, 6) as t_stat, round(bandwidth, 6) as bandwidth from hs
+union all select entity, 'x1', round(b1, 6), round(hse1, 6), n - 3, round(b1 / hse1, 6), round(bandwidth, 6) from hs
+union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / hse2, 6), round(bandwidth, 6) from hs"""
+
+
+def _nw_auto_query(spark, sf_dir):
+    """RG16: Newey–West with the automatic Bartlett lag, per series (t-tail p unit-tested)."""
+    p = views.panel(spark, sf_dir, materialize=True)
+    fit = O.ols(p, "y", XS, K)
+    se = MD.series_robust_se(p, fit, "y", XS, K, "m", "nw_auto")
+    out = MD.se_table(se.drop("bandwidth"), fit, XS, K).join(se.select(*K, "bandwidth"), K)
+    return rounded(out.drop("p_value"))
+
+
 register("se_hac_qs")(_series_robust("qs_andrews"))
-register("se_nw_auto")(_series_robust("nw_auto"))
+register("se_nw_auto", sql=_nw_auto_sql())(_nw_auto_query)
 
 
 @register("effect_labels")
