@@ -588,7 +588,67 @@ def _nw_auto_query(spark, sf_dir):
     return rounded(out.drop("p_value"))
 
 
-register("se_hac_qs")(_series_robust("qs_andrews"))
+def _qs_sql() -> str:
+    """Quadratic-spectral HAC with Andrews' AR(1) bandwidth (scores of x1, x2),
+    all lags up to the last weight above 1e-7, via a position self-join (oracle)."""
+    k, p = 2, 3
+    c2, det2 = S._inverse_terms(k)
+
+    def M(a, b):
+        if a == 0 and b == 0:
+            quad = " + ".join(f"m{i} * m{j} * {c2[(i, j)]}" for i in range(k) for j in range(k))
+            return f"(1.0 / n + ({quad}) / {det2})"
+        if a == 0 or b == 0:
+            j = (b if a == 0 else a) - 1
+            return f"(-({' + '.join(f'{c2[(j, i)]} * m{i}' for i in range(k))}) / {det2})"
+        return f"({c2[(a - 1, b - 1)]} / {det2})"
+
+    u = ["e", "e * x1", "e * x2"]
+    ru = ("ru as (select entity, row_number() over (partition by entity order by m) as pos, "
+          + ", ".join(f"{u[a]} as u{a}" for a in range(p)) + ", count(*) over (partition by entity) as nn, "
+          + ", ".join(f"lag({u[a]}, 1) over (partition by entity order by m) as l{a}" for a in (1, 2)) + " from r)")
+    rho = ("rh as (select entity, any_value(nn) as nn, " + ", ".join(
+        f"sum(u{a} * l{a}) / sum(l{a} * l{a}) as rho{a}" for a in (1, 2)) + " from ru group by entity)")
+    sg = ("sg as (select ru.entity, any_value(rh.nn) as nn, " + ", ".join(
+        f"any_value(rho{a}) as rho{a}, sum((u{a} - rho{a} * l{a}) * (u{a} - rho{a} * l{a})) / (any_value(rh.nn) - 1) as s{a}"
+        for a in (1, 2)) + " from ru join rh using (entity) group by ru.entity)")
+    num = " + ".join(f"4 * rho{a} * rho{a} * s{a} * s{a} / pow(1 - rho{a}, 8)" for a in (1, 2))
+    den = " + ".join(f"s{a} * s{a} / pow(1 - rho{a}, 4)" for a in (1, 2))
+    bw = f"bw as (select entity, nn, 1.3221 * pow(({num}) / ({den}) * nn, 0.2) as bw from sg)"
+    wl = ("case when l = 0 then 1.0 else 25 / (12 * pi() * pi() * (l / bw) * (l / bw)) * "
+          "(sin(6 * pi() * (l / bw) / 5) / (6 * pi() * (l / bw) / 5) - cos(6 * pi() * (l / bw) / 5)) end")
+    ww = f"ww as (select bw.entity, r.range as l, {wl} as w from bw, range(0, 100000) r where r.range < bw.nn)"
+    cut = "cut as (select entity, max(l) as lcut from ww where abs(w) > 1e-7 group by entity)"
+    pairs = []
+    for a in range(p):
+        for b in range(p):
+            pairs.append(f"sum(case when x.pos = y.pos then x.u{a} * y.u{b} else ww.w * (x.u{a} * y.u{b} + x.u{b} * y.u{a}) end) as s{a}{b}")
+    sm = ("sm as (select x.entity, " + ", ".join(pairs) + " from ru x join ru y on x.entity = y.entity and y.pos <= x.pos "
+          "join cut on cut.entity = x.entity join ww on ww.entity = x.entity and ww.l = x.pos - y.pos "
+          "where x.pos - y.pos <= cut.lcut group by x.entity)")
+    ses = []
+    for j in range(p):
+        body = " + ".join(f"{M(j, a)} * s{a}{b} * {M(b, j)}" for a in range(p) for b in range(p))
+        ses.append(f"sqrt(n / (n - 3.0) * ({body})) as hse{j}")
+    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS),
+                   "r as (select p.entity, p.m, p.x1, p.x2, p.y - (f.b0 + f.b1 * p.x1 + f.b2 * p.x2) as e from panel p join f using (entity))",
+                   ru, rho, sg, bw, ww, cut, sm,
+                   f"hs as (select f.*, bw.bw as bandwidth, {', '.join(ses)} from f join sm using (entity) join bw using (entity))") + """
+select entity, '(Intercept)' as term, round(b0, 6) as estimate, round(hse0, 6) as se, n - 3 as df_resid, round(b0 / hse0, 6) as t_stat, round(bandwidth, 6) as bandwidth from hs
+union all select entity, 'x1', round(b1, 6), round(hse1, 6), n - 3, round(b1 / hse1, 6), round(bandwidth, 6) from hs
+union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / hse2, 6), round(bandwidth, 6) from hs"""
+
+
+def _qs_query(spark, sf_dir):
+    """RG17: quadratic-spectral HAC with Andrews' bandwidth, per series (t-tail p unit-tested)."""
+    p = views.panel(spark, sf_dir, materialize=True)
+    fit = O.ols(p, "y", XS, K)
+    se = MD.series_robust_se(p, fit, "y", XS, K, "m", "qs_andrews")
+    out = MD.se_table(se.drop("bandwidth"), fit, XS, K).join(se.select(*K, "bandwidth"), K)
+    return rounded(out.drop("p_value"))
+
+
+register("se_hac_qs", sql=_qs_sql())(_qs_query)
 register("se_nw_auto", sql=_nw_auto_sql())(_nw_auto_query)
 
 
