@@ -662,25 +662,48 @@ def q_effect_labels(spark, sf_dir):
                     L.effect_label(F.col("estimate"), F.col("p_value")).alias("effect"))
 
 
-@register("model_table")
+def _model_table_sql() -> str:
+    labels = [w[0] for w in LIT.WINDOWS]
+    flags = ", ".join(f"case when m >= {LIT.month_number(a)} and m <= {LIT.month_number(b)} then 1.0 else 0.0 end as {l}"
+                      for l, a, b in LIT.WINDOWS)
+    lab = ("case term " + " ".join(f"when '{k}' then '{v}'" for k, v in L.VARIABLE_LABELS.items()) + " else term end")
+    terms = [*XS, *labels]
+    ctes = [S.PANEL, *S.ols_ctes("fs", "panel", "y", XS), _LAG1_CTE, *S.ols_ctes("fl", "lg", "y", ["x1", "x2", "y_l1"]),
+            f"f as (select entity, y, x1, x2, 1.0 as one, {flags} from panel)"]
+    parts = []
+    for i, t in enumerate(["(Intercept)", *XS]):
+        parts.append(f"select entity, 'static' as model, '{t}' as term, b{i} as estimate, se{i} as se from fs")
+    for i, t in enumerate(["(Intercept)", *XS, "y_l1"]):
+        parts.append(f"select entity, 'lag1', '{t}', b{i}, se{i} from fl")
+    ctes += S.mgs_ctes("ci", "f", "y", [*terms, "one"], center=False)
+    parts.append("select entity, 'shift', '(Intercept)', b_last, se_last from ci")
+    for i, t in enumerate(terms):
+        ctes += S.mgs_ctes(f"c{i}", "f", "y", [x for x in terms if x != t] + [t])
+        parts.append(f"select entity, 'shift', '{t}', b_last, se_last from c{i}")
+    ctes.append("u as (" + " union all ".join(parts) + ")")
+    return S.with_(*ctes) + f"""
+select entity, model, term, {lab} as label, round(estimate, 6) as estimate, round(se, 6) as se,
+       round(estimate / se, 6) as t_stat from u"""
+
+
+@register("model_table", sql=_model_table_sql())
 def q_model_table(spark, sf_dir):
     """SC8: tidy comparison table of the static, lag-1 and shift models (terms × models),
-    written as Parquet to the shared scratch folder and read back."""
+    written as Parquet to the shared scratch folder and read back (t-tail p unit-tested)."""
     from ..sources import csv as C
     p = views.panel(spark, sf_dir, materialize=True)
     d = WN.lags(p, "y", K, "m", [1])
     f, fu, xs_shift = shift_model(p)
     parts = [
-        O.coef_table(O.ols(p, "y", XS, K), XS, K).withColumn("model", F.lit("static")),
-        O.coef_table(O.ols(d, "y", [*XS, "y_l1"], K), [*XS, "y_l1"], K).withColumn("model", F.lit("lag1")),
-        O.coef_table(fu, xs_shift, K).withColumn("model", F.lit("shift")),
+        O.coef_table(O.ols(p, "y", XS, K), XS, K, with_p=False).withColumn("model", F.lit("static")),
+        O.coef_table(O.ols(d, "y", [*XS, "y_l1"], K), [*XS, "y_l1"], K, with_p=False).withColumn("model", F.lit("lag1")),
+        O.coef_table(fu, xs_shift, K, with_p=False).withColumn("model", F.lit("shift")),
     ]
     tidy = union_by_name(*parts).select("entity", "model", "term", L.recode(F.col("term")).alias("label"),
-                                        "estimate", "se", "t_stat", "p_value")
+                                        "estimate", "se", "t_stat")
     path = C.scratch_path(spark, "model-table")
     tidy.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
+    return rounded(spark.read.parquet(path))
 
 @register("se_hc1_rows", sql=_hc1_sql(2, S.ROWS, "rows"))
 def q_se_hc1_rows(spark, sf_dir):
