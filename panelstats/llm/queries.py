@@ -47,11 +47,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(render(fold_events(log)))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; trees fitted on labelled documents."""
+    from .quality import score, train
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return score(docs, train(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op7_chat_format": op7_chat_format,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 
