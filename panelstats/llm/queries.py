@@ -47,6 +47,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(render(fold_events(log)))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded with a public vocabulary file."""
+    import public_tokenizers
+
+    from .bpe import encode
+    out = encode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
+                      .alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; trees fitted on labelled documents."""
     from .quality import score, train
@@ -56,6 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
