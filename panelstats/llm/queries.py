@@ -47,6 +47,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(render(fold_events(log)))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a Jaccard of 0.9 or more."""
+    from .ngram_join import groups
+    return groups(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=90)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded with a public vocabulary file."""
     import public_tokenizers
@@ -68,6 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
