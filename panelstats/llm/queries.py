@@ -65,6 +65,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte in a 400-byte string that also starts elsewhere removed."""
+    from .suffix_dedup import remove_repeats, report
+    return report(remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; trees fitted on labelled documents."""
     from .quality import score, train
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
