@@ -71,6 +71,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log probabilities of all documents, learnt from nine tenths of them."""
+    from .lm import score
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; trees fitted on labelled documents."""
     from .quality import score, train
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op7_chat_format": op7_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
 }
 
