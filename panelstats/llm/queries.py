@@ -65,6 +65,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's template."""
+    from .html_extract import main_text
+    out = main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte in a 400-byte string that also starts elsewhere removed."""
     from .suffix_dedup import remove_repeats, report
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
+    "op6_html_extract": op6_html_extract,
     "op7_chat_format": op7_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_score": op9_lm_score,
