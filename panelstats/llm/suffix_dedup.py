@@ -178,8 +178,10 @@ def _cut(b: Block, i: int, lo: list[int], n: list[int], length: int) -> tuple[by
     return raw[~gone].tobytes(), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``kept`` (binary) and ``spans`` (removed [from, to) in bytes)."""
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text",
+                   as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` plus ``kept`` and ``spans`` (removed [from, to) in bytes).
+    ``kept`` is binary; with ``as_text`` a string, in which a character cut in two is gone."""
     runs = repeated_runs(docs, length, key, text).groupBy("doc") \
         .agg(F.collect_set(F.struct("lo", "n")).alias("runs")) \
         .select(F.col("doc").alias("_doc"), F.col("runs.lo").alias("_lo"), F.col("runs.n").alias("_n"))
@@ -188,6 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     rows = docs.withColumn("_key", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))) \
         .join(runs, F.col("_key") == F.col("_doc"), "left").select(*names, "_lo", "_n")
     at = names.index(text)
+    kept_type = pa.string() if as_text else pa.binary()
     out_type = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +199,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
                 part = batch.slice(b.first, b.n)
                 lo, n = part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()
                 done = [_cut(b, i, lo[i], n[i], length) if lo[i] else (b.text(i), []) for i in range(b.n)]
+                kept = [k.decode("utf-8", "ignore") if as_text else k for k, _ in done]
                 spans = [[{"from": x, "to": y} for x, y in s] for _, s in done]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k) for k in range(len(names))], pa.array([k for k, _ in done], pa.binary()),
+                    [*[part.column(k) for k in range(len(names))], pa.array(kept, kept_type),
                      pa.array(spans, out_type)], names=[*names, "kept", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, schema + ", kept binary, spans array<struct<`from`:int,`to`:int>>")
+    return rows.mapInArrow(run, schema + f", kept {'string' if as_text else 'binary'}, spans array<struct<`from`:int,`to`:int>>")
 
 
 def report(removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,9 +221,7 @@ def report(removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with their repeats cut out; a character cut in two goes whole, and
     documents with nothing but blanks left are dropped if they lost something."""
-    rows = remove_repeats(docs, length, key, text)
-    kept = F.when(F.size("spans") == 0, F.col(text)) \
-        .otherwise(F.replace(F.decode(F.col("kept"), "UTF-8"), F.lit("�"), F.lit("")))
-    rows = rows.withColumn("_text", kept)
-    rows = rows.where((F.size("spans") == 0) | (F.length(F.trim("_text")) > 0))
-    return rows.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    rows = remove_repeats(docs, length, key, text, as_text=True)
+    rows = rows.where((F.size("spans") == 0) | (F.length(F.trim("kept")) > 0))
+    kept = F.when(F.size("spans") == 0, F.col(text)).otherwise(F.col("kept")).alias(text)
+    return rows.select(*[kept if c == text else F.col(c) for c in docs.columns])
