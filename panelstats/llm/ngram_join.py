@@ -10,12 +10,14 @@ room for enough common shingles (positional filter); a histogram of each set
 bounds their difference from below (suffix filter). Survivors are compared once
 each on their whole sets.
 
-A list of classes under one shingle is never expanded into all its pairs: in two
-rounds each class is compared with the list's smallest class only; verified links
-are closed into components, and lists whose members are in one component are
-finished. What two rounds leave over is joined pair by pair across components,
-so every link between different components is found, however long a list is.
-Components are therefore exact; links inside a component are not all listed.
+A list of classes under one shingle is not expanded into all its pairs: each class
+is compared with one of the list only; verified links are closed into components,
+and lists whose other members are in one component are finished. The classes in
+the unfinished lists get new prefixes in the exact rare-first order of their own
+shingles, go through such rounds again, and what three rounds leave over is
+joined pair by pair across components. So every link between different
+components is found, however long a list is. Components are therefore exact;
+links inside a component are not all listed.
 
 Defined results: a null, empty or blank text has no shingles and links with
 nothing; equal texts share a component; repeated rows each get a row; null ids
@@ -26,7 +28,6 @@ result; other columns are ignored (``one_per_group`` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,22 +131,26 @@ def needed_overlap(x: Column, y: Column, percent: int) -> Column:
     return F.ceil((x + y) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _fits(xs: Column, xp: Column, ys: Column, yp: Column, percent: int) -> Column:
-    """Length and positional filter for one common shingle at positions xp, yp."""
-    room = F.least(xp, yp) + 1 + F.least(xs - xp - 1, ys - yp - 1)
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Length and positional filter for a common shingle: before it, at most ``shared``
+    shingles can be common, after it at most the shorter rest."""
+    def get(f):
+        return F.col(f"{x}.{f}"), F.col(f"{y}.{f}")
+
+    (xs, ys), (xp, yp), (xq, yq) = get("size"), get("pos"), get("shared")
+    room = F.least(xq, yq) + 1 + F.least(xs - xp - 1, ys - yp - 1)
     return (F.least(xs, ys) * 100 >= F.greatest(xs, ys) * percent) & (room >= needed_overlap(xs, ys, percent))
 
 
 class Linker:
-    """Verifies candidate pairs of classes and keeps the links found so far."""
+    """Verifies candidate pairs of classes and keeps the components found so far."""
 
     def __init__(self, docs: DataFrame, profiles: DataFrame, n: int, percent: int, key: str, text: str):
         self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         self.n, self.percent = n, percent
         seen = profiles.where(F.col("cls").isNotNull())
-        self.reps = seen.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins"),
-                                            F.first("size").alias("size"))
-        self.links: list[DataFrame] = []
+        self.reps = stage_table(seen.groupBy("cls").agg(
+            F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.first("size").alias("size")), "classes")
         self.comps: DataFrame | None = None
 
     def sets(self, pairs: DataFrame) -> DataFrame:
@@ -192,8 +197,22 @@ class Linker:
         both = F.size(F.array_intersect("xs", "ys"))
         found = p.withColumn("both", both) \
             .where(100 * F.col("both") >= self.percent * (F.size("xs") + F.size("ys") - F.col("both")))
-        self.links.append(stage_table(found.select(F.col("x").alias("a"), F.col("y").alias("b")), "links"))
-        self.comps = stage_table(components(reduce(DataFrame.unionByName, self.links)), "components")
+        links = stage_table(found.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        if links.isEmpty():
+            return
+        if self.comps is None:
+            self.comps = stage_table(components(links), "components")
+            return
+        # the new links join components; their names are few, so this graph is small
+        old = self.comps
+        named = links.join(old.select(F.col("node").alias("a"), F.col("comp").alias("ac")), "a", "left") \
+            .join(old.select(F.col("node").alias("b"), F.col("comp").alias("bc")), "b", "left") \
+            .select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+        new = components(named).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        moved = old.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        fresh = new.join(old.select(F.col("node").alias("comp")), "comp", "left_anti") \
+            .select(F.col("comp").alias("node"), F.col("to").alias("comp"))
+        self.comps = stage_table(moved.unionByName(fresh), "components")
 
     def close(self, candidates: DataFrame) -> None:
         """Verify candidate rows (x, y): for each class the partner of most common
@@ -210,24 +229,16 @@ class Linker:
             self.verify(rest, sets)
 
 
-def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``; two documents link when 100 times their
-    common shingles are at least ``percent`` times their united ones."""
-    profiles = profile(docs, n, key, text)
-    freq = frequency_table(profiles)
-    linker = Linker(docs, profiles, n, percent, key, text)
-    post = postings(docs, freq, n, percent, text)
-    shared = post.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
-        .where(F.col("lo") != F.col("hi")).select("token")
-    lists = stage_table(post.join(shared, "token").distinct(), "lists")
-    for _ in range(2):
-        hub = lists.groupBy("token").agg(F.min(F.struct("size", "cls", "pos")).alias("hub"))
-        near = lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls")) \
-            .where(_fits(F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos"), percent)) \
-            .select(F.col("cls").alias("x"), F.col("hub.cls").alias("y"))
-        linker.close(near)
-        # the hub has met all members; lists within one component are finished
-        rest = lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls")).drop("hub")
+def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
+    """Compare the members of each list with one of them (least ``rank``), close the
+    links, and go on with the lists whose other members are in several components."""
+    percent = linker.percent
+    for _ in range(most):
+        hub = lists.groupBy("token").agg(F.min(F.struct("rank", "cls", "size", "pos", "shared")).alias("hub"))
+        met = stage_table(lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls")), "met")
+        near = met.select("hub", F.struct("cls", "size", "pos", "shared").alias("own")).where(_fits("own", "hub", percent))
+        linker.close(near.select(F.col("own.cls").alias("x"), F.col("hub.cls").alias("y")))
+        rest = met.drop("hub", "comp")
         if linker.comps is not None:
             c = linker.comps.select(F.col("node").alias("cls"), "comp")
             rest = rest.join(c, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -235,15 +246,51 @@ def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
             rest = rest.withColumn("comp", F.col("cls"))
         mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
             .where(F.col("lo") != F.col("hi")).select("token")
-        lists = stage_table(rest.drop("comp").join(mixed, "token"), "lists")
+        lists = stage_table(rest.join(mixed, "token"), "lists")
         if lists.isEmpty():
             break
-    else:
-        a, b = lists.alias("a"), lists.alias("b")
-        left = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls"))
-                      & _fits(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos"), percent)) \
-            .select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))
-        linker.close(left)
+    return lists
+
+
+def _exact_lists(linker: Linker, classes: DataFrame) -> DataFrame:
+    """Prefix lists of some classes, in the exact rare-first order of their own shingles.
+    ``shared`` counts the shingles before that any other of these classes has, so
+    shingles of one class alone leave no room in the positional filter."""
+    percent = linker.percent
+    sets = linker.sets(classes.select(F.col("cls").alias("x"), F.col("cls").alias("y")))
+    each = sets.select("cls", F.explode("shingles").alias("token"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    ordered = each.join(often, "token").groupBy("cls") \
+        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all"))
+    size = F.size("all")
+    alone = F.size(F.filter("all", lambda t: t["often"] == 1))
+    keep = (size - F.ceil(size * F.lit(percent) / 100 - F.lit(1e-9)) + 1).cast("int")
+    at = ordered.select("cls", size.alias("size"), alone.alias("rank"), F.posexplode(F.slice("all", F.lit(1), keep)).alias("pos", "t"))
+    rows = at.where(F.col("t.often") > 1).select(
+        F.col("t.token").alias("token"), "cls", "size", "pos", (F.col("pos") - F.col("rank")).alias("shared"), "rank")
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("token")
+    return stage_table(rows.join(several, "token"), "exact-lists")
+
+
+def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``; two documents link when 100 times their
+    common shingles are at least ``percent`` times their united ones."""
+    profiles = profile(docs, n, key, text)
+    freq = frequency_table(profiles)
+    linker = Linker(docs, profiles, n, percent, key, text)
+    post = postings(docs, freq, n, percent, text)
+    several = post.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
+        .where(F.col("lo") != F.col("hi")).select("token")
+    lists = stage_table(post.join(several, "token").distinct()
+                        .withColumn("shared", F.col("pos")).withColumn("rank", F.col("size")), "lists")
+    left = _hub_rounds(lists, linker, 1)
+    if not left.isEmpty():
+        left = _hub_rounds(_exact_lists(linker, left.select("cls").distinct()), linker, 3)
+    if not left.isEmpty():
+        a, b = (left.select("token", F.struct("cls", "size", "pos", "shared", "comp").alias(c)) for c in "ab")
+        pairs = a.join(b, "token").where((F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
+                                         & _fits("a", "b", percent))
+        linker.close(pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")))
     rows = profiles.where(F.col("counts").isNull()).select("doc_id", F.col("size").alias("n_shingles"), "cls")
     if linker.comps is not None:
         c = linker.comps.select(F.col("node").alias("cls"), "comp")
