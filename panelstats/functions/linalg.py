@@ -33,14 +33,33 @@ SOLVE_SCHEMA = T.StructType([
 
 
 def stack(series: pd.Series, width: int) -> np.ndarray:
-    """Arrow list column → (G, width) float array; NULL lists/elements → NaN."""
-    out = np.full((len(series), width), np.nan)
-    for i, v in enumerate(series.to_numpy()):
-        if v is not None and len(v) == width:
-            out[i] = np.asarray(v, dtype=float)
+    """Arrow list column → (G, width) float array; NULL lists/elements and lists of
+    another length → NaN. The lists are flattened once."""
+    import pyarrow as pa
+
+    col = pa.array(series, type=pa.list_(pa.float64()), from_pandas=True)
+    out = np.full((len(col), width), np.nan)
+    fits = np.asarray(col.value_lengths().fill_null(-1)) == width
+    if width and fits.any():
+        flat = col.filter(pa.array(fits)).flatten()
+        out[fits] = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
     return out
 
 
+def pivot_keep(M: np.ndarray) -> np.ndarray:
+    """Columns of symmetric cross-product matrices that pass the pivot test."""
+    G, p = M.shape[0], M.shape[-1]
+    return alias_mask(M, np.ones(G), np.zeros((G, p)))
+
+
+def safe_inv(M: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Batched inverse on the columns that pass the pivot test (zero elsewhere), and
+    the mask: a singular group loses columns, it never stops the batch."""
+    keep = pivot_keep(M) if keep is None else keep
+    inv = np.linalg.inv(masked_system(np.where(np.isfinite(M), M, 0.0), keep))
+    return inv * (keep[:, :, None] & keep[:, None, :]), keep
+
+
 def masked_system(S: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Replace rows/cols of dropped columns by the identity so a batched solve works."""
     k = S.shape[-1]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import norm_cdf
-from ..functions.linalg import stack
+from ..functions.linalg import alias_mask, masked_system, safe_inv, stack
 from . import ols as O
 
 # Fixed value: 95 % likelihood-ratio bound for a break date (Hansen 2000 form).
@@ -92,9 +92,12 @@ def _segment_rss(c, P, q):
         s = C[:, :k, k]
         syy = C[:, k, k]
         ok = c > k + 1
-        Sm = np.where(ok[:, None, None], S, np.eye(k)[None])
-        b = np.linalg.solve(Sm, s[..., None])[..., 0]
-        rss = syy - np.einsum("gi,gi->g", b, s)
+        # a column that is constant or collinear within a segment is aliased there
+        S = np.where(ok[:, None, None], S, np.eye(k)[None])
+        keep = alias_mask(S, c, s1[:, :k] / c[:, None])
+        sk = np.where(keep, s, 0.0)
+        b = np.linalg.solve(masked_system(S, keep), sk[..., None])[..., 0]
+        rss = syy - np.einsum("gi,gi->g", b, sk)
     return np.where(ok, rss, np.nan)
 
 
@@ -176,9 +179,14 @@ def regime_from_break(df: DataFrame, breaks: DataFrame, keys: Sequence[str], ord
 
 # ---------------------------------------------------------- CUSUM / MOSUM
 def kolmogorov_p(x: F.Column, terms: int = 100) -> F.Column:
-    """P(sup|Brownian bridge| > x) = 2 Σ_{j≥1} (−1)^{j+1} exp(−2 j² x²) (JVM-side)."""
-    return 2 * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-                           lambda acc, j: acc + F.pow(F.lit(-1.0), j + 1) * F.exp(-2 * j * j * x * x))
+    """P(sup|Brownian bridge| > x) = 2 Σ_{j≥1} (−1)^{j+1} exp(−2 j² x²) (JVM-side); below
+    1 by the dual series 1 − √(2π)/x Σ exp(−(2j − 1)² π² / 8x²), which converges there."""
+    upper = 2 * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
+                            lambda acc, j: acc + F.pow(F.lit(-1.0), j + 1) * F.exp(-2 * j * j * x * x))
+    lower = 1 - F.try_divide(F.lit(math.sqrt(2 * math.pi)), x) * F.aggregate(
+        F.sequence(F.lit(1), F.lit(10)), F.lit(0.0),
+        lambda acc, j: acc + F.exp(-F.try_divide((2 * j - 1) * (2 * j - 1) * F.lit(math.pi ** 2), 8 * x * x)))
+    return F.when(x <= 0, F.lit(1.0)).when(x < 1, lower).otherwise(upper)
 
 
 def ols_cusum(res: DataFrame, keys: Sequence[str], order: str, p: int,
@@ -248,9 +256,12 @@ def recursive_resid_udf(pre_prev: pd.Series, row: pd.Series, pos: pd.Series) ->
     x, yv = R[:, :-1], R[:, -1]
     ok = np.isfinite(P).all(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
-        det = np.linalg.det(np.where(ok[:, None, None], XtX, np.eye(q - 1)[None]))
-        ok &= np.abs(det) > 1e-300
-        inv = np.linalg.inv(np.where(ok[:, None, None], XtX, np.eye(q - 1)[None]))
+        # aliased columns drop out, as in ``ols``; a row that moves along a dropped
+        # direction cannot be predicted from the rows before it
+        inv, keep = safe_inv(np.where(ok[:, None, None], XtX, np.eye(q - 1)[None]))
+        proj = np.einsum("gij,gjk->gik", inv, XtX)
+        gap = np.abs(x - np.einsum("gik,gi->gk", proj, x)) > 1e-6 * np.maximum(1.0, np.abs(x))
+        ok &= ~gap.any(axis=1)
         b = np.einsum("gij,gj->gi", inv, Xty)
         f = 1.0 + np.einsum("gi,gij,gj->g", x, inv, x)
         w = (yv - np.einsum("gi,gi->g", x, b)) / np.sqrt(f)
@@ -346,8 +357,10 @@ def _rss_triangle(X: np.ndarray, y: np.ndarray, h: int, block: int = 1 << 20) ->
         C = s2 - s1[:, :, None] * s1[:, None, :] / c[:, None, None]
         Sxx, sxy, syy = C[:, :k, :k], C[:, :k, k], C[:, k, k]
         if k:
-            b = np.linalg.solve(Sxx + 0.0, sxy[..., None])[..., 0]
-            rss = syy - np.einsum("gi,gi->g", b, sxy)
+            keep = alias_mask(Sxx, c, s1[:, :k] / c[:, None])
+            rhs = np.where(keep, sxy, 0.0)
+            b = np.linalg.solve(masked_system(Sxx, keep), rhs[..., None])[..., 0]
+            rss = syy - np.einsum("gi,gi->g", b, rhs)
         else:
             rss = syy
         R[I, J] = rss
@@ -358,7 +371,7 @@ def bai_perron_series(X: np.ndarray, y: np.ndarray, h: int, max_breaks: int):
     """Dynamic programme: for m = 0..M the optimal RSS and break ends (0-based)."""
     n = len(y)
     R = _rss_triangle(X, y, h)
-    M = min(max_breaks, n // h - 1)
+    M = max(0, min(max_breaks, n // h - 1))
     best = [R[0].copy()]
     arg = [np.full(n, -1)]
     kk = np.arange(n)
@@ -409,10 +422,13 @@ def bai_perron(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], or
         rows = []
         p = X.shape[1]
         for m, rss, ends in bai_perron_series(X, yy, max(hh, p + 1), max_breaks):
-            ll = -n / 2 * (math.log(rss) + 1 - math.log(n) + math.log(2 * math.pi))
             dfree = (p + 1) * (m + 1)
             row = {k: pdf[k].iloc[0] for k in keys}
-            row.update(breaks=m, rss=rss, bic=-2 * ll + dfree * math.log(n), aic=-2 * ll + 2 * dfree,
+            # too short for one segment: a row without figures; a perfect fit has no likelihood
+            ll = -n / 2 * (math.log(rss) + 1 - math.log(n) + math.log(2 * math.pi)) if rss > 0 else None
+            row.update(breaks=m, rss=rss if math.isfinite(rss) else None,
+                       bic=None if ll is None else -2 * ll + dfree * math.log(n),
+                       aic=None if ll is None else -2 * ll + 2 * dfree,
                        break_pos=[e + 1 for e in ends], **{f"break_{order}": [pdf[order].iloc[e] for e in ends]})
             rows.append(row)
         return pd.DataFrame(rows)

@@ -227,8 +227,8 @@ def partial_autocorrelations(acf: DataFrame, keys: Sequence[str]) -> DataFrame:
         .select(*keys, (F.col("_i") + 1).alias("lag"), "pacf")
 
 
-# Dickey–Fuller critical values, trend case (public table); rows are
-# sample sizes 25, 50, 100, 250, 500, ∞ and columns the probabilities below.
+# Dickey–Fuller critical values, trend case (public table); rows are the
+# probabilities below and columns the sample sizes 25, 50, 100, 250, 500, ∞.
 ADF_SIZES = (25, 50, 100, 250, 500, 100000)
 ADF_PROBS = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
 ADF_TABLE = (
@@ -243,25 +243,36 @@ ADF_TABLE = (
 )
 
 
-def adf_pvalue(stat: float, n: float) -> float:
-    crit = [np.interp(n, ADF_SIZES, [-v for v in row]) for row in ADF_TABLE]
-    return float(np.interp(stat, crit, ADF_PROBS))
+def adf_pvalue(stat, n) -> np.ndarray:
+    """Interpolated p-values of arrays of statistics and sample sizes: the critical
+    values at each n first, then the probability between them (clamped)."""
+    stat, n = np.atleast_1d(np.asarray(stat, float)), np.atleast_1d(np.asarray(n, float))
+    crit = np.stack([np.interp(n, ADF_SIZES, [-v for v in row]) for row in ADF_TABLE], axis=1)
+    probs = np.asarray(ADF_PROBS)
+    j = np.clip((stat[:, None] > crit).sum(axis=1), 1, len(probs) - 1)
+    rows = np.arange(len(stat))
+    lo, hi = crit[rows, j - 1], crit[rows, j]
+    p = probs[j - 1] + (stat - lo) * (probs[j] - probs[j - 1]) / (hi - lo)
+    return np.where(np.isfinite(stat), np.clip(p, probs[0], probs[-1]), np.nan)
 
 
 @F.pandas_udf(T.DoubleType())
 def adf_pvalue_udf(stat: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([adf_pvalue(s, nn) if np.isfinite(s) else None for s, nn in zip(stat, n)])
+    p = pd.Series(adf_pvalue(stat.to_numpy(dtype=float, na_value=np.nan), n.to_numpy(dtype=float, na_value=np.nan)))
+    return p.where(p.notna(), None)
 
 
 def adf(df: DataFrame, col: str, keys: Sequence[str], order: str) -> DataFrame:
     """DG10: augmented Dickey–Fuller with trend: Δy_t on y_{t−1}, 1, t and
     Δy_{t−1..t−k}, k = trunc((N−1)^(1/3)); statistic = t of the lagged level;
-    p by linear interpolation in the critical-value table (clamped to [0.01, 0.99])."""
+    p by linear interpolation in the critical-value table (clamped to [0.01, 0.99]).
+    The number of lag columns follows from the longest series present (one scalar)."""
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     w = Window.partitionBy(*keys).orderBy(order)
     nn = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     d = df.select(*keys, order, col).withColumn("_N", nn).withColumn("_pos", F.row_number().over(w))
     d = d.withColumn("_k", F.floor(F.pow(F.col("_N") - 1, 1.0 / 3)).cast("int"))
-    maxk = 12
+    maxk = int(math.floor((longest - 1) ** (1.0 / 3) + 1e-9)) + 2
     d = d.select("*", (F.col(col) - F.lag(col, 1).over(w)).alias("_dy"), F.lag(col, 1).over(w).alias("_lvl"),
                  *[(F.lag(col, l).over(w) - F.lag(col, l + 1).over(w)).alias(f"_dl{l}") for l in range(1, maxk)])
     # a lag slot beyond k is 0 → aliased (and does not remove rows)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.linalg import stack
+from ..functions.linalg import safe_inv, stack
 
 
 def with_scores(res: DataFrame, xs: Sequence[str], resid: str = "resid", out: str = "u") -> DataFrame:
@@ -90,8 +90,14 @@ def var1_udf(cross: pd.Series, lagged: pd.Series) -> pd.DataFrame:
     p = int(round(math.sqrt(pp)))
     C = stack(cross, pp).reshape(-1, p, p)
     L = stack(lagged, pp).reshape(-1, p, p)
-    A = np.einsum("gij,gjk->gik", C, np.linalg.inv(L))
-    D = np.linalg.inv(np.eye(p)[None] - A)
+    inv, keep = safe_inv(L)
+    both = keep[:, :, None] & keep[:, None, :]
+    A = np.einsum("gij,gjk->gik", np.where(both, C, 0.0), inv)
+    B = np.eye(p)[None] - A
+    ok = np.isfinite(B).all(axis=(1, 2))
+    B = np.where(ok[:, None, None], B, np.eye(p)[None])
+    ok &= np.linalg.cond(B) < 1e12  # a unit root in the scores: no recolouring, NULL
+    D = np.where(ok[:, None, None], np.linalg.inv(np.where(ok[:, None, None], B, np.eye(p)[None])), np.nan)
     return pd.DataFrame({"A": list(A.reshape(len(A), -1)), "D": list(D.reshape(len(D), -1))})
 
 
@@ -144,7 +150,9 @@ def _square(series: pd.Series) -> tuple[np.ndarray, int]:
 
 def _sandwich_batch(M: np.ndarray, S: np.ndarray, scale: np.ndarray) -> pd.Series:
     V = np.einsum("gij,gjk,gkl->gil", M, S, M) * scale[:, None, None]
-    se = np.sqrt(np.einsum("gii->gi", V))
+    with np.errstate(invalid="ignore"):
+        se = np.sqrt(np.einsum("gii->gi", V))
+    se = np.where(np.einsum("gii->gi", M) > 0, se, np.nan)  # aliased columns have none
     return pd.Series([[float(v) if np.isfinite(v) else None for v in row] for row in se])
 
 
@@ -171,6 +179,27 @@ def hac_se_udf(kind: str, param: float, adjust: bool):
     return _udf
 
 
+def auto_se_udf(adjust: bool):
+    """Arrow UDF: (xtx_inv, gam, n, bandwidth) → se array with Bartlett weights
+    max(0, 1 − l/(bandwidth + 1)) of each group's own bandwidth."""
+
+    @F.pandas_udf(_SE)
+    def _udf(xtx_inv: pd.Series, gam: pd.Series, n: pd.Series, bandwidth: pd.Series) -> pd.Series:
+        M, p = _square(xtx_inv)
+        G = stack(gam, max(len(v) for v in gam.to_numpy())).reshape(len(gam), -1, p, p)
+        bw = bandwidth.to_numpy(dtype=float, na_value=np.nan)
+        w = np.maximum(0.0, 1.0 - np.arange(G.shape[1])[None, :] / (bw[:, None] + 1.0))
+        S = np.einsum("gl,glij->gij", w, G)
+        S = S + np.einsum("gl,glij->gji", w[:, 1:], G[:, 1:])
+        nn = n.to_numpy(float)
+        k = (np.einsum("gii->gi", M) > 0).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.where(nn > k, nn / (nn - k), np.nan) if adjust else np.ones_like(nn)
+        return _sandwich_batch(M, S, scale)
+
+    return _udf
+
+
 @F.pandas_udf(_SE)
 def hc1_se_udf(xtx_inv: pd.Series, meat: pd.Series, n: pd.Series) -> pd.Series:
     M, p = _square(xtx_inv)
@@ -208,35 +237,24 @@ def andrews_bw(U: np.ndarray, weights: np.ndarray, kernel: str = "qs") -> float:
     return 1.1447 * (num / den * n) ** (1 / 3)
 
 
-def newey_west_auto_lag(U: np.ndarray, weights: np.ndarray) -> float:
-    """Newey–West (1994) automatic bandwidth for the Bartlett kernel."""
-    n = U.shape[0]
-    nlag = int(math.floor(4 * (n / 100) ** (2 / 9)))
-    uw = U @ weights
-    sig = np.array([(uw[j:] * uw[: n - j]).sum() / n for j in range(nlag + 1)])
-    s0 = sig[0] + 2 * sig[1:].sum()
-    s1 = 2 * (np.arange(1, nlag + 1) * sig[1:]).sum()
-    gamma = 1.1447 * ((s1 / s0) ** 2) ** (1 / 3)
-    return gamma * n ** (1 / 3)
-
-
 def series_hac(pdf: pd.DataFrame, xs: Sequence[str], kind: str, adjust: bool = True) -> np.ndarray:
     """Full per-series HAC on one entity's residual rows (ordered)."""
     X = np.column_stack([np.ones(len(pdf)), *[pdf[x].to_numpy(float) for x in xs]])
     e = pdf["resid"].to_numpy(float)
     U = X * e[:, None]
     n, p = U.shape
-    M = np.linalg.inv(X.T @ X)
+    M, keep = safe_inv((X.T @ X)[None])
+    M, keep = M[0], keep[0]
     wts = np.ones(p)
     wts[0] = 0.0  # the intercept's score gets no weight in the bandwidth rule
     G = _autocov_all(U)
     if kind == "qs_andrews":
         bw = andrews_bw(U, wts, "qs")
         w = qs_weights(bw, n)
-    elif kind == "nw_auto":
-        lag = newey_west_auto_lag(U, wts)
-        w = 1.0 - np.arange(int(math.floor(lag)) + 1) / (lag + 1.0)
     else:
         raise ValueError(kind)
     S = meat_from_gammas(G, w)
-    return sandwich_se(M, S, n / (n - p) if adjust else 1.0), (bw if kind == "qs_andrews" else lag)
+    p = int(keep.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        se = sandwich_se(M, S, n / (n - p) if adjust and n > p else np.nan if adjust else 1.0)
+    return np.where(keep, se, np.nan), bw

@@ -13,12 +13,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import t_pvalue_udf, t_upper_udf
 from ..functions.linalg import stack
+from ..session import cut_lineage
 from . import hac as H
 from . import ols as O
 
@@ -203,9 +204,40 @@ def robust_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Se
     raise ValueError(kind)
 
 
+def nw_auto_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str],
+               order: str, adjust: bool = True) -> DataFrame:
+    """RG16: Newey–West (1994) automatic bandwidth from the autocovariances of the summed
+    score (without the intercept's), then all lags of positive weight. Both steps are
+    aggregates of lag products; how many lags they need follows from the longest
+    series and the largest bandwidth present (two scalars)."""
+    keys, p = list(keys), len(xs) + 1
+    sc = H.with_scores(O.residuals(df, fit, y, xs, keys), xs)
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = sc.select(*keys, order, F.aggregate(F.slice("u", 2, p - 1), F.lit(0.0), lambda a, v: a + v).alias("_w"))
+    longest = d.groupBy(*keys).agg(F.count("_w").alias("n")).agg(F.max("n")).first()[0] or 1
+    most = int(math.floor(4 * (longest / 100) ** (2 / 9)))
+    lagged = d.select(*keys, "_w", *[F.lag("_w", j).over(w).alias(f"_w{j}") for j in range(1, most + 1)])
+    n = F.col("n")
+    sums = lagged.groupBy(*keys).agg(F.count("_w").alias("n"), F.sum(F.col("_w") * F.col("_w")).alias("_s0"),
+                                     *[F.sum(F.col("_w") * F.col(f"_w{j}")).alias(f"_s{j}") for j in range(1, most + 1)])
+    nlag = F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
+    sig = [F.when(nlag >= j, F.coalesce(F.col(f"_s{j}"), F.lit(0.0))).otherwise(F.lit(0.0)) for j in range(1, most + 1)]
+    s0 = F.col("_s0") + 2 * sum(sig, F.lit(0.0))
+    s1 = 2 * sum((j * s for j, s in enumerate(sig, 1)), F.lit(0.0))
+    bw = cut_lineage(sums.select(*keys, n.cast("double").alias("_n"), (
+        1.1447 * F.pow(F.pow(F.try_divide(s1, s0), F.lit(2.0)) * n, F.lit(1 / 3))).alias("bandwidth")), "bandwidth")
+    widest = bw.agg(F.max("bandwidth")).first()[0]
+    lags = min(int(math.ceil(widest or 0)), longest - 1)
+    g = H.gamma_sums(sc, p, keys, order, lags)
+    j = fit.select(*keys, "xtx_inv").join(g, on=keys).join(bw, on=keys)
+    return j.select(*keys, H.auto_se_udf(adjust)("xtx_inv", "gam", "_n", "bandwidth").alias("se"), "bandwidth")
+
+
 def series_robust_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str],
                      order: str, kind: str, adjust: bool = True) -> DataFrame:
-    """RG16/RG17: per-series automatic bandwidth HAC ('qs_andrews' or 'nw_auto')."""
+    """RG16/RG17: automatic bandwidth HAC ('nw_auto' by aggregates, 'qs_andrews' per series)."""
+    if kind == "nw_auto":
+        return nw_auto_se(df, fit, y, xs, keys, order, adjust)
     res = O.residuals(df, fit, y, xs, keys).select(*keys, order, *xs, "resid")
     key_fields = [f for f in res.schema.fields if f.name in keys]
     schema = T.StructType([*key_fields, T.StructField("se", T.ArrayType(T.DoubleType())),
@@ -216,8 +248,8 @@ def series_robust_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], k
         pdf = pdf.sort_values(order)
         se, bw = H.series_hac(pdf, xs, kind, adjust)
         row = {k: [pdf[k].iloc[0]] for k in keys}
-        row["se"] = [list(map(float, se))]
-        row["bandwidth"] = [float(bw)]
+        row["se"] = [[float(v) if np.isfinite(v) else None for v in se]]
+        row["bandwidth"] = [float(bw) if np.isfinite(bw) else None]
         return pd.DataFrame(row)
 
     return res.groupBy(*keys).applyInPandas(per_series, schema)

@@ -162,7 +162,7 @@ def _interp_sql(x: str, xp: list[float], fp: list[float]) -> str:
 
 
 def _adf_sql() -> str:
-    maxk = 12
+    maxk = 26  # lags written out; a series that needs more is an error, never a cut
     dls = ", ".join(f"case when kk >= {l} then lag(value, {l}) over w - lag(value, {l + 1}) over w else 0.0 end as dl{l}"
                     for l in range(1, maxk))
     long = """l as (
@@ -172,7 +172,7 @@ def _adf_sql() -> str:
   cast(floor(pow(count(*) over (partition by entity, variable) - 1, 1.0 / 3)) as integer) as kk
   from l window w as (partition by entity, variable order by m))"""
     feat = f"""ff as (select entity, variable, kk, nn, pos, value - lag(value, 1) over w as dy, lag(value, 1) over w as lvl,
-  cast(pos as double) as tpos, {dls}
+  case when kk >= {maxk} then error('series needs more lags') else cast(pos as double) end as tpos, {dls}
   from b window w as (partition by entity, variable order by m))"""
     xs = ["tpos", *[f"dl{l}" for l in range(1, maxk)], "lvl"]
     ctes = [S.PANEL, long, base, feat, "fz as (select * from ff where pos > kk + 1)",

@@ -565,7 +565,7 @@ def _nw_auto_sql() -> str:
             pairs.append(f"sum(case when x.pos = y.pos then x.u{a} * y.u{b} else (1 - (x.pos - y.pos) / (lg.lag + 1)) "
                          f"* (x.u{a} * y.u{b} + x.u{b} * y.u{a}) end) as s{a}{b}")
     sm = ("sm as (select x.entity, " + ", ".join(pairs) + " from ru x join ru y on x.entity = y.entity and y.pos <= x.pos "
-          "join lg on lg.entity = x.entity where x.pos - y.pos <= floor(lg.lag) group by x.entity)")
+          "join lg on lg.entity = x.entity where x.pos - y.pos < lg.lag + 1 group by x.entity)")
     ses = []
     for j in range(p):
         body = " + ".join(f"{M(j, a)} * s{a}{b} * {M(b, j)}" for a in range(p) for b in range(p))

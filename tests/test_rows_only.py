@@ -118,8 +118,8 @@ def test_nw_auto_against_direct_sum(ref_series, ref_np):
     s0, s1 = sig[0] + 2 * sig[1:].sum(), 2 * (np.arange(1, m + 1) * sig[1:]).sum()
     lag = 1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)
     assert got.bandwidth == pytest.approx(lag, rel=1e-12)
-    L = int(math.floor(lag))
-    direct = _direct_hac(X, e, lambda l: 1 - l / (lag + 1) if l <= L else 0.0)
+    direct = _direct_hac(X, e, lambda l: max(0.0, 1 - l / (lag + 1)))
+    assert got.se[0] == pytest.approx(0.279693, abs=5e-7)
     np.testing.assert_allclose(got.se, direct, rtol=1e-9)
 
 
