@@ -26,6 +26,7 @@ from __future__ import annotations
 import codecs
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -36,10 +37,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_FILE_BYTES = 64 << 20
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000
 MEMO_PREFIXES = 400_000
 MEMO_PAIRS = 1_000_000
-CHUNK = 1 << 15
+CHUNK = 1 << 12
 
 
 def byte_alphabet() -> list[str]:
@@ -106,7 +107,8 @@ class Vocabulary:
 
 class Transducer:
     """Emits the tokens of one word after another; ``push`` takes a symbol,
-    ``close`` ends the word. Both return the ids that have become stable."""
+    ``close`` ends the word. Both return the ids that have become stable.
+    ``push`` may be given a word's symbols one by one or many at once."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -117,8 +119,8 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # position 0 is the last stable boundary; text, last token and its start by position
-        self.text, self.last, self.back, self.held, self.left = "", [None], [0], "", None
+        # position 0 is the last stable boundary; last token and its start by position
+        self.text, self.last, self.back, self.left = "", [None], [0], None
 
     def _plain(self, ids: list[int]) -> list[int]:
         """BPE by repeatedly joining the leftmost pair of least rank."""
@@ -153,29 +155,17 @@ class Transducer:
             self._pair[a, b] = ok
         return ok
 
-    def _extend(self, end: str) -> None:
-        """Find the last token of the prefix that now ends at the last symbol."""
-        text, i, last, pair = self.text, len(self.text), self.last, self._pair
-        known = self._prefix.get(text) if self.left is None and not end else None
-        if known is not None:
-            last.append(known[0])
-            self.back.append(known[1])
-            return
-        get = self.v.tokens.get
-        for j in range(max(0, i - self.reach.get(text[-2:] + end, 1)), i):
-            t = get(text[j:] + end)
+    def _find(self, prefix: str, end: str) -> tuple[int, int]:
+        """Last token of a prefix, and where it starts."""
+        i, last, pair, get = len(prefix), self.last, self._pair, self.v.tokens.get
+        for j in range(max(0, i - self.reach.get(prefix[-2:] + end, 1)), i):
+            t = get(prefix[j:] + end)
             if t is not None:
                 before = last[j] if j else self.left
                 fits = pair.get((before, t))
                 if fits or fits is None and self._fits(before, t):
-                    last.append(t)
-                    self.back.append(j)
-                    if self.left is None and not end and i <= 16:
-                        if len(self._prefix) >= MEMO_PREFIXES:
-                            self._prefix.clear()
-                        self._prefix[text] = (t, j)
-                    return
-        raise ValueError(f"symbol {text[-1]!r} is not in the vocabulary")
+                    return t, j
+        raise ValueError(f"symbol {prefix[-1]!r} is not in the vocabulary")
 
     def _path(self, at: int) -> list[int]:
         out = []
@@ -184,33 +174,44 @@ class Transducer:
             at = self.back[at]
         return out[::-1]
 
-    def push(self, symbol: str) -> list[int]:
+    def push(self, symbols: str) -> list[int]:
+        """Take further symbols; the last one waits, as the word may end with it."""
         out: list[int] = []
-        if self.held:
-            self.text += self.held
-            self._extend("")
-            n = len(self.text)
-            if n >= 4 * self.lookahead:
-                open_ = set(range(n - self.lookahead + 1, n + 1))
+        text, last, back, memo = self.text + symbols, self.last, self.back, self._prefix
+        while len(last) < len(text):
+            i = len(last)
+            prefix = text[:i]
+            found = memo.get(prefix) if self.left is None and i <= 16 else None
+            if found is None:
+                found = self._find(prefix, "")
+                if self.left is None and i <= 16:
+                    if len(memo) >= MEMO_PREFIXES:
+                        memo.clear()
+                    memo[prefix] = found
+            last.append(found[0])
+            back.append(found[1])
+            if i >= 4 * self.lookahead:
+                open_ = set(range(i - self.lookahead + 1, i + 1))
                 while len(open_) > 1:
                     top = max(open_)
                     open_.discard(top)
-                    open_.add(self.back[top])
+                    open_.add(back[top])
                 at = open_.pop()
                 if at:
-                    out = self._path(at)
-                    self.left = out[-1]
-                    self.text = self.text[at:]
-                    self.last, self.back = [None, *self.last[at + 1:]], [0, *(b - at for b in self.back[at + 1:])]
-        self.held = symbol
+                    stable = self._path(at)
+                    out += stable
+                    self.left = stable[-1]
+                    text = text[at:]
+                    last = self.last = [None, *last[at + 1:]]
+                    back = self.back = [0, *(b - at for b in back[at + 1:])]
+        self.text = text
         return out
 
     def close(self) -> list[int]:
         out: list[int] = []
-        if self.held:
-            self.text += self.held
-            self._extend(self.v.suffix)
-            out = self._path(len(self.text))
+        if self.text:
+            t, j = self._find(self.text, self.v.suffix)
+            out = [*self._path(j), t]
         self._reset()
         return out
 
@@ -221,10 +222,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.machine = Transducer(vocabulary)
-        self.letters = byte_alphabet()
+        self.letters = dict(enumerate(byte_alphabet()))
         self.memo: dict[str, tuple[int, ...]] = {}
         # \s of the file's pattern means Unicode White_Space
         self.split = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}"))
+        # in lower-cased ASCII the classes are these; the standard module is faster
+        plain = vocabulary.pattern.replace(r"\s", r"\x09-\x0D\x20").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        self.split_ascii = re.compile(plain)
         self.blanks = regex.compile(r"\p{White_Space}+")
         special = sorted(vocabulary.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -232,9 +236,10 @@ class Encoder:
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.memo.get(word)
         if ids is None:
+            symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
             out: list[int] = []
-            for b in word.encode("utf-8", "surrogatepass"):
-                out += self.machine.push(self.letters[b])
+            for k in range(0, len(symbols), CHUNK):
+                out += self.machine.push(symbols[k:k + CHUNK])
             ids = tuple(out + self.machine.close())
             if len(word) <= 64:
                 if len(self.memo) >= MEMO_WORDS:
@@ -257,7 +262,8 @@ class Encoder:
             if p in self.v.added:
                 out.append((self.v.added[p],))
             else:
-                words = self.split.findall(self.normalise(p))
+                p = self.normalise(p)
+                words = (self.split_ascii if p.isascii() else self.split).findall(p)
                 ids = list(map(self.memo.get, words))
                 out += ids if None not in ids else [self.word(w) if i is None else i
                                                     for w, i in zip(words, ids, strict=True)]
@@ -284,14 +290,26 @@ class Decoder:
     def decode(self, ids) -> str:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         out = []
-        for k in range(0, len(ids), CHUNK):
-            piece = b"".join(map(self.pieces.__getitem__, ids[k:k + CHUNK]))
+        for k in range(0, len(ids), 8 * CHUNK):
+            piece = b"".join(map(self.pieces.__getitem__, ids[k:k + 8 * CHUNK]))
             out.append(machine.decode(piece))
         out.append(machine.decode(b"", True))
         text = "".join(out)
         return text[:-1] if self.trim else text.removesuffix(" ")
 
 
+_CODERS: dict[tuple, tuple[Encoder, Decoder]] = {}
+
+
+def _coders(vocabulary: Vocabulary, path: str, style: str) -> tuple[Encoder, Decoder]:
+    """One pair per worker process, so that later tasks find its bounded memos filled."""
+    key = (path, len(vocabulary.tokens), len(vocabulary.rank), style)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Encoder(vocabulary), Decoder(vocabulary, style)
+    return _CODERS[key]
+
+
 def _broadcast(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary.load(path))
 
@@ -302,7 +320,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     rows = docs.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = Encoder(vocabulary.value), Decoder(vocabulary.value, style)
+        enc, dec = _coders(vocabulary.value, path, style)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 b = batch.slice(k, 256)

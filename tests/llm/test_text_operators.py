@@ -53,7 +53,7 @@ def test_bpe_streams_long_words(coder):
     _, enc, _, _ = coder
     machine = bpe.Transducer(enc.v)
     most = 0
-    for c in "theaterinthenorth" * 400:
+    for c in "theaterinthenorth" * 400:  # one symbol at a time
         machine.push(c)
         most = max(most, len(machine.text))
     machine.close()
