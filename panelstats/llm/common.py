@@ -162,6 +162,18 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(df: DataFrame | None) -> None:
+    """Delete a stage table that no plan reads any more."""
+    if df is None:
+        return
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files or "/tables/llm-" not in files[0]:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files live until the driver collects the plans that own them; do so
     now, so that a long job's disk use is that of its running stage."""
@@ -177,5 +189,5 @@ def scan_partitions(spark: SparkSession) -> int:
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-__all__ = ["ASCII_LOWER", "Block", "IS_SPACE", "U64", "WORD", "as_signed", "blocks", "mix", "ready", "release",
+__all__ = ["ASCII_LOWER", "Block", "IS_SPACE", "U64", "WORD", "as_signed", "blocks", "discard", "mix", "ready", "release",
            "scan_partitions", "shingle_hashes", "stage_table"]

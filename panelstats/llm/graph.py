@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import discard, stage_table
 
 
 def _is_stars(e: DataFrame) -> bool:
@@ -30,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
             .select("u", F.least("m", "u").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         near = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        e = stage_table(near.select(F.explode(F.array(
+        old, e = e, stage_table(near.select(F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
             .where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")) \
         .unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

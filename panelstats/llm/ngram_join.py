@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, blocks, mix, shingle_hashes, stage_table
+from .common import U64, as_signed, blocks, discard, mix, shingle_hashes, stage_table
 from .graph import components
 
 ORDER_BITS = 18  # buckets of the frequency table: 2 MB, whatever the corpus
@@ -202,6 +202,7 @@ class Linker:
             return
         if self.comps is None:
             self.comps = stage_table(components(links), "components")
+            discard(links)
             return
         # the new links join components; their names are few, so this graph is small
         old = self.comps
@@ -213,6 +214,8 @@ class Linker:
         fresh = new.join(old.select(F.col("node").alias("comp")), "comp", "left_anti") \
             .select(F.col("comp").alias("node"), F.col("to").alias("comp"))
         self.comps = stage_table(moved.unionByName(fresh), "components")
+        for t in (old, links):
+            discard(t)
 
     def close(self, candidates: DataFrame) -> None:
         """Verify candidate rows (x, y): for each class the partner of most common
@@ -227,6 +230,8 @@ class Linker:
         rest = stage_table(self.apart(pairs.join(best, ["x", "y"], "left_anti")), "pairs")
         if not rest.isEmpty():
             self.verify(rest, sets)
+        for t in (pairs, sets, rest):
+            discard(t)
 
 
 def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
@@ -235,7 +240,7 @@ def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
     percent = linker.percent
     for _ in range(most):
         hub = lists.groupBy("token").agg(F.min(F.struct("rank", "cls", "size", "pos", "shared")).alias("hub"))
-        met = stage_table(lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls")), "met")
+        met = lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls"))
         near = met.select("hub", F.struct("cls", "size", "pos", "shared").alias("own")).where(_fits("own", "hub", percent))
         linker.close(near.select(F.col("own.cls").alias("x"), F.col("hub.cls").alias("y")))
         rest = met.drop("hub", "comp")
@@ -246,7 +251,8 @@ def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
             rest = rest.withColumn("comp", F.col("cls"))
         mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
             .where(F.col("lo") != F.col("hi")).select("token")
-        lists = stage_table(rest.join(mixed, "token"), "lists")
+        old, lists = lists, stage_table(rest.join(mixed, "token"), "lists")
+        discard(old)
         if lists.isEmpty():
             break
     return lists
@@ -269,7 +275,9 @@ def _exact_lists(linker: Linker, classes: DataFrame) -> DataFrame:
     rows = at.where(F.col("t.often") > 1).select(
         F.col("t.token").alias("token"), "cls", "size", "pos", (F.col("pos") - F.col("rank")).alias("shared"), "rank")
     several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("token")
-    return stage_table(rows.join(several, "token"), "exact-lists")
+    out = stage_table(rows.join(several, "token"), "exact-lists")
+    discard(sets)
+    return out
 
 
 def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
