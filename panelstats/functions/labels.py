@@ -18,13 +18,14 @@ TARGET = 5.0
 PERIOD_CUTS = ("1996-01-01", "1998-01-01", "2000-01-01")
 PERIOD_LABELS = ("before 1996", "1996-1997", "1998-1999", "since 2000")
 
-# Display names of the canonical variables.
+# Display names of the panel's columns: mean price in thousands, mean discount in
+# percentage points from 5, mean quantity from 25.5.
 VARIABLE_LABELS = {
-    "y": "Policy rate",
-    "x1": "Inflation gap",
-    "x2": "Output gap",
-    "(Intercept)": "Constant",
-    "y_l1": "Lag(1) policy rate",
+    "(Intercept)": "intercept",
+    "x1": "discount, centred",
+    "x2": "quantity, centred",
+    "y": "price (thousands)",
+    "y_l1": "price one month before",
 }
 
 
@@ -70,7 +71,3 @@ def effect_label(estimate: Column, p: Column, level: float = 0.05) -> Column:
     sign = F.when(estimate > 0, F.lit("positive")).when(estimate < 0, F.lit("negative")).otherwise(F.lit("zero"))
     return F.concat_ws(" ", sign, F.lit("and"), significance_label(p, level))
 
-
-def fmt_number(c: Column, digits: int = 3) -> Column:
-    """PR17: fixed-decimal text."""
-    return F.format_string(f"%.{digits}f", c)

@@ -1,7 +1,7 @@
 """Descriptive statistics (AG1–AG13, RS2, RS3).
 
 Moments come from one hash aggregate (partial + final). Order statistics use
-the skew-safe exact ranking of :mod:`.quantile`. Wide inputs are unpivoted to
+the exact selection of :mod:`.quantile`. Wide inputs are unpivoted to
 ``(keys, variable, value)`` first, so one plan serves any number of columns.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantile import quantiles, rank_within, trimmed_mean
@@ -45,11 +45,10 @@ def describe_full(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
                   trim: float = 0.1) -> DataFrame:
     """AG2: adds trimmed mean, MAD·1.4826, range, skew and kurtosis (type 3), se."""
     gk = [*keys, "variable"]
-    long = long_values(df, cols, keys).filter(F.col("value").isNotNull())
+    long = long_values(df, cols, keys)
     m = moments(long, gk)
-    ranked = rank_within(long, "value", gk)
-    med = quantiles(long, "value", gk, [0.5], ["median"], ranked=ranked)
-    tm = trimmed_mean(ranked, "value", gk, trim)
+    med = quantiles(long, "value", gk, [0.5], ["median"])
+    tm = trimmed_mean(long, "value", gk, trim)
     dev = long.join(med, on=gk).select(*gk, F.abs(F.col("value") - F.col("median")).alias("absdev"))
     mad = quantiles(dev, "absdev", gk, [0.5], ["mad_raw"])
     n = F.col("n")
@@ -128,14 +127,16 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 3
     d = df.filter(F.col(value).isNotNull())
     if not keys:  # one global group: a constant key keeps this an equi-join
         return histogram(d.withColumn("_all", F.lit(1)), value, ["_all"], bins).drop("_all")
-    rng = d.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    w = (F.col("hi") - F.col("lo")) / bins
-    j = d.join(rng, on=list(keys))
-    b = F.least(F.floor((F.col(value) - F.col("lo")) / w), F.lit(bins - 1))
-    b = F.when(w > 0, b).otherwise(F.lit(0)).cast("int")
-    j = j.select(*keys, b.alias("bin"), "lo", "hi")
-    return j.groupBy(*keys, "bin").agg(
-        F.count(F.lit(1)).alias("count"),
+    w = Window.partitionBy(*keys)
+    # distinct values and their counts (a partial aggregate), then the range over them:
+    # the source is scanned once
+    c = d.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    c = c.withColumn("lo", F.min("_v").over(w)).withColumn("hi", F.max("_v").over(w))
+    width = (F.col("hi") - F.col("lo")) / bins
+    b = F.least(F.floor((F.col("_v") - F.col("lo")) / width), F.lit(bins - 1))
+    b = F.when(width > 0, b).otherwise(F.lit(0)).cast("int")
+    return c.select(*keys, b.alias("bin"), "lo", "hi", "_c").groupBy(*keys, "bin").agg(
+        F.sum("_c").alias("count"),
         (F.first("lo") + F.col("bin") * (F.first("hi") - F.first("lo")) / bins).alias("bin_lo"),
     )
 

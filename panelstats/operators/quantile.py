@@ -1,14 +1,20 @@
-"""Exact order statistics per group without putting a group in one task.
-
-``rank_within`` range-partitions on ``(keys, value)``: Spark samples the key
-space and cuts it into ranges, so a group holding a third of all rows is
-spread over many tasks. Inside a partition rows are sorted; a row's position
-is read from ``monotonically_increasing_id`` (its low 33 bits are the row
-index within the partition). A small aggregate of (partition, group) counts
-gives every partition its offset inside each group, so the global rank is
-``offset + local index``. The sorted frame is written once (one range shuffle)
-and read by both steps. Everything is DataFrame code; the only per-group state
-is one row per (partition, group).
+"""Exact order statistics per group without sorting or copying the raw rows.
+
+``quantiles`` and ``trimmed_mean`` select: a mergeable sketch
+(``percentile_approx``, rank error at most 1/ACCURACY of a group) brackets each
+wanted rank between two values, a second aggregate counts the rows below the
+bracket and the multiplicity of each distinct value inside it, and running sums
+over those few values give the exact order statistic. Both passes are partial
+aggregates: a hot group or a hot value is reduced in every task, and no raw row is
+shuffled or written.
+
+``rank_within`` numbers all rows of a group, for operators that need every rank
+(equal-count bins, Q-Q pairs, ordered splits). It range-partitions on
+``(keys, value, tie)``, so a hot group spreads over many tasks; give a ``tie``
+column where values repeat. A row's position is read from
+``monotonically_increasing_id`` (its low 33 bits are the row index within the
+partition), and a small aggregate of (partition, group) counts gives every
+partition its offset inside each group.
 
 Quantiles follow the linear definition (R type 7, DuckDB ``quantile_cont``):
 h = (n-1)p, Q = x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h]).
@@ -17,37 +23,23 @@ h = (n-1)p, Q = x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h]).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 _LOW33 = (1 << 33) - 1
-TARGET_RANGE_BYTES = 128 << 20
-MAX_RANGE_PARTITIONS = 200_000
-
-
-def range_partitions(df: DataFrame, target_bytes: int = TARGET_RANGE_BYTES) -> int:
-    """Number of range partitions for ``df``: the bytes of the plan's leaf
-    relations (files scanned / checkpoints read) / target, at least
-    ``spark.sql.shuffle.partitions``. AQE can coalesce range partitions but
-    never splits them, so the count must scale with the input. Leaf sizes are
-    used rather than the root estimate: without CBO Catalyst multiplies the
-    children's sizes for a join, which would overshoot by orders of magnitude.
-    """
+ROWS_PER_RANGE = 2_000_000
+ACCURACY = 10_000  # of the bracketing sketch: rank error at most n / ACCURACY
+
+
+def range_partitions(df: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Number of range partitions: counted rows / ``rows_per_range``, at least
+    ``spark.sql.shuffle.partitions``. AQE coalesces range partitions but never splits
+    them, so the number must follow the input."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            size = int(str(leaves.apply(i).stats().sizeInBytes()))
-            if size < 1 << 60:  # Catalyst's "unknown" is Long.MaxValue
-                total += size
-    except Exception:  # estimate unavailable (e.g. remote session): fall back to the conf
-        return conf
-    return int(min(max(conf, -(-total // target_bytes)), MAX_RANGE_PARTITIONS))
+    return max(conf, -(-df.count() // rows_per_range))
 
 
 def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequence[str] = (),
@@ -81,33 +73,83 @@ def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequen
                          (F.col("_off") + F.col("_idx") - F.col("_i0") + 1).alias("_rank"), "_n")
 
 
-def quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float],
-              names: Sequence[str] | None = None, ranked: DataFrame | None = None) -> DataFrame:
-    """One row per group with one column per probability (exact, type 7).
+def order_statistics(df: DataFrame, value: str, keys: Sequence[str], ranks: Sequence[Column],
+                     count: str = "_n") -> DataFrame:
+    """keys, ``_n`` and ``_x`` (array): the values at 1-based ``ranks``, which are
+    expressions in the group's number of non-null values, the column ``count``."""
+    keys = list(keys)
+    d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                             F.percentile_approx("_v", [i / 64 for i in range(65)], ACCURACY).alias("_grid"))
+    # Values of the sketch around each rank: a grid point p is within n/ACCURACY of rank p n.
+    slack = F.col(count) / ACCURACY + 1
+    grid = [(i / 64 * F.col(count), F.col("_grid")[i]) for i in range(65)]
+
+    def bracket(rank):
+        lo, hi = F.col("_lo"), F.col("_hi")
+        for at, v in grid:
+            lo = F.when(at + slack < rank, v).otherwise(lo)
+        for at, v in reversed(grid):
+            hi = F.when(at - slack > rank, v).otherwise(hi)
+        return F.struct(rank.cast("long").alias("rank"), lo.alias("lo"), hi.alias("hi"))
+
+    b = n.select(*keys, count, F.array(*[bracket(r) for r in ranks]).alias("_b"))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    j = d.alias("d").join(b.alias("b"), on=on) if keys else d.crossJoin(F.broadcast(b))
+    cols = [F.col(f"d.{k}").alias(k) for k in keys]
+    j = j.select(*cols, "_v", count, "_b")
+    # each value: below a bracket, inside it, or above; inside ones are kept by value
+    below = F.transform("_b", lambda x: F.when(F.col("_v") < x["lo"], F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    inside = F.exists("_b", lambda x: (F.col("_v") >= x["lo"]) & (F.col("_v") <= x["hi"]))
+    m = len(ranks)
+    j = j.select(*keys, count, "_b", F.when(inside, F.col("_v")).alias("_k"), below.alias("_below"))
+    per = j.groupBy(*keys, "_k").agg(F.first(count).alias(count), F.first("_b").alias("_b"), F.count(F.lit(1)).alias("_c"),
+                                     *[F.sum(F.col("_below")[i]).alias(f"_s{i}") for i in range(m)])
+    # values inside any bracket, in order; before the bracket of rank i lie _s{i} rows
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    run = w.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = []
+    for i in range(m):
+        lo, hi = F.col("_b")[i]["lo"], F.col("_b")[i]["hi"]
+        in_i = F.col("_k").isNotNull() & (F.col("_k") >= lo) & (F.col("_k") <= hi)
+        seen = F.sum(f"_s{i}").over(w) + F.sum(F.when(in_i, F.col("_c")).otherwise(F.lit(0))).over(run)
+        out.append(F.when(in_i & (seen >= F.col("_b")[i]["rank"]), F.col("_k")).alias(f"_x{i}"))
+    at = per.select(*keys, count, *out)
+    return at.groupBy(*keys).agg(F.first(count).alias(count), F.array(*[F.min(f"_x{i}") for i in range(m)]).alias("_x"))
 
-    Every ranked row carries its rank and its group size, so the two order
-    statistics each quantile needs are picked by a filter and one aggregate.
-    """
+
+def quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float],
+              names: Sequence[str] | None = None) -> DataFrame:
+    """One row per group with one column per probability (exact, type 7)."""
     keys = list(keys)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    r = ranked if ranked is not None else rank_within(df, value, keys)
-    n, rk, v = F.col("_n"), F.col("_rank"), F.col(value)
-    picks, aggs, outs = [], [], []
-    for i, (p, nm) in enumerate(zip(probs, names)):
-        h = (n - 1) * float(p)
-        lo = F.floor(h) + 1
-        hi = F.least(lo + 1, n)
-        picks.append((rk == lo) | (rk == hi))
-        aggs += [F.max(F.when(rk == lo, v)).alias(f"_lo{i}"), F.max(F.when(rk == hi, v)).alias(f"_hi{i}"),
-                 F.max(h - F.floor(h)).alias(f"_f{i}")]
-        outs.append((F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm))
-    sel = r.filter(reduce(lambda a, b: a | b, picks))
-    return sel.groupBy(*keys).agg(*aggs).select(*keys, *outs)
-
-
-def trimmed_mean(ranked: DataFrame, value: str, keys: Sequence[str], trim: float = 0.1) -> DataFrame:
-    """Mean after dropping floor(n*trim) smallest and largest values (R ``mean(trim=)``)."""
-    lo = F.floor(F.col("_n") * trim) + 1
-    hi = F.col("_n") + 1 - lo
-    kept = ranked.filter((F.col("_rank") >= lo) & (F.col("_rank") <= hi))
-    return kept.groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"))
+    h = [(F.col("_n") - 1) * float(p) for p in probs]
+    ranks = [r for x in h for r in (F.floor(x) + 1, F.least(F.floor(x) + 2, F.col("_n")))]
+    x = order_statistics(df, value, keys, ranks)
+    outs = []
+    for i, (hi, nm) in enumerate(zip(h, names, strict=True)):
+        lo, up = F.col("_x")[2 * i], F.col("_x")[2 * i + 1]
+        outs.append((lo + (hi - F.floor(hi)) * (up - lo)).alias(nm))
+    return x.select(*keys, *outs)
+
+
+def trimmed_mean(df: DataFrame, value: str, keys: Sequence[str], trim: float = 0.1) -> DataFrame:
+    """Mean after dropping floor(n*trim) smallest and largest values (R ``mean(trim=)``):
+    the sum strictly between the two outermost kept values, and their own multiplicity."""
+    keys = list(keys)
+    lo_rank = F.floor(F.col("_n") * trim) + 1
+    x = order_statistics(df, value, keys, [lo_rank, F.col("_n") + 1 - lo_rank])
+    ends = x.select(*keys, lo_rank.alias("_r"), (F.col("_n") + 1 - lo_rank).alias("_q"),
+                    F.col("_x")[0].alias("_a"), F.col("_x")[1].alias("_z"))
+    d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    j = d.alias("d").join(ends.alias("e"), on=on) if keys else d.crossJoin(F.broadcast(ends))
+    j = j.select(*[F.col(f"d.{k}").alias(k) for k in keys], "_v", "_r", "_q", "_a", "_z")
+    v, a, z = F.col("_v"), F.col("_a"), F.col("_z")
+    g = j.groupBy(*keys).agg(
+        F.first("_r").alias("_r"), F.first("_q").alias("_q"), F.first("_a").alias("_a"), F.first("_z").alias("_z"),
+        F.sum(F.when((v > a) & (v < z), v).otherwise(F.lit(0.0))).alias("_mid"),
+        F.sum((v <= a).cast("long")).alias("_upto"), F.sum((v < z).cast("long")).alias("_under"))
+    kept = F.col("_q") - F.col("_r") + 1
+    total = F.col("_mid") + F.col("_a") * (F.col("_upto") - F.col("_r") + 1) + F.col("_z") * (F.col("_q") - F.col("_under"))
+    return g.select(*keys, F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(F.try_divide(total, kept)).alias("trimmed_mean"))

@@ -96,13 +96,13 @@ _EV_POS = [S.PANEL, """p as (select *, cast(row_number() over (partition by enti
 
 @register("chow_test", sql=S.with_(*_EV_POS, *_PRE[1:], _RSS_CTE) + """
 select entity, label, pos, m, round(((rss - (rss1 + rss2)) / 3) / ((rss1 + rss2) / (n - 6)), 6) as f_stat,
-       3 as df1, n - 6 as df2
+       3 as df1, n - 6 as df2, round(""" + S.f_p("((rss - (rss1 + rss2)) / 3) / ((rss1 + rss2) / (n - 6))", "3", "n - 6") + """, 6) as p_value
 from rs join evpos using (entity, pos)""")
 def q_chow_test(spark, sf_dir):
-    """SB5: Chow F at the (edge-guarded) event dates; F-tail p unit-tested."""
+    """SB5: Chow F at the (edge-guarded) event dates, with p."""
     p = views.panel(spark, sf_dir, materialize=True)
     pos = J.asof_forward(p, LIT.EVENTS, K, "m", ["t"], guard=10).select("entity", "label", "pos")
-    return rounded(B.chow_at(p, pos, "y", XS, K, "m").drop("p_value"))
+    return rounded(B.chow_at(p, pos, "y", XS, K, "m"))
 
 
 _KOLMOGOROV_SQL = "2 * (select sum(power(-1.0, j + 1) * exp(-2 * j * j * s.statistic * s.statistic)) from range(1, 101) r(j))"
@@ -140,6 +140,9 @@ def q_ols_mosum(spark, sf_dir):
     return rounded(B.ols_mosum(res, K, "m", 3))
 
 
+_REC_P = (f"case when x < 0.3 then 1 - 0.1464 * x else least(1, greatest(0, 2 * (1 - {S.norm_cdf('3 * x')} "
+          f"+ exp(-4 * x * x) * ({S.norm_cdf('x')} + {S.norm_cdf('5 * x')} - 1) "
+          f"- exp(-16 * x * x) * (1 - {S.norm_cdf('x')})))) end")
 _REC_SQL = S.with_(S.PANEL, """c as (
   select entity, m, x1 - avg(x1) over (partition by entity) as a1, x2 - avg(x2) over (partition by entity) as a2,
          y - avg(y) over (partition by entity) as ay from panel)""", """pr as (
@@ -161,15 +164,15 @@ _REC_SQL = S.with_(S.PANEL, """c as (
            / (stddev_samp(w) over (partition by entity) * sqrt(count(*) over (partition by entity))) as proc,
          row_number() over (partition by entity order by m) / count(*) over (partition by entity) as tt
   from rr)""") + """
-select entity, round(max(abs(proc) / (1 + 2 * tt)), 6) as statistic from pth group by entity"""
+select entity, round(x, 6) as statistic, round(""" + _REC_P + """, 6) as p_value
+from (select entity, max(abs(proc) / (1 + 2 * tt)) as x from pth group by entity)"""
 
 
 @register("rec_cusum", sql=_REC_SQL)
 def q_rec_cusum(spark, sf_dir):
-    """SB3: recursive residuals from running sums, recursive CUSUM sup over 1 + 2t
-    (the p-value is in ``breaks.rec_cusum`` and unit-tested)."""
+    """SB3: recursive residuals from running sums, recursive CUSUM sup over 1 + 2t, p."""
     p = views.panel(spark, sf_dir, materialize=True)
-    return rounded(B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m").drop("p_value"))
+    return rounded(B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m"))
 
 
 @register("bai_perron")

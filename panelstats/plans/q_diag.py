@@ -43,29 +43,30 @@ def q_bp_test(spark, sf_dir):
 
 _WHITE_SQL = S.with_(*_RES, """w as (select entity, e * e as e2, x1, x2, x1 * x1 as x1_sq, x1 * x2 as x1_x_x2,
   x2 * x2 as x2_sq from res)""", *S.mgs_ctes("a", "w", "e2", ["x1", "x2", "x1_sq", "x1_x_x2", "x2_sq"])) + """
-select entity, 'white' as test, round(n * (1 - rss / tss), 6) as statistic, 5 as df from a"""
+select entity, 'white' as test, round(n * (1 - rss / tss), 6) as statistic, 5 as df,
+       round(""" + S.chi2_p("(n * (1 - rss / tss))", 5) + """, 6) as p_value from a"""
 
 
 @register("white_test", sql=_WHITE_SQL)
 def q_white_test(spark, sf_dir):
-    """DG2: White test (levels, squares, cross product), n·R²; χ²(5) p unit-tested."""
+    """DG2: White test (levels, squares, cross product), n·R², χ²(5) p."""
     _, _, res = _static(spark, sf_dir)
-    return rounded(DG.white(res, XS, K).drop("p_value"))
+    return rounded(DG.white(res, XS, K))
 
 
 @register("gq_test", sql=S.with_(S.PANEL, """g as (
   select *, row_number() over (partition by entity order by x1, m) as r, count(*) over (partition by entity) as nn from panel)""",
                                  "gs as (select *, case when r <= floor(nn * 0.5::double) then 1 else 2 end as segment from g)",
                                  *S.ols_ctes("f", "gs", "y", XS, keys="entity, segment")) + """
-select entity,
-       round(max(case when segment = 2 then rss / df end) / max(case when segment = 1 then rss / df end), 6) as statistic,
+select entity, round(st, 6) as statistic, df1, df2, round(""" + S.f_p("st", "df2", "df1") + """, 6) as p_value from (
+select entity, max(case when segment = 2 then rss / df end) / max(case when segment = 1 then rss / df end) as st,
        cast(max(case when segment = 1 then df end) as bigint) as df1,
        cast(max(case when segment = 2 then df end) as bigint) as df2
-from f group by entity""")
+from f group by entity)""")
 def q_gq_test(spark, sf_dir):
-    """DG3: Goldfeld–Quandt ordered by x1, split at half (F tail p unit-tested)."""
+    """DG3: Goldfeld–Quandt ordered by x1, split at half, p."""
     p = views.panel(spark, sf_dir, materialize=True)
-    return rounded(DG.goldfeld_quandt(p, "y", XS, K, "x1", "m").drop("p_value"))
+    return rounded(DG.goldfeld_quandt(p, "y", XS, K, "x1", "m"))
 
 
 @register("dw_test", sql=S.with_(*_RES) + """
@@ -84,19 +85,19 @@ def _bg_sql() -> str:
         ctes.append(f"bg{q}_in as (select entity, e, x1, x2, {lags} from res)")
         ctes += S.mgs_ctes(f"bg{q}", f"bg{q}_in", "e", ["x1", "x2", *[f"el{l}" for l in range(1, q + 1)]])
         parts.append(f"select entity, 'breusch_godfrey_{q}' as test, round(n * (1 - rss / tss), 6) as statistic, "
-                     f"{q} as df from bg{q}")
+                     f"{q} as df, round({S.chi2_p('(n * (1 - rss / tss))', q)}, 6) as p_value from bg{q}")
     return S.with_(*_RES, *ctes) + "\nunion all ".join(parts)
 
 
 @register("bg_test", sql=_bg_sql())
 def q_bg_test(spark, sf_dir):
-    """DG5: Breusch–Godfrey of orders 3, 6 and 12 (zero-filled lags), n·R²; χ²(q) p unit-tested."""
+    """DG5: Breusch–Godfrey of orders 3, 6 and 12 (zero-filled lags), n·R², χ²(q) p."""
     _, _, res = _static(spark, sf_dir)
     out = None
     for q in (3, 6, 12):
         t = DG.breusch_godfrey(res, XS, K, "m", q)
         out = t if out is None else out.unionByName(t)
-    return rounded(out.drop("p_value"))
+    return rounded(out)
 
 
 _LB_SQL = S.with_(*_RES, """ac as (

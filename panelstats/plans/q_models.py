@@ -64,24 +64,24 @@ union all select entity, 'x1', round(b1, 6), round(se1, 6), round(b1 / se1, 6) f
 union all select entity, 'x2', round(b2, 6), round(se2, 6), round(b2 / se2, 6) from f"""
 
 
-@register("ols_coef", sql=_COEF_SQL)
+@register("ols_coef", sql=S.add_t_p(_COEF_SQL, "n - 3"))
 def q_ols_coef(spark, sf_dir):
-    """RG4: coefficient table (estimate, se, t); the t-tail p-value is in
-    ``coef_table`` and unit-tested, not part of the SQL check."""
+    """RG4: coefficient table (estimate, se, t, p)."""
     fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
-    return rounded(O.coef_table(fit, XS, K, with_p=False).select("entity", "term", "estimate", "se", "t_stat"))
+    return rounded(O.coef_table(fit, XS, K).select("entity", "term", "estimate", "se", "t_stat", "p_value"))
 
 
 @register("ols_fit", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + """
 select entity, n, cast(3 as integer) as k, cast(n - 3 as bigint) as df_resid, round(rss, 6) as rss,
        round(1 - rss / syy, 6) as r2, round(1 - (rss / syy) * (n - 1) / (n - 3), 6) as adj_r2,
        round(sqrt(rss / (n - 3)), 6) as sigma, round(((syy - rss) / 2) / (rss / (n - 3)), 6) as f_stat,
-       cast(2 as integer) as df_model
+       cast(2 as integer) as df_model,
+       round(""" + S.f_p("((syy - rss) / 2) / (rss / (n - 3))", "2", "n - 3") + """, 6) as p_f
 from f""")
 def q_ols_fit(spark, sf_dir):
-    """RG5: fit table (R², adj. R², F, df, sigma, RSS); F p-value unit-tested."""
+    """RG5: fit table (R², adj. R², F, df, sigma, RSS, p of F)."""
     fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
-    return rounded(O.fit_table(fit, K, with_p=False))
+    return rounded(O.fit_table(fit, K))
 
 
 @register("ols_residuals", sql=S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + """
@@ -338,12 +338,12 @@ def _shift_coef_sql() -> str:
     return S.with_(*ctes) + "\nunion all ".join(parts)
 
 
-@register("ols_shifts", sql=_shift_coef_sql())
+@register("ols_shifts", sql=S.add_t_p(_shift_coef_sql(), f"n - {3 + len(LIT.WINDOWS)}"))
 def q_ols_shifts(spark, sf_dir):
     """RG6: intercept-shift model with the four window indicators (coefficient
-    table; constant indicators drop per group; t-tail p-values unit-tested)."""
+    table; constant indicators drop per group)."""
     f, fit, xs = shift_model(views.panel(spark, sf_dir, materialize=True))
-    return rounded(O.coef_table(fit, xs, K, with_p=False).select("entity", "term", "estimate", "se", "t_stat"))
+    return rounded(O.coef_table(fit, xs, K).select("entity", "term", "estimate", "se", "t_stat", "p_value"))
 
 
 def _joint_f_sql() -> str:
@@ -355,24 +355,32 @@ def _joint_f_sql() -> str:
                    *S.mgs_ctes("r", "f", "y", XS)) + f"""
 select entity, cast({len(labels)} as integer) as q, u.n - {len(labels) + 3} as df_u,
        round(((r.rss - u.rss) / {len(labels)}) / (u.rss / (u.n - {len(labels) + 3})), 6) as f_stat,
-       round((1 - u.rss / u.tss) - (1 - r.rss / r.tss), 6) as d_r2
+       round((1 - u.rss / u.tss) - (1 - r.rss / r.tss), 6) as d_r2,
+       round({S.f_p(f"((r.rss - u.rss) / {len(labels)}) / (u.rss / (u.n - {len(labels) + 3}))", str(len(labels)), f"u.n - {len(labels) + 3}")}, 6) as p_value
 from u join r using (entity)"""
 
 
 @register("joint_f", sql=_joint_f_sql())
 def q_joint_f(spark, sf_dir):
-    """RG7: joint F test that all window-indicator coefficients are zero; ΔR²
-    (the F-tail p-value is unit-tested)."""
+    """RG7: joint F test that all window-indicator coefficients are zero; ΔR², p."""
     p = views.panel(spark, sf_dir, materialize=True)
     f, fu, _ = shift_model(p)
     fr = O.ols(f, "y", XS, K)
-    return rounded(MD.joint_f(fu, fr, K).drop("p_value"))
+    return rounded(MD.joint_f(fu, fr, K))
+
+
+def _alt_p(t: str, alternative: str) -> str:
+    two = S.t_p(t, "n - 3")
+    if alternative != "greater":
+        return two
+    return f"(case when {t} >= 0 then {two} / 2 else 1 - {two} / 2 end)"
 
 
 def _benchmark_sql() -> str:
     idx = {"(Intercept)": 0, "x1": 1, "x2": 2}
     rows = [f"select entity, '{t}' as term, cast({b0!r} as double) as b0, '{alt}' as alternative, round(b{idx[t]}, 6) as estimate, "
-            f"round(se{idx[t]}, 6) as se, n - 3 as df_resid, round((b{idx[t]} - {b0!r}) / se{idx[t]}, 6) as t_stat from f"
+            f"round(se{idx[t]}, 6) as se, n - 3 as df_resid, round((b{idx[t]} - {b0!r}) / se{idx[t]}, 6) as t_stat, "
+            f"round({_alt_p(f'((b{idx[t]} - {b0!r}) / se{idx[t]})', alt)}, 6) as p_value from f"
             for t, b0, alt in LIT.BENCHMARKS]
     return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS)) + "\nunion all ".join(rows)
 
@@ -380,9 +388,9 @@ def _benchmark_sql() -> str:
 @register("coef_vs_benchmark", sql=_benchmark_sql())
 def q_coef_vs_benchmark(spark, sf_dir):
     """RG12: t tests of the static coefficients against fixed values (two-sided /
-    greater); the Student-t tail p-values are unit-tested."""
+    greater)."""
     fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
-    return rounded(MD.coef_vs_benchmark(O.coef_table(fit, XS, K), LIT.BENCHMARKS, K).drop("p_value"))
+    return rounded(MD.coef_vs_benchmark(O.coef_table(fit, XS, K), LIT.BENCHMARKS, K))
 
 
 def _coef_compare_sql() -> str:
@@ -401,7 +409,7 @@ def q_coef_compare(spark, sf_dir):
     """RG11: static model with classical SE vs. Newey–West(12) SE, ±1.96·se, no intercept."""
     p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
-    a = O.coef_table(fit, XS, K, with_p=False).withColumn("model", F.lit("ols"))
+    a = O.coef_table(fit, XS, K).withColumn("model", F.lit("ols"))
     nw = MD.robust_se(p, fit, "y", XS, K, "m", "nw", 12, adjust=True)
     b = MD.se_table(nw, fit, XS, K).withColumn("model", F.lit("newey_west_12"))
     return rounded(MD.coef_compare(a, b, L.VARIABLE_LABELS, K))
@@ -418,11 +426,15 @@ def _union_models_sql() -> str:
     fit_cols = ("n, cast({p} as integer) as k, cast(n - {p} as bigint) as df_resid, round(rss, 6) as rss, "
                 "round(1 - rss / syy, 6) as r2, round(1 - (rss / syy) * (n - 1) / (n - {p}), 6) as adj_r2, "
                 "round(sqrt(rss / (n - {p})), 6) as sigma, round(((syy - rss) / {q}) / (rss / (n - {p})), 6) as f_stat, "
-                "cast({q} as integer) as df_model")
+                "cast({q} as integer) as df_model, round({p_f}, 6) as p_f")
+
+    def p_f(p, q):
+        return S.f_p(f"((syy - rss) / {q}) / (rss / (n - {p}))", str(q), f"n - {p}")
+
     return S.with_(S.PANEL, *S.ols_ctes("a", "panel", "y", XS), _LAG1_CTE,
                    *S.ols_ctes("b", "lg", "y", ["x1", "x2", "y_l1"])) + f"""
-select entity, {fit_cols.format(p=3, q=2)}, 'static' as model, cast(null as integer) as lag_order from a
-union all select entity, {fit_cols.format(p=4, q=3)}, 'lag1' as model, cast(1 as integer) as lag_order from b"""
+select entity, {fit_cols.format(p=3, q=2, p_f=p_f(3, 2))}, 'static' as model, cast(null as integer) as lag_order from a
+union all select entity, {fit_cols.format(p=4, q=3, p_f=p_f(4, 3))}, 'lag1' as model, cast(1 as integer) as lag_order from b"""
 
 
 @register("union_models", sql=_union_models_sql())
@@ -430,9 +442,9 @@ def q_union_models(spark, sf_dir):
     """ST1: fit tables of the static and lag-1 models stacked by column name
     (the lag model's extra column is NULL for the static one)."""
     p = views.panel(spark, sf_dir, materialize=True)
-    a = O.fit_table(O.ols(p, "y", XS, K), K, with_p=False).withColumn("model", F.lit("static"))
+    a = O.fit_table(O.ols(p, "y", XS, K), K).withColumn("model", F.lit("static"))
     d = WN.lags(p, "y", K, "m", [1])
-    b = O.fit_table(O.ols(d, "y", [*XS, "y_l1"], K), K, with_p=False).withColumn("model", F.lit("lag1")) \
+    b = O.fit_table(O.ols(d, "y", [*XS, "y_l1"], K), K).withColumn("model", F.lit("lag1")) \
         .withColumn("lag_order", F.lit(1))
     return rounded(union_by_name(a, b))
 
@@ -442,8 +454,8 @@ def _robust(kind, param=0, adjust=True):
         p = views.panel(spark, sf_dir, materialize=True)
         fit = O.ols(p, "y", XS, K)
         out = MD.se_table(MD.robust_se(p, fit, "y", XS, K, "m", kind, param, adjust), fit, XS, K)
-        return rounded(out.drop("p_value"))
-    q.__doc__ = f"Robust standard errors ({kind}, {param}); t-tail p-values unit-tested."
+        return rounded(out)
+    q.__doc__ = f"Robust standard errors ({kind}, {param}) with t and p."
     return q
 
 
@@ -518,10 +530,10 @@ union all select entity, 'x1', round(b1, 6), round(hse1, 6), n - 3, round(b1 / h
 union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / hse2, 6) from hs"""
 
 
-register("se_newey_west", sql=_se_table_sql(_nw(12), True))(_robust("nw", 12, True))
-register("se_newey_west6", sql=_se_table_sql(_nw(6), False))(_robust("nw", 6, False))
-register("se_kernel_bartlett", sql=_se_table_sql(_bartlett(12), True))(_robust("bartlett", 12, True))
-register("se_nw_prewhite", sql=_prewhite_sql(12))(_robust("nw_prewhite", 12, True))
+register("se_newey_west", sql=S.add_t_p(_se_table_sql(_nw(12), True), "n - 3"))(_robust("nw", 12, True))
+register("se_newey_west6", sql=S.add_t_p(_se_table_sql(_nw(6), False), "n - 3"))(_robust("nw", 6, False))
+register("se_kernel_bartlett", sql=S.add_t_p(_se_table_sql(_bartlett(12), True), "n - 3"))(_robust("bartlett", 12, True))
+register("se_nw_prewhite", sql=S.add_t_p(_prewhite_sql(12), "n - 3"))(_robust("nw_prewhite", 12, True))
 
 
 def _series_robust(kind):
@@ -580,12 +592,12 @@ union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / h
 
 
 def _nw_auto_query(spark, sf_dir):
-    """RG16: Newey–West with the automatic Bartlett lag, per series (t-tail p unit-tested)."""
+    """RG16: Newey–West with the automatic Bartlett lag, per series."""
     p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     se = MD.series_robust_se(p, fit, "y", XS, K, "m", "nw_auto")
     out = MD.se_table(se.drop("bandwidth"), fit, XS, K).join(se.select(*K, "bandwidth"), K)
-    return rounded(out.drop("p_value"))
+    return rounded(out)
 
 
 def _qs_sql() -> str:
@@ -640,26 +652,37 @@ union all select entity, 'x2', round(b2, 6), round(hse2, 6), n - 3, round(b2 / h
 
 
 def _qs_query(spark, sf_dir):
-    """RG17: quadratic-spectral HAC with Andrews' bandwidth, per series (t-tail p unit-tested)."""
+    """RG17: quadratic-spectral HAC with Andrews' bandwidth, per series."""
     p = views.panel(spark, sf_dir, materialize=True)
     fit = O.ols(p, "y", XS, K)
     se = MD.series_robust_se(p, fit, "y", XS, K, "m", "qs_andrews")
     out = MD.se_table(se.drop("bandwidth"), fit, XS, K).join(se.select(*K, "bandwidth"), K)
-    return rounded(out.drop("p_value"))
+    return rounded(out)
+
+
+register("se_hac_qs", sql=S.add_t_p(_qs_sql(), "n - 3"))(_qs_query)
+register("se_nw_auto", sql=S.add_t_p(_nw_auto_sql(), "n - 3"))(_nw_auto_query)
 
 
-register("se_hac_qs", sql=_qs_sql())(_qs_query)
-register("se_nw_auto", sql=_nw_auto_sql())(_nw_auto_query)
+def _effect_sql() -> str:
+    lab = "case term " + " ".join(f"when '{k}' then '{v}'" for k, v in L.VARIABLE_LABELS.items()) + " else term end"
+    sig = "case when p <= 0.05 then 'significant' else 'not significant' end"
+    rows = " union all ".join(f"select entity, '{t}' as term, b{i} as estimate, {S.t_p(f'(b{i} / se{i})', 'n - 3')} as p from f"
+                              for i, t in enumerate(["(Intercept)", *XS]))
+    return S.with_(S.PANEL, *S.ols_ctes("f", "panel", "y", XS), f"c as ({rows})") + f"""
+select entity, term, {lab} as label, round(estimate, 6) as estimate, round(p, 6) as p_value, {sig} as significance,
+       (case when estimate > 0 then 'positive' when estimate < 0 then 'negative' else 'zero' end) || ' and ' || {sig} as effect
+from c"""
 
 
-@register("effect_labels")
+@register("effect_labels", sql=_effect_sql())
 def q_effect_labels(spark, sf_dir):
     """PR18: sign and significance wording of every coefficient (p from the t tail)."""
     fit = O.ols(views.panel(spark, sf_dir, materialize=True), "y", XS, K)
     c = O.coef_table(fit, XS, K)
-    return c.select("entity", "term", L.recode(F.col("term")).alias("label"), "estimate", "p_value",
-                    L.significance_label(F.col("p_value")).alias("significance"),
-                    L.effect_label(F.col("estimate"), F.col("p_value")).alias("effect"))
+    return rounded(c.select("entity", "term", L.recode(F.col("term")).alias("label"), "estimate", "p_value",
+                            L.significance_label(F.col("p_value")).alias("significance"),
+                            L.effect_label(F.col("estimate"), F.col("p_value")).alias("effect")))
 
 
 def _model_table_sql() -> str:
@@ -672,35 +695,35 @@ def _model_table_sql() -> str:
             f"f as (select entity, y, x1, x2, 1.0 as one, {flags} from panel)"]
     parts = []
     for i, t in enumerate(["(Intercept)", *XS]):
-        parts.append(f"select entity, 'static' as model, '{t}' as term, b{i} as estimate, se{i} as se from fs")
+        parts.append(f"select entity, 'static' as model, '{t}' as term, b{i} as estimate, se{i} as se, n - 3 as df from fs")
     for i, t in enumerate(["(Intercept)", *XS, "y_l1"]):
-        parts.append(f"select entity, 'lag1', '{t}', b{i}, se{i} from fl")
+        parts.append(f"select entity, 'lag1', '{t}', b{i}, se{i}, n - 4 from fl")
     ctes += S.mgs_ctes("ci", "f", "y", [*terms, "one"], center=False)
-    parts.append("select entity, 'shift', '(Intercept)', b_last, se_last from ci")
+    parts.append(f"select entity, 'shift', '(Intercept)', b_last, se_last, n - {len(terms) + 1} from ci")
     for i, t in enumerate(terms):
         ctes += S.mgs_ctes(f"c{i}", "f", "y", [x for x in terms if x != t] + [t])
-        parts.append(f"select entity, 'shift', '{t}', b_last, se_last from c{i}")
+        parts.append(f"select entity, 'shift', '{t}', b_last, se_last, n - {len(terms) + 1} from c{i}")
     ctes.append("u as (" + " union all ".join(parts) + ")")
     return S.with_(*ctes) + f"""
 select entity, model, term, {lab} as label, round(estimate, 6) as estimate, round(se, 6) as se,
        round(estimate / se, 6) as t_stat from u"""
 
 
-@register("model_table", sql=_model_table_sql())
+@register("model_table", sql=S.add_t_p(_model_table_sql(), "df"))
 def q_model_table(spark, sf_dir):
     """SC8: tidy comparison table of the static, lag-1 and shift models (terms × models),
-    written as Parquet to the shared scratch folder and read back (t-tail p unit-tested)."""
+    written as Parquet to the shared scratch folder and read back."""
     from ..sources import csv as C
     p = views.panel(spark, sf_dir, materialize=True)
     d = WN.lags(p, "y", K, "m", [1])
     f, fu, xs_shift = shift_model(p)
     parts = [
-        O.coef_table(O.ols(p, "y", XS, K), XS, K, with_p=False).withColumn("model", F.lit("static")),
-        O.coef_table(O.ols(d, "y", [*XS, "y_l1"], K), [*XS, "y_l1"], K, with_p=False).withColumn("model", F.lit("lag1")),
-        O.coef_table(fu, xs_shift, K, with_p=False).withColumn("model", F.lit("shift")),
+        O.coef_table(O.ols(p, "y", XS, K), XS, K).withColumn("model", F.lit("static")),
+        O.coef_table(O.ols(d, "y", [*XS, "y_l1"], K), [*XS, "y_l1"], K).withColumn("model", F.lit("lag1")),
+        O.coef_table(fu, xs_shift, K).withColumn("model", F.lit("shift")),
     ]
     tidy = union_by_name(*parts).select("entity", "model", "term", L.recode(F.col("term")).alias("label"),
-                                        "estimate", "se", "t_stat")
+                                        "estimate", "se", "t_stat", "p_value")
     path = C.scratch_path(spark, "model-table")
     tidy.write.mode("overwrite").parquet(path)
     return rounded(spark.read.parquet(path))

@@ -49,15 +49,15 @@ def q_scan_csv_locale(spark, sf_dir):
         "entity",
         F.date_format("t", "yyyy-MM").alias("date"),
         F.translate(_num_text(F.col("y")), ".", ",").alias("rate"),
-        _num_text(F.col("x1")).alias("HICP"),
-        F.when(F.col("x2") >= 0, F.concat(F.lit("0"), gap)).otherwise(gap).alias("output_gap"),
+        _num_text(F.col("x1")).alias("discount"),
+        F.when(F.col("x2") >= 0, F.concat(F.lit("0"), gap)).otherwise(gap).alias("quantity"),
         F.lit(None).cast("string").alias("_c6"), F.lit(None).cast("string").alias("_c7"),
     )
     path = C.write_csv(fixture, C.scratch_path(spark, "panel-locale"), sep=";")
     raw = C.drop_unnamed(C.read_text_table(spark, path, sep=";"))
-    typed = C.convert_columns(raw, {"rate": ",", "HICP": ".", "output_gap": "."}, month_col="date")
+    typed = C.convert_columns(raw, {"rate": ",", "discount": ".", "quantity": "."}, month_col="date")
     out = typed.select("entity", F.col("date").alias("t"), views.month_index(F.col("date")).alias("m"),
-                       F.col("rate").alias("y"), F.col("HICP").alias("x1"), F.col("output_gap").alias("x2"))
+                       F.col("rate").alias("y"), F.col("discount").alias("x1"), F.col("quantity").alias("x2"))
     return rounded(out)
 
 
@@ -69,8 +69,8 @@ def q_scan_dirty_numeric(spark, sf_dir):
     fixture = p.select(
         F.date_format("t", "yyyy-MM").alias(""), "entity",
         F.concat(_num_text(F.col("y")), F.lit("\t")).alias("Rate"),
-        _num_text(F.col("x1")).alias("HICP"),
-        F.concat(_num_text(F.col("x2")), F.lit("\t")).alias("Output Gap"),
+        _num_text(F.col("x1")).alias("discount"),
+        F.concat(_num_text(F.col("x2")), F.lit("\t")).alias("mean quantity"),
     )
     path = C.write_csv(fixture, C.scratch_path(spark, "panel-dirty"), null_value="NA")
     raw = C.rename_positional(C.read_text_table(spark, path), ["month_text", "entity", "y", "x1", "x2"])
@@ -85,8 +85,8 @@ def q_rename_positional(spark, sf_dir):
     """SC3: header kept verbatim (first name empty), first four columns renamed by
     position after an arity check, later columns keep their names."""
     p = views.panel(spark, sf_dir)
-    fixture = p.select(F.date_format("t", "yyyy-MM").alias(""), _num_text(F.col("y")).alias("EZB Leitzins"),
-                       _num_text(F.col("x1")).alias("HICP"), _num_text(F.col("x2")).alias("Output Gap"), "entity")
+    fixture = p.select(F.date_format("t", "yyyy-MM").alias(""), _num_text(F.col("y")).alias("mean price"),
+                       _num_text(F.col("x1")).alias("discount"), _num_text(F.col("x2")).alias("mean quantity"), "entity")
     path = C.write_csv(fixture, C.scratch_path(spark, "panel-positional"))
     raw = C.rename_positional(C.read_text_table(spark, path), ["month_text", "y", "x1", "x2"])
     typed = C.convert_columns(raw, {"y": ".", "x1": ".", "x2": "."}, month_col="month_text")
@@ -104,7 +104,7 @@ def q_sink_csv(spark, sf_dir):
     out = fit.select("entity", "n", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)], "r2")
     path = C.write_csv(out, C.scratch_path(spark, "ols-csv"))
     schema = "entity string, n long, b0 double, b1 double, b2 double, r2 double"
-    return rounded(C.read_csv(spark, path, T._parse_datatype_string(schema)))
+    return rounded(C.read_csv(spark, path, schema))
 
 
 @register("head_tail", sql=S.with_(S.PANEL, """r as (
@@ -220,8 +220,7 @@ def q_period_label(spark, sf_dir):
   select entity, m, 'y' as variable from panel union all select entity, m, 'x1' from panel
   union all select entity, m, 'x2' from panel union all select entity, m, 'm' from panel)""") + """
 select entity, m, variable,
-       case variable when 'y' then 'Policy rate' when 'x1' then 'Inflation gap' when 'x2' then 'Output gap'
-            when '(Intercept)' then 'Constant' when 'y_l1' then 'Lag(1) policy rate' else variable end as label
+       case variable """ + " ".join(f"when '{k}' then '{v}'" for k, v in L.VARIABLE_LABELS.items()) + """ else variable end as label
 from l""")
 def q_recode_labels(spark, sf_dir):
     """PR12: dictionary recode of variable names; unmatched names ('m') kept."""

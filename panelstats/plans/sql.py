@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 PANEL = """panel as (
   select l_returnflag || l_linestatus as entity,
          cast(date_trunc('month', l_shipdate) as date) as t,
@@ -150,3 +153,47 @@ def mgs_ctes(name: str, src: str, y: str, xs: list[str], keys: str = "entity", w
   sqrt(sum(ry * ry) / (count(*) - {dfx}) / sum({last} * {last})) as se_last
   from {name}_{k} group by {keys})""")
     return ctes
+
+
+# ------------------------------------------------------- tail probabilities
+def _simpson(f: str, lo: str, hi: str, steps: int) -> str:
+    """∫ f over [lo, hi] by Simpson's rule; ``f`` is SQL in ``z``."""
+    h = f"(({hi} - {lo}) / {float(steps)!r})"
+    body = f.replace("{z}", f"({lo} + i * {h})")
+    return (f"({h} / 3 * list_sum(list_transform(range(0, {steps + 1}), lambda i: "
+            f"(case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end) * {body})))")
+
+
+def t_p(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided Student-t p: ∫ cos^(df−1) over the angles beyond atan(|t|/√df)."""
+    area = _simpson(f"power(cos({{z}}), ({df}) - 1)", f"atan(abs({t}) / sqrt({df}))", "(pi() / 2)", steps)
+    return f"(2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {area})"
+
+
+def f_p(f: str, d1: str, d2: str, steps: int = 2000) -> str:
+    """Upper F tail as an integral of sin^(d2−1) cos^(d1−1) up to atan √(d2/(d1 F))."""
+    area = _simpson(f"power(sin({{z}}), ({d2}) - 1) * power(cos({{z}}), ({d1}) - 1)", "0.0",
+                    f"atan(sqrt(({d2}) / (({d1}) * ({f}))))", steps)
+    beta = f"(lgamma(({d1}) / 2.0) + lgamma(({d2}) / 2.0) - lgamma((({d1}) + ({d2})) / 2.0))"
+    return f"(2 * exp(-{beta}) * {area})"
+
+
+def norm_cdf(z: str, steps: int = 2000) -> str:
+    return f"(0.5 + {_simpson('exp(-0.5 * {z} * {z})', '0.0', f'({z})', steps)} / sqrt(2 * pi()))"
+
+
+def chi2_p(x: str, k: int) -> str:
+    """Upper χ² tail: a finite sum for even k; for odd k the normal tail plus such a sum."""
+    half = f"(({x}) / 2)"
+    first = 1 if k % 2 else 0
+    terms = [f"power({half}, {j / 2!r}) / {math.gamma(j / 2 + 1)!r}" for j in range(first, k - 1, 2)]
+    series = f"exp(-{half}) * ({' + '.join(terms) or '0'})"
+    return f"(2 * (1 - {norm_cdf(f'sqrt({x})')}) + {series})" if k % 2 else f"({series})"
+
+
+def add_t_p(sql: str, df: str, steps: int = 2000) -> str:
+    """Append a two-sided p after every rounded ``estimate / se`` of a coefficient table."""
+    def tail(m):
+        return f"{m[0]}, round({t_p(f'({m[1]} / {m[2]})', df, steps)}, 6)" + (" as p_value" if m[3] else "")
+
+    return re.sub(r"round\((\w+) / (\w*se\w*), 6\)( as t_stat)?", tail, sql)

@@ -28,7 +28,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",",
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",",
              null_value: str | None = None) -> DataFrame:
     """SC1: header CSV with an explicit schema (no inference pass)."""
     r = spark.read.option("header", True).option("sep", sep)

@@ -9,8 +9,8 @@ from panelstats.functions.dates import month_extract, month_parse
 from panelstats.operators.transforms import dedupe_first, duplicate_keys
 from panelstats.sources import csv as C
 
-LOCALE = "date;ezb_leitzins;HICP;output_gap;;;\r\n2001-12;3,25;2.1;02.126274;;;\r\n2002-01;3,5;2.6;;;;\r\n2002-02;NA;2.4;1.5;;;\r\n"
-DIRTY = ',EZB Leitzins,HICP,Output Gap,extra\n2001-12,"3.25\t",2.1,NA,a\nDec 2002,3.5,2.6,2.0126274,b\n'
+LOCALE = "date;price;share;volume;;;\r\n2011-04;7,25;1.4;03.250125;;;\r\n2011-05;7,5;1.9;;;;\r\n2011-06;NA;1.7;0.5;;;\r\n"
+DIRTY = ',mean price,share,mean volume,extra\n2011-04,"7.25\t",1.4,NA,a\nDec 2012,7.5,1.9,3.0125,b\n'
 
 
 @pytest.fixture
@@ -26,28 +26,28 @@ def _write(path, name, text):
 
 
 def test_locale_file(spark, scratch):
-    path = _write(scratch + "-locale", "taylor.csv", LOCALE)
+    path = _write(scratch + "-locale", "panel.csv", LOCALE)
     raw = C.drop_unnamed(C.read_text_table(spark, path, sep=";"))
-    assert raw.columns == ["date", "ezb_leitzins", "HICP", "output_gap"]
-    typed = C.convert_columns(raw, {"ezb_leitzins": ",", "HICP": ".", "output_gap": "."}, month_col="date")
+    assert raw.columns == ["date", "price", "share", "volume"]
+    typed = C.convert_columns(raw, {"price": ",", "share": ".", "volume": "."}, month_col="date")
     rows = typed.orderBy("date").collect()
-    assert [r.ezb_leitzins for r in rows] == [3.25, 3.5, None]
-    assert rows[0].output_gap == pytest.approx(2.126274)      # leading zero "02.126274"
-    assert rows[1].output_gap is None                          # empty cell
-    assert str(rows[0].date) == "2001-12-01"
+    assert [r.price for r in rows] == [7.25, 7.5, None]
+    assert rows[0].volume == pytest.approx(3.250125)      # leading zero "03.250125"
+    assert rows[1].volume is None                          # empty cell
+    assert str(rows[0].date) == "2011-04-01"
 
 
 def test_dirty_positional(spark, scratch):
-    path = _write(scratch + "-dirty", "daten.csv", DIRTY)
+    path = _write(scratch + "-dirty", "rows.csv", DIRTY)
     raw = C.read_text_table(spark, path)
     assert raw.columns[0] == "_c0"                              # empty first header
-    ren = C.rename_positional(raw, ["month_text", "rate", "hicp", "gap"])
-    assert ren.columns == ["month_text", "rate", "hicp", "gap", "extra"]
-    typed = C.convert_columns(ren, {"rate": ".", "hicp": ".", "gap": "."}, month_col="month_text")
+    ren = C.rename_positional(raw, ["month_text", "price", "part", "volume"])
+    assert ren.columns == ["month_text", "price", "part", "volume", "extra"]
+    typed = C.convert_columns(ren, {"price": ".", "part": ".", "volume": "."}, month_col="month_text")
     rows = typed.orderBy("month_text").collect()
-    assert rows[0].rate == 3.25                                 # quoted value with a tab
-    assert rows[0].gap is None                                  # NA token
-    assert str(rows[1].month_text) == "2002-12-01"              # 'Dec 2002'
+    assert rows[0].price == 7.25                                 # quoted value with a tab
+    assert rows[0].volume is None                                  # NA token
+    assert str(rows[1].month_text) == "2012-12-01"              # 'Dec 2012'
     with pytest.raises(ValueError):
         C.rename_positional(raw.select("_c0"), ["a", "b"])
 
