@@ -12,7 +12,7 @@ each on their whole sets.
 
 A list of classes under one shingle is not expanded into all its pairs: each class
 is compared with one of the list only; verified links are closed into components,
-and lists whose other members are in one component are finished. The classes in
+and lists whose other members of like size are in one component are finished. The classes in
 the unfinished lists get new prefixes in the exact rare-first order of their own
 shingles, go through such rounds again, and what three rounds leave over is
 joined pair by pair across components. So every link between different
@@ -27,6 +27,7 @@ result; other columns are ignored (``one_per_group`` keeps them).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,6 +235,17 @@ class Linker:
             discard(t)
 
 
+def _unfinished(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of lists that may still hold a link between two components: sizes that can
+    link lie in one size band or in two adjacent ones (a band is a little wider than
+    the ratio), so bands without two components in them are finished."""
+    band = F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent)))
+    spread = rows.withColumn("band", F.explode(F.array(band, band - 1)))
+    mixed = spread.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .where(F.col("lo") != F.col("hi")).select("token", "band")
+    return spread.join(mixed, ["token", "band"]).drop("band").distinct()
+
+
 def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
     """Compare the members of each list with one of them (least ``rank``), close the
     links, and go on with the lists whose other members are in several components."""
@@ -249,9 +261,7 @@ def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
             rest = rest.join(c, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         else:
             rest = rest.withColumn("comp", F.col("cls"))
-        mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .where(F.col("lo") != F.col("hi")).select("token")
-        old, lists = lists, stage_table(rest.join(mixed, "token"), "lists")
+        old, lists = lists, stage_table(_unfinished(rest, percent), "lists")
         discard(old)
         if lists.isEmpty():
             break
