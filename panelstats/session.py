@@ -8,7 +8,9 @@ case in local tests.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -35,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("PANELSTATS_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -113,6 +115,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    if sc is not None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     # Only reached in local runs/tests where no shared folder is configured.
     local_dir = tempfile.mkdtemp(prefix="panelstats-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
@@ -121,12 +125,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table written by ``cut_lineage``; nothing else is touched. Readers may
+    name it with another scheme, so its unique folder name decides."""
+    name = path.rpartition("/")[2]
+    path = next((p for p in _WRITTEN if p.rpartition("/")[2] == name), None)
+    if path is not None:
+        del _WRITTEN[path]
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_written() -> None:
+    """Tables of this process go when it ends, if its session still answers."""
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            delete_table(spark, path)
+        except Exception:  # the session is gone: the folder's owner cleans it
+            return
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Materialise ``df`` once as a Parquet table under the shared checkpoint
     folder and return a plan that reads it (survives executor loss; later
-    reads get column pruning, filter pushdown and real size statistics)."""
+    reads get column pruning, filter pushdown and real size statistics). The
+    tables are deleted when the process ends."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN[path] = spark
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
