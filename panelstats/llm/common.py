@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut_lineage, ready
+from ..session import cut_lineage, delete_table, ready
 
 U64 = np.uint64
 BLOCK_BYTES = (1 << 20) - 64  # bytes of text worked on at once; power tables stay at 8 MB
@@ -166,12 +166,8 @@ def discard(df: DataFrame | None) -> None:
     """Delete a stage table that no plan reads any more."""
     if df is None:
         return
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files or "/tables/llm-" not in files[0]:
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete_table(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
