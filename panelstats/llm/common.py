@@ -155,11 +155,10 @@ def shingle_hashes(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back; then let
-    Spark drop the shuffle files of finished stages."""
-    out = cut_lineage(df, f"llm-{name}")
+    """Write ``df`` under the shared checkpoint folder and read it back. Before, Spark
+    drops the shuffle files of the stages that are finished."""
     release(df.sparkSession)
-    return out
+    return cut_lineage(df, f"llm-{name}")
 
 
 def discard(df: DataFrame | None) -> None:

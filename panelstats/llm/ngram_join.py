@@ -12,8 +12,9 @@ each on their whole sets.
 
 A list of classes under one shingle is not expanded into all its pairs: each class
 is compared with one of the list only; verified links are closed into components,
-and lists whose other members of like size are in one component are finished. The classes in
-the unfinished lists get new prefixes in the exact rare-first order of their own
+and lists whose other members of like size are in one component are finished. Of the
+unfinished lists the short ones are joined pair by pair across components; the
+classes in the long ones get new prefixes in the exact rare-first order of their own
 shingles, go through such rounds again, and what three rounds leave over is
 joined pair by pair across components. So every link between different
 components is found, however long a list is. Components are therefore exact;
@@ -39,6 +40,7 @@ from .common import U64, as_signed, blocks, discard, mix, shingle_hashes, stage_
 from .graph import components
 
 ORDER_BITS = 18  # buckets of the frequency table: 2 MB, whatever the corpus
+SHORT_LIST = 32  # members up to which a list's pairs are joined directly; longer ones take hub rounds
 BINS = 64  # of the suffix filter's histogram
 
 
@@ -246,6 +248,21 @@ def _unfinished(rows: DataFrame, percent: int) -> DataFrame:
     return spread.join(mixed, ["token", "band"]).drop("band").distinct()
 
 
+def _with_components(rows: DataFrame, linker: Linker) -> DataFrame:
+    if linker.comps is None:
+        return rows.withColumn("comp", F.col("cls"))
+    c = linker.comps.select(F.col("node").alias("cls"), "comp")
+    return rows.join(c, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _all_pairs(lists: DataFrame, linker: Linker) -> None:
+    """Candidates of different components within each list."""
+    a, b = (lists.select("token", F.struct("cls", "size", "pos", "shared", "comp").alias(c)) for c in "ab")
+    pairs = a.join(b, "token").where((F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
+                                     & _fits("a", "b", linker.percent))
+    linker.close(pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")))
+
+
 def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
     """Compare the members of each list with one of them (least ``rank``), close the
     links, and go on with the lists whose other members are in several components."""
@@ -255,12 +272,7 @@ def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
         met = lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls"))
         near = met.select("hub", F.struct("cls", "size", "pos", "shared").alias("own")).where(_fits("own", "hub", percent))
         linker.close(near.select(F.col("own.cls").alias("x"), F.col("hub.cls").alias("y")))
-        rest = met.drop("hub", "comp")
-        if linker.comps is not None:
-            c = linker.comps.select(F.col("node").alias("cls"), "comp")
-            rest = rest.join(c, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        else:
-            rest = rest.withColumn("comp", F.col("cls"))
+        rest = _with_components(met.drop("hub", "comp"), linker)
         old, lists = lists, stage_table(_unfinished(rest, percent), "lists")
         discard(old)
         if lists.isEmpty():
@@ -303,12 +315,15 @@ def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
                         .withColumn("shared", F.col("pos")).withColumn("rank", F.col("size")), "lists")
     left = _hub_rounds(lists, linker, 1)
     if not left.isEmpty():
-        left = _hub_rounds(_exact_lists(linker, left.select("cls").distinct()), linker, 3)
+        few = left.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SHORT_LIST).select("token")
+        _all_pairs(left.join(few, "token"), linker)
+        long = _with_components(left.join(few, "token", "left_anti").drop("comp"), linker)
+        old, left = left, stage_table(_unfinished(long, percent), "lists")
+        discard(old)
     if not left.isEmpty():
-        a, b = (left.select("token", F.struct("cls", "size", "pos", "shared", "comp").alias(c)) for c in "ab")
-        pairs = a.join(b, "token").where((F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
-                                         & _fits("a", "b", percent))
-        linker.close(pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")))
+        left = _hub_rounds(_exact_lists(linker, left.select("cls").distinct()), linker, 3)
+        if not left.isEmpty():
+            _all_pairs(left, linker)
     rows = profiles.where(F.col("counts").isNull()).select("doc_id", F.col("size").alias("n_shingles"), "cls")
     if linker.comps is not None:
         c = linker.comps.select(F.col("node").alias("cls"), "comp")
