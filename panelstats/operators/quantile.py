@@ -74,26 +74,24 @@ def rank_within(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequen
 
 
 def order_statistics(df: DataFrame, value: str, keys: Sequence[str], ranks: Sequence[Column],
-                     count: str = "_n") -> DataFrame:
+                     shares: Sequence[float], count: str = "_n") -> DataFrame:
     """keys, ``_n`` and ``_x`` (array): the values at 1-based ``ranks``, which are
-    expressions in the group's number of non-null values, the column ``count``."""
+    expressions in the group's number of non-null values, the column ``count``;
+    ``shares`` says where they lie in [0, 1], to within two ranks."""
     keys = list(keys)
     d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    wide = 4 / ACCURACY  # sketch error 1, two ranks of a group of 10 ACCURACY rows or more
+    marks = sorted({p for s in shares for p in (max(0.0, s - wide), min(1.0, s + wide))})
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                             F.percentile_approx("_v", [i / 64 for i in range(65)], ACCURACY).alias("_grid"))
-    # Values of the sketch around each rank: a grid point p is within n/ACCURACY of rank p n.
-    slack = F.col(count) / ACCURACY + 1
-    grid = [(i / 64 * F.col(count), F.col("_grid")[i]) for i in range(65)]
-
-    def bracket(rank):
-        lo, hi = F.col("_lo"), F.col("_hi")
-        for at, v in grid:
-            lo = F.when(at + slack < rank, v).otherwise(lo)
-        for at, v in reversed(grid):
-            hi = F.when(at - slack > rank, v).otherwise(hi)
-        return F.struct(rank.cast("long").alias("rank"), lo.alias("lo"), hi.alias("hi"))
-
-    b = n.select(*keys, count, F.array(*[bracket(r) for r in ranks]).alias("_b"))
+                             F.percentile_approx("_v", marks, ACCURACY).alias("_grid"))
+    small = F.col(count) <= 10 * ACCURACY  # the whole group is its own bracket
+
+    def bracket(rank, s):
+        lo, hi = (F.col("_grid")[marks.index(p)] for p in (max(0.0, s - wide), min(1.0, s + wide)))
+        return F.struct(rank.cast("long").alias("rank"), F.when(small, F.col("_lo")).otherwise(lo).alias("lo"),
+                        F.when(small, F.col("_hi")).otherwise(hi).alias("hi"))
+
+    b = n.select(*keys, count, F.array(*[bracket(r, s) for r, s in zip(ranks, shares, strict=True)]).alias("_b"))
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     j = d.alias("d").join(b.alias("b"), on=on) if keys else d.crossJoin(F.broadcast(b))
     cols = [F.col(f"d.{k}").alias(k) for k in keys]
@@ -125,7 +123,7 @@ def quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[fl
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     h = [(F.col("_n") - 1) * float(p) for p in probs]
     ranks = [r for x in h for r in (F.floor(x) + 1, F.least(F.floor(x) + 2, F.col("_n")))]
-    x = order_statistics(df, value, keys, ranks)
+    x = order_statistics(df, value, keys, ranks, [float(p) for p in probs for _ in range(2)])
     outs = []
     for i, (hi, nm) in enumerate(zip(h, names, strict=True)):
         lo, up = F.col("_x")[2 * i], F.col("_x")[2 * i + 1]
@@ -138,7 +136,7 @@ def trimmed_mean(df: DataFrame, value: str, keys: Sequence[str], trim: float = 0
     the sum strictly between the two outermost kept values, and their own multiplicity."""
     keys = list(keys)
     lo_rank = F.floor(F.col("_n") * trim) + 1
-    x = order_statistics(df, value, keys, [lo_rank, F.col("_n") + 1 - lo_rank])
+    x = order_statistics(df, value, keys, [lo_rank, F.col("_n") + 1 - lo_rank], [trim, 1 - trim])
     ends = x.select(*keys, lo_rank.alias("_r"), (F.col("_n") + 1 - lo_rank).alias("_q"),
                     F.col("_x")[0].alias("_a"), F.col("_x")[1].alias("_z"))
     d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_check import compare, duck_con
+from panelstats.plans import registry
 
 from conftest import SF_SMALL
 
@@ -47,13 +48,13 @@ def con():
     return duck_con(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle_small(spark, con, name):
     probs, _ = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF_SMALL, tol=1.5e-6)
     assert not probs, probs
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() >= 0
 

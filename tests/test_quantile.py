@@ -13,6 +13,7 @@ def frames(spark):
     rows = [("hot", 7.0)] * 7000 + [("hot", float(v)) for v in rng.normal(size=3000)]
     rows += [("cont", float(v)) for v in rng.exponential(size=20000)]
     rows += [("few", float(v)) for v in rng.integers(0, 5, 4000)]
+    rows += [("large", float(v)) for v in rng.normal(size=130_000)]  # beyond the size that is its own bracket
     rows += [("one", 3.0), ("two", 1.0), ("two", 2.0), ("same", 4.0), ("same", 4.0), ("same", 4.0), ("null", None)]
     rows += [("tails", float(v)) for v in np.concatenate([rng.normal(size=3000), [1e12, -1e12] * 20])]
     return rows, spark.createDataFrame(rows, "g string, v double").repartition(6)
@@ -24,7 +25,7 @@ def test_quantiles_and_trimmed_mean(spark):
     names = [f"p{i}" for i in range(len(probs))]
     got = {r.g: r for r in Q.quantiles(df, "v", ["g"], probs, names).collect()}
     trim = {r.g: r.trimmed_mean for r in Q.trimmed_mean(df, "v", ["g"], 0.1).collect()}
-    for g in ("hot", "cont", "few", "one", "two", "same", "tails"):
+    for g in ("hot", "cont", "few", "large", "one", "two", "same", "tails"):
         x = np.sort([v for k, v in rows if k == g])
         np.testing.assert_allclose([got[g][n] for n in names], np.quantile(x, probs), rtol=1e-12, atol=1e-12)
         cut = int(len(x) * 0.1)
