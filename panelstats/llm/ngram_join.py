@@ -23,7 +23,8 @@ links inside a component are not all listed.
 Defined results: a null, empty or blank text has no shingles and links with
 nothing; equal texts share a component; repeated rows each get a row; null ids
 never name a component unless it has no other id; an empty table gives an empty
-result; other columns are ignored (``one_per_group`` keeps them).
+result; other columns are ignored (``one_per_group`` keeps them, and
+judges every row by itself).
 """
 
 from __future__ import annotations
@@ -337,7 +338,11 @@ def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
-    """The documents that name their component, all columns kept; rows without an id stay."""
-    gone = groups(docs, n, percent, key, text).where(F.col("doc_id") != F.col("component_id")) \
-        .select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of each component, all columns kept: that of least id (rows without an id
+    come last), one of them if several rows have it. Rows are told apart by a number of
+    their own, so an id may be repeated, null, or carry several texts."""
+    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = groups(rows, n, percent, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
+    kept = rows.select("_row", F.col(key).alias("id")).join(found, "_row").groupBy("component_id") \
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)

@@ -117,3 +117,13 @@ def test_repeated_rows_are_occurrences(spark):
 def test_without_repeats_drops_emptied_documents(spark):
     out = suffix_dedup.without_repeats(frame(spark, ["abcdefghij" * 12, "abcdefghij" * 12, "", "other"]), 60)
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, ""), (3, "other")]
+
+
+def test_one_per_group_keeps_one_of_repeated_rows_and_every_text_of_an_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    docs = [(1, a), (2, a), (2, b), (5, c), (5, c), (None, d), (None, d), (None, None), (None, None), (7, a + " more")]
+    df = frame(spark, [t for _, t in docs], [k for k, _ in docs])
+    kept = sorted(((r.doc_id or -1, r.text or "") for r in ngram_join.one_per_group(df).collect()))
+    assert kept == [(-1, ""), (-1, ""), (-1, d), (1, a), (2, b), (5, c)]
+    left = suffix_dedup.without_repeats(ngram_join.one_per_group(df), 200).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in left) == kept
