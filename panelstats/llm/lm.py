@@ -1,13 +1,14 @@
 """Operator 9: language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs come from one aggregate over all training
-documents. They are quantised to powers of two, and an n-gram of level q is put
-into the filter q times, as ``(n-gram, 1) ... (n-gram, q)``; asking for the levels
-in turn until one is missing gives the level back, never too low. The filter is
-built in segments by hash, each in its own task, and broadcast. Its size follows
-the number of entries (``BITS_PER_ENTRY``) up to ``MAX_FILTER_BYTES``, the proven
-bound of the broadcast; the least count of a stored pair (two, as usual for
-pruned models) rises if the entries of all pairs would not fit.
+documents, pairs seen once included. They are quantised to powers of two, and an
+n-gram of level q is put into the filter q times, as ``(n-gram, 1) ... (n-gram, q)``;
+asking for the levels in turn until one is missing gives the level back, never too
+low. The filter is cut into segments by hash, about ``SEGMENT_ENTRIES`` entries each
+and as many as the entries need, with ``BITS_PER_ENTRY`` bits for every entry. It is
+never in one place: texts are worked on in blocks of a megabyte, each block sends
+its distinct n-grams to their segments by a shuffle, a message per segment, and gets
+a level for each of them back. A task holds one segment or one block at a time.
 
 ``P(w|h) = L c(h,w)/c(h) + (1-L) P(w)`` with ``P(w) = M c(w)/N + (1-M)/(V+1)``, all
 counts read from the filter.
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Block, as_signed, blocks, mix, stage_table
+from .common import U64, Block, as_signed, blocks, discard, mix, stage_table
 
 HEAD_WORDS = 1 << 19
 BITS_PER_ENTRY = 10
 PROBES = 4
-MAX_FILTER_BYTES = 64 << 20
-SEGMENT_BYTES = 1 << 16
+SEGMENT_ENTRIES = 1 << 19
+KEY_BYTES = 5
 WEIGHT_PAIR, WEIGHT_WORD = 0.6, 0.999
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
@@ -67,7 +68,7 @@ def held_out(key: str) -> Column:
 
 
 def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``size, h, n``: all words, and the pairs that occur at least twice."""
+    """``size, h, n``: all words and all pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -79,93 +80,109 @@ def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                         names=["size", "h", "n"])
 
     rows = docs.select(text).mapInArrow(run, "size byte, h long, n long")
-    counted = rows.groupBy("size", "h").agg(F.sum("n").alias("n"))
-    return stage_table(counted.where((F.col("size") == 1) | (F.col("n") > 1)), "ngrams")
+    return stage_table(rows.groupBy("size", "h").agg(F.sum("n").alias("n")), "ngrams")
 
 
 def quantise(size, n):
-    """Level of a count: words 1, 2-3, 4-7 ... from 1 on; pairs 2-3, 4-7 ... from 1 on."""
-    return np.floor(np.log2(n)).astype(np.int64) + (np.asarray(size) == 1)
+    """Level of a count: 1, 2-3, 4-7 ... from 1 on, for words and pairs (``size``) alike."""
+    return np.frexp(np.asarray(n, float))[1].astype(np.int64)
 
 
-def unquantise(level: np.ndarray, size: int) -> np.ndarray:
+def unquantise(level: np.ndarray) -> np.ndarray:
     """Middle of a level's counts; 0 stays 0."""
-    low = np.exp2(level - (size == 1))
-    return np.where(level == 0, 0.0, np.where((size == 1) & (level == 1), 1.0, 1.5 * low))
+    return np.where(level <= 1, level, 1.5 * np.exp2(level - 1.0))
 
 
-class LogFrequencyFilter:
-    """Bits in equal segments; an n-gram's segment and probes follow from its hash."""
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return ((mix(h) >> U64(32)) * U64(segments) >> U64(32)).astype(np.int64)
+
+
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """What tells n-grams of one segment apart: 40 bits, enough for any number of segments."""
+    return mix(h) & U64((1 << 8 * KEY_BYTES) - 1)
+
+
+def packed(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys_of(h).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(U64).ravel()
+
+
+def probe(keys: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
+    """Place of an n-gram's level among the bits of its segment, by the k-th hash."""
+    a = mix(keys ^ U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return ((a + U64(k) * (a >> U64(32) | U64(1))) % U64(bits)).astype(np.int64)
+
 
-    def __init__(self, segments: np.ndarray):
-        self.bits = segments  # [segment, byte]
+def segment_bits(keys: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """A segment's bytes: as many as its entries need."""
+    bits = np.zeros(max(8, int(top.sum()) * BITS_PER_ENTRY + 7 & ~7), bool)
+    for level in range(1, int(top.max()) + 1):
+        keys, top = keys[top >= level], top[top >= level]
+        for k in range(PROBES):
+            bits[probe(keys, level, k, len(bits))] = True
+    return np.packbits(bits, bitorder="little")
 
-    @staticmethod
-    def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-        return ((mix(h) >> U64(32)) * U64(segments) >> U64(32)).astype(np.int64)
 
-    @staticmethod
-    def probes(h: np.ndarray, level) -> list[np.ndarray]:
-        a = mix(h ^ (np.asarray(level).astype(U64) * U64(0x9E3779B97F4A7C15)))
-        step = a >> U64(32) | U64(1)
-        return [((a + U64(k) * step) % U64(SEGMENT_BYTES * 8)).astype(np.int64) for k in range(PROBES)]
+def segment_levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Repeated membership probes: the level before the first miss."""
+    out = np.zeros(len(keys), np.uint8)
+    alive = np.arange(len(keys))
+    level = 0
+    while len(alive) and level < 64:
+        level += 1
+        for k in range(PROBES):
+            p = probe(keys[alive], level, k, 8 * len(bits))
+            alive = alive[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+        out[alive] = level
+    return out
+
+
+class LogFrequencyFilter:
+    """All segments in one place."""
+
+    def __init__(self, segments: list[np.ndarray]):
+        self.bits = segments
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Repeated membership probes: the level before the first miss."""
-        out = np.zeros(len(h), np.int64)
-        seg = self.segment_of(h, len(self.bits))
-        alive = np.arange(len(h))
-        level = 0
-        while len(alive):
-            level += 1
-            for at in range(PROBES):
-                p = self.probes(h[alive], level)[at]
-                hit = (self.bits[seg[alive], p >> 3] >> (p & 7).astype(np.uint8)) & 1
-                alive = alive[hit.astype(bool)]
-                if not len(alive):
-                    break
-            out[alive] = level
+        out, seg = np.zeros(len(h), np.int64), segment_of(h, len(self.bits))
+        for k in np.unique(seg):
+            out[seg == k] = segment_levels(self.bits[k], keys_of(h[seg == k]))
         return out
 
 
-def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter, int]:
-    """The filter and the least count of the pairs it holds."""
-    by_level = counts.groupBy("size", F.floor(F.log2("n")).cast("int").alias("power")).count().collect()
-    words = sum(r["count"] * (r["power"] + 1) for r in by_level if r["size"] == 1)
-    least = 1
-    while True:  # at most 63 powers
-        entries = words + sum(r["count"] * r["power"] for r in by_level if r["size"] == 2 and r["power"] >= least)
-        if entries * BITS_PER_ENTRY <= MAX_FILTER_BYTES * 8 or least > 62:
-            break
-        least += 1
-    size = min(MAX_FILTER_BYTES, entries * BITS_PER_ENTRY // 8)
-    segments = max(1, -(-size // SEGMENT_BYTES))
+def filter_segments(counts: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> tuple[DataFrame, int]:
+    """``segment, bits`` of all n-grams, and the number of segments."""
+    entries = counts.agg(F.sum(F.floor(F.log2("n")) + 1)).first()[0] or 0
+    segments = max(1, -(-entries // per_segment))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.asarray(b.column(1)).view(U64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(LogFrequencyFilter.segment_of(h, segments)), b.column(1),
+                [pa.array(segment_of(np.asarray(b.column(1)).view(U64), segments)), b.column(1),
                  pa.array(quantise(np.asarray(b.column(0)), np.asarray(b.column(2))).astype(np.int8))],
                 names=["segment", "h", "level"])
 
     def build(group: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT_BYTES * 8, bool)
-        h, top = np.asarray(group["h"]).view(U64), np.asarray(group["level"]).astype(np.int64)
-        for level in range(1, int(top.max()) + 1):
-            h, top = h[top >= level], top[top >= level]
-            for p in LogFrequencyFilter.probes(h, level):
-                bits[p] = True
+        bits = segment_bits(keys_of(np.asarray(group["h"]).view(U64)), np.asarray(group["level"]).astype(np.int64))
         return pa.table({"segment": pa.array([group["segment"][0].as_py()], pa.int64()),
-                         "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+                         "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    return counts.select("size", "h", "n").mapInArrow(place, "segment long, h long, level byte") \
+        .groupBy("segment").applyInArrow(build, "segment long, bits binary"), segments
 
-    stored = counts.where((F.col("size") == 1) | (F.col("n") >= 2 ** least))
-    parts = stored.mapInArrow(place, "segment long, h long, level byte") \
-        .groupBy("segment").applyInArrow(build, "segment long, bits binary").collect()
-    out = np.zeros((segments, SEGMENT_BYTES), np.uint8)
-    for r in parts:
+
+def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter, int]:
+    """The filter of a small table in one place, and the least count of the pairs it holds."""
+    parts, segments = filter_segments(counts)
+    out = [np.zeros(1, np.uint8)] * segments
+    for r in parts.collect():
         out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return LogFrequencyFilter(out), 2 ** least
+    return LogFrequencyFilter(out), counts.where(F.col("size") == 2).agg(F.min("n")).first()[0]
 
 
 def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -187,59 +204,156 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[np.ndarray, np
     return h[order], got["n"].to_numpy(np.int64)[order]
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def by_segment(d: np.ndarray, h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a block, by segment, and their segments."""
+    grams = np.unique(np.concatenate((h, pairs(d, h))))
+    seg = segment_of(grams, segments)
+    order = np.argsort(seg, kind="stable")
+    return grams[order], seg[order]
+
+
+def in_blocks(rows: DataFrame, segments: int) -> DataFrame:
+    """``rows`` with their ``block`` (the ``row`` of its first document), and a row with
+    the distinct n-grams of each block in each segment (``segment`` is null on the others)."""
+    names = ["doc_id", "text", "held_out", "row", "block", "segment", "grams"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(1)):
+                part = batch.slice(b.first, b.n)
+                block = part.column(3)[0].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(np.full(b.n, block)), pa.nulls(b.n, pa.int64()), pa.nulls(b.n, pa.binary())],
+                    names=names)
+                grams, seg = by_segment(*tokens(b), segments)
+                at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+                asked = [packed(grams[i:j]) for i, j in zip(at, np.append(at[1:], len(seg)), strict=True)]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.nulls(n, c.type) for c in part.columns], pa.array(np.full(n, block)), pa.array(seg[at]),
+                     pa.array(asked, pa.binary())], names=names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return stage_table(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        run, f"doc_id {kind}, text string, held_out boolean, row long, block long, segment long, grams binary"), "blocks")
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows of equal value in a sorted column, whatever batches they came in."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        v = np.asarray(batch.column(column))
+        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if held and held[0].column(column)[0].as_py() != v[i]:
+                yield held
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield held
+
+
+def block_levels(cut: DataFrame, parts: DataFrame) -> DataFrame:
+    """``block, segment, levels``: a byte for each n-gram asked."""
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, bits = None, None
+        for batch in batches:
+            out = []
+            for seg, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None:  # the segment itself comes before its questions
+                    segment, bits = seg, np.frombuffer(data, np.uint8)
+                    continue
+                keys = unpacked(data)
+                levels = segment_levels(bits, keys) if seg == segment else np.zeros(len(keys), np.uint8)
+                out.append((block, seg, levels.tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
+                names=["block", "segment", "levels"])
+
+    asked = cut.where(F.col("segment").isNotNull()).select("segment", "block", F.col("grams").alias("data"))
+    own = parts.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("data"))
+    met = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+    return stage_table(met.mapInArrow(answer, "block long, segment long, levels binary"), "levels")
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", per_segment: int = SEGMENT_ENTRIES) -> DataFrame:
     """Contract columns for every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), held_out(key).alias("held_out"))
     counts = ngram_counts(rows.where(~F.col("held_out")))
-    words = counts.where(F.col("size") == 1).select("h", "n")
+    words = stage_table(counts.where(F.col("size") == 1).select("h", "n"), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    filter_, _ = build_filter(counts)
-    shared = spark.sparkContext.broadcast((filter_.bits, *head_words(words)))
+    parts, segments = filter_segments(counts, per_segment)
+    parts = stage_table(parts, "filter")
+    discard(counts)
+    cut = in_blocks(rows, segments)
+    levels = block_levels(cut, parts)
+    discard(parts)
+    shared = spark.sparkContext.broadcast(head_words(words))
     kind = rows.schema["doc_id"].dataType.simpleString()
     base_log = math.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, head_h, head_n = shared.value
-        model = LogFrequencyFilter(bits)
-        for batch in batches:
-            for b in blocks(batch.column(1)):
-                d, h = tokens(b)
-                types, at = np.unique(h, return_inverse=True)
-                place = np.minimum(np.searchsorted(head_h, types), max(0, len(head_h) - 1))
-                in_head = head_h[place] == types if len(head_h) else np.zeros(len(types), bool)
-                exact = np.where(in_head, head_n[place] if len(head_h) else 0, 0)
-                known = in_head[at]
-                base = np.bincount(d, np.where(known, np.log10(exact + 0.1)[at], 0.0), b.n)
-                # the other words: distinct per document, with their number
-                od, oh = d[~known], h[~known]
-                order = np.lexsort((oh, od))
-                od, oh = od[order], oh[order]
-                new = np.flatnonzero(np.concatenate(([True], (od[1:] != od[:-1]) | (oh[1:] != oh[:-1])))[:len(od)])
-                times = np.diff(np.append(new, len(od)))
-                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(od[new], minlength=b.n)))), pa.int32())
-                # model
-                c1 = unquantise(model.levels(types), 1)[at]
-                c2 = unquantise(model.levels(pairs(d, h)), 2)
-                first = np.concatenate(([True], d[1:] != d[:-1]))[:len(d)]
-                before = np.concatenate(([0.0], c1[:-1]))
-                # every training document begins once and ends once
-                begins = c1[h == END][:1]
-                before[first] = begins[0] if len(begins) else 0.0
-                p1 = WEIGHT_WORD * np.minimum(1, c1 / max(1, total)) + (1 - WEIGHT_WORD) / (distinct + 1)
-                p2 = np.where(before > 0, np.minimum(1, c2 / np.maximum(before, 1)), 0.0)
-                logp = np.log10(WEIGHT_PAIR * p2 + (1 - WEIGHT_PAIR) * p1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, b.n), batch.column(2).slice(b.first, b.n),
-                     pa.array(b.per_doc(d), pa.int64()), pa.array(b.per_doc(d[known]), pa.int64()),
-                     pa.array(base), pa.array(np.bincount(d, logp, b.n)),
-                     pa.ListArray.from_arrays(ends, pa.array(as_signed(oh[new]))),
-                     pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))],
-                    names=["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "rare", "times"])
-
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, "
-                                  "score double, rare array<long>, times array<int>")
-    scored = stage_table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        head_h, head_n = shared.value
+        for held in runs(batches, 0):
+            met = pa.Table.from_batches(held)
+            level = np.frombuffer(b"".join(x for x in met["levels"].to_pylist() if x is not None), np.uint8)
+            own = met.filter(met["row"].is_valid()).combine_chunks()
+            (b,) = blocks(own["text"])
+            d, h = tokens(b)
+            grams, _ = by_segment(d, h, segments)
+            if len(grams) != len(level):
+                raise RuntimeError(f"{len(level)} levels for {len(grams)} n-grams of a block")
+            by_hash = np.argsort(grams)
+            grams, count = grams[by_hash], unquantise(level[by_hash].astype(float))
+            types, at = np.unique(h, return_inverse=True)
+            place = np.minimum(np.searchsorted(head_h, types), max(0, len(head_h) - 1))
+            in_head = head_h[place] == types if len(head_h) else np.zeros(len(types), bool)
+            exact = np.where(in_head, head_n[place] if len(head_h) else 0, 0)
+            known = in_head[at]
+            base = np.bincount(d, np.where(known, np.log10(exact + 0.1)[at], 0.0), b.n)
+            # the other words: distinct per document, with their number
+            od, oh = d[~known], h[~known]
+            order = np.lexsort((oh, od))
+            od, oh = od[order], oh[order]
+            new = np.flatnonzero(np.concatenate(([True], (od[1:] != od[:-1]) | (oh[1:] != oh[:-1])))[:len(od)])
+            times = np.diff(np.append(new, len(od)))
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(od[new], minlength=b.n)))), pa.int32())
+            # model
+            c1 = count[np.searchsorted(grams, types)][at]
+            c2 = count[np.searchsorted(grams, pairs(d, h))]
+            first = np.concatenate(([True], d[1:] != d[:-1]))[:len(d)]
+            before = np.concatenate(([0.0], c1[:-1]))
+            before[first] = c1[h == END][0]  # every training document begins once and ends once
+            p1 = WEIGHT_WORD * np.minimum(1, c1 / max(1, total)) + (1 - WEIGHT_WORD) / (distinct + 1)
+            p2 = np.where(before > 0, np.minimum(1, c2 / np.maximum(before, 1)), 0.0)
+            logp = np.log10(WEIGHT_PAIR * p2 + (1 - WEIGHT_PAIR) * p1)
+            out = pa.Table.from_arrays(
+                [own["row"], own["doc_id"], own["held_out"],
+                 pa.array(b.per_doc(d), pa.int64()), pa.array(b.per_doc(d[known]), pa.int64()),
+                 pa.array(base), pa.array(np.bincount(d, logp, b.n)),
+                 pa.ListArray.from_arrays(ends, pa.array(as_signed(oh[new]))),
+                 pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))],
+                names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "rare", "times"])
+            yield from out.combine_chunks().to_batches()
+
+    def null(type_: str) -> Column:
+        return F.lit(None).cast(type_)
+
+    answers = levels.select("block", "segment", "levels", null("long").alias("row"), null(kind).alias("doc_id"),
+                            null("boolean").alias("held_out"), null("string").alias("text"))
+    asked = cut.where(F.col("segment").isNull()).select("block", null("long").alias("segment"), null("binary").alias("levels"), "row", "doc_id",
+                       "held_out", "text")
+    met = answers.unionByName(asked).repartition("block") \
+        .sortWithinPartitions("block", F.col("segment").asc_nulls_last(), "row")
+    scored = stage_table(met.mapInArrow(
+        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, "
+             "rare array<long>, times array<int>"), "scored")
+    for t in (cut, levels):
+        discard(t)
     rare = scored.select("row", F.inline(F.arrays_zip("rare", "times")))
     met = rare.join(words.select(F.col("h").alias("rare"), "n"), "rare", "left") \
         .groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_base"),

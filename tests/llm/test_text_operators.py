@@ -209,3 +209,42 @@ def test_lm_scores(spark, head, monkeypatch):
     held = [r for r in got if r.held_out and r.n_tokens > 5]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # pairs help on unseen text
     assert lm.score(df.where("doc_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize("per_segment", [lm.SEGMENT_ENTRIES, 200])
+def test_lm_keeps_pairs_seen_once_in_any_number_of_segments(spark, per_segment):
+    rnd = random.Random(6)
+    docs = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(30))) for i in range(150)] + [(900, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    one, two = collections.Counter(), collections.Counter()
+    for k, t in docs:
+        if not brute.held_out(k):
+            w = ["\n", *brute.lm_tokens(t)]
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+    assert sum(n == 1 for n in two.values()) > len(two) / 2
+    counts = lm.ngram_counts(df.where(~lm.held_out("doc_id")))
+    assert counts.where("size = 2").count() == len(two)
+    if per_segment == 200:
+        assert lm.filter_segments(counts, per_segment)[1] > 10
+    level = lambda n: 0 if not n else 1 if n == 1 else 1.5 * 2 ** int(math.log2(n))
+    total, close = sum(one.values()), 0
+    got = {r.doc_id: r.score for r in lm.score(df, per_segment=per_segment).collect()}
+    for k, t in docs:
+        w = ["\n", *brute.lm_tokens(t)]
+        want = 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            p1 = 0.999 * min(1, level(one[b]) / total) + 0.001 / (len(one) + 1)
+            p2 = min(1, level(two[a, b]) / level(one[a])) if one[a] else 0.0
+            want += math.log10(0.6 * p2 + 0.4 * p1)
+        close += abs(got[k] - want) < 0.5
+    assert close > 0.75 * len(docs)  # a false positive of the filter moves a few
+
+
+def test_lm_of_texts_that_fill_several_blocks(spark):
+    docs = [(i, f"a{i % 7} b c d{i % 11} " * 9000) for i in range(90)] + [(500, ""), (501, "b " * 900_000), (502, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in lm.score(df, per_segment=8).collect()}
+    assert {k: r.n_tokens for k, r in got.items()} == {k: len(brute.lm_tokens(t)) for k, t in docs}
+    alone = {r.doc_id: r.score for r in lm.score(df.repartition(5), per_segment=8).collect()}
+    assert all(abs(alone[k] - got[k].score) < 1e-6 * abs(alone[k]) for k in alone)
