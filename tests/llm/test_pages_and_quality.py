@@ -155,3 +155,15 @@ def test_pipeline_of_empty_and_odd_rows(spark, tmp_path):
             out.write.parquet(path)
             at = spark.read.parquet(path)
         assert at.count() == 0
+
+
+def test_pages_without_tags_leave_the_template_alone(spark):
+    rows = [(i, "http://h.org/x", f"<body><div class=body><p>{'word ' * (20 + i)}</p></div><div class=x>tail</div></body>")
+            for i in range(20)]
+    rows.append((30, "http://h.org/x", "<body><div class=body><p>short</p></div><div class=x>a long tail of other words</div></body>"))
+    rows += [(40, "http://h.org/x", None), (41, "http://h.org/x", ""), (42, "http://h.org/x", "only words")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    vectors = html_extract.token_vectors(df.selectExpr("*", "'h.org' as host"))
+    assert html_extract.slots(html_extract.templates(vectors)).first().slot == "/body/div[class=body]"
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert (got[30], got[40], got[41], got[42]) == ("short", "", "", "only words")
