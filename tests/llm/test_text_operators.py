@@ -248,3 +248,11 @@ def test_lm_of_texts_that_fill_several_blocks(spark):
     assert {k: r.n_tokens for k, r in got.items()} == {k: len(brute.lm_tokens(t)) for k, t in docs}
     alone = {r.doc_id: r.score for r in lm.score(df.repartition(5), per_segment=8).collect()}
     assert all(abs(alone[k] - got[k].score) < 1e-6 * abs(alone[k]) for k in alone)
+
+
+def test_chat_rows_of_equal_turn_are_turns_of_their_own(spark):
+    rows = [(1, 0, "user", "Hi"), (1, 0, "assistant", "Hello"), (1, 1, "user", "So?"), (1, 1, "user", "So?"), (1, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat.digests(chat.render(chat.fold_events(queries.message_log(df)))).collect()
+    said = "\n\n" + "assistant\nHello\nuser\nHi\n" + "user\nSo?\n" * 2
+    assert (r.n_turns, r.turns_sha256, r.loss_sha256) == (5, brute.sha(said), brute.sha("Hello"))
