@@ -155,8 +155,13 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     reads get column pruning, filter pushdown and real size statistics). The
     tables are deleted when the process ends."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
-    _WRITTEN[path] = spark
+    path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder, deleted when the process ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN[path] = spark
+    return path
