@@ -64,3 +64,12 @@ select conv_id, count(*) as n_turns,
             + length({_ESCAPED.format('text')}) + length('</turn>') + 1) as bigint) as formatted_chars
 from t group by conv_id
 """
+
+SQL["op11_warc"] = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+q as (select *, min(page_id) over (partition by payload_digest) as leader from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> leader then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> leader then leader end as refers_to
+from q
+"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ready
+from ..session import ready, shared_path
 from ..sources.tables import table
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -101,6 +103,59 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    from .warc import read_archives, write_archives
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    path = shared_path(spark, "warc")
+    write_archives(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return read_archives(spark, path).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+                                             "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Every document whose id's CRC ends in 0 gets a periodic tail, as the contract says."""
+    @F.arrow_udf("string")
+    def plant(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for i, text in zip(ids.to_pylist(), texts, strict=True):
+            h = zlib.crc32(str(i).encode()) if i is not None else 1
+            words = text.as_py().encode().split() if h % 10 == 0 and text.is_valid else []
+            if words:
+                g, n = h // 10, len(words)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                tail = words[a:a + p] * -(-(n - a) // p)
+                out.append(b" ".join(words[:a] + tail[:n - a]).decode())
+            else:
+                out.append(text.as_py())
+        return pa.array(out, pa.string())
+
+    return docs.select("doc_id", plant("doc_id", "text").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat four times or more, in all documents with planted tails."""
+    from .periodic_runs import periodic_runs
+    runs = periodic_runs(planted(table(spark, sf_dir, "documents", "doc_id", "text")), least=6, exponent=4)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                              r["period"].cast("string")), F.lit("\n")))
+    return runs.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("best.length * 1000 div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first four whitened components."""
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=4, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -112,6 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
+    "op11_warc": op11_warc,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 
