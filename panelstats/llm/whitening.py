@@ -38,6 +38,7 @@ MAX_DIMENSION = 4096
 DEFLATE = 8 * np.finfo(float).eps
 DIAGONAL = 64 * np.finfo(float).eps
 SLAB = 4096  # vectors worked on at once
+TASK_VECTORS = 8192  # vectors per first spectrum: an update costs far more than to read its vector
 
 
 def secular_roots(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +196,7 @@ def tree(df: DataFrame, schema: str, combine: Callable[[list[dict]], pa.RecordBa
     df = cut_lineage(df, name)
     count = df.count()
     while count > 1:
-        by_rank = df.groupBy(F.floor(F.col("part") / FAN_IN).cast("bigint").alias("part"))
+        by_rank = df.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("bigint")).groupBy("part")
 
         def work(table: pa.Table) -> pa.Table:
             return pa.Table.from_batches([combine(table.to_pylist())])
@@ -223,12 +224,13 @@ def spectrum_of(fit: DataFrame, dim: int) -> Spectrum:
             yield spectrum_row(s, partition_number())
 
     def combine(rows: list[dict]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r["part"])
         s = read_spectrum(rows[0])
         for r in rows[1:]:
             s.merge(read_spectrum(r))
-        return spectrum_row(s, rows[0]["part"] // FAN_IN)
+        return spectrum_row(s, rows[0]["part"])
 
+    tasks = -(-fit.count() // TASK_VECTORS)
+    fit = fit.repartition(tasks) if tasks > 1 else fit
     row = tree(fit.mapInArrow(start, SPECTRUM), SPECTRUM, combine, "spectra")
     return read_spectrum(row) if row else Spectrum(dim)
 
@@ -252,8 +254,7 @@ def projected(fit: DataFrame, mean: np.ndarray, basis: np.ndarray) -> np.ndarray
             yield row(partition_number(), gram)
 
     def combine(rows: list[dict]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r["part"])
-        return row(rows[0]["part"] // FAN_IN, np.sum([r["gram"] for r in rows], axis=0))
+        return row(rows[0]["part"], np.sum([r["gram"] for r in rows], axis=0))
 
     found = tree(fit.mapInArrow(start, GRAM), GRAM, combine, "gram")
     return np.array(found["gram"]).reshape(k, k)

@@ -269,6 +269,21 @@ def test_whitening_query_equals_numpy(spark):
     check_whitening(sound, queries.queries()["op13_whitening"](spark, SMALL).collect())
 
 
+def test_many_partitions_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "TASK_VECTORS", 20)
+    x = np.random.default_rng(8).integers(-99, 99, (400, 5))
+    fit = spark.createDataFrame([([int(v) for v in r],) for r in x], "x array<long>").repartition(12)
+    s = whitening.spectrum_of(fit, 5)
+    want = covariance(x.astype(float)) * len(x)
+    assert s.n == len(x) and list(s.sums) == x.sum(0).tolist() and np.allclose(s.q @ np.diag(s.lam) @ s.q.T, want, rtol=1e-12)
+    turned = np.linalg.qr(np.random.default_rng(9).standard_normal((5, 5)))[0]
+    got = whitening.projected(fit, x.mean(0), turned)
+    assert np.allclose(got, turned.T @ want @ turned, rtol=1e-10)
+    s.q = turned  # a poor basis: the Rayleigh-Ritz passes mend it
+    _, lam, basis = whitening.refine(fit, s)
+    assert np.allclose(basis @ np.diag(lam) @ basis.T * len(x), want, rtol=1e-12) and list(lam) == sorted(lam, reverse=True)
+
+
 def test_whitening_drops_unsound_rows_and_keeps_repeats(spark):
     rng = np.random.default_rng(3)
     good = [(i, [float(v) for v in rng.standard_normal(3)]) for i in range(40)]
