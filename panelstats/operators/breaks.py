@@ -7,25 +7,28 @@ candidate split therefore comes from one window pass plus a batched k×k
 solve per row (Arrow UDF) — no per-candidate re-fit, no self-join of the
 series. CUSUM/MOSUM paths are running / moving sums of OLS residuals.
 
-Bai–Perron needs the RSS of every admissible segment (a triangle of size
-O(n²) per series); it runs as a per-series dynamic programme in
-``applyInPandas`` (numpy), bounded by the number of periods of one series.
+Bai–Perron needs the RSS of every admissible segment: tiles of joined prefix
+sums, then rounds of join and minimum (:func:`bai_perron`).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import norm_cdf
 from ..functions.linalg import alias_mask, masked_system, safe_inv, stack
+from ..session import cut_lineage
 from . import ols as O
+from . import tiles as TL
 
 # Fixed value: 95 % likelihood-ratio bound for a break date (Hansen 2000 form).
 LR_CRIT_95 = -2.0 * math.log(1.0 - math.sqrt(0.95))
@@ -330,107 +333,118 @@ def rec_cusum_p_udf(x: pd.Series) -> pd.Series:
 
 
 # ------------------------------------------------------------ Bai–Perron
-def _rss_triangle(X: np.ndarray, y: np.ndarray, h: int, block: int = 1 << 20) -> np.ndarray:
-    """RSS[i, j] of rows i..j (inclusive, j − i + 1 ≥ h), NaN elsewhere.
+def cost_udf(width: int):
+    """Arrow UDF: RSS of the rows after start ``a`` up to end ``b`` for all pairs of a tile,
+    by end, then start; infinite where the segment is shorter than ``h``."""
+    q = int((-3 + math.sqrt(9 + 8 * width)) / 2)  # width = q + q(q+1)/2
 
-    Prefix sums of the series-centred [x…, y] and their cross products give
-    every segment's centred moments as a difference; all segments are solved
-    in batches (vectorised numpy), in blocks of start rows to bound memory.
-    """
-    n, p = X.shape
-    Z = np.column_stack([X[:, 1:], y])
-    Z = Z - Z.mean(axis=0)
-    q = Z.shape[1]
-    k = q - 1
-    P1 = np.vstack([np.zeros(q), np.cumsum(Z, axis=0)])                      # (n+1, q)
-    P2 = np.concatenate([np.zeros((1, q, q)), np.cumsum(Z[:, :, None] * Z[:, None, :], axis=0)])
-    R = np.full((n, n), np.nan)
-    starts_per_block = max(1, block // max(n, 1))
-    for i0 in range(0, n - h + 1, starts_per_block):
-        ii = np.arange(i0, min(n - h + 1, i0 + starts_per_block))
-        I, J = np.meshgrid(ii, np.arange(n), indexing="ij")
-        ok = J - I + 1 >= h
-        I, J = I[ok], J[ok]
-        c = (J - I + 1).astype(float)
-        s1 = P1[J + 1] - P1[I]
-        s2 = P2[J + 1] - P2[I]
-        C = s2 - s1[:, :, None] * s1[:, None, :] / c[:, None, None]
-        Sxx, sxy, syy = C[:, :k, :k], C[:, :k, k], C[:, k, k]
-        if k:
-            keep = alias_mask(Sxx, c, s1[:, :k] / c[:, None])
-            rhs = np.where(keep, sxy, 0.0)
-            b = np.linalg.solve(masked_system(Sxx, keep), rhs[..., None])[..., 0]
-            rss = syy - np.einsum("gi,gi->g", b, rhs)
-        else:
-            rss = syy
-        R[I, J] = rss
-    return R
-
-
-def bai_perron_series(X: np.ndarray, y: np.ndarray, h: int, max_breaks: int):
-    """Dynamic programme: for m = 0..M the optimal RSS and break ends (0-based)."""
-    n = len(y)
-    R = _rss_triangle(X, y, h)
-    M = max(0, min(max_breaks, n // h - 1))
-    best = [R[0].copy()]
-    arg = [np.full(n, -1)]
-    kk = np.arange(n)
-    for m in range(1, M + 1):
-        prev = best[m - 1]
-        # cand[k, j] = best_{m-1}[k] + RSS[k+1, j] for m·h−1 ≤ k ≤ j−h
-        Rs = np.vstack([R[1:], np.full((1, n), np.nan)])
-        cand = prev[:, None] + Rs
-        valid = (kk[:, None] >= m * h - 1) & (kk[:, None] <= kk[None, :] - h)
-        cand = np.where(valid & np.isfinite(cand), cand, np.inf)
-        am = np.argmin(cand, axis=0)
-        cur = cand[am, kk]
-        am = np.where(np.isfinite(cur), am, -1)
-        best.append(cur)
-        arg.append(am)
-    out = []
-    for m in range(M + 1):
-        rss = best[m][n - 1]
-        ends = []
-        j = n - 1
-        for mm in range(m, 0, -1):
-            j = int(arg[mm][j])
-            ends.append(j)
-        out.append((m, float(rss), sorted(ends)))
-    return out
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def costs(a: pa.Array, b: pa.Array, a_at: pa.Array, b_at: pa.Array, h: pa.Array) -> pa.Array:
+        out = np.full((len(a), TL.BUCKET, TL.BUCKET), np.inf)
+        for lo, n in TL.pieces(len(a)):
+            start, end = TL.dense(a.slice(lo, n), width, np.nan), TL.dense(b.slice(lo, n), width, np.nan)
+            i, j = TL.dense(a_at.slice(lo, n), 1, np.inf)[:, None, :, 0], TL.dense(b_at.slice(lo, n), 1, -np.inf)
+            t, e, f = np.nonzero(j - i >= h.slice(lo, n).to_numpy()[:, None, None])
+            if len(t):
+                rss = _segment_rss(j[t, e, 0] - i[t, 0, f], end[t, e] - start[t, f], q)
+                out[lo + t, e, f] = np.where(np.isnan(rss), np.inf, rss)
+        return TL.as_lists(out.reshape(len(a), -1))
+
+    return costs
+
+
+_STEP = T.StructType([T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("arg", T.ArrayType(T.IntegerType()))])
+
+
+@F.arrow_udf(_STEP)
+def best_start_udf(costs: pa.Array, values: pa.Array) -> pa.Array:
+    """Per end of a tile: least ``value + cost`` over its starts, and which start (the first
+    of equals)."""
+    c = TL.dense(costs, TL.BUCKET, np.inf)
+    least, arg = np.empty(c.shape[:2]), np.empty(c.shape[:2], np.int32)
+    v = TL.dense(values, 1, np.inf)[:, None, :, 0]
+    for lo, n in TL.pieces(len(c)):
+        total = c[lo:lo + n] + v[lo:lo + n]
+        arg[lo:lo + n] = total.argmin(axis=2)
+        least[lo:lo + n] = total.min(axis=2)
+    return pa.StructArray.from_arrays([TL.as_lists(least), TL.as_lists(arg)], names=["value", "arg"])
+
+
+def prefix_buckets(ps: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Buckets of the prefix sums of rows 1..pos, pos = 0 included."""
+    first = F.struct(F.lit(0).alias("pos"), F.array_repeat(F.lit(0.0), width).alias("pre"))
+    own = F.struct("pos", "pre")
+    rows = ps.select(*keys, "n_rows", F.explode(F.when(F.col("pos") == 1, F.array(first, own)).otherwise(F.array(own))).alias("_r"))
+    return TL.buckets(rows.select(*keys, "n_rows", "_r.pos", "_r.pre"), keys, "pre", ["n_rows"])
+
+
+def segment_costs(prefixes: DataFrame, keys: Sequence[str], h: F.Column, width: int) -> DataFrame:
+    """Tiles of segment costs: a segment's sums are the difference of two prefixes, so a
+    pair of positions is a segment."""
+    t = TL.tiles(prefixes, keys, TL.bucket_of("n_rows")).withColumn("_h", h)
+    t = t.filter((F.col("b_bucket") + 1 - F.col("a_bucket")) * TL.BUCKET > F.col("_h"))
+    t = TL.spread(t, *keys, "a_bucket", "b_bucket")
+    return t.select(*keys, "n_rows", "a_bucket", "b_bucket",
+                    cost_udf(width)("a_flat", "b_flat", "a_places", "b_places", "_h").alias("costs"))
+
+
+def partition_round(costs: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One round of the dynamic programme: from the least cost of rows 1..pos in m segments
+    to that in m + 1 segments; ``path`` lists where the segments before the last end."""
+    at = F.pmod(F.col("pos"), F.lit(TL.BUCKET))
+    held = best.groupBy(*keys, TL.bucket_of("pos").alias("a_bucket")) \
+        .agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct("value", "path")))).alias("_m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(TL.BUCKET - 1)),
+                         lambda i: F.coalesce(F.element_at("_m", i)["value"], F.lit(float("inf"))))
+    step = costs.join(held, on=[*keys, "a_bucket"]).withColumn("_s", best_start_udf("costs", values))
+    ends = step.select(*keys, "n_rows", "a_bucket", "b_bucket", "_m", F.posexplode(F.arrays_zip("_s.value", "_s.arg")).alias("_e", "_s")) \
+        .filter(F.col("_s.value") < float("inf"))
+    start = F.col("a_bucket") * TL.BUCKET + F.col("_s.arg")
+    cand = ends.select(*keys, "n_rows", (F.col("b_bucket") * TL.BUCKET + F.col("_e")).alias("pos"), F.struct(
+        F.col("_s.value").alias("value"), start.alias("start"),
+        F.concat(F.element_at("_m", F.col("_s.arg"))["path"], F.array(start)).alias("path")).alias("_c"))
+    return cand.groupBy(*keys, "n_rows", "pos").agg(F.min("_c").alias("_c")).select(*keys, "n_rows", "pos", "_c.value", "_c.path")
 
 
 def bai_perron(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str,
-               h: float = 0.15, max_breaks: int = 5) -> DataFrame:
+               h: float = 0.15, max_breaks: int = 5, buckets: str | None = None) -> DataFrame:
     """SB6: optimal 0..max_breaks break partitions per series, RSS, BIC, AIC.
 
-    BIC/AIC: ll = −n/2 (log RSS + 1 − log n + log 2π), df = (p+1)(m+1)."""
-    xs = list(xs)
-    d = df.filter(O.complete([y, *xs])).select(*keys, order, y, *xs)
-    key_fields = [f for f in d.schema.fields if f.name in keys]
-    order_field = [f for f in d.schema.fields if f.name == order][0]
-    schema = T.StructType([*key_fields, T.StructField("breaks", T.IntegerType()), T.StructField("rss", T.DoubleType()),
-                           T.StructField("bic", T.DoubleType()), T.StructField("aic", T.DoubleType()),
-                           T.StructField("break_pos", T.ArrayType(T.IntegerType())),
-                           T.StructField(f"break_{order}", T.ArrayType(order_field.dataType))])
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        n = len(pdf)
-        X = np.column_stack([np.ones(n), *[pdf[x].to_numpy(float) for x in xs]])
-        yy = pdf[y].to_numpy(float)
-        hh = int(math.floor(h * n))
-        rows = []
-        p = X.shape[1]
-        for m, rss, ends in bai_perron_series(X, yy, max(hh, p + 1), max_breaks):
-            dfree = (p + 1) * (m + 1)
-            row = {k: pdf[k].iloc[0] for k in keys}
-            # too short for one segment: a row without figures; a perfect fit has no likelihood
-            ll = -n / 2 * (math.log(rss) + 1 - math.log(n) + math.log(2 * math.pi)) if rss > 0 else None
-            row.update(breaks=m, rss=rss if math.isfinite(rss) else None,
-                       bic=None if ll is None else -2 * ll + dfree * math.log(n),
-                       aic=None if ll is None else -2 * ll + 2 * dfree,
-                       break_pos=[e + 1 for e in ends], **{f"break_{order}": [pdf[order].iloc[e] for e in ends]})
-            rows.append(row)
-        return pd.DataFrame(rows)
-
-    return d.groupBy(*keys).applyInPandas(per_series, schema)
+    Segment costs come from joined prefix sums, in tiles of position buckets
+    (:mod:`tiles`), and are written once; the dynamic programme is one round of join and
+    minimum per number of breaks, each written, so that no task holds a series. All
+    pairs of positions of a series are costs: their number grows with the square of its
+    length. ``buckets``: an integer column, for prefix sums of a very long series
+    (:func:`prefix_sums`).
+
+    BIC/AIC: ll = −n/2 (log RSS + 1 − log n + log 2π), df = (p+1)(m+1). A series too short
+    for one segment has a row without figures; a perfect fit has no likelihood."""
+    keys, xs = list(keys), list(xs)
+    p = len(xs) + 1
+    ps = prefix_sums(df, y, xs, keys, order, buckets=buckets)
+    least = F.greatest(F.floor(F.col("n_rows") * h), F.lit(p + 1))
+    width = p + p * (p + 1) // 2
+    prefixes = cut_lineage(prefix_buckets(ps, keys, width), "prefix-buckets")
+    costs = cut_lineage(segment_costs(prefixes, keys, least, width), "segment-costs")
+    lengths = prefixes.filter("bucket = 0").select(*keys, "n_rows")
+    best = lengths.select(*keys, F.lit(0).alias("pos"), F.lit(0.0).alias("value"), F.array().cast("array<int>").alias("path"))
+    found = []
+    for m in range(max_breaks + 1):
+        best = cut_lineage(partition_round(costs, best, keys), "partitions")
+        found.append(best.filter("pos = n_rows").withColumn("breaks", F.lit(m)))
+    rows = reduce(DataFrame.unionByName, found).select(
+        *keys, "breaks", F.greatest("value", F.lit(0.0)).alias("rss"), F.slice("path", 2, max_breaks + 1).alias("break_pos"))
+    whole = lengths.join(rows, on=keys, how="left").withColumn("breaks", F.coalesce("breaks", F.lit(0)))
+    n, k = F.col("n_rows"), (p + 1) * (F.col("breaks") + 1)
+    ll = F.when(F.col("rss") > 0, -n / 2 * (F.log("rss") + 1 - F.log(n) + math.log(2 * math.pi)))
+    places = df.filter(O.complete([y, *xs])).select(*keys, order)
+    if buckets is None:
+        places = places.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    else:
+        places = ps.select(*keys, order, "pos")
+    when = whole.select(*keys, "breaks", F.explode("break_pos").alias("pos")).join(places, on=[*keys, "pos"]) \
+        .groupBy(*keys, "breaks").agg(F.array_sort(F.collect_list(order)).alias(f"break_{order}"))
+    none = F.array().cast(T.ArrayType(df.schema[order].dataType))
+    return whole.join(when, on=[*keys, "breaks"], how="left").select(
+        *keys, "breaks", "rss", (-2 * ll + k * F.log(n)).alias("bic"), (-2 * ll + 2 * k).alias("aic"),
+        F.coalesce("break_pos", F.array().cast("array<int>")).alias("break_pos"), F.coalesce(f"break_{order}", none).alias(f"break_{order}"))

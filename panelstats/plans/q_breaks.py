@@ -18,36 +18,7 @@ from .registry import register, rounded
 K = ["entity"]
 XS = ["x1", "x2"]
 
-_PRE = [S.PANEL, """c as (
-  select entity, m, x1 - avg(x1) over (partition by entity) as a1, x2 - avg(x2) over (partition by entity) as a2,
-         y - avg(y) over (partition by entity) as ay from panel)""", """pre as (
-  select entity, m, cast(row_number() over w as integer) as pos, count(*) over (partition by entity) as n,
-    sum(a1) over wr as p1, sum(a2) over wr as p2, sum(ay) over wr as py, sum(a1 * a1) over wr as p11,
-    sum(a1 * a2) over wr as p12, sum(a1 * ay) over wr as p1y, sum(a2 * a2) over wr as p22,
-    sum(a2 * ay) over wr as p2y, sum(ay * ay) over wr as pyy,
-    sum(a1) over g as t1, sum(a2) over g as t2, sum(ay) over g as ty, sum(a1 * a1) over g as t11,
-    sum(a1 * a2) over g as t12, sum(a1 * ay) over g as t1y, sum(a2 * a2) over g as t22,
-    sum(a2 * ay) over g as t2y, sum(ay * ay) over g as tyy
-  from c window w as (partition by entity order by m),
-                wr as (partition by entity order by m rows between unbounded preceding and current row),
-                g as (partition by entity))"""]
-
-
-def _seg_rss(c: str, s: dict) -> str:
-    """Segment RSS with intercept from raw (series-centred) sums; 2 regressors."""
-    S11 = f"({s['11']} - {s['1']} * {s['1']} / {c})"
-    S12 = f"({s['12']} - {s['1']} * {s['2']} / {c})"
-    S22 = f"({s['22']} - {s['2']} * {s['2']} / {c})"
-    s1 = f"({s['1y']} - {s['1']} * {s['y']} / {c})"
-    s2 = f"({s['2y']} - {s['2']} * {s['y']} / {c})"
-    syy = f"({s['yy']} - {s['y']} * {s['y']} / {c})"
-    det = f"({S11} * {S22} - {S12} * {S12})"
-    b1 = f"(({S22} * {s1} - {S12} * {s2}) / {det})"
-    b2 = f"(({S11} * {s2} - {S12} * {s1}) / {det})"
-    return f"({syy} - {b1} * {s1} - {b2} * {s2})"
-
-
-_NAMES = ["1", "2", "y", "11", "12", "1y", "22", "2y", "yy"]
+_PRE, _seg_rss, _NAMES = S.PREFIX_SUMS, S.seg_rss, S.SUM_NAMES
 _PFX = {k: f"p{k}" for k in _NAMES}
 _TOT = {k: f"t{k}" for k in _NAMES}
 _REST = {k: f"(t{k} - p{k})" for k in _NAMES}
@@ -175,11 +146,18 @@ def q_rec_cusum(spark, sf_dir):
     return rounded(B.rec_cusum(B.recursive_residuals(p, "y", XS, K, "m"), K, "m"))
 
 
-@register("bai_perron")
+@register("bai_perron", sql=S.with_(*S.bai_perron_ctes()) + """
+select entity, cast(breaks as integer) as breaks, round(rss, 6) as rss, round(bic, 6) as bic, round(aic, 6) as aic,
+       array_to_string(path, ',') as break_pos,
+       coalesce((select string_agg(cast(p.m as varchar), ',' order by p.pos) from pre p
+                 where p.entity = part.entity and list_contains(part.path, p.pos)), '') as break_m
+from part""")
 def q_bai_perron(spark, sf_dir):
     """SB6: optimal 0..5 break partitions per entity (h = 15 %), RSS, BIC, AIC, dates."""
     p = views.panel(spark, sf_dir, materialize=True)
-    return B.bai_perron(p, "y", XS, K, "m")
+    out = B.bai_perron(p, "y", XS, K, "m")
+    listed = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("break_pos", "break_m")]
+    return rounded(out.select("entity", "breaks", "rss", "bic", "aic", *listed))
 
 
 @register("model_paths_long", sql=S.with_(*shift_resid_ctes()) + """

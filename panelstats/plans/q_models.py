@@ -747,15 +747,18 @@ def q_ols_panel_wide(spark, sf_dir):
     return rounded(ols_wide(fit))
 
 
-@register("ols_by_bp_regime")
+def bp_regimes(p):
+    """SB7: regimes of the BIC-best Bai–Perron partition of each entity."""
+    from ..operators import breaks as B
+    best = B.bai_perron(p, "y", XS, K, "m").groupBy(*K) \
+        .agg(F.min_by(F.col("break_pos"), F.struct("bic", "breaks")).alias("_bp"))
+    return B.regime_from_break(p, best.select(*K, F.explode("_bp").alias("break_pos")), K, "m")
+
+
+@register("ols_by_bp_regime", sql=S.with_(*S.BP_REGIMES, *S.ols_ctes("f", "reg", "y", XS, keys="entity, regime"))
+          + _wide_select(2, keys="entity, regime"))
 def q_ols_by_bp_regime(spark, sf_dir):
     """RG21/SB7: regimes from the BIC-best Bai–Perron partition of each entity,
     then the model fitted per (entity, regime)."""
-    from ..operators import breaks as B
-    p = views.panel(spark, sf_dir, materialize=True)
-    bp = B.bai_perron(p, "y", XS, K, "m")
-    best = bp.groupBy(*K).agg(F.min_by(F.col("break_pos"), F.struct("bic", "breaks")).alias("_bp"))
-    breaks = best.select(*K, F.explode("_bp").alias("break_pos"))
-    reg = B.regime_from_break(p, breaks, K, "m")
-    fit = O.ols(reg, "y", XS, [*K, "regime"])
-    return ols_wide(fit, (*K, "regime"))
+    fit = O.ols(bp_regimes(views.panel(spark, sf_dir, materialize=True)), "y", XS, [*K, "regime"])
+    return rounded(ols_wide(fit, (*K, "regime")))

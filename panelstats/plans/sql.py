@@ -197,3 +197,68 @@ def add_t_p(sql: str, df: str, steps: int = 2000) -> str:
         return f"{m[0]}, round({t_p(f'({m[1]} / {m[2]})', df, steps)}, 6)" + (" as p_value" if m[3] else "")
 
     return re.sub(r"round\((\w+) / (\w*se\w*), 6\)( as t_stat)?", tail, sql)
+
+
+# ---------------------------------------------------------- structural breaks
+PREFIX_SUMS = [PANEL, """c as (
+  select entity, m, x1 - avg(x1) over (partition by entity) as a1, x2 - avg(x2) over (partition by entity) as a2,
+         y - avg(y) over (partition by entity) as ay from panel)""", """pre as (
+  select entity, m, cast(row_number() over w as integer) as pos, count(*) over (partition by entity) as n,
+    sum(a1) over wr as p1, sum(a2) over wr as p2, sum(ay) over wr as py, sum(a1 * a1) over wr as p11,
+    sum(a1 * a2) over wr as p12, sum(a1 * ay) over wr as p1y, sum(a2 * a2) over wr as p22,
+    sum(a2 * ay) over wr as p2y, sum(ay * ay) over wr as pyy,
+    sum(a1) over g as t1, sum(a2) over g as t2, sum(ay) over g as ty, sum(a1 * a1) over g as t11,
+    sum(a1 * a2) over g as t12, sum(a1 * ay) over g as t1y, sum(a2 * a2) over g as t22,
+    sum(a2 * ay) over g as t2y, sum(ay * ay) over g as tyy
+  from c window w as (partition by entity order by m),
+                wr as (partition by entity order by m rows between unbounded preceding and current row),
+                g as (partition by entity))"""]
+
+
+def seg_rss(c: str, s: dict) -> str:
+    """Segment RSS with intercept from raw (series-centred) sums; 2 regressors."""
+    S11 = f"({s['11']} - {s['1']} * {s['1']} / {c})"
+    S12 = f"({s['12']} - {s['1']} * {s['2']} / {c})"
+    S22 = f"({s['22']} - {s['2']} * {s['2']} / {c})"
+    s1 = f"({s['1y']} - {s['1']} * {s['y']} / {c})"
+    s2 = f"({s['2y']} - {s['2']} * {s['y']} / {c})"
+    syy = f"({s['yy']} - {s['y']} * {s['y']} / {c})"
+    det = f"({S11} * {S22} - {S12} * {S12})"
+    b1 = f"(({S22} * {s1} - {S12} * {s2}) / {det})"
+    b2 = f"(({S11} * {s2} - {S12} * {s1}) / {det})"
+    return f"({syy} - {b1} * {s1} - {b2} * {s2})"
+
+
+SUM_NAMES = ["1", "2", "y", "11", "12", "1y", "22", "2y", "yy"]
+
+
+def bai_perron_ctes(most: int = 5) -> list[str]:
+    """Least-squares partitions into 1..most + 1 segments (h = 15 %, at least 4 rows) by the
+    textbook recursion over all pairs of positions; ``part``: entity, n, breaks, rss, path,
+    bic, aic; ``best``: the path of least BIC."""
+    zero = "select distinct entity, null as m, 0 as pos, n" + "".join(f", 0.0 as p{k}" for k in SUM_NAMES) + " from pre"
+    own = "select entity, m, pos, n" + "".join(f", p{k}" for k in SUM_NAMES) + " from pre"
+    diff = {k: f"(j.p{k} - i.p{k})" for k in SUM_NAMES}
+    ctes = [*PREFIX_SUMS, f"at0 as materialized ({zero} union all {own})", f"""seg as materialized (
+  select j.entity, i.pos as i, j.pos as j, {seg_rss('(j.pos - i.pos)', diff)} as cost
+  from at0 i join at0 j on i.entity = j.entity and j.pos - i.pos >= greatest(floor(j.n * 0.15::double), 4))""",
+            "v0 as materialized (select entity, j, cost as value, cast([] as integer[]) as path from seg where i = 0)"]
+    for k in range(1, most + 1):
+        ctes.append(f"""v{k} as materialized (select entity, j, value, path from (
+  select s.entity, s.j, v.value + s.cost as value, list_append(v.path, s.i) as path,
+         row_number() over (partition by s.entity, s.j order by v.value + s.cost, s.i) as rk
+  from v{k - 1} v join seg s on s.entity = v.entity and s.i = v.j) where rk = 1)""")
+    every = " union all ".join(f"select entity, j, {k} as breaks, value as rss, path from v{k}" for k in range(most + 1))
+    ctes.append(f"""part as materialized (select v.entity, l.n, breaks, rss, path,
+         l.n * (ln(rss) + 1 - ln(l.n) + ln(2 * pi())) + 4 * (breaks + 1) * ln(l.n) as bic,
+         l.n * (ln(rss) + 1 - ln(l.n) + ln(2 * pi())) + 8 * (breaks + 1) as aic
+  from ({every}) v join (select entity, any_value(n) as n from pre group by entity) l on l.entity = v.entity and l.n = v.j)""")
+    ctes.append("best as (select entity, path from (select *, row_number() over (partition by entity order by bic, breaks) as rk "
+                "from part) where rk = 1)")
+    return ctes
+
+
+#: Panel rows with the regime of the BIC-best Bai-Perron partition.
+BP_REGIMES = [*bai_perron_ctes(), """reg as (
+  select p.*, pre.pos, cast(1 + len(list_filter(best.path, lambda b: b < pre.pos)) as integer) as regime
+  from panel p join pre using (entity, m) join best using (entity))"""]
