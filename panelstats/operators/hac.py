@@ -6,10 +6,9 @@ over the (bounded) series, ``explode`` of the (l, a, b) products and a
 partial hash aggregate. The k×k sandwich (X'X)⁻¹ S (X'X)⁻¹ runs in an Arrow
 UDF on the aggregated rows.
 
-Data-driven bandwidths that use every lag of a series (quadratic-spectral
-kernel with Andrews' bandwidth, Newey–West automatic lag) run per series in
-``applyInPandas``; a series holds one row per period, so the group is
-bounded by the number of periods.
+Data-driven bandwidths (quadratic-spectral kernel with Andrews' bandwidth,
+Newey–West automatic lag) weight all pairs of positions within a group's own
+reach: :func:`kernel_meat`, in tiles of position buckets.
 """
 
 from __future__ import annotations
@@ -19,11 +18,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.linalg import safe_inv, stack
+from . import tiles as TL
 
 
 def with_scores(res: DataFrame, xs: Sequence[str], resid: str = "resid", out: str = "u") -> DataFrame:
@@ -114,31 +115,6 @@ def bartlett_bw_weights(bw: float, n: int) -> np.ndarray:
     return w[w > 0]
 
 
-def qs_weights(bw: float, n: int, tol: float = 1e-7) -> np.ndarray:
-    """Quadratic-spectral kernel at l/bw, l = 0..n-1, cut after the last |w| > tol."""
-    z = np.arange(n) / bw
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = 6 * np.pi * z / 5
-        w = 25 / (12 * np.pi ** 2 * z ** 2) * (np.sin(a) / a - np.cos(a))
-    w[0] = 1.0
-    keep = np.nonzero(np.abs(w) > tol)[0]
-    return w[: keep.max() + 1] if len(keep) else w[:1]
-
-
-def meat_from_gammas(G: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """S = w0 Γ0 + Σ_l w_l (Γ_l + Γ_l'), G shape (L+1, p, p)."""
-    L = min(len(weights), G.shape[0]) - 1
-    S = weights[0] * G[0]
-    for l in range(1, L + 1):
-        S = S + weights[l] * (G[l] + G[l].T)
-    return S
-
-
-def sandwich_se(xtx_inv: np.ndarray, S: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    V = xtx_inv @ S @ xtx_inv * scale
-    return np.sqrt(np.diag(V))
-
-
 _SE = T.ArrayType(T.DoubleType())
 
 
@@ -179,82 +155,135 @@ def hac_se_udf(kind: str, param: float, adjust: bool):
     return _udf
 
 
-def auto_se_udf(adjust: bool):
-    """Arrow UDF: (xtx_inv, gam, n, bandwidth) → se array with Bartlett weights
-    max(0, 1 − l/(bandwidth + 1)) of each group's own bandwidth."""
+@F.pandas_udf(_SE)
+def hc1_se_udf(xtx_inv: pd.Series, meat: pd.Series, n: pd.Series) -> pd.Series:
+    M, p = _square(xtx_inv)
+    S, _ = _square(meat)
+    nn = n.to_numpy(float)
+    return _sandwich_batch(M, S, nn / (nn - p))
+
+
+# ------------------------------------------------- data-driven bandwidths
+def positions(rows: DataFrame, keys: Sequence[str], order: str, buckets: str | None = None) -> DataFrame:
+    """``rows`` with ``pos``; ``buckets`` (an integer column) for very long series."""
+    if buckets is None:
+        return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    from .windows import running_sums_long
+    return running_sums_long(rows, {"_one": F.lit(1)}, keys, order, buckets).drop("_one")
+
+
+def lagged(rows: DataFrame, keys: Sequence[str], value: str, lags: int) -> DataFrame:
+    """Each row once per lag 1..lags that reaches an earlier row, as ``lag`` and ``past``: an
+    equi-join on the position, which spreads a long series over tasks."""
+    past = rows.select(*keys, F.col(value).alias("past"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"),
+                       F.col("pos").alias("_at"))
+    past = past.withColumn("pos", F.col("_at") + F.col("lag")).drop("_at")
+    return rows.join(past, on=[*keys, "pos"])
+
+
+def andrews_bandwidth(sc: DataFrame, p: int, keys: Sequence[str], weigh_first: bool = False, u: str = "u") -> DataFrame:
+    """Andrews (1991) AR(1) plug-in bandwidth of the quadratic-spectral kernel: keys, ``_n``,
+    ``bandwidth``. First-order sums of each score are one aggregate over rows joined with
+    the row before. The intercept's score has no weight unless ``weigh_first``."""
+    use = range(0 if weigh_first else 1, p)
+    j = lagged(sc.select(*keys, "pos", u), keys, u, 1)
+    sums = [F.sum(a * b).alias(f"_{n}{i}") for i in use for n, a, b in (
+        ("uu", F.col(u)[i], F.col(u)[i]), ("ul", F.col(u)[i], F.col("past")[i]), ("ll", F.col("past")[i], F.col("past")[i]))]
+    g = j.groupBy(*keys).agg((F.count(F.lit(1)) + 1).cast("double").alias("_n"), *sums)
+    num = den = F.lit(0.0)
+    for i in use:
+        rho = F.try_divide(F.col(f"_ul{i}"), F.col(f"_ll{i}"))
+        s2 = F.pow(F.try_divide(F.col(f"_uu{i}") - 2 * rho * F.col(f"_ul{i}") + rho * rho * F.col(f"_ll{i}"), F.col("_n") - 1), F.lit(2.0))
+        num = num + F.try_divide(4 * rho * rho * s2, F.pow(1 - rho, F.lit(8.0)))
+        den = den + F.try_divide(s2, F.pow(1 - rho, F.lit(4.0)))
+    return g.select(*keys, "_n", (1.3221 * F.pow(F.try_divide(num, den) * F.col("_n"), F.lit(0.2))).alias("bandwidth"))
+
+
+#: The quadratic-spectral weight is below 1e-7 for all lags beyond this many bandwidths.
+QS_REACH = 1460.0
+
+
+def kernel_weights(kind: str, lag: np.ndarray, bandwidth: np.ndarray) -> np.ndarray:
+    """Weights of lags: 'bartlett' 1 − l/bandwidth below the bandwidth, or 'qs'."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = lag / bandwidth
+        if kind == "bartlett":
+            return np.where(z < 1, 1 - z, 0.0) + 0.0 * bandwidth
+        a = 6 * np.pi * z / 5
+        w = 25 / (12 * np.pi ** 2 * z ** 2) * (np.sin(a) / a - np.cos(a))
+    return np.where(lag == 0, 1.0, np.where(z > QS_REACH, 0.0, w)) + 0.0 * bandwidth
+
+
+def tile_meat_udf(kind: str, p: int):
+    """Arrow UDF: sum of weight × u_s u_t' over the pairs of a tile, flattened."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def meat(a: pa.Array, b: pa.Array, a_at: pa.Array, b_at: pa.Array, bandwidth: pa.Array) -> pa.Array:
+        out = np.empty((len(a), p * p))
+        bw = bandwidth.to_numpy(zero_copy_only=False).astype(float)
+        for lo, n in TL.pieces(len(a)):
+            us, ut = TL.dense(a.slice(lo, n), p, 0.0), TL.dense(b.slice(lo, n), p, 0.0)
+            s, t = TL.dense(a_at.slice(lo, n), 1, 0.0)[:, :, 0], TL.dense(b_at.slice(lo, n), 1, 0.0)[:, :, 0]
+            w = kernel_weights(kind, np.abs(s[:, :, None] - t[:, None, :]), bw[lo:lo + n, None, None])
+            out[lo:lo + n] = np.einsum("gsa,gst,gtb->gab", us, w, ut, optimize=True).reshape(n, -1)
+        return TL.as_lists(out)
+
+    return meat
+
+
+def kernel_meat(sc: DataFrame, bandwidth: DataFrame, p: int, keys: Sequence[str], kind: str, block: Sequence[str] = (),
+                u: str = "u") -> DataFrame:
+    """S = Σ_s Σ_t w(|s − t|) u_s u_t' per group with the group's own ``bandwidth``: keys and
+    ``meat``. Tiles of position buckets as far apart as the kernel reaches, then one sum of
+    p² numbers per group, whatever the bandwidth.
+
+    ``block``: columns (a regime) by which the scores lie in different blocks of the
+    design; the result then has a row per pair of blocks, ``a_``/``b_`` columns."""
+    rows = sc.select(*keys, *block, "pos", u).join(bandwidth.select(*keys, "bandwidth"), on=list(keys))
+    whole = sc.groupBy(*keys).agg(F.max("pos").alias("_last"))
+    b = TL.buckets(rows, keys, u, ["bandwidth"], block).join(whole, on=list(keys))
+    reach = F.col("bandwidth") * (1.0 if kind == "bartlett" else QS_REACH)
+    last = F.least(TL.bucket_of("_last"), F.col("bucket") + F.ceil(F.coalesce(reach, F.lit(0.0)) / TL.BUCKET) + 1)
+    t = TL.spread(TL.tiles(b, keys, last, block), *keys, "a_bucket", "b_bucket")
+    m = t.withColumn("_m", tile_meat_udf(kind, p)("a_flat", "b_flat", "a_places", "b_places", "bandwidth"))
+    same = (F.col("a_bucket") == F.col("b_bucket"))
+    turned = F.array(*[F.col("_m")[c * p + r] for r in range(p) for c in range(p)])
+    # A pair of different buckets stands for both orders; blocks change places with it.
+    as_is = F.struct(*[F.col(f"{e}_{c}").alias(f"{e}_{c}") for e in "ab" for c in block], F.col("_m").alias("m"))
+    swapped = F.struct(*[F.col(f"{o}_{c}").alias(f"{e}_{c}") for e, o in ("ab", "ba") for c in block], turned.alias("m"))
+    e = m.select(*keys, F.explode(F.when(same, F.array(as_is)).otherwise(F.array(as_is, swapped))).alias("_e")).select(*keys, "_e.*")
+    names = [f"{x}_{c}" for x in "ab" for c in block]
+    g = e.groupBy(*keys, *names).agg(*[F.sum(F.col("m")[i]).alias(f"_s{i}") for i in range(p * p)])
+    return g.select(*keys, *names, F.array(*[F.col(f"_s{i}") for i in range(p * p)]).alias("meat"))
+
+
+def meat_se_udf(adjust: bool):
+    """Arrow UDF: (xtx_inv, meat, n, k) → se array; ``k`` is the number of coefficients that
+    the degrees-of-freedom factor n/(n − k) counts."""
 
     @F.pandas_udf(_SE)
-    def _udf(xtx_inv: pd.Series, gam: pd.Series, n: pd.Series, bandwidth: pd.Series) -> pd.Series:
-        M, p = _square(xtx_inv)
-        G = stack(gam, max(len(v) for v in gam.to_numpy())).reshape(len(gam), -1, p, p)
-        bw = bandwidth.to_numpy(dtype=float, na_value=np.nan)
-        w = np.maximum(0.0, 1.0 - np.arange(G.shape[1])[None, :] / (bw[:, None] + 1.0))
-        S = np.einsum("gl,glij->gij", w, G)
-        S = S + np.einsum("gl,glij->gji", w[:, 1:], G[:, 1:])
-        nn = n.to_numpy(float)
-        k = (np.einsum("gii->gi", M) > 0).sum(axis=1)
+    def _udf(xtx_inv: pd.Series, meat: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        M, _ = _square(xtx_inv)
+        S = stack(meat, M.shape[1] ** 2).reshape(M.shape)
+        nn, kk = n.to_numpy(float), k.to_numpy(float)
         with np.errstate(divide="ignore", invalid="ignore"):
-            scale = np.where(nn > k, nn / (nn - k), np.nan) if adjust else np.ones_like(nn)
+            scale = np.where(nn > kk, nn / (nn - kk), np.nan) if adjust else np.ones_like(nn)
         return _sandwich_batch(M, S, scale)
 
     return _udf
 
 
-@F.pandas_udf(_SE)
-def hc1_se_udf(xtx_inv: pd.Series, meat: pd.Series, n: pd.Series) -> pd.Series:
-    M, p = _square(xtx_inv)
-    S, _ = _square(meat)
-    nn = n.to_numpy(float)
-    return _sandwich_batch(M, S, nn / (nn - p))
+def block_covariance_udf(adjust: bool):
+    """Arrow UDF: A_a S_ab A_b × n/(n − k) per pair of blocks."""
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _udf(a: pd.Series, meat: pd.Series, b: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        A, p = _square(a)
+        B, S = stack(b, p * p).reshape(-1, p, p), stack(meat, p * p).reshape(-1, p, p)
+        nn, kk = n.to_numpy(float), k.to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.where(nn > kk, nn / (nn - kk), np.nan) if adjust else np.ones_like(nn)
+        V = np.einsum("gij,gjk,gkl->gil", A, S, B) * scale[:, None, None]
+        return pd.Series([[float(v) if np.isfinite(v) else None for v in row] for row in V.reshape(len(V), -1)])
 
-# ------------------------------------------------- per-series (all lags)
-def _autocov_all(U: np.ndarray) -> np.ndarray:
-    """Γ_l for l = 0..n-1 of an (n, p) score matrix, via FFT (O(p² n log n))."""
-    n, p = U.shape
-    m = 1 << (2 * n - 1).bit_length()
-    Fu = np.fft.rfft(U, n=m, axis=0)
-    G = np.empty((n, p, p))
-    for a in range(p):
-        for b in range(p):
-            # Σ_t u_a(t) u_b(t-l)
-            G[:, a, b] = np.fft.irfft(Fu[:, a] * np.conj(Fu[:, b]), n=m)[:n]
-    return G
-
-
-def andrews_bw(U: np.ndarray, weights: np.ndarray, kernel: str = "qs") -> float:
-    """Andrews (1991) AR(1) plug-in bandwidth."""
-    n = U.shape[0]
-    x, xl = U[1:], U[:-1]
-    rho = (x * xl).sum(0) / (xl * xl).sum(0)
-    sig2 = ((x - rho * xl) ** 2).sum(0) / (n - 1)
-    if kernel == "qs":
-        num = (weights * 4 * rho ** 2 * sig2 ** 2 / (1 - rho) ** 8).sum()
-        den = (weights * sig2 ** 2 / (1 - rho) ** 4).sum()
-        return 1.3221 * (num / den * n) ** 0.2
-    num = (weights * 4 * rho ** 2 * sig2 ** 2 / ((1 - rho) ** 6 * (1 + rho) ** 2)).sum()
-    den = (weights * sig2 ** 2 / (1 - rho) ** 4).sum()
-    return 1.1447 * (num / den * n) ** (1 / 3)
-
-
-def series_hac(pdf: pd.DataFrame, xs: Sequence[str], kind: str, adjust: bool = True) -> np.ndarray:
-    """Full per-series HAC on one entity's residual rows (ordered)."""
-    X = np.column_stack([np.ones(len(pdf)), *[pdf[x].to_numpy(float) for x in xs]])
-    e = pdf["resid"].to_numpy(float)
-    U = X * e[:, None]
-    n, p = U.shape
-    M, keep = safe_inv((X.T @ X)[None])
-    M, keep = M[0], keep[0]
-    wts = np.ones(p)
-    wts[0] = 0.0  # the intercept's score gets no weight in the bandwidth rule
-    G = _autocov_all(U)
-    if kind == "qs_andrews":
-        bw = andrews_bw(U, wts, "qs")
-        w = qs_weights(bw, n)
-    else:
-        raise ValueError(kind)
-    S = meat_from_gammas(G, w)
-    p = int(keep.sum())
-    with np.errstate(divide="ignore", invalid="ignore"):
-        se = sandwich_se(M, S, n / (n - p) if adjust and n > p else np.nan if adjust else 1.0)
-    return np.where(keep, se, np.nan), bw
+    return _udf

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,55 +205,137 @@ def robust_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Se
     raise ValueError(kind)
 
 
-def nw_auto_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str],
-               order: str, adjust: bool = True) -> DataFrame:
-    """RG16: Newey–West (1994) automatic bandwidth from the autocovariances of the summed
-    score (without the intercept's), then all lags of positive weight. Both steps are
-    aggregates of lag products; how many lags they need follows from the longest
-    series and the largest bandwidth present (two scalars)."""
-    keys, p = list(keys), len(xs) + 1
-    sc = H.with_scores(O.residuals(df, fit, y, xs, keys), xs)
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = sc.select(*keys, order, F.aggregate(F.slice("u", 2, p - 1), F.lit(0.0), lambda a, v: a + v).alias("_w"))
-    longest = d.groupBy(*keys).agg(F.count("_w").alias("n")).agg(F.max("n")).first()[0] or 1
+def newey_west_bandwidth(sc: DataFrame, keys: Sequence[str], terms: Sequence[int], u: str = "u") -> DataFrame:
+    """Newey–West (1994) bandwidth from the autocovariances of the sum of the scores
+    ``terms``: keys, ``_n``, ``bandwidth``. A group's own number of lags counts; the lag
+    products are rows of an equi-join and one aggregate."""
+    total = reduce(lambda a, i: a + F.col(u)[i], terms, F.lit(0.0))
+    d = cut_lineage(sc.select(*keys, "pos", total.alias("_w")), "score-sums")
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_w") * F.col("_w")).alias("_s0"))
+    longest = n.agg(F.max("_n")).first()[0] or 1
     most = int(math.floor(4 * (longest / 100) ** (2 / 9)))
-    lagged = d.select(*keys, "_w", *[F.lag("_w", j).over(w).alias(f"_w{j}") for j in range(1, most + 1)])
-    n = F.col("n")
-    sums = lagged.groupBy(*keys).agg(F.count("_w").alias("n"), F.sum(F.col("_w") * F.col("_w")).alias("_s0"),
-                                     *[F.sum(F.col("_w") * F.col(f"_w{j}")).alias(f"_s{j}") for j in range(1, most + 1)])
-    nlag = F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
-    sig = [F.when(nlag >= j, F.coalesce(F.col(f"_s{j}"), F.lit(0.0))).otherwise(F.lit(0.0)) for j in range(1, most + 1)]
-    s0 = F.col("_s0") + 2 * sum(sig, F.lit(0.0))
-    s1 = 2 * sum((j * s for j, s in enumerate(sig, 1)), F.lit(0.0))
-    bw = cut_lineage(sums.select(*keys, n.cast("double").alias("_n"), (
-        1.1447 * F.pow(F.pow(F.try_divide(s1, s0), F.lit(2.0)) * n, F.lit(1 / 3))).alias("bandwidth")), "bandwidth")
-    widest = bw.agg(F.max("bandwidth")).first()[0]
-    lags = min(int(math.ceil(widest or 0)), longest - 1)
-    g = H.gamma_sums(sc, p, keys, order, lags)
-    j = fit.select(*keys, "xtx_inv").join(g, on=keys).join(bw, on=keys)
-    return j.select(*keys, H.auto_se_udf(adjust)("xtx_inv", "gam", "_n", "bandwidth").alias("se"), "bandwidth")
+    j = H.lagged(d, keys, "_w", max(most, 1)).join(n.select(*keys, "_n"), on=list(keys)) \
+        .filter(F.col("lag") <= F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2 / 9))))
+    g = j.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("past")).alias("_a"), F.sum(F.col("lag") * F.col("_w") * F.col("past")).alias("_b"))
+    q = n.join(g, on=list(keys), how="left").fillna(0.0, ["_a", "_b"])
+    ratio = F.try_divide(2 * F.col("_b"), F.col("_s0") + 2 * F.col("_a"))
+    return q.select(*keys, F.col("_n").cast("double").alias("_n"),
+                    (1.1447 * F.pow(ratio * ratio * F.col("_n"), F.lit(1 / 3))).alias("bandwidth"))
 
 
 def series_robust_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str],
-                     order: str, kind: str, adjust: bool = True) -> DataFrame:
-    """RG16/RG17: automatic bandwidth HAC ('nw_auto' by aggregates, 'qs_andrews' per series)."""
+                     order: str, kind: str, adjust: bool = True, buckets: str | None = None) -> DataFrame:
+    """RG16/RG17: HAC errors with a bandwidth from the data, keys, ``se``, ``bandwidth``:
+    'nw_auto' (Bartlett weights 1 − l/(bandwidth + 1), Newey–West 1994) or 'qs_andrews'
+    (quadratic-spectral kernel, Andrews' AR(1) rule). Lag products are tiles of position
+    buckets, each group weighted by its own bandwidth. ``buckets``: an integer column,
+    for positions of very long series."""
+    keys, p = list(keys), len(xs) + 1
+    res = O.residuals(df, fit, y, xs, keys).select(*keys, order, *xs, "resid", *([buckets] if buckets else []))
+    sc = cut_lineage(H.positions(H.with_scores(res, xs), keys, order, buckets).select(*keys, "pos", "u"), "scores")
     if kind == "nw_auto":
-        return nw_auto_se(df, fit, y, xs, keys, order, adjust)
-    res = O.residuals(df, fit, y, xs, keys).select(*keys, order, *xs, "resid")
-    key_fields = [f for f in res.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, T.StructField("se", T.ArrayType(T.DoubleType())),
-                           T.StructField("bandwidth", T.DoubleType())])
-    xs = list(xs)
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        se, bw = H.series_hac(pdf, xs, kind, adjust)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row["se"] = [[float(v) if np.isfinite(v) else None for v in se]]
-        row["bandwidth"] = [float(bw) if np.isfinite(bw) else None]
-        return pd.DataFrame(row)
-
-    return res.groupBy(*keys).applyInPandas(per_series, schema)
+        bw = cut_lineage(newey_west_bandwidth(sc, keys, range(1, p)), "bandwidth")
+        meat = H.kernel_meat(sc, bw.withColumn("bandwidth", F.col("bandwidth") + 1), p, keys, "bartlett")
+    elif kind == "qs_andrews":
+        bw = cut_lineage(H.andrews_bandwidth(sc, p, keys), "bandwidth")
+        meat = H.kernel_meat(sc, bw, p, keys, "qs")
+    else:
+        raise ValueError(kind)
+    j = fit.select(*keys, "xtx_inv", F.col("k").cast("double").alias("k")).join(bw, on=keys).join(meat, on=keys, how="left")
+    return j.select(*keys, H.meat_se_udf(adjust)("xtx_inv", "meat", "_n", "k").alias("se"), "bandwidth")
+
+
+# ------------------------------------------------- one regression over regimes
+def regime_fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], regime: str = "regime",
+               materialize: bool = False) -> DataFrame:
+    """RG21: y on regime, regime × xs in one regression. Its design is block-diagonal, so the
+    coefficients are those of each regime and the residual variance is pooled over the
+    regimes of a group: keys, regime, ``beta``, ``se``, ``xtx_inv``, ``n_all``, ``k_all``,
+    ``df_resid``, ``sigma``, and the whole model's ``rss_all`` and ``r2`` (about the mean)."""
+    keys = list(keys)
+    fit = cut_lineage(O.ols(df, y, xs, [*keys, regime]), "regime-fit")
+    n, k = F.sum("n"), F.sum("k")
+    mean = F.try_divide(F.sum(F.col("n") * F.col("my")), n)
+    whole = fit.groupBy(*keys).agg(n.alias("n_all"), k.alias("k_all"), F.sum("rss").alias("rss_all"),
+                                   (F.sum(F.col("tss") + F.col("n") * F.col("my") * F.col("my")) - n * mean * mean).alias("_tss"))
+    j = fit.select(*keys, regime, "beta", "xtx_inv", "aliased").join(whole, on=keys)
+    df_all = F.col("n_all") - F.col("k_all")
+    sigma = F.sqrt(F.when(df_all > 0, F.col("rss_all") / df_all))
+    p = len(xs) + 1
+    kept = [F.lit(False), *[F.col("aliased")[i] for i in range(p - 1)]]
+    se = F.array(*[F.when(~kept[i], sigma * F.sqrt(F.col("xtx_inv")[i * p + i])) for i in range(p)])
+    out = j.select(*keys, regime, "beta", se.alias("se"), "xtx_inv", "n_all", "k_all", df_all.alias("df_resid"), sigma.alias("sigma"),
+                   "rss_all", (1 - F.try_divide(F.col("rss_all"), F.col("_tss"))).alias("r2"))
+    return cut_lineage(out, "regime-model") if materialize else out
+
+
+def regime_robust_se(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str,
+                     kind: str, param: float = 0, adjust: bool = True, regime: str = "regime") -> DataFrame:
+    """RG14, RG16–RG18 for the regression over regimes: keys, regime, ``se``, ``bandwidth``.
+    A row's score lies in the block of its regime. Lag products within a regime give its
+    diagonal block of the covariance, which is all that its errors need; those across a
+    border belong to the blocks beside the diagonal (:func:`regime_covariance`).
+
+    kind: 'nw' (lag = param), 'bartlett' (bandwidth = param), 'nw_auto', 'qs_andrews';
+    data-driven bandwidths count the scores of all slopes of all regimes."""
+    cov = regime_covariance(df, fit, y, xs, keys, order, kind, param, adjust, regime)
+    same = cov.filter(F.col(f"a_{regime}") == F.col(f"b_{regime}"))
+    p = len(xs) + 1
+    se = F.array(*[F.when(F.col("cov")[i * p + i] > 0, F.sqrt(F.col("cov")[i * p + i])) for i in range(p)])
+    return same.select(*keys, F.col(f"a_{regime}").alias(regime), se.alias("se"), "bandwidth")
+
+
+def regime_covariance(df: DataFrame, fit: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str,
+                      kind: str, param: float = 0, adjust: bool = True, regime: str = "regime") -> DataFrame:
+    """The robust covariance of the regression over regimes in blocks: keys, ``a_regime``,
+    ``b_regime``, ``cov`` (p × p), ``bandwidth``; absent blocks are zero."""
+    keys, p = list(keys), len(xs) + 1
+    res = O.residuals(df, fit, y, xs, [*keys, regime]).select(*keys, regime, order, *xs, "resid")
+    sc = cut_lineage(H.positions(H.with_scores(res, xs), keys, order).select(*keys, regime, "pos", "u"), "scores")
+    groups = fit.select(*keys, "n_all", "k_all").distinct()
+    if kind in ("nw", "bartlett"):
+        bw = groups.select(*keys, F.lit(float(param)).alias("bandwidth"))
+    elif kind == "nw_auto":
+        bw = newey_west_bandwidth(sc, keys, range(1, p)).select(*keys, "bandwidth")
+    elif kind == "qs_andrews":
+        bw = regime_andrews_bandwidth(sc, p, keys, regime)
+    else:
+        raise ValueError(kind)
+    bw = cut_lineage(bw, "bandwidth")
+    width = bw.withColumn("bandwidth", F.col("bandwidth") + 1) if kind in ("nw", "nw_auto") else bw
+    meat = H.kernel_meat(sc, width, p, keys, "qs" if kind == "qs_andrews" else "bartlett", [regime])
+    inverse = fit.select(*keys, regime, "xtx_inv", F.col("n_all").cast("double").alias("_n"), F.col("k_all").cast("double").alias("_k"))
+    for side in "ab":
+        own = inverse.select(*keys, F.col(regime).alias(f"{side}_{regime}"), F.col("xtx_inv").alias(f"_{side}"),
+                             *(["_n", "_k"] if side == "a" else []))
+        meat = meat.join(own, on=[*keys, f"{side}_{regime}"])
+    return meat.join(bw, on=keys).select(*keys, f"a_{regime}", f"b_{regime}", "bandwidth",
+                                         H.block_covariance_udf(adjust)("_a", "meat", "_b", "_n", "_k").alias("cov"))
+
+
+def regime_andrews_bandwidth(sc: DataFrame, p: int, keys: Sequence[str], regime: str) -> DataFrame:
+    """Andrews' rule over the scores of all slopes of all regimes. A slope's score is zero
+    outside its regime, so its sums are those of its regime's rows, and a lag product
+    needs both rows in it."""
+    j = sc.select(*keys, regime, "pos", "u")
+    past = j.select(*keys, regime, (F.col("pos") + 1).alias("pos"), F.col("u").alias("past"))
+    last = sc.groupBy(*keys).agg(F.max("pos").alias("_n"))
+    both = j.join(past, on=[*keys, regime, "pos"], how="left").join(last, on=list(keys))
+    sums = []
+    for i in range(1, p):
+        u, b = F.col("u")[i], F.coalesce(F.col("past")[i], F.lit(0.0))
+        # rows 2..n as current, rows 1..n-1 as past
+        sums += [F.sum(F.when(F.col("pos") > 1, u * u)).alias(f"uu{i}"), F.sum(u * b).alias(f"ul{i}"),
+                 F.sum(F.when(F.col("pos") < F.col("_n"), u * u)).alias(f"ll{i}")]
+    g = both.groupBy(*keys, regime).agg(F.max("_n").cast("double").alias("_n"), *sums)
+    num = den = F.lit(0.0)
+    for i in range(1, p):
+        rho = F.try_divide(F.col(f"ul{i}"), F.col(f"ll{i}"))
+        s2 = F.pow(F.try_divide(F.col(f"uu{i}") - 2 * rho * F.col(f"ul{i}") + rho * rho * F.col(f"ll{i}"), F.col("_n") - 1), F.lit(2.0))
+        num = num + F.coalesce(F.try_divide(4 * rho * rho * s2, F.pow(1 - rho, F.lit(8.0))), F.lit(0.0))
+        den = den + F.coalesce(F.try_divide(s2, F.pow(1 - rho, F.lit(4.0))), F.lit(0.0))
+    t = g.groupBy(*keys).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"), F.max("_n").alias("_n"))
+    return t.select(*keys, (1.3221 * F.pow(F.try_divide(F.col("_num"), F.col("_den")) * F.col("_n"), F.lit(0.2))).alias("bandwidth"))
 
 
 def se_table(se: DataFrame, fit: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:

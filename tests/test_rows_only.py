@@ -100,11 +100,16 @@ def test_qs_andrews_against_direct_sum(ref_series, ref_np):
     fit = O.ols(ref_series, "y", XS, K)
     got = MD.series_robust_se(ref_series, fit, "y", XS, K, "m", "qs_andrews").collect()[0]
     U = X * e[:, None]
-    bw = H.andrews_bw(U, np.array([0.0, 1.0, 1.0]), "qs")
-    assert got.bandwidth == pytest.approx(bw, rel=1e-12)
-    w = H.qs_weights(bw, len(e))
-    direct = _direct_hac(X, e, lambda l: w[l] if l < len(w) else 0.0)
-    np.testing.assert_allclose(got.se, direct, rtol=1e-9)
+    x, xl = U[1:, 1:], U[:-1, 1:]  # Andrews' AR(1) rule over the slopes' scores
+    rho = (x * xl).sum(0) / (xl * xl).sum(0)
+    s2 = (((x - rho * xl) ** 2).sum(0) / (len(e) - 1)) ** 2
+    bw = 1.3221 * ((4 * rho ** 2 * s2 / (1 - rho) ** 8).sum() / (s2 / (1 - rho) ** 4).sum() * len(e)) ** 0.2
+    assert got.bandwidth == pytest.approx(bw, rel=1e-9)
+
+    def weight(lag):
+        a = 6 * np.pi * lag / bw / 5
+        return 25 / (12 * np.pi ** 2 * (lag / bw) ** 2) * (np.sin(a) / a - np.cos(a)) if lag else 1.0
+    np.testing.assert_allclose(got.se, _direct_hac(X, e, weight), rtol=1e-7)
 
 
 def test_nw_auto_against_direct_sum(ref_series, ref_np):
