@@ -3,8 +3,10 @@ Arrow buffers, 64-bit fingerprints, stage tables.
 
 Texts are handled as UTF-8 bytes straight from the Arrow string buffer, in
 blocks of a few megabytes, so a task's memory does not depend on how many rows
-an Arrow batch holds. A fingerprint is a polynomial over the bytes modulo 2^64,
-finished by a bijective mixer; any byte range of a block costs O(1).
+an Arrow batch holds. A fingerprint is a pair of polynomials over the bytes modulo
+2^31 - 1 (62 bits), finished by a bijective mixer; any byte range of a block costs
+O(1). Powers of two as a modulus would not do: there some pairs of unlike strings
+agree for every base (Thue-Morse words).
 """
 
 from __future__ import annotations
@@ -20,34 +22,52 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import cut_lineage, delete_table, ready
 
 U64 = np.uint64
-BLOCK_BYTES = (1 << 20) - 64  # bytes of text worked on at once; power tables stay at 8 MB
+BLOCK_BYTES = (1 << 20) - 64  # bytes of text worked on at once
+SPAN = 1 << 20  # positions whose inverse powers are kept in a table, whatever the length of a text
+STEP = 1 << 15  # numbers worked on at once: they stay in the processor's cache
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_BASES = [int(x) for x in _rng.integers(1 << 20, PRIME - 1, 2)]
+_BYTE = _rng.integers(1, PRIME, (2, 256)).astype(U64)
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i < n; grown by doubling, kept per worker."""
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, b in enumerate((_BASE, _BASE_INV)):
-            p = np.empty(size, U64)
-            p[0] = 1
-            have, step = 1, b
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^63 to equal ones modulo the prime below 2^33, in place."""
+    high = x >> U64(31)
+    x &= U64(PRIME)
+    x += high
+    return x
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the Mersenne prime, in place."""
+    _fold(_fold(x))
+    x[x >= U64(PRIME)] -= U64(PRIME)
+    return x
+
+
+def _powers(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP powers of base ``k`` and SPAN of its inverse; kept per worker."""
+    while len(_TABLES) < 2:
+        made = []
+        base = _BASES[len(_TABLES)]
+        for step, size in ((base, STEP), (pow(base, -1, PRIME), SPAN)):
+            p = np.ones(size, U64)
+            have = 1
             while have < size:
-                p[have:2 * have] = p[:have] * U64(step)
-                have, step = 2 * have, step * step % (1 << 64)
-            _POWERS[k] = p
-    return _POWERS[0], _POWERS[1]
+                p[have:2 * have] = _mod(p[:have] * U64(step))
+                have, step = 2 * have, step * step % PRIME
+            made.append(p)
+        _TABLES.append((made[0], made[1].astype(np.uint32)))
+    return _TABLES[k]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,17 +88,48 @@ class Block:
         return Block(ASCII_LOWER[self.data], self.offs, self.first)
 
     def prefix(self) -> np.ndarray:
-        """Running polynomial sums; feeds ``ranges``."""
-        pw, _ = _powers(len(self.data) + 1)
-        c = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(_BYTE[self.data] * pw[:len(self.data)], out=c[1:])
+        """Running polynomial sums modulo a prime for two bases; feeds ``ranges``."""
+        n = len(self.data)
+        c = np.zeros((2, n + 1), np.uint32)
+        for k in (0, 1):
+            pw, _ = _powers(k)
+            carry, shift, turn = U64(0), 1, pow(_BASES[k], STEP, PRIME)
+            for lo in range(0, n, STEP):
+                part = _BYTE[k][self.data[lo:lo + STEP]]
+                part *= pw[:len(part)]
+                np.cumsum(_fold(part), out=part)  # below 2^48
+                _fold(part)
+                part *= U64(shift)
+                _fold(part)
+                part += carry
+                c[k, lo + 1:lo + 1 + len(part)] = _mod(part)
+                carry, shift = part[-1], shift * turn % PRIME
         return c
 
     @staticmethod
     def ranges(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Fingerprints of the byte ranges [lo, hi): equal bytes, equal value."""
-        _, inv = _powers(len(c))
-        return mix((c[hi] - c[lo]) * inv[lo] + (hi - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+        """Fingerprints of the byte ranges [lo, hi): equal bytes, equal value. Two
+        polynomials modulo 2^31 - 1 and the length: unequal ranges of n bytes agree on one
+        for at most n of its 2^31 bases."""
+        out = np.empty(len(lo), U64)
+        most = int(lo.max()) // SPAN if len(lo) else 0
+        for i in range(0, len(lo), STEP):
+            first, end = lo[i:i + STEP], hi[i:i + STEP]
+            part = np.zeros(len(first), U64)
+            for k in (0, 1):
+                x = c[k][end].astype(U64)
+                x += U64(PRIME)
+                x -= c[k][first]
+                x *= _powers(k)[1][first % SPAN if most else first]
+                if most:
+                    back = np.array([pow(_BASES[k], -SPAN * j, PRIME) for j in range(most + 1)], U64)
+                    _fold(_fold(x))
+                    x *= back[first // SPAN]
+                part <<= U64(31)
+                part += _mod(x)
+            part += (end - first).astype(U64) * U64(0xD6E8FEB86659FD93)
+            out[i:i + STEP] = mix(part)
+        return out
 
     def words(self, is_sep: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and document numbers of the maximal runs of non-separators."""

@@ -282,11 +282,10 @@ def score(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD, ke
 
 
 def keep_good(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows that are kept, with all their columns."""
-    at = docs.columns.index(text)
+    """The rows that are kept, with all their columns. Only the texts go to Python, and only
+    a verdict comes back."""
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(_verdict(column_statistics(texts), trees, threshold)[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_verdict(column_statistics(b.column(at)), trees, threshold)[1]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(text))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Block, as_signed, blocks, mix, stage_table
+from .common import SPAN, U64, Block, as_signed, blocks, mix, stage_table
 
 TRIGGER = 12
 BANDS = (0.25, 0.5, 0.9)  # of the window: distances of a window's start to its phrase end
@@ -57,9 +57,12 @@ def phrase_ends(b: Block, c: np.ndarray, length: int) -> np.ndarray:
     n = len(b.data)
     if n < TRIGGER:
         return np.zeros(0, np.int64)
-    lo = np.arange(n - TRIGGER + 1)
-    h = b.ranges(c, lo, lo + TRIGGER)
-    e = lo[h < U64((1 << 64) // max(2, length // 7))] + TRIGGER
+    found = []
+    for first in range(0, n - TRIGGER + 1, SPAN):
+        lo = np.arange(first, min(first + SPAN, n - TRIGGER + 1))
+        h = b.ranges(c, lo, lo + TRIGGER)
+        found.append(lo[h < U64((1 << 64) // max(2, length // 7))] + TRIGGER)
+    e = np.concatenate(found)
     doc = b.doc_of(e - TRIGGER)
     return e[e <= b.offs[doc + 1]]
 
@@ -77,7 +80,7 @@ def parse(b: Block, length: int) -> tuple[np.ndarray, ...]:
     first = np.maximum(first, b.offs[doc])
     final = np.minimum(ends - TRIGGER, last_start[doc])
     out = []
-    served = np.zeros(len(b.data) + 2, np.int64)
+    served = np.zeros(len(b.data) + 2, np.int32)
     for k, (near, far) in enumerate(_bands(length)):
         lo = np.maximum(first, ends - far)
         hi = np.minimum(final, ends - near)
@@ -87,11 +90,11 @@ def parse(b: Block, length: int) -> tuple[np.ndarray, ...]:
         np.add.at(served, hi + 1, -1)
         rank = b.ranges(c, e - TRIGGER, e + (length - far))
         out.append((mix(rank + U64(k + 1)), b.ranges(c, lo, hi + length), d, lo - b.offs[d], hi - lo + 1))
-    starts = np.zeros(len(b.data) + 2, np.int64)
+    starts = np.zeros(len(b.data) + 2, np.int32)
     long = np.flatnonzero(last_start >= b.offs[:-1])
     np.add.at(starts, b.offs[long], 1)
     np.add.at(starts, last_start[long] + 1, -1)
-    left = np.flatnonzero((np.cumsum(starts) > 0) & (np.cumsum(served) == 0))
+    left = np.flatnonzero((np.cumsum(starts, out=starts) > 0) & (np.cumsum(served, out=served) == 0))
     if len(left):
         w = b.ranges(c, left, left + length)
         d = b.doc_of(left)
