@@ -140,12 +140,26 @@ def split_path(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], or
                        f.alias("f_stat"))
 
 
-def sup_f(path: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """SB4: sup F and the first position attaining it."""
-    return path.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_cand"), F.max("f_stat").alias("sup_f"),
+def sup_f(path: DataFrame, keys: Sequence[str], order: str, k: int | None = None) -> DataFrame:
+    """SB4: sup F and the first position attaining it; with ``k`` (coefficients that may
+    break) its asymptotic p-value."""
+    out = path.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_cand"), F.max("f_stat").alias("sup_f"), F.max("n_rows").alias("_n"),
+        F.min("pos").alias("_from"), F.max("pos").alias("_to"),
         F.min_by(F.struct("pos", order), F.struct((-F.col("f_stat")).alias("nf"), F.col("pos").alias("p"))).alias("_b"),
-    ).select(*keys, "n_cand", "sup_f", F.col("_b.pos").alias("break_pos"), F.col(f"_b.{order}").alias(f"break_{order}"))
+    )
+    span = F.col("_to") / F.col("_from") * (F.col("_n") - F.col("_from")) / (F.col("_n") - F.col("_to"))
+    p = [] if k is None else [sup_f_p(F.col("sup_f"), k, span).alias("p_value")]
+    return out.select(*keys, "n_cand", "sup_f", F.col("_b.pos").alias("break_pos"), F.col(f"_b.{order}").alias(f"break_{order}"), *p)
+
+
+def sup_f_p(x: F.Column, k: int, span: F.Column) -> F.Column:
+    """Upper tail of the supremum of a squared Bessel bridge process of order k over
+    [l1, l2] at x, span = l2 (1 − l1) / (l1 (1 − l2)) (DeLong 1981; Andrews 1993):
+    x^(k/2) e^(−x/2) / (2^(k/2) Γ(k/2)) · ((1 − k/x) ln span + 2/x). The formula is for the
+    tail; below x = k the p-value is 1."""
+    density = F.exp(F.log(x) * (k / 2) - x / 2 - (k / 2 * math.log(2) + math.lgamma(k / 2)))
+    return F.when(x <= k, F.lit(1.0)).otherwise(F.least(F.lit(1.0), density * ((1 - k / x) * F.log(span) + 2 / x)))
 
 
 def chow_at(df: DataFrame, positions: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str],
@@ -172,6 +186,102 @@ def break_conf_set(path: DataFrame, keys: Sequence[str]) -> DataFrame:
     return j.filter(lr <= LR_CRIT_95).drop("_best")
 
 
+# ------------------------------------------------- intervals of several breaks
+def argmax_cdf(x: np.ndarray, xi: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """Distribution function of the argmax of a two-sided Brownian motion with drift −|s|/2
+    and variance 1 on the left, drift −xi |s|/2 and variance phi on the right (Bai 1997)."""
+    s = np.sqrt(np.abs(x))
+    left, ratio = x < 0, xi / phi
+    log_tail = lambda z: _log_norm_cdf(-z)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        below = (-s * np.exp(-s * s / 8) / math.sqrt(2 * math.pi)
+                 - phi / xi * (phi + 2 * xi) / (phi + xi) * np.exp(ratio * (1 + ratio) * s * s / 2 + log_tail((0.5 + ratio) * s))
+                 + (s * s / 2 - 2 + (phi + 2 * xi) ** 2 / ((phi + xi) * xi)) * np.exp(log_tail(s / 2)))
+        a = xi * s / np.sqrt(phi)  # the right side, scaled to variance 1 and drift 1/2
+        above = (1 + a * np.exp(-a * a / 8) / math.sqrt(2 * math.pi)
+                 + xi / phi * (2 * phi + xi) / (phi + xi) * np.exp((phi + xi) * s * s / 2 + log_tail((phi + xi / 2) / np.sqrt(phi) * s))
+                 - ((2 * phi + xi) ** 2 / ((phi + xi) * phi) - 2 + a * a / 2) * np.exp(log_tail(a / 2)))
+    return np.where(left, below, above)
+
+
+def _log_norm_cdf(z: np.ndarray) -> np.ndarray:
+    """log Φ(z) for z ≤ 0, by the asymptotic series far out."""
+    with np.errstate(divide="ignore", over="ignore"):
+        near = np.log(np.maximum(norm_cdf(np.maximum(z, -12.0)), 1e-300))
+        q = 1 / np.minimum(z, -1.0) ** 2
+        far = -z * z / 2 - np.log(np.maximum(-z, 1.0)) - 0.5 * math.log(2 * math.pi) + np.log1p(-q + 3 * q * q - 15 * q ** 3)
+    return np.where(z > -12.0, near, far)
+
+
+def argmax_quantile(level: float, xi: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """Quantile of :func:`argmax_cdf` for each row by bisection of all rows at once."""
+    sign = np.where(argmax_cdf(np.zeros_like(xi), xi, phi) < level, 1.0, -1.0)
+    lo, hi = np.zeros_like(xi), np.ones_like(xi)
+    for _ in range(200):  # widen until the level is passed
+        wide = sign * (argmax_cdf(sign * hi, xi, phi) - level) < 0
+        if not wide.any():
+            break
+        hi = np.where(wide, 2 * hi, hi)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        inside = sign * (argmax_cdf(sign * mid, xi, phi) - level) < 0
+        lo, hi = np.where(inside, mid, lo), np.where(inside, hi, mid)
+    return sign * (lo + hi) / 2
+
+
+def break_interval_udf(level: float):
+    """Arrow UDF: (δ'Q₁δ, δ'Q₂δ, σ₁², σ₂²) → rows before and after a break that its
+    interval covers."""
+    @F.pandas_udf("lower double, upper double")
+    def _udf(q1: pd.Series, q2: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
+        q1, q2, s1, s2 = (v.to_numpy(float) for v in (q1, q2, s1, s2))
+        ok = (q1 > 0) & (q2 > 0) & (s1 > 0) & (s2 > 0)
+        xi = np.where(ok, q2 / np.where(ok, q1, 1.0), 1.0)
+        phi = np.where(ok, xi * s2 / np.where(ok, s1, 1.0), 1.0)
+        scale = np.where(ok, s1 / np.where(ok, q1, 1.0), np.nan)
+        tail = (1 - level) / 2
+        low, high = argmax_quantile(tail, xi, phi), argmax_quantile(1 - tail, xi, phi)
+        ok &= (low < 0) & (high > 0)  # else one side has no part in the interval
+        low, high = np.where(ok, low * scale, np.nan), np.where(ok, high * scale, np.nan)
+        return pd.DataFrame({"lower": pd.Series(np.floor(low)).where(ok, None), "upper": pd.Series(np.ceil(high)).where(ok, None)})
+
+    return _udf
+
+
+def break_intervals(reg: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str, level: float = 0.95) -> DataFrame:
+    """SB8: interval of every break of a partition (Bai 1997). ``reg`` has ``pos`` and
+    ``regime``. The change of coefficients δ between two neighbouring regimes, each
+    regime's X'X/n and residual variance give the limit distribution of the estimated
+    date; one row per break: ``break_no``, ``break_pos`` (last row of its regime), ``lower``,
+    ``upper`` and the three as ``order`` (null outside the series). Perfect fits and breaks
+    whose interval would lie on one side only have null bounds."""
+    keys, k = list(keys), len(xs)
+    st = O.sufficient_stats(reg, y, xs, [*keys, "regime"])
+    fit = O.fit_from_stats(st, [*keys, "regime"]).select(*keys, "regime", "beta", "rss")
+    ends = reg.groupBy(*keys, "regime").agg(F.max("pos").alias("break_pos"))
+    one = st.join(fit, on=[*keys, "regime"]).join(ends, on=[*keys, "regime"]).select(
+        *keys, "regime", "break_pos", F.transform("beta", lambda b: F.coalesce(b, F.lit(0.0))).alias("b"), "mx",
+        F.transform("sxx", lambda v: v / F.col("n")).alias("q"), (F.col("rss") / F.col("n")).alias("s"))
+    one = cut_lineage(one, "regime-moments")
+    two = one.select(*keys, (F.col("regime") - 1).alias("regime"), *[F.col(c).alias(f"{c}2") for c in ("b", "mx", "q", "s")])
+    j = one.join(two, on=[*keys, "regime"])
+    d = [F.col("b2")[i] - F.col("b")[i] for i in range(k + 1)]
+
+    def form(mx: str, q: str) -> F.Column:  # δ' (X'X/n) δ from centred moments
+        level_ = reduce(lambda a, i: a + d[i + 1] * F.col(mx)[i], range(k), d[0])
+        return reduce(lambda a, ij: a + d[ij[0] + 1] * d[ij[1] + 1] * F.col(q)[ij[0] * k + ij[1]],
+                      [(i, l) for i in range(k) for l in range(k)], level_ * level_)
+
+    j = j.withColumn("_i", break_interval_udf(level)(form("mx", "q"), form("mx2", "q2"), "s", "s2"))
+    out = j.select(*keys, F.col("regime").alias("break_no"), "break_pos", (F.col("break_pos") - F.col("_i.upper")).cast("int").alias("lower"),
+                   (F.col("break_pos") - F.col("_i.lower")).cast("int").alias("upper"))
+    places = reg.select(*keys, "pos", order)
+    for c in ("lower", "break_pos", "upper"):
+        name = f"{c.replace('_pos', '')}_{order}"
+        out = out.join(places.select(*keys, F.col("pos").alias(c), F.col(order).alias(name)), on=[*keys, c], how="left")
+    return out.select(*keys, "break_no", "break_pos", "lower", "upper", f"lower_{order}", f"break_{order}", f"upper_{order}")
+
+
 def regime_from_break(df: DataFrame, breaks: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """SB7/WN9: regime number from break positions (last row of each segment)."""
     from .windows import regime_label
@@ -236,7 +346,20 @@ def ols_mosum(res: DataFrame, keys: Sequence[str], order: str, p: int, h: float
     j = cur.join(past, on=[*[cur[k] == past[k] for k in keys], cur["pos"] - cur["nh"] == past["_pp"]], how="left")
     mos = F.try_divide(cur["S"] - F.coalesce(F.col("_Sp"), F.lit(0.0)), cur["sigma"] * F.sqrt(cur["n_rows"]))
     j = j.select(*[cur[k] for k in keys], cur["nh"], mos.alias("mosum"))
-    return j.groupBy(*keys).agg(F.max(F.abs("mosum")).alias("statistic"), F.first("nh").alias("window"))
+    g = j.groupBy(*keys).agg(F.max(F.abs("mosum")).alias("statistic"), F.first("nh").alias("window"))
+    return g.withColumn("p_value", mosum_p_udf("statistic", F.lit(float(h))))
+
+
+@F.pandas_udf(T.DoubleType())
+def mosum_p_udf(x: pd.Series, h: pd.Series) -> pd.Series:
+    """P(sup |B(t + h) − B(t)| > x) for a Brownian bridge B. With u = x/√(h(1 − h)) the mean
+    number of clumps above u on both sides is 2(1 − Φ(u) + u φ(u)/h) (Pickands 1969; Aldous
+    1989: correlation 1 − |s|/(h(1 − h)) near 0 over a length of 1 − h), and p = 1 − e^−mean."""
+    x, h = x.to_numpy(float), h.to_numpy(float)
+    u = x / np.sqrt(h * (1 - h))
+    with np.errstate(invalid="ignore", under="ignore"):
+        mean = 2 * (norm_cdf(-u) + u * np.exp(-u * u / 2) / math.sqrt(2 * math.pi) / h)
+    return pd.Series(-np.expm1(-mean)).where(np.isfinite(x), None)
 
 
 @F.pandas_udf(T.DoubleType())

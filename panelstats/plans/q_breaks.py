@@ -12,7 +12,7 @@ from ..sources import views
 from . import literals as LIT
 from . import sql as S
 from .q_diag import _RES, shift_resid_ctes
-from .q_models import shift_model
+from .q_models import bp_regimes, shift_model
 from .registry import register, rounded
 
 K = ["entity"]
@@ -32,11 +32,14 @@ _PATH = [*_PRE, _RSS_CTE, """path as (
 @register("sup_f", sql=S.with_(*_PATH, """r as (
   select *, row_number() over (partition by entity order by f desc, pos) as rk, count(*) over (partition by entity) as n_cand
   from path)""") + """
-select entity, n_cand, round(f, 6) as sup_f, pos as break_pos, m as break_m from r where rk = 1""")
+select r.entity, r.n_cand, round(f, 6) as sup_f, pos as break_pos, m as break_m,
+       round(case when f <= 3 then 1.0 else least(1.0, pow(f, 1.5) * exp(-f / 2) / (pow(2, 1.5) * exp(lgamma(1.5)))
+         * ((1 - 3 / f) * ln(b * (n - a) / (a * (n - b))) + 2 / f)) end, 6) as p_value
+from r join (select entity, min(pos) as a, max(pos) as b from path group by entity) c on c.entity = r.entity where rk = 1""")
 def q_sup_f(spark, sf_dir):
     """SB4: F at every candidate split (15 % trim) from one prefix-sum window; sup and its date."""
     p = views.panel(spark, sf_dir, materialize=True)
-    return rounded(B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m"))
+    return rounded(B.sup_f(B.split_path(p, "y", XS, K, "m"), K, "m", k=3))
 
 
 @register("break_conf_set", sql=S.with_(*_PATH, "b as (select entity, min(u) as best from path group by entity)") + f"""
@@ -102,9 +105,12 @@ def _static_res(spark, sf_dir):
          sum(e) over (partition by entity order by m rows between unbounded preceding and current row) as s,
          sqrt(sum(e * e) over (partition by entity) / (count(*) over (partition by entity) - 3)) as sigma from res)""",
                                        "h as (select *, cast(floor(n * 0.15::double) as integer) as nh from q)") + """
-select a.entity, round(max(abs((a.s - coalesce(b.s, 0.0)) / (a.sigma * sqrt(a.n)))), 6) as statistic, any_value(a.nh) as window
-from h a left join h b on a.entity = b.entity and b.pos = a.pos - a.nh
-where a.pos >= a.nh group by a.entity""")
+select entity, round(st, 6) as statistic, nh as window,
+       round(1 - exp(-2 * (1 - """ + S.norm_cdf("u") + """ + u * exp(-u * u / 2) / sqrt(2 * pi()) / 0.15)), 6) as p_value
+from (select *, st / sqrt(0.15 * 0.85) as u from (
+  select a.entity, max(abs((a.s - coalesce(b.s, 0.0)) / (a.sigma * sqrt(a.n)))) as st, any_value(a.nh) as nh
+  from h a left join h b on a.entity = b.entity and b.pos = a.pos - a.nh
+  where a.pos >= a.nh group by a.entity))""")
 def q_ols_mosum(spark, sf_dir):
     """SB2: OLS-MOSUM sup statistic (window floor(0.15 n))."""
     _, _, res = _static_res(spark, sf_dir)
@@ -160,6 +166,13 @@ def q_bai_perron(spark, sf_dir):
     return rounded(out.select("entity", "breaks", "rss", "bic", "aic", *listed))
 
 
+@register("break_intervals")
+def q_break_intervals(spark, sf_dir):
+    """SB8: 95 % interval of each break of the Bai–Perron partition with two breaks."""
+    reg = bp_regimes(views.panel(spark, sf_dir, materialize=True), 2)
+    return B.break_intervals(reg, "y", XS, K, "m")
+
+
 @register("model_paths_long", sql=S.with_(*shift_resid_ctes()) + """
 select entity, m, 'actual' as path, round(y, 6) as value from res
 union all select entity, m, 'static', round(y - e, 6) from res

@@ -747,15 +747,17 @@ def q_ols_panel_wide(spark, sf_dir):
     return rounded(ols_wide(fit))
 
 
-def bp_regimes(p):
-    """SB7: regimes of the BIC-best Bai–Perron partition of each entity."""
+def bp_regimes(p, breaks: int | None = None):
+    """SB7: regimes of each entity's Bai–Perron partition: the BIC-best, or that with a
+    given number of breaks."""
     from ..operators import breaks as B
-    best = B.bai_perron(p, "y", XS, K, "m").groupBy(*K) \
+    parts = B.bai_perron(p, "y", XS, K, "m", max_breaks=5 if breaks is None else breaks)
+    best = (parts if breaks is None else parts.filter(F.col("breaks") == breaks)).groupBy(*K) \
         .agg(F.min_by(F.col("break_pos"), F.struct("bic", "breaks")).alias("_bp"))
     return B.regime_from_break(p, best.select(*K, F.explode("_bp").alias("break_pos")), K, "m")
 
 
-@register("ols_by_bp_regime", sql=S.with_(*S.BP_REGIMES, *S.ols_ctes("f", "reg", "y", XS, keys="entity, regime"))
+@register("ols_by_bp_regime", sql=S.with_(*S.bp_regimes(), *S.ols_ctes("f", "reg", "y", XS, keys="entity, regime"))
           + _wide_select(2, keys="entity, regime"))
 def q_ols_by_bp_regime(spark, sf_dir):
     """RG21/SB7: regimes from the BIC-best Bai–Perron partition of each entity,

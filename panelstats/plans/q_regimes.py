@@ -17,6 +17,7 @@ from .registry import register, rounded
 K = ["entity"]
 XS = ["x1", "x2"]
 R = "entity, regime"
+BREAKS = 2  # the partition whose regimes are modelled: three per entity at every scale
 
 
 def inverse_cell(k: int):
@@ -89,7 +90,7 @@ def _terms(xs: list[str], keys: str, se: str, extra: str = "", src: str = "hs")
 def _pooled_sql() -> str:
     cell = inverse_cell(2)
     ses = ", ".join(f"sqrt(rss_all / (nn - kk) * {cell(j, j)}) as pse{j}" for j in range(3))
-    return S.with_(*S.BP_REGIMES, *S.ols_ctes("f", "reg", "y", XS, keys=R),
+    return S.with_(*S.bp_regimes(BREAKS), *S.ols_ctes("f", "reg", "y", XS, keys=R),
                    "tot as (select entity, sum(n) as nn, count(*) * 3 as kk, sum(rss) as rss_all from f group by entity)",
                    f"hs as (select f.*, nn, kk, {ses} from f join tot using (entity))") + _cast_df(_terms(XS, R, "pse{}"))
 
@@ -102,16 +103,16 @@ def _cast_df(sql: str) -> str:
 def q_ols_regime_pooled(spark, sf_dir):
     """RG21: one regression of y on regime and regime × (x1, x2) over the Bai–Perron regimes
     of each entity; pooled residual variance."""
-    fit = MD.regime_fit(bp_regimes(views.panel(spark, sf_dir, materialize=True)), "y", XS, K)
+    fit = MD.regime_fit(bp_regimes(views.panel(spark, sf_dir, materialize=True), BREAKS), "y", XS, K)
     return rounded(MD.se_table(fit.select(*K, "regime", "se"), fit.drop("se"), XS, [*K, "regime"]))
 
 
-@register("regime_paths", sql=S.with_(*S.BP_REGIMES, *S.ols_ctes("f", "reg", "y", XS, keys=R)) + """
+@register("regime_paths", sql=S.with_(*S.bp_regimes(BREAKS), *S.ols_ctes("f", "reg", "y", XS, keys=R)) + """
 select reg.entity, m, reg.regime, round(y, 6) as y, round(b0 + b1 * x1 + b2 * x2, 6) as y_hat_bp
 from reg join f on f.entity = reg.entity and f.regime = reg.regime""")
 def q_regime_paths(spark, sf_dir):
     """RG21/SB9: fitted path of the regression over regimes beside the series."""
-    reg = bp_regimes(views.panel(spark, sf_dir, materialize=True))
+    reg = bp_regimes(views.panel(spark, sf_dir, materialize=True), BREAKS)
     fit = MD.regime_fit(reg, "y", XS, K)
     res = O.residuals(reg, fit, "y", XS, [*K, "regime"])
     return rounded(res.select("entity", "m", "regime", "y", F.col("fitted").alias("y_hat_bp")))
@@ -119,7 +120,7 @@ def q_regime_paths(spark, sf_dir):
 
 def _regime_robust(kind: str, param: float = 0):
     def q(spark, sf_dir):
-        reg = views.panel(spark, sf_dir, materialize=True).transform(bp_regimes)
+        reg = bp_regimes(views.panel(spark, sf_dir, materialize=True), BREAKS)
         fit = MD.regime_fit(reg, "y", XS, K, materialize=True)
         se = MD.regime_robust_se(reg, fit, "y", XS, K, "m", kind, param)
         out = MD.se_table(se.select(*K, "regime", "se"), fit.drop("se"), XS, [*K, "regime"])
@@ -129,7 +130,7 @@ def _regime_robust(kind: str, param: float = 0):
 
 
 def _regime_sql(kind: str, param: float = 0) -> str:
-    return S.with_(*S.BP_REGIMES, *kernel_ctes("reg", XS, R, kind, param)) + _cast_df(_terms(XS, R, "hse{}", ", round(bandwidth, 6) as bandwidth"))
+    return S.with_(*S.bp_regimes(BREAKS), *kernel_ctes("reg", XS, R, kind, param)) + _cast_df(_terms(XS, R, "hse{}", ", round(bandwidth, 6) as bandwidth"))
 
 
 register("se_regime_newey_west", sql=_regime_sql("nw", 12.0))(_regime_robust("nw", 12))

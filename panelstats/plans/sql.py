@@ -258,7 +258,9 @@ def bai_perron_ctes(most: int = 5) -> list[str]:
     return ctes
 
 
-#: Panel rows with the regime of the BIC-best Bai-Perron partition.
-BP_REGIMES = [*bai_perron_ctes(), """reg as (
-  select p.*, pre.pos, cast(1 + len(list_filter(best.path, lambda b: b < pre.pos)) as integer) as regime
-  from panel p join pre using (entity, m) join best using (entity))"""]
+def bp_regimes(breaks: int | None = None) -> list[str]:
+    """Panel rows with the regime of the BIC-best partition, or that of ``breaks`` breaks."""
+    part = "best" if breaks is None else f"(select entity, path from part where breaks = {breaks})"
+    return [*bai_perron_ctes(5 if breaks is None else breaks), f"""reg as (
+  select p.*, pre.pos, cast(1 + len(list_filter(b.path, lambda e: e < pre.pos)) as integer) as regime
+  from panel p join pre using (entity, m) join {part} b using (entity))"""]
