@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantile import quantiles, rank_within, trimmed_mean
+from ..session import cut_lineage
+from . import quantile as Q
+from .quantile import quantiles, rank_within
 
 MAD_SCALE = 1.4826  # fixed value: consistency constant of the median absolute deviation
 
@@ -36,21 +38,32 @@ def describe_basic(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
     """AG1: n, mean, sd, min, Q1, median, Q3, max per (keys, variable)."""
     gk = [*keys, "variable"]
     long = long_values(df, cols, keys)
-    m = moments(long, gk).drop("g1", "g2")
-    q = quantiles(long, "value", gk, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    m = cut_lineage(moments(long, gk).drop("g1", "g2"), "moments")
+    q = Q.quantiles(long, "value", gk, [0.25, 0.5, 0.75], ["q1", "median", "q3"], first=_extent(m))
     return m.join(q, on=gk, how="left").select(*gk, "n", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
+def _extent(m: DataFrame) -> DataFrame:
+    """First brackets of order statistics from the table of moments."""
+    return m.where("n > 0").withColumnsRenamed({"n": "_n", "min": "_lo", "max": "_hi"})
+
+
 def describe_full(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
                   trim: float = 0.1) -> DataFrame:
     """AG2: adds trimmed mean, MAD·1.4826, range, skew and kurtosis (type 3), se."""
     gk = [*keys, "variable"]
     long = long_values(df, cols, keys)
-    m = moments(long, gk)
-    med = quantiles(long, "value", gk, [0.5], ["median"])
-    tm = trimmed_mean(long, "value", gk, trim)
+    m = cut_lineage(moments(long, gk), "moments")
+    x = Q.order_statistics(long, "value", gk, [*Q.type7_ranks([0.5]), *Q.trim_ranks(trim)], first=_extent(m))
+    low, high = Q.trim_ranks(trim)
+    x = cut_lineage(x.select(*gk, "_n", Q.type7(0.5, 0).alias("median"), low.alias("_r"), high.alias("_q"),
+                             F.col("_x")[2].alias("_a"), F.col("_x")[3].alias("_z")), "centres")
+    med = x.select(*gk, "median")
+    tm = Q.mean_between(long, "value", gk, x.select(*gk, "_r", "_q", "_a", "_z"))
     dev = long.join(med, on=gk).select(*gk, F.abs(F.col("value") - F.col("median")).alias("absdev"))
-    mad = quantiles(dev, "absdev", gk, [0.5], ["mad_raw"])
+    widest = m.join(med, on=gk).select(*gk, F.col("n").alias("_n"), F.lit(0.0).alias("_lo"),
+                                       F.greatest(F.abs(F.col("max") - F.col("median")), F.abs(F.col("min") - F.col("median"))).alias("_hi"))
+    mad = Q.quantiles(dev, "absdev", gk, [0.5], ["mad_raw"], first=widest)
     n = F.col("n")
     out = (m.join(med, gk, "left").join(tm, gk, "left").join(mad, gk, "left")
            .select(*gk, "n", "mean", "sd", "median", "trimmed_mean",

@@ -51,3 +51,30 @@ def test_all_null_variables_stay(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, None)], "g string, x double, y double")
     got = {r.variable: r for r in DS.describe_full(df, ["x", "y"], ["g"]).collect()}
     assert set(got) == {"x", "y"} and got["y"].n == 0 and got["y"].median is None
+
+
+def test_brackets_of_large_groups_close_in_round_by_round(spark, monkeypatch):
+    """With a limit of 50 kinds of value the last window sees some hundred rows of 130,000."""
+    rows, df = frames(spark)
+    monkeypatch.setattr(Q, "FEW", 50)
+    rounds = []
+    narrow = Q._narrowed
+    monkeypatch.setattr(Q, "_narrowed", lambda *a: rounds.append(1) or narrow(*a))
+    probs = [0.0, 0.013, 0.25, 0.5, 0.75, 0.999, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    out = Q.quantiles(df, "v", ["g"], probs, names)
+    got = {r.g: r for r in out.collect()}
+    for g in ("hot", "cont", "few", "large", "one", "two", "same", "tails"):
+        x = np.sort([v for k, v in rows if k == g])
+        np.testing.assert_allclose([got[g][n] for n in names], np.quantile(x, probs), rtol=1e-12, atol=1e-12)
+    assert 2 <= len(rounds) <= 6
+    b = Q.cut_lineage(df.where("g = 'large'"), "one")
+    ranks = Q.type7_ranks([0.25, 0.5])
+    tables = []
+    keep = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda d, name="t": tables.append(keep(d, name)) or tables[-1])
+    Q.order_statistics(b, "v", ["g"], ranks).collect()
+    last = tables[-1].first()
+    v = [r.v for r in b.collect()]
+    for i in range(4):
+        assert sum(last[f"_lo{i}"] <= x <= last[f"_hi{i}"] for x in v) <= 200
