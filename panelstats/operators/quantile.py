@@ -149,10 +149,10 @@ def order_statistics(df: DataFrame, value: str, keys: Sequence[str], ranks: Sequ
 
     Each rank has a bracket, at first the whole group (``first``: :func:`extent`, if the
     caller has it). Groups of more than FEW rows get one sketch, which leaves some
-    thousandths of their rows in each bracket. While a bracket holds more than FEW rows of more than FEW kinds, a
-    round narrows it to two hundredths of its rows; then the rows below are counted, and
-    the values inside by kind. So the last window sees at most some FEW kinds of value
-    per rank, however large a group is."""
+    thousandths of their rows in each bracket. While a bracket holds more than FEW rows
+    of more than FEW kinds, a round narrows it to two hundredths of its rows; then the
+    rows below are counted, and the values inside by kind. So the last window sees at
+    most some FEW kinds of value per rank, however large a group is."""
     keys, m = list(keys), len(ranks)
     b = extent(df, value, keys, count) if first is None else first
     b = cut_lineage(b.select(*keys, F.col(count).alias("_n"), *[c for i, r in enumerate(ranks) for c in (
