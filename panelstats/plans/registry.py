@@ -51,7 +51,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from . import q_prep, q_describe, q_windows, q_models, q_diag, q_breaks, q_regimes  # noqa: F401
+    from . import q_prep, q_describe, q_windows, q_models, q_diag, q_breaks, q_regimes, q_smooth  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
