@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import chi2_pvalue_udf, f_pvalue_udf, norm_cdf_udf, norm_ppf_udf
+from ..session import cut_lineage
 from . import ols as O
 
 
@@ -86,8 +87,9 @@ _DW = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("var",
 
 
 @F.pandas_udf(_DW)
-def dw_moments_udf(xtx_inv: pd.Series, xax: pd.Series, xa2x: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Exact mean/variance of DW under H0 from traces; vectorised over groups."""
+def dw_moments_udf(xtx_inv: pd.Series, xax: pd.Series, xa2x: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+    """Exact mean/variance of DW under H0 from traces; vectorised over groups. ``k`` counts the
+    coefficients that are not aliased."""
     from ..functions.linalg import stack
     width = max(len(v) for v in xtx_inv.to_numpy())
     p = int(round(math.sqrt(width)))
@@ -97,7 +99,8 @@ def dw_moments_udf(xtx_inv: pd.Series, xax: pd.Series, xa2x: pd.Series, n: pd.Se
     nn = n.to_numpy(float)
     P = 2 * (nn - 1) - np.einsum("gii->g", A1)
     Q2 = 2 * (3 * nn - 4) - 2 * np.einsum("gii->g", A2) + np.einsum("gij,gji->g", A1, A1)
-    dfr = nn - p
+    dfr = nn - k.to_numpy(float)
+    dfr = np.where(dfr > 0, dfr, np.nan)
     mean = P / dfr
     var = 2 * (Q2 - P * mean) / (dfr * (dfr + 2))
     return pd.DataFrame({"mean": mean, "var": var})
@@ -124,8 +127,8 @@ def durbin_watson(res: DataFrame, fit: DataFrame, xs: Sequence[str], keys: Seque
     g = g.select(*keys, F.try_divide(F.col("_num"), F.col("_den")).alias("statistic"),
                  F.array(*[F.col(f"_d{a}_{b}") for a in range(p) for b in range(p)]).alias("xax"),
                  F.array(*[F.col(f"_a{a}_{b}") for a in range(p) for b in range(p)]).alias("xa2x"))
-    j = g.join(fit.select(*keys, "n", "xtx_inv"), on=list(keys))
-    j = j.withColumn("_m", dw_moments_udf("xtx_inv", "xax", "xa2x", F.col("n").cast("double")))
+    j = g.join(fit.select(*keys, "n", "k", "xtx_inv"), on=list(keys))
+    j = j.withColumn("_m", dw_moments_udf("xtx_inv", "xax", "xa2x", F.col("n").cast("double"), F.col("k").cast("double")))
     z = F.try_divide(F.col("statistic") - F.col("_m.mean"), F.sqrt(F.col("_m.var")))
     j = j.select(*keys, "statistic", F.col("_m.mean").alias("mean"), F.col("_m.var").alias("var"), z.alias("z"))
     return j.withColumn("p_value", norm_cdf_udf("z"))
@@ -298,3 +301,122 @@ def qq_pairs(res: DataFrame, keys: Sequence[str]) -> DataFrame:
     pp = (F.col("_rank") - a) / (F.col("_n") + 1 - 2 * a)
     return r.select(*keys, F.col("_rank").alias("i"), F.col("resid").alias("sample"), pp.alias("_pp")) \
         .withColumn("theoretical", norm_ppf_udf("_pp")).drop("_pp")
+
+
+# ------------------------------------------------------- several models at once
+def model_rows(df: DataFrame, specs: dict[str, tuple[str, Sequence[str]]], keys: Sequence[str], order: str) -> DataFrame:
+    """One row per model and complete row: keys, ``order``, ``model``, ``_y``, ``used`` (number of
+    regressors) and the slots ``_x0`` …; ``specs``: {model: (dependent column, regressor columns)}.
+    Slots a model does not use are 0, so they come out aliased; one exploded frame, no copy per test."""
+    slots = max(len(xs) for _, xs in specs.values())
+    rows = []
+    for name, (y, xs) in specs.items():
+        cols = [F.col(x).cast("double") for x in xs] + [F.lit(0.0)] * (slots - len(xs))
+        row = F.struct(F.lit(name).alias("model"), F.col(y).cast("double").alias("_y"), F.lit(len(xs)).alias("used"),
+                       *[c.alias(f"_x{i}") for i, c in enumerate(cols)])
+        rows.append(F.when(O.complete([y, *xs]), row))
+    ex = df.select(*keys, order, F.explode(F.array_compact(F.array(*rows))).alias("_s"))
+    return ex.select(*keys, order, "_s.*")
+
+
+def model_slots(rows: DataFrame) -> list[str]:
+    return sorted((c for c in rows.columns if c.startswith("_x") and c[2:].isdigit()), key=lambda c: int(c[2:]))
+
+
+def model_diagnostics(rows: DataFrame, keys: Sequence[str], order: str, bg_order: int = 6, lb_lag: int = 12,
+                      gq_by: str = "_x0") -> DataFrame:
+    """DG1, DG3–DG7 for every model of :func:`model_rows`: keys, model, test, statistic, df, p_value.
+
+    The residual frame, keyed by model, is written once; each test is an aggregate over it.
+    Breusch–Pagan's df is the number of regressors that are not aliased in the model; Durbin–Watson
+    has no df and its p is the normal one of :func:`durbin_watson`; Goldfeld–Quandt orders by
+    ``gq_by`` (df: that of the upper half).
+    """
+    mk, xs = [*keys, "model"], model_slots(rows)
+    fit = O.ols(rows, "_y", xs, mk, materialize=True)
+    res = cut_lineage(O.residuals(rows, fit, "_y", xs, mk), "residuals")
+    cols = [*mk, "test", "statistic", "df", "p_value"]
+
+    bp = breusch_pagan(res, xs, mk).drop("df", "p_value").join(fit.select(*mk, (F.col("k") - 1).alias("df")), on=mk)
+    bp = bp.withColumn("p_value", chi2_pvalue_udf("statistic", F.col("df").cast("double")))
+    bg = breusch_godfrey(res, xs, mk, order, bg_order)
+    lb = ljung_box(res, mk, lb_lag, order).withColumn("test", F.lit(f"ljung_box_{lb_lag}"))
+    jb = jarque_bera(res, mk).withColumn("test", F.lit("jarque_bera")).withColumn("df", F.lit(2))
+    dw = durbin_watson(res, fit, xs, mk, order).withColumn("test", F.lit("durbin_watson")).withColumn("df", F.lit(None))
+    gq = goldfeld_quandt(rows, "_y", xs, mk, gq_by, order).withColumn("test", F.lit("goldfeld_quandt")) \
+        .withColumn("df", F.col("df2"))
+    out = None
+    for t in (bp, bg, lb, jb, dw, gq):
+        t = t.withColumn("df", F.col("df").cast("int")).select(*cols)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+# ------------------------------------------------------------- Shapiro-Wilk
+# Royston's polynomials (1995) for the outer weights and for the normal
+# approximation of the transformed statistic; coefficients from the constant upwards.
+SW_OUTER = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+SW_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SW_SMALL_GAMMA = (-2.273, 0.459)
+SW_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
+SW_SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
+SW_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+SW_LOG_SD = (-0.4803, -0.082676, 0.0030302)
+SW_MOST = 5000
+
+
+def _poly(coefficients: Sequence[float], x: F.Column) -> F.Column:
+    out = F.lit(float(coefficients[-1]))
+    for c in reversed(coefficients[:-1]):
+        out = out * x + F.lit(float(c))
+    return out
+
+
+def shapiro_wilk(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """DG7, small samples: keys, n, statistic W, p_value for groups of 3 to 5,000 values.
+
+    Exact ranks (range-partitioned) give each value its expected normal order statistic; W is one
+    aggregate of products over them, the two outer weights per side by Royston's polynomials.
+    Other sizes and groups of one value get NULL; missing values do not count.
+    """
+    from .quantile import rank_within
+    keys = list(keys)
+    r = rank_within(df, value, keys).withColumn("_pp", (F.col("_rank") - 0.375) / (F.col("_n") + 0.25))
+    r = r.withColumn("_m", norm_ppf_udf("_pp"))
+    x, i, n, m = F.col(value), F.col("_rank"), F.col("_n"), F.col("_m")
+    pick = {"_x1": i == 1, "_x2": i == 2, "_y2": i == n - 1, "_y1": i == n}
+    g = r.groupBy(*keys).agg(
+        F.first("_n").alias("n"), F.sum(m * m).alias("_mm"), (F.var_pop(x) * F.count(x)).alias("_ss"),
+        F.sum(F.when((i > 2) & (i < n - 1), m * x)).alias("_inner2"), F.sum(F.when((i > 1) & (i < n), m * x)).alias("_inner1"),
+        F.max(F.when(i == n, m)).alias("_m1"), F.max(F.when(i == n - 1, m)).alias("_m2"),
+        *[F.max(F.when(c, x)).alias(name) for name, c in pick.items()])
+    n, mm, m1, m2 = F.col("n"), F.col("_mm"), F.col("_m1"), F.col("_m2")
+    u = 1 / F.sqrt(n)
+    a1 = F.when(n == 3, F.lit(math.sqrt(0.5))).otherwise(_poly(SW_OUTER, u) + m1 / F.sqrt(mm))
+    a2 = _poly(SW_SECOND, u) + m2 / F.sqrt(mm)
+    phi2 = (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
+    phi1 = (mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)
+    outer = a1 * (F.col("_y1") - F.col("_x1"))
+    top = F.when(n == 3, outer) \
+        .when(n <= 5, outer + F.coalesce(F.col("_inner1"), F.lit(0.0)) / F.sqrt(phi1)) \
+        .otherwise(outer + a2 * (F.col("_y2") - F.col("_x2")) + F.coalesce(F.col("_inner2"), F.lit(0.0)) / F.sqrt(phi2))
+    fits = (n >= 3) & (n <= SW_MOST) & (F.col("_y1") > F.col("_x1"))
+    w = F.when(fits, F.least(F.try_divide(top * top, F.col("_ss")), F.lit(1.0)))
+    s = g.select(*keys, "n", w.alias("statistic"))
+    n, w = F.col("n").cast("double"), F.col("statistic")
+    ln = F.log(n)
+    short = (-F.log(_poly(SW_SMALL_GAMMA, n) - F.log1p(-w)) - _poly(SW_SMALL_MEAN, n)) / F.exp(_poly(SW_SMALL_LOG_SD, n))
+    long = (F.log1p(-w) - _poly(SW_MEAN, ln)) / F.exp(_poly(SW_LOG_SD, ln))
+    s = s.withColumn("_z", F.when(n <= 11, short).otherwise(long))
+    three = F.greatest(6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))), F.lit(0.0))
+    return s.withColumn("p_value", F.when(w.isNull(), None).when(n == 3, three).when(w >= 1, 1.0)
+                        .otherwise(1 - norm_cdf_udf("_z"))).drop("_z")
+
+
+def qq_line(res: DataFrame, keys: Sequence[str], value: str = "resid") -> DataFrame:
+    """AG13: keys, slope, intercept of the line through the sample and normal quartiles."""
+    from .quantile import quantiles
+    q = quantiles(res, value, keys, [0.25, 0.75], ["_lo", "_hi"])
+    lo, hi = F.col("_lo"), F.col("_hi")
+    z = 0.6744897501960817  # fixed value: upper quartile of the standard normal
+    return q.select(*keys, ((hi - lo) / (2 * z)).alias("slope"), ((hi + lo) / 2).alias("intercept"))

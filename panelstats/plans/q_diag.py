@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as DG
+from ..operators import joins as J
 from ..operators import ols as O
+from ..operators import windows as WN
 from ..operators.describe import long_values
 from ..sources import views
+from . import literals as LIT
 from . import sql as S
 from .q_models import shift_model
 from .registry import register, rounded
@@ -69,13 +72,13 @@ def q_gq_test(spark, sf_dir):
     return rounded(DG.goldfeld_quandt(p, "y", XS, K, "x1", "m"))
 
 
-@register("dw_test", sql=S.with_(*_RES) + """
-select entity, round(sum(d * d) / sum(e * e), 6) as statistic from (
-  select entity, e, e - lag(e) over (partition by entity order by m) as d from res) group by entity""")
+@register("dw_test", sql=S.with_(S.PANEL, *S.mgs_ctes("f", "panel", "y", XS, carry=("m",)), *S.dw_ctes("dw", "f", 2)) + f"""
+select entity, round(st, 6) as statistic, round(mean, 6) as mean, round(var, 6) as var, round(z, 6) as z,
+       round({S.norm_cdf('greatest(z, -40)')}, 6) as p_value from dw""")
 def q_dw_test(spark, sf_dir):
-    """DG4: Durbin–Watson statistic (moments, z and p are unit-tested)."""
+    """DG4: Durbin–Watson statistic, its exact mean and variance under H0, z and p = Φ(z)."""
     _, fit, res = _static(spark, sf_dir)
-    return rounded(DG.durbin_watson(res, fit, XS, K, "m").select("entity", "statistic"))
+    return rounded(DG.durbin_watson(res, fit, XS, K, "m"))
 
 
 def _bg_sql() -> str:
@@ -204,7 +207,6 @@ def q_adf_test(spark, sf_dir):
 
 def shift_resid_ctes() -> list[str]:
     """Static residuals (closed form) and shift-model residuals (Gram–Schmidt) per row."""
-    from . import literals as LIT
     flags = ", ".join(f"case when m >= {LIT.month_number(a)} and m <= {LIT.month_number(b)} then 1.0 else 0.0 end as {l}"
                       for l, a, b in LIT.WINDOWS)
     labels = [w[0] for w in LIT.WINDOWS]
@@ -226,11 +228,130 @@ def q_residual_compare(spark, sf_dir):
     return rounded(long_values(wide, ["static", "shift"], ["entity", "m"], "model", "resid"))
 
 
-@register("qq_pairs")
+_QQ_SQL = S.with_(*_RES, """rk as (select entity, e, row_number() over (partition by entity order by e) as i,
+  count(*) over (partition by entity) as n from res)""",
+                  """pr as (select *, (i - (case when n <= 10 then 0.375 else 0.5 end)::double)
+  / (n + 1 - 2 * (case when n <= 10 then 0.375 else 0.5 end)::double) as p from rk)""", *S.norm_ppf_ctes("qz", "pr", "p")) + """
+select entity, i, round(e, 6) as sample, round(z, 6) as theoretical from qz"""
+
+
+@register("qq_pairs", sql=_QQ_SQL)
 def q_qq_pairs(spark, sf_dir):
     """AG13: normal Q–Q pairs of the static residuals (exact ranks, Arrow inverse normal)."""
     _, _, res = _static(spark, sf_dir)
-    return DG.qq_pairs(res, K)
+    return rounded(DG.qq_pairs(res, K))
+
+
+@register("qq_line", sql=S.with_(*_RES, """q as (select entity, quantile_cont(e, 0.25) as lo, quantile_cont(e, 0.75) as hi
+  from res group by entity)""") + """
+select entity, round((hi - lo) / (2 * 0.6744897501960817), 6) as slope, round((hi + lo) / 2, 6) as intercept from q""")
+def q_qq_line(spark, sf_dir):
+    """AG13: line through the quartiles of the static residuals and of the normal."""
+    _, _, res = _static(spark, sf_dir)
+    return rounded(DG.qq_line(res, K))
+
+
+def _shapiro_sql() -> str:
+    def poly(c, x):
+        return " + ".join(f"({v!r} * power({x}, {i}))" for i, v in enumerate(c))
+
+    small = (f"(-ln({poly(DG.SW_SMALL_GAMMA, 'n')} - ln(1 - w)) - ({poly(DG.SW_SMALL_MEAN, 'n')})) / exp({poly(DG.SW_SMALL_LOG_SD, 'n')})")
+    large = f"(ln(1 - w) - ({poly(DG.SW_MEAN, 'ln(n)')})) / exp({poly(DG.SW_LOG_SD, 'ln(n)')})"
+    return S.with_(*shift_resid_ctes(), """rk as (select entity, e_shift as e, row_number() over (partition by entity order by e_shift) as i,
+  count(*) over (partition by entity) as n from shr)""", "pr as (select *, (i - 0.375::double) / (n + 0.25::double) as p from rk)",
+                   *S.norm_ppf_ctes("sz", "pr", "p"), """mm as (
+  select *, sum(z * z) over g as mm, max(z) over g as m1, max(case when i = n - 1 then z end) over g as m2
+  from sz window g as (partition by entity))""", f"""ab as (select *,
+  case when n = 3 then sqrt(0.5) else {poly(DG.SW_OUTER, '(1 / sqrt(n))')} + m1 / sqrt(mm) end as a1,
+  {poly(DG.SW_SECOND, '(1 / sqrt(n))')} + m2 / sqrt(mm) as a2 from mm)""", """wt as (select entity, n, e, case
+  when i = n then a1 when i = 1 then -a1 when n = 3 then 0
+  when n > 5 and i = n - 1 then a2 when n > 5 and i = 2 then -a2
+  when n <= 5 then z / sqrt((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1))
+  else z / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) end as a from ab)""", """st as (
+  select entity, any_value(n) as n, case when any_value(n) between 3 and 5000 and max(e) > min(e)
+    then least(power(sum(a * e), 2) / (var_pop(e) * count(*)), 1) end as w from wt group by entity)""",
+                   f"sp as (select *, case when n <= 11 then {small} else {large} end as z from st)") + f"""
+select entity, n, round(w, 6) as statistic, round(case when n = 3 then greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0)
+  else 1 - {S.norm_cdf('least(greatest(z, -40), 40)')} end, 6) as p_value from sp"""
+
+
+@register("shapiro_wilk", sql=_shapiro_sql())
+def q_shapiro_wilk(spark, sf_dir):
+    """DG7, small samples: Shapiro–Wilk W and p of the shift model's residuals."""
+    f, fu, xs = shift_model(views.panel(spark, sf_dir, materialize=True))
+    return rounded(DG.shapiro_wilk(O.residuals(f, fu, "y", xs, K), "resid", K))
+
+
+# ------------------------------------------------- the dynamic, differenced and shift models
+_DIFFS = LIT.LAG_ORDERS
+MODELS = {"lag1": ("y", [*XS, "y_l1"]),
+          **{f"diff{k}": ("d_y", [*XS, *[f"d_y_l{i}" for i in range(1, k + 1)]]) for k in _DIFFS},
+          "shift": ("y", [*XS, *[w[0] for w in LIT.WINDOWS]])}
+
+
+def _model_diag_sql() -> str:
+    w = "over (partition by entity order by m)"
+    flags = ", ".join(f"case when m >= {LIT.month_number(a)} and m <= {LIT.month_number(b)} then 1.0 else 0.0 end as {l}"
+                      for l, a, b in LIT.WINDOWS)
+    dl = ", ".join(f"lag(y, {k}) {w} - lag(y, {k + 1}) {w} as d_y_l{k}" for k in _DIFFS)
+    ctes = [S.PANEL, f"mf as (select entity, m, y, x1, x2, lag(y) {w} as y_l1, y - lag(y) {w} as d_y, {dl}, {flags} from panel)"]
+    parts, res = [], []
+    for name, (y, xs) in MODELS.items():
+        k, cols = len(xs), ", ".join(xs)
+        ctes += S.mgs_ctes(name, "mf", y, xs, carry=("m", *xs))
+        ctes.append(f"res_{name} as materialized (select entity, m, {cols}, ry as e, ry * ry as e2 from {name}_{k})")
+        res.append(f"select entity, '{name}' as model, m, e from res_{name}")
+
+        ctes += S.mgs_ctes(f"bp_{name}", f"res_{name}", "e2", xs)
+        ctes.append(f"bpu_{name} as (select entity, {S.used(k)} as u from bp_{name}_0 group by entity)")
+        lm = "(n * (1 - rss / tss))"
+        p = "case u " + " ".join(f"when {i} then {S.chi2_p(lm, i)}" for i in range(1, k + 1)) + " end"
+        parts.append(f"select entity, '{name}' as model, 'breusch_pagan' as test, {lm} as st, u as df, {p} as p "
+                     f"from bp_{name} join bpu_{name} using (entity)")
+
+        lags = ", ".join(f"coalesce(lag(e, {l}) {w}, 0) as el{l}" for l in range(1, 7))
+        ctes.append(f"bgi_{name} as (select *, {lags} from res_{name})")
+        ctes += S.mgs_ctes(f"bg_{name}", f"bgi_{name}", "e", [*xs, *[f"el{l}" for l in range(1, 7)]])
+        parts.append(f"select entity, '{name}', 'breusch_godfrey_6', {lm}, 6, {S.chi2_p(lm, 6)} from bg_{name}")
+
+        ctes += S.dw_ctes(f"dw_{name}", name, k)
+        parts.append(f"select entity, '{name}', 'durbin_watson', st, null, {S.norm_cdf('greatest(least(z, 40), -40)')} from dw_{name}")
+
+        ctes.append(f"""gqi_{name} as (select *, case when row_number() over (partition by entity order by x1, m)
+  <= floor(count(*) over (partition by entity) * 0.5::double) then 1 else 2 end as segment
+  from mf where {y} is not null and {' and '.join(f'{x} is not null' for x in xs)})""")
+        ctes += S.mgs_ctes(f"gq_{name}", f"gqi_{name}", y, xs, keys="entity, segment")
+        ctes.append(f"""gqs_{name} as (select entity, max(case when segment = 2 then s end) / max(case when segment = 1 then s end) as st,
+  max(case when segment = 1 then df end) as df1, max(case when segment = 2 then df end) as df2 from (
+  select entity, segment, df, rss / df as s from gq_{name} join (
+    select entity, segment, count(*) - 1 - ({S.used(k)}) as df from gq_{name}_0 group by entity, segment) using (entity, segment))
+  group by entity)""")
+        parts.append(f"select entity, '{name}', 'goldfeld_quandt', st, df2, {S.f_p('st', 'df2', 'df1')} from gqs_{name}")
+    prods = ", ".join(f"sum(c * lag{l}) as s{l}" for l in range(1, 13))
+    q = " + ".join(f"power(s{l} / d, 2) / (n - {l})" for l in range(1, 13))
+    ctes += ["allres as (" + " union all ".join(res) + ")",
+             "cen as (select *, e - avg(e) over (partition by entity, model) as c from allres)",
+             "lagged as (select *, " + ", ".join(f"lag(c, {l}) over (partition by entity, model order by m) as lag{l}"
+                                                 for l in range(1, 13)) + " from cen)",
+             f"lbs as (select entity, model, count(*) as n, sum(c * c) as d, {prods} from lagged group by entity, model)",
+             f"lb as (select entity, model, n * (n + 2) * ({q}) as st from lbs)",
+             "mo as (select entity, model, count(*) as n, avg(c * c) as m2, avg(c * c * c) as m3, avg(c * c * c * c) as m4 "
+             "from cen group by entity, model)",
+             "jb as (select entity, model, n / 6 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4) as st from mo)"]
+    parts.append(f"select entity, model, 'ljung_box_12', st, 12, {S.chi2_p('st', 12)} from lb")
+    parts.append("select entity, model, 'jarque_bera', st, 2, exp(-st / 2) from jb")
+    return S.with_(*ctes) + ("select entity, model, test, round(st, 6) as statistic, cast(df as integer) as df, round(p, 6) as p_value from (\n"
+                             + "\nunion all ".join(parts) + ")")
+
+
+@register("model_diagnostics", sql=_model_diag_sql())
+def q_model_diagnostics(spark, sf_dir):
+    """DG1, DG3–DG7 of the lag-1 model, the differenced models 1..4 and the shift model: one
+    residual frame keyed by model (`ols_lag_diff` names the best differenced one by criterion)."""
+    p = views.panel(spark, sf_dir, materialize=True)
+    d = WN.diffs(WN.lags(p, "y", K, "m", [1]), "y", K, "m", max(_DIFFS))
+    rows = DG.model_rows(J.window_flags(d, LIT.WINDOWS), MODELS, K, "m")
+    return rounded(DG.model_diagnostics(rows, K, "m"))
 
 
 _RES_ROWS = [S.ROWS, *S.ols_ctes("f", "rows", "y", XS), """res as (

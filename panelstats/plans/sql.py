@@ -182,6 +182,41 @@ def norm_cdf(z: str, steps: int = 2000) -> str:
     return f"(0.5 + {_simpson('exp(-0.5 * {z} * {z})', '0.0', f'({z})', steps)} / sqrt(2 * pi()))"
 
 
+def norm_ppf_ctes(name: str, src: str, p: str, steps: int = 4) -> list[str]:
+    """``{name}``: ``src`` with ``z``, the normal quantile of ``p``: a power start and Halley steps."""
+    ctes = [f"{name}_0 as materialized (select *, (power({p}, 0.135) - power(1 - {p}, 0.135)) / 0.1975 as z from {src})"]
+    for i in range(1, steps + 1):
+        u = f"(({norm_cdf('z', 400)} - {p}) * sqrt(2 * pi()) * exp(z * z / 2))"
+        ctes.append(f"{name}_{i} as materialized (select * exclude (z, u), z - u / (1 + z * u / 2) as z "
+                    f"from (select *, {u} as u from {name}_{i - 1}))")
+    return [*ctes, f"{name} as (select * from {name}_{steps})"]
+
+
+def used(k: int) -> str:
+    """Number of regressors that vary, from the centred columns of ``mgs_ctes`` step 0."""
+    return " + ".join(f"cast(max(abs(r{i})) > 0 as integer)" for i in range(k))
+
+
+def dw_ctes(name: str, chain: str, k: int, keys: str = "entity", order: str = "m") -> list[str]:
+    """Durbin-Watson with exact moments from the orthogonal columns that ``mgs_ctes`` leaves
+    (the traces are sums over an orthonormal basis); ends in ``{name}``: st, mean, var, z."""
+    w = f"over (partition by {keys} order by {order})"
+    g = f"over (partition by {keys})"
+    q = ", ".join(f"coalesce(r{j} / nullif(sqrt(sum(r{j} * r{j}) {g}), 0), 0) as q{j}" for j in range(k))
+    d = ", ".join(f"q{j} - lag(q{j}) {w} as d{j}, 2 * q{j} - coalesce(lag(q{j}) {w}, q{j}) - coalesce(lead(q{j}) {w}, q{j}) as a{j}, q{j}"
+                  for j in range(k))
+    t1 = " + ".join(f"sum(d{j} * d{j})" for j in range(k))
+    t2 = " + ".join(f"sum(a{j} * a{j})" for j in range(k))
+    t3 = " + ".join(f"power(sum(d{i} * d{j}), 2)" for i in range(k) for j in range(k))
+    p = " + ".join(f"cast(max(abs(q{j})) > 0 as integer)" for j in range(k))
+    return [f"{name}_q as (select {keys}, {order}, ry, {q} from {chain}_{k})",
+            f"{name}_d as (select {keys}, ry, ry - lag(ry) {w} as de, {d} from {name}_q)",
+            f"""{name}_t as (select {keys}, sum(de * de) / sum(ry * ry) as st, count(*) as n, count(*) - 1 - ({p}) as df,
+  2 * (count(*) - 1) - ({t1}) as t_p, 2 * (3 * count(*) - 4) - 2 * ({t2}) + ({t3}) as t_q from {name}_d group by {keys})""",
+            f"{name}_m as (select *, t_p / df as mean, 2 * (t_q - t_p * t_p / df) / (df * (df + 2)) as var from {name}_t)",
+            f"{name} as (select *, (st - mean) / sqrt(var) as z from {name}_m)"]
+
+
 def chi2_p(x: str, k: int) -> str:
     """Upper χ² tail: a finite sum for even k; for odd k the normal tail plus such a sum."""
     half = f"(({x}) / 2)"
