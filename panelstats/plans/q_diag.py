@@ -134,13 +134,16 @@ def q_jarque_bera(spark, sf_dir):
     return rounded(DG.jarque_bera(res, K))
 
 
-@register("acf", sql=S.with_(*_RES, """ac as (
+_ACF_CTE = """ac as (
   select a.entity, cast(l.k as integer) as lag, sum(a.c * b.c) as num
   from rp a join (select entity, any_value(nn) as nn from rp group by entity) z using (entity)
   cross join range(1, 200) l(k)
   join rp b on a.entity = b.entity and b.pos = a.pos - l.k
-  where l.k <= least(floor(10 * log10(z.nn)), z.nn - 1) group by a.entity, l.k)""",
-                             "den as (select entity, sum(c * c) as d, any_value(nn) as n from rp group by entity)") + """
+  where l.k <= least(floor(10 * log10(z.nn)), z.nn - 1) group by a.entity, l.k)"""
+_DEN_CTE = "den as (select entity, sum(c * c) as d, any_value(nn) as n from rp group by entity)"
+
+
+@register("acf", sql=S.with_(*_RES, _ACF_CTE, _DEN_CTE) + """
 select ac.entity, lag, n, round(num / d, 6) as acf from ac join den using (entity)""")
 def q_acf(spark, sf_dir):
     """DG8: residual autocorrelations to lag floor(10·log10 n) (equi-join on position − lag)."""
@@ -148,11 +151,20 @@ def q_acf(spark, sf_dir):
     return rounded(DG.autocorrelations(res, K))
 
 
-@register("pacf")
+_PACF_SQL = S.with_(*_RES, _ACF_CTE, _DEN_CTE, """rr as materialized (
+  select entity, list(num / d order by lag) as r from ac join den using (entity) group by entity)""", """dl as (
+  select entity, r, 1 as k, [r[1]] as phi from rr
+  union all select entity, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - a * phi[k + 1 - i]), a)
+  from (select *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i])))
+    / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i]))) as a from dl where k < len(r)))""") + """
+select entity, cast(k as integer) as lag, round(phi[k], 6) as pacf from dl"""
+
+
+@register("pacf", sql=_PACF_SQL.replace("with ", "with recursive ", 1))
 def q_pacf(spark, sf_dir):
     """DG9: partial autocorrelations by Durbin–Levinson on the acf."""
     _, _, res = _static(spark, sf_dir)
-    return DG.partial_autocorrelations(DG.autocorrelations(res, K), K)
+    return rounded(DG.partial_autocorrelations(DG.autocorrelations(res, K), K))
 
 
 def _interp_sql(x: str, xp: list[float], fp: list[float]) -> str:

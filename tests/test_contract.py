@@ -23,7 +23,8 @@ chow_test coef_compare coef_vs_benchmark complete_cases corr_complete corr_pairw
 dedupe_first density_grid describe_basic describe_by_period describe_full diff_features
 dw_test effect_labels fill_cubic_local fill_linear fill_linear_edges flag_counts
 flag_first_rows format_labels fraction_windows gq_test head_tail histogram30
-jarque_bera jarque_bera_rows joint_f known_points lag_features lag_selfjoin
+fill_spline jarque_bera jarque_bera_rows joint_f local_trend local_trend_rows model_diagnostics
+ols_spline_fill qq_line shapiro_wilk known_points lag_features lag_selfjoin
 ljung_box model_paths_long model_select model_table month_extract month_parse
 month_parts null_profile ols_alt_fill ols_by_bp_regime ols_by_regime ols_coef
 ols_cusum ols_fit ols_lag_diff ols_lag_level ols_mosum ols_panel_wide
