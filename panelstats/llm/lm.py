@@ -39,6 +39,7 @@ BITS_PER_ENTRY = 10
 PROBES = 4
 SEGMENT_ENTRIES = 1 << 19
 KEY_BYTES = 5
+HELD = 1 << 20  # n-grams that a task holds before it sends them on
 WEIGHT_PAIR, WEIGHT_WORD = 0.6, 0.999
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
@@ -67,17 +68,39 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of several counts, and their sums."""
+    h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[:len(h)])
+    return h[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``size, h, n``: all words and all pairs."""
+    """``size, h, n``: all words and all pairs. A task sums the counts of its blocks in at most
+    some ``HELD`` places before it sends them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {1: [], 2: []}
+
+        def send(size: int) -> Iterator[pa.RecordBatch]:
+            if held[size]:
+                g, n = summed(held[size])
+                held[size] = []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int8)), pa.array(as_signed(g)), pa.array(n)],
+                                                 names=["size", "h", "n"])
+
         for batch in batches:
             for b in blocks(batch.column(0)):
                 d, h = tokens(b)
                 for size, grams in ((1, h), (2, pairs(d, h))):
-                    g, n = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(g), size, np.int8)), pa.array(as_signed(g)), pa.array(n)],
-                        names=["size", "h", "n"])
+                    held[size].append(np.unique(grams, return_counts=True))
+                    if sum(len(g) for g, _ in held[size]) > HELD:
+                        held[size] = [summed(held[size])]
+                        if len(held[size][0][0]) > HELD // 2:
+                            yield from send(size)
+        for size in held:
+            yield from send(size)
 
     rows = docs.select(text).mapInArrow(run, "size byte, h long, n long")
     return stage_table(rows.groupBy("size", "h").agg(F.sum("n").alias("n")), "ngrams")
@@ -161,18 +184,35 @@ def filter_segments(counts: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> tu
     segments = max(1, -(-entries // per_segment))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            h, level = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            seg = segment_of(h, segments)
+            order = np.argsort(seg, kind="stable")
+            h, level, seg = h[order], level[order], seg[order]
+            at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))[:len(seg)])
+            ends = np.append(at[1:], len(seg))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(segment_of(np.asarray(b.column(1)).view(U64), segments)), b.column(1),
-                 pa.array(quantise(np.asarray(b.column(0)), np.asarray(b.column(2))).astype(np.int8))],
-                names=["segment", "h", "level"])
+                [pa.array(seg[at]), pa.array([packed(h[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+                 pa.array([level[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
+                names=["segment", "keys", "levels"])
+
+        for b in batches:
+            held.append((np.asarray(b.column(1)).view(U64), quantise(np.asarray(b.column(0)), np.asarray(b.column(2))).astype(np.int8)))
+            if sum(len(h) for h, _ in held) > HELD:
+                yield from send()
+        if held:
+            yield from send()
 
     def build(group: pa.Table) -> pa.Table:
-        bits = segment_bits(keys_of(np.asarray(group["h"]).view(U64)), np.asarray(group["level"]).astype(np.int64))
+        keys = unpacked(b"".join(group["keys"].to_pylist()))
+        bits = segment_bits(keys, np.frombuffer(b"".join(group["levels"].to_pylist()), np.int8).astype(np.int64))
         return pa.table({"segment": pa.array([group["segment"][0].as_py()], pa.int64()),
                          "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    return counts.select("size", "h", "n").mapInArrow(place, "segment long, h long, level byte") \
+    return counts.select("size", "h", "n").mapInArrow(place, "segment long, keys binary, levels binary") \
         .groupBy("segment").applyInArrow(build, "segment long, bits binary"), segments
 
 
@@ -212,30 +252,39 @@ def by_segment(d: np.ndarray, h: np.ndarray, segments: int) -> tuple[np.ndarray,
     return grams[order], seg[order]
 
 
-def in_blocks(rows: DataFrame, segments: int) -> DataFrame:
-    """``rows`` with their ``block`` (the ``row`` of its first document), and a row with
-    the distinct n-grams of each block in each segment (``segment`` is null on the others)."""
-    names = ["doc_id", "text", "held_out", "row", "block", "segment", "grams"]
+LISTS = ("doc_id", "text", "held_out", "row")
 
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """A row per block: ``block`` (the ``row`` of its first document) and its documents' columns
+    as lists, so that however the table is split, a block stays whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
                 part = batch.slice(b.first, b.n)
-                block = part.column(3)[0].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.full(b.n, block)), pa.nulls(b.n, pa.int64()), pa.nulls(b.n, pa.binary())],
-                    names=names)
+                ends = pa.array([0, b.n], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(3)[:1], *[pa.ListArray.from_arrays(ends, c) for c in part.columns]],
+                                                 names=["block", *LISTS])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return stage_table(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        run, f"block long, doc_id array<{kind}>, text array<string>, held_out array<boolean>, row array<long>"), "blocks")
+
+
+def questions(cut: DataFrame, segments: int) -> DataFrame:
+    """``segment, block, data``: the distinct n-grams of each block in each segment."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (b,) = blocks(batch.column(1)[i].values)
                 grams, seg = by_segment(*tokens(b), segments)
                 at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
                 asked = [packed(grams[i:j]) for i, j in zip(at, np.append(at[1:], len(seg)), strict=True)]
-                n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(n, c.type) for c in part.columns], pa.array(np.full(n, block)), pa.array(seg[at]),
-                     pa.array(asked, pa.binary())], names=names)
+                    [pa.array(seg[at]), pa.array(np.full(len(at), batch.column(0)[i].as_py())), pa.array(asked, pa.binary())],
+                    names=["segment", "block", "data"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return stage_table(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        run, f"doc_id {kind}, text string, held_out boolean, row long, block long, segment long, grams binary"), "blocks")
+    return cut.select("block", "text").mapInArrow(run, "segment long, block long, data binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.RecordBatch]]:
@@ -255,7 +304,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.Rec
         yield held
 
 
-def block_levels(cut: DataFrame, parts: DataFrame) -> DataFrame:
+def block_levels(asked: DataFrame, parts: DataFrame) -> DataFrame:
     """``block, segment, levels``: a byte for each n-gram asked."""
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, bits = None, None
@@ -273,7 +322,6 @@ def block_levels(cut: DataFrame, parts: DataFrame) -> DataFrame:
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
                 names=["block", "segment", "levels"])
 
-    asked = cut.where(F.col("segment").isNotNull()).select("segment", "block", F.col("grams").alias("data"))
     own = parts.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("data"))
     met = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
     return stage_table(met.mapInArrow(answer, "block long, segment long, levels binary"), "levels")
@@ -289,8 +337,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", per_segment:
     parts, segments = filter_segments(counts, per_segment)
     parts = stage_table(parts, "filter")
     discard(counts)
-    cut = in_blocks(rows, segments)
-    levels = block_levels(cut, parts)
+    cut = in_blocks(rows)
+    levels = block_levels(questions(cut, segments), parts)
     discard(parts)
     shared = spark.sparkContext.broadcast(head_words(words))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -301,7 +349,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", per_segment:
         for held in runs(batches, 0):
             met = pa.Table.from_batches(held)
             level = np.frombuffer(b"".join(x for x in met["levels"].to_pylist() if x is not None), np.uint8)
-            own = met.filter(met["row"].is_valid()).combine_chunks()
+            whole = met.filter(met["row"].is_valid()).combine_chunks()
+            own = {c: whole[c].chunk(0).flatten() for c in LISTS}
             (b,) = blocks(own["text"])
             d, h = tokens(b)
             grams, _ = by_segment(d, h, segments)
@@ -340,15 +389,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", per_segment:
                 names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "rare", "times"])
             yield from out.combine_chunks().to_batches()
 
-    def null(type_: str) -> Column:
-        return F.lit(None).cast(type_)
-
-    answers = levels.select("block", "segment", "levels", null("long").alias("row"), null(kind).alias("doc_id"),
-                            null("boolean").alias("held_out"), null("string").alias("text"))
-    asked = cut.where(F.col("segment").isNull()).select("block", null("long").alias("segment"), null("binary").alias("levels"), "row", "doc_id",
-                       "held_out", "text")
+    lists = [F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in LISTS]
+    answers = levels.select("block", "segment", "levels", *lists)
+    asked = cut.select("block", F.lit(None).cast("long").alias("segment"), F.lit(None).cast("binary").alias("levels"), *LISTS)
     met = answers.unionByName(asked).repartition("block") \
-        .sortWithinPartitions("block", F.col("segment").asc_nulls_last(), "row")
+        .sortWithinPartitions("block", F.col("segment").asc_nulls_last())
     scored = stage_table(met.mapInArrow(
         run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, "
              "rare array<long>, times array<int>"), "scored")
