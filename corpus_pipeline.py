@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstats.llm import bpe, decontaminate, ngram_join, quality, suffix_dedup
-from panelstats.llm.common import stage_table
-from panelstats.session import ready
+from panelstats.llm.common import ready, stage_table
 from panelstats.sources.tables import table
 
 REPEAT_BYTES = 200
