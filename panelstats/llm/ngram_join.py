@@ -6,9 +6,9 @@ table over all documents' shingles (any order keeps the join exact, the counts
 only make prefixes selective). A class of n shingles is indexed under its first
 ``n - ceil(t n) + 1`` shingles. Classes that share such a shingle are candidates
 if their sizes allow the threshold (length filter) and if the positions leave
-room for enough common shingles (positional filter); a histogram of each set
-bounds their difference from below (suffix filter). Survivors are compared once
-each on their whole sets.
+room for enough common shingles (positional filter); the parities of ``PARITIES``
+parts of each set, which the lists carry, and then a histogram bound their difference
+from below (suffix filter). Survivors are compared once each on their whole sets.
 
 A list of classes under one shingle is not expanded into all its pairs: each class
 is compared with one of the list only; verified links are closed into components,
@@ -31,18 +31,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, blocks, discard, mix, shingle_hashes, stage_table
+from .common import U64, as_signed, blocks, discard, mix, order_within, shingle_hashes, stage_table
 from .graph import components
 
 ORDER_BITS = 18  # buckets of the frequency table: 2 MB, whatever the corpus
 SHORT_LIST = 32  # members up to which a list's pairs are joined directly; longer ones take hub rounds
 BINS = 64  # of the suffix filter's histogram
+PARITIES = 256  # parts of a set whose sizes are known to be even or odd
+SKETCH = [f"p{k}" for k in range(PARITIES // 64)]
+FEW = 1 << 17  # classes whose numbers are broadcast (2 MB) to pick their rows; more meet them in a shuffle
 
 
 def _class_of(d: np.ndarray, g: np.ndarray, n_docs: int) -> np.ndarray:
@@ -54,6 +59,15 @@ def _class_of(d: np.ndarray, g: np.ndarray, n_docs: int) -> np.ndarray:
     return as_signed(mix(total + np.bincount(d, minlength=n_docs).astype(U64)))
 
 
+def _parities(d: np.ndarray, g: np.ndarray, n_docs: int) -> np.ndarray:
+    """Bit k of a document: whether an odd number of its shingles lie in part k."""
+    part = (g >> U64(20) & U64(PARITIES - 1)).astype(np.int64)
+    odd = np.zeros(n_docs * PARITIES, np.uint8)
+    at = np.flatnonzero(np.bincount(d * PARITIES + part, minlength=0) & 1)
+    odd[at] = 1
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_docs, -1)
+
+
 def profile(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """Per document: set size, class and histogram; per task: its shingle counts
     (``counts`` is null on document rows and set on the others)."""
@@ -70,20 +84,24 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
                 counts += np.bincount((g >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
                 size = np.bincount(d, minlength=b.n)
                 bins = np.bincount(d * BINS + (g & U64(BINS - 1)).astype(np.int64), minlength=b.n * BINS)
+                odd = _parities(d, g, b.n)
                 ids = batch.column(0).slice(b.first, b.n)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(size, pa.int64()),
                      pa.array(_class_of(d, g, b.n), mask=size == 0),
                      pa.ListArray.from_arrays(pa.array(np.arange(b.n + 1) * BINS, pa.int32()),
                                               pa.array(bins.astype(np.int32))),
-                     pa.nulls(b.n, pa.binary())], names=["doc_id", "size", "cls", "bins", "counts"])
+                     *[pa.array(odd[:, k]) for k in range(len(SKETCH))],
+                     pa.nulls(b.n, pa.binary())], names=["doc_id", "size", "cls", "bins", *SKETCH, "counts"])
         if id_type is not None and counts.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.int64()),
-                 pa.nulls(1, pa.list_(pa.int32())), pa.array([counts.tobytes()], pa.binary())],
-                names=["doc_id", "size", "cls", "bins", "counts"])
+                 pa.nulls(1, pa.list_(pa.int32())), *[pa.nulls(1, pa.int64()) for _ in SKETCH],
+                 pa.array([counts.tobytes()], pa.binary())],
+                names=["doc_id", "size", "cls", "bins", *SKETCH, "counts"])
 
-    return stage_table(rows.mapInArrow(run, f"doc_id {kind}, size long, cls long, bins array<int>, counts binary"),
+    sketch = "".join(f"{p} long, " for p in SKETCH)
+    return stage_table(rows.mapInArrow(run, f"doc_id {kind}, size long, cls long, bins array<int>, {sketch}counts binary"),
                        "profile")
 
 
@@ -108,8 +126,11 @@ def prefix_length(size, percent: int):
 
 
 def postings(docs: DataFrame, freq: np.ndarray, n: int, percent: int, text: str) -> DataFrame:
-    """``token, cls, size, pos`` for the prefix of every set that can link at all."""
-    table = docs.sparkSession.sparkContext.broadcast(freq)
+    """``token, cls, size, pos`` for the prefix of every set that can link at all; of equal
+    sets in a block, one."""
+    rank = np.empty(len(freq), np.int64)
+    rank[np.argsort(freq, kind="stable")] = np.arange(len(freq))
+    table = docs.sparkSession.sparkContext.broadcast(rank.astype(np.int32))
     least = next(m for m in range(1, 1000) if 100 * m >= percent * (m + 1))  # smaller sets link only if equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +139,16 @@ def postings(docs: DataFrame, freq: np.ndarray, n: int, percent: int, text: str)
                 d, g = shingle_hashes(b, n)
                 size = np.bincount(d, minlength=b.n)
                 cls = _class_of(d, g, b.n)
-                often = table.value[(g >> U64(64 - ORDER_BITS)).astype(np.int64)]
-                order = np.lexsort((g, often, d))
+                size[np.setdiff1d(np.arange(b.n), np.unique(cls, return_index=True)[1])] = 0
+                d, g = (x[size[d] >= least] for x in (d, g))
+                size[size < least] = 0
+                # rare first: the bucket's rank in place of its number, so by bucket count, then value
+                low = U64(64 - ORDER_BITS)
+                often = table.value[(g >> low).astype(np.int64)].astype(U64) << low | g & U64((1 << 64 - ORDER_BITS) - 1)
+                order = order_within(d, often)
                 d, g = d[order], g[order]
                 pos = np.arange(len(d)) - (np.cumsum(size) - size)[d]
-                keep = (pos < prefix_length(size, percent)[d]) & (size[d] >= least)
+                keep = pos < prefix_length(size, percent)[d]
                 d, g, pos = d[keep], g[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(as_signed(g)), pa.array(cls[d]), pa.array(size[d].astype(np.int32)),
@@ -131,19 +157,44 @@ def postings(docs: DataFrame, freq: np.ndarray, n: int, percent: int, text: str)
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, cls long, size int, pos int")
 
 
+def shared_lists(post: DataFrame) -> DataFrame:
+    """The distinct rows of all tokens that several classes have, as ``post`` comes sorted by
+    token and class: a row waits until the next one of its token, no list is held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sent = None, False  # the last row, and whether it has gone out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            token, cls = (np.asarray(batch.column(k)) for k in (0, 1))
+            at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))))
+            alike = token[at][1:] == token[at][:-1]
+            keep = np.concatenate((alike, [False])) | np.concatenate(([False], alike))
+            last = bool(keep[-1]) or (len(at) == 1 and sent)
+            keep[0] &= not sent
+            yield batch.take(pa.array(at[keep]))
+            held, sent = batch.slice(at[-1], 1), last
+
+    return post.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, post.schema)
+
+
 def needed_overlap(x: Column, y: Column, percent: int) -> Column:
     return F.ceil((x + y) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
 def _fits(x: str, y: str, percent: int) -> Column:
-    """Length and positional filter for a common shingle: before it, at most ``shared``
-    shingles can be common, after it at most the shorter rest."""
+    """Length and positional filter for a common shingle (before it, at most ``shared``
+    shingles can be common, after it at most the shorter rest), and the parities'."""
     def get(f):
         return F.col(f"{x}.{f}"), F.col(f"{y}.{f}")
 
     (xs, ys), (xp, yp), (xq, yq) = get("size"), get("pos"), get("shared")
     room = F.least(xq, yq) + 1 + F.least(xs - xp - 1, ys - yp - 1)
-    return (F.least(xs, ys) * 100 >= F.greatest(xs, ys) * percent) & (room >= needed_overlap(xs, ys, percent))
+    # a part of unlike parity holds a shingle of one set only
+    unlike = reduce(add, [F.bit_count(a.bitwiseXOR(b)) for a, b in map(get, SKETCH)])
+    need = needed_overlap(xs, ys, percent)
+    return (F.least(xs, ys) * 100 >= F.greatest(xs, ys) * percent) & (room >= need) & (unlike <= xs + ys - 2 * need)
 
 
 class Linker:
@@ -154,14 +205,23 @@ class Linker:
         self.n, self.percent = n, percent
         seen = profiles.where(F.col("cls").isNotNull())
         self.reps = stage_table(seen.groupBy("cls").agg(
-            F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.first("size").alias("size")), "classes")
+            F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.first("size").alias("size"),
+            *[F.first(p).alias(p) for p in SKETCH]), "classes")
         self.comps: DataFrame | None = None
 
+    def named(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """``cls`` and ``columns`` of the classes in ``pairs`` (a stage table)."""
+        names = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+        if pairs.count() <= FEW // 2:
+            names = F.broadcast(names)
+        return self.reps.select("cls", *columns).join(names, "cls")
+
     def sets(self, pairs: DataFrame) -> DataFrame:
         """Whole shingle sets of the classes in ``pairs``, from one document of each."""
         n = self.n
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct() \
-            .join(self.reps.select("cls", "rep"), "cls").withColumnRenamed("cls", "wanted")
+        wanted = self.named(pairs, "rep").withColumnRenamed("cls", "wanted")
+        if pairs.count() <= FEW // 2:
+            wanted = F.broadcast(wanted)
         rows = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +239,7 @@ class Linker:
 
     def suffix_filter(self, pairs: DataFrame) -> DataFrame:
         """Histograms differ by no more than two linked sets can."""
-        h = self.reps.select("cls", "bins", "size")
+        h = self.named(pairs, "bins", "size")
         p = pairs.join(h.select(F.col("cls").alias("x"), F.col("bins").alias("xb"), F.col("size").alias("xs")), "x") \
             .join(h.select(F.col("cls").alias("y"), F.col("bins").alias("yb"), F.col("size").alias("ys")), "y")
         apart = F.aggregate(F.zip_with("xb", "yb", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
@@ -225,9 +285,11 @@ class Linker:
         """Verify candidate rows (x, y): for each class the partner of most common
         prefix shingles first; of the others those that are still apart."""
         pairs = candidates.groupBy("x", "y").agg(F.count(F.lit(1)).alias("hits"))
-        pairs = stage_table(self.suffix_filter(self.apart(pairs)), "pairs")
-        if pairs.isEmpty():
+        close = stage_table(self.apart(pairs), "candidates")
+        if close.isEmpty():
             return
+        pairs = stage_table(self.suffix_filter(close), "pairs")
+        discard(close)
         sets = self.sets(pairs)
         best = pairs.groupBy("x").agg(F.max(F.struct("hits", "y"))["y"].alias("y"))
         self.verify(best, sets)
@@ -258,7 +320,7 @@ def _with_components(rows: DataFrame, linker: Linker) -> DataFrame:
 
 def _all_pairs(lists: DataFrame, linker: Linker) -> None:
     """Candidates of different components within each list."""
-    a, b = (lists.select("token", F.struct("cls", "size", "pos", "shared", "comp").alias(c)) for c in "ab")
+    a, b = (lists.select("token", F.struct("cls", "size", "pos", "shared", "comp", *SKETCH).alias(c)) for c in "ab")
     pairs = a.join(b, "token").where((F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
                                      & _fits("a", "b", linker.percent))
     linker.close(pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")))
@@ -269,9 +331,9 @@ def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
     links, and go on with the lists whose other members are in several components."""
     percent = linker.percent
     for _ in range(most):
-        hub = lists.groupBy("token").agg(F.min(F.struct("rank", "cls", "size", "pos", "shared")).alias("hub"))
+        hub = lists.groupBy("token").agg(F.min(F.struct("rank", "cls", "size", "pos", "shared", *SKETCH)).alias("hub"))
         met = lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls"))
-        near = met.select("hub", F.struct("cls", "size", "pos", "shared").alias("own")).where(_fits("own", "hub", percent))
+        near = met.select("hub", F.struct("cls", "size", "pos", "shared", *SKETCH).alias("own")).where(_fits("own", "hub", percent))
         linker.close(near.select(F.col("own.cls").alias("x"), F.col("hub.cls").alias("y")))
         rest = _with_components(met.drop("hub", "comp"), linker)
         old, lists = lists, stage_table(_unfinished(rest, percent), "lists")
@@ -286,7 +348,9 @@ def _exact_lists(linker: Linker, classes: DataFrame) -> DataFrame:
     ``shared`` counts the shingles before that any other of these classes has, so
     shingles of one class alone leave no room in the positional filter."""
     percent = linker.percent
-    sets = linker.sets(classes.select(F.col("cls").alias("x"), F.col("cls").alias("y")))
+    classes = stage_table(classes, "unfinished")
+    own = classes.select(F.col("cls").alias("x"), F.col("cls").alias("y"))
+    sets = linker.sets(own)
     each = sets.select("cls", F.explode("shingles").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     ordered = each.join(often, "token").groupBy("cls") \
@@ -298,8 +362,9 @@ def _exact_lists(linker: Linker, classes: DataFrame) -> DataFrame:
     rows = at.where(F.col("t.often") > 1).select(
         F.col("t.token").alias("token"), "cls", "size", "pos", (F.col("pos") - F.col("rank")).alias("shared"), "rank")
     several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("token")
-    out = stage_table(rows.join(several, "token"), "exact-lists")
+    out = stage_table(rows.join(several, "token").join(linker.named(own, *SKETCH), "cls"), "exact-lists")
     discard(sets)
+    discard(classes)
     return out
 
 
@@ -309,10 +374,7 @@ def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
     profiles = profile(docs, n, key, text)
     freq = frequency_table(profiles)
     linker = Linker(docs, profiles, n, percent, key, text)
-    post = postings(docs, freq, n, percent, text)
-    several = post.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
-        .where(F.col("lo") != F.col("hi")).select("token")
-    lists = stage_table(post.join(several, "token").distinct()
+    lists = stage_table(shared_lists(postings(docs, freq, n, percent, text)).join(linker.reps.select("cls", *SKETCH), "cls")
                         .withColumn("shared", F.col("pos")).withColumn("rank", F.col("size")), "lists")
     left = _hub_rounds(lists, linker, 1)
     if not left.isEmpty():
