@@ -40,6 +40,7 @@ PROBES = 4
 SEGMENT_ENTRIES = 1 << 19
 KEY_BYTES = 5
 HELD = 1 << 20  # n-grams that a task holds before it sends them on
+ASKED = 1 << 15  # n-grams looked up at once: their places stay in the processor's cache
 WEIGHT_PAIR, WEIGHT_WORD = 0.6, 0.999
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
@@ -116,8 +117,8 @@ def unquantise(level: np.ndarray) -> np.ndarray:
     return np.where(level <= 1, level, 1.5 * np.exp2(level - 1.0))
 
 
-def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((mix(h) >> U64(32)) * U64(segments) >> U64(32)).astype(np.int64)
+def segment_of(mixed: np.ndarray, segments: int) -> np.ndarray:
+    return ((mixed >> U64(32)) * U64(segments) >> U64(32)).astype(np.int64)
 
 
 def keys_of(h: np.ndarray) -> np.ndarray:
@@ -125,8 +126,8 @@ def keys_of(h: np.ndarray) -> np.ndarray:
     return mix(h) & U64((1 << 8 * KEY_BYTES) - 1)
 
 
-def packed(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys_of(h).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+def packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -135,10 +136,36 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(U64).ravel()
 
 
-def probe(keys: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
-    """Place of an n-gram's level among the bits of its segment, by the k-th hash."""
-    a = mix(keys ^ U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return ((a + U64(k) * (a >> U64(32) | U64(1))) % U64(bits)).astype(np.int64)
+def binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie end to end: the i-th is ``data[ends[i]:ends[i + 1]]``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]) \
+        .cast(pa.binary())
+
+
+def raw(column: pa.Array) -> tuple[np.ndarray, bytes]:
+    """The inverse of ``binaries``, for a column without nulls."""
+    if not len(column):
+        return np.zeros(1, np.int64), b""
+    column = column.cast(pa.large_binary())
+    _, ob, db = column.buffers()
+    ends = np.frombuffer(ob, np.int64)[column.offset:column.offset + len(column) + 1]
+    return ends - ends[0], db[ends[0]:ends[-1]].to_pybytes() if db is not None else b""
+
+
+class Probes:
+    """Places of the n-grams' level among the bits of their segment, by each hash."""
+
+    def __init__(self, keys: np.ndarray, level: int):
+        self.start = mix(keys ^ U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+        self.step = self.start >> U64(32) | U64(1)
+
+    def place(self, k: int, bits: int) -> np.ndarray:
+        p = self.start + U64(k) * self.step
+        p -= p // U64(bits) * U64(bits)  # the remainder, by numpy's faster division
+        return p.view(np.int64)
+
+    def keep(self, some: np.ndarray) -> None:
+        self.start, self.step = self.start[some], self.step[some]
 
 
 def segment_bits(keys: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -146,22 +173,29 @@ def segment_bits(keys: np.ndarray, top: np.ndarray) -> np.ndarray:
     bits = np.zeros(max(8, int(top.sum()) * BITS_PER_ENTRY + 7 & ~7), bool)
     for level in range(1, int(top.max()) + 1):
         keys, top = keys[top >= level], top[top >= level]
+        asked = Probes(keys, level)
         for k in range(PROBES):
-            bits[probe(keys, level, k, len(bits))] = True
+            bits[asked.place(k, len(bits))] = True
     return np.packbits(bits, bitorder="little")
 
 
 def segment_levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Repeated membership probes: the level before the first miss."""
+    """Repeated membership probes: the level before the first miss. Keys are looked up some
+    ``ASKED`` at a time, however many there are."""
     out = np.zeros(len(keys), np.uint8)
-    alive = np.arange(len(keys))
-    level = 0
-    while len(alive) and level < 64:
-        level += 1
-        for k in range(PROBES):
-            p = probe(keys[alive], level, k, 8 * len(bits))
-            alive = alive[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
-        out[alive] = level
+    for lo in range(0, len(keys), ASKED):
+        left, alive = keys[lo:lo + ASKED], np.arange(lo, min(lo + ASKED, len(keys)))
+        level = 0
+        while len(alive) and level < 64:
+            level += 1
+            asked = Probes(left, level)
+            for k in range(PROBES):
+                p = asked.place(k, 8 * len(bits))
+                hit = np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+                if len(hit) < len(alive):
+                    alive, left = alive[hit], left[hit]
+                    asked.keep(hit)
+            out[alive] = level
     return out
 
 
@@ -172,7 +206,7 @@ class LogFrequencyFilter:
         self.bits = segments
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out, seg = np.zeros(len(h), np.int64), segment_of(h, len(self.bits))
+        out, seg = np.zeros(len(h), np.int64), segment_of(mix(h), len(self.bits))
         for k in np.unique(seg):
             out[seg == k] = segment_levels(self.bits[k], keys_of(h[seg == k]))
         return out
@@ -189,14 +223,13 @@ def filter_segments(counts: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> tu
         def send() -> Iterator[pa.RecordBatch]:
             h, level = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            seg = segment_of(h, segments)
+            seg = segment_of(mix(h), segments)
             order = np.argsort(seg, kind="stable")
             h, level, seg = h[order], level[order], seg[order]
             at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))[:len(seg)])
-            ends = np.append(at[1:], len(seg))
+            ends = np.append(at, len(seg))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seg[at]), pa.array([packed(h[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
-                 pa.array([level[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
+                [pa.array(seg[at]), binaries(packed(keys_of(h)), ends * KEY_BYTES), binaries(level.tobytes(), ends)],
                 names=["segment", "keys", "levels"])
 
         for b in batches:
@@ -244,12 +277,9 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[np.ndarray, np
     return h[order], got["n"].to_numpy(np.int64)[order]
 
 
-def by_segment(d: np.ndarray, h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block, by segment, and their segments."""
-    grams = np.unique(np.concatenate((h, pairs(d, h))))
-    seg = segment_of(grams, segments)
-    order = np.argsort(seg, kind="stable")
-    return grams[order], seg[order]
+def mixed_grams(h: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Distinct words and pairs of a block, mixed and sorted, which is by segment too."""
+    return np.unique(mix(np.concatenate((h, two))))
 
 
 LISTS = ("doc_id", "text", "held_out", "row")
@@ -277,11 +307,13 @@ def questions(cut: DataFrame, segments: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 (b,) = blocks(batch.column(1)[i].values)
-                grams, seg = by_segment(*tokens(b), segments)
+                d, h = tokens(b)
+                grams = mixed_grams(h, pairs(d, h))
+                seg = segment_of(grams, segments)
                 at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-                asked = [packed(grams[i:j]) for i, j in zip(at, np.append(at[1:], len(seg)), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seg[at]), pa.array(np.full(len(at), batch.column(0)[i].as_py())), pa.array(asked, pa.binary())],
+                    [pa.array(seg[at]), pa.array(np.full(len(at), batch.column(0)[i].as_py())),
+                     binaries(packed(grams), np.append(at, len(seg)) * KEY_BYTES)],
                     names=["segment", "block", "data"])
 
     return cut.select("block", "text").mapInArrow(run, "segment long, block long, data binary")
@@ -304,24 +336,29 @@ def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.Rec
         yield held
 
 
-def block_levels(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    """``block, segment, levels``: a byte for each n-gram asked."""
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, bits = None, None
-        for batch in batches:
-            out = []
-            for seg, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block is None:  # the segment itself comes before its questions
-                    segment, bits = seg, np.frombuffer(data, np.uint8)
-                    continue
-                keys = unpacked(data)
-                levels = segment_levels(bits, keys) if seg == segment else np.zeros(len(keys), np.uint8)
-                out.append((block, seg, levels.tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, segment, levels`` of ``segment, block, data`` sorted by segment, the segment's own
+    row first (without a block). What a batch asks of a segment is looked up at once."""
+    segment, bits = None, np.zeros(1, np.uint8)
+    for batch in batches:
+        seg = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(seg[1:] != seg[:-1]) + 1).tolist(), len(seg)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j and batch.column(1)[i].as_py() is None:  # the segment itself comes before its questions
+                segment, bits = seg[i], np.frombuffer(batch.column(2)[i].as_py(), np.uint8)
+                i += 1
+            if i == j:
+                continue
+            ends, data = raw(batch.column(2).slice(i, j - i))  # all blocks' questions to a segment at once
+            keys = unpacked(data)
+            levels = segment_levels(bits, keys) if seg[i] == segment else np.zeros(len(keys), np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
+                [batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i), binaries(levels.tobytes(), ends // KEY_BYTES)],
                 names=["block", "segment", "levels"])
 
+
+def block_levels(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """``block, segment, levels``: a byte for each n-gram asked."""
     own = parts.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("data"))
     met = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
     return stage_table(met.mapInArrow(answer, "block long, segment long, levels binary"), "levels")
@@ -348,16 +385,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", per_segment:
         head_h, head_n = shared.value
         for held in runs(batches, 0):
             met = pa.Table.from_batches(held)
-            level = np.frombuffer(b"".join(x for x in met["levels"].to_pylist() if x is not None), np.uint8)
+            level = np.concatenate([np.frombuffer(raw(c.column("levels").drop_null())[1], np.uint8) for c in held])
             whole = met.filter(met["row"].is_valid()).combine_chunks()
             own = {c: whole[c].chunk(0).flatten() for c in LISTS}
             (b,) = blocks(own["text"])
             d, h = tokens(b)
-            grams, _ = by_segment(d, h, segments)
+            two = pairs(d, h)
+            grams = mixed_grams(h, two)
             if len(grams) != len(level):
                 raise RuntimeError(f"{len(level)} levels for {len(grams)} n-grams of a block")
-            by_hash = np.argsort(grams)
-            grams, count = grams[by_hash], unquantise(level[by_hash].astype(float))
+            count = unquantise(level.astype(float))
             types, at = np.unique(h, return_inverse=True)
             place = np.minimum(np.searchsorted(head_h, types), max(0, len(head_h) - 1))
             in_head = head_h[place] == types if len(head_h) else np.zeros(len(types), bool)
@@ -372,8 +409,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", per_segment:
             times = np.diff(np.append(new, len(od)))
             ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(od[new], minlength=b.n)))), pa.int32())
             # model
-            c1 = count[np.searchsorted(grams, types)][at]
-            c2 = count[np.searchsorted(grams, pairs(d, h))]
+            c1 = count[np.searchsorted(grams, mix(types))][at]
+            c2 = count[np.searchsorted(grams, mix(two))]
             first = np.concatenate(([True], d[1:] != d[:-1]))[:len(d)]
             before = np.concatenate(([0.0], c1[:-1]))
             before[first] = c1[h == END][0]  # every training document begins once and ends once
