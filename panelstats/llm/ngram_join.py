@@ -1,9 +1,11 @@
 """Operator 1: n-gram Jaccard join with prefix, length, positional and suffix filters.
 
 Documents of equal shingle sets form one class from the start. Shingles are put
-in one global order, rare first; the frequency comes from a fixed-size count
-table over all documents' shingles (any order keeps the join exact, the counts
-only make prefixes selective). A class of n shingles is indexed under its first
+in one global order: by fingerprint, but those that many documents have come last,
+rare ones of them first. Only the first shingles by fingerprint can come into a
+prefix, half as many again as it takes are counted, each by itself, and the most frequent
+stand in a table of fixed size (any order keeps the join exact, the counts only make
+prefixes selective). A class of n shingles is indexed under its first
 ``n - ceil(t n) + 1`` shingles. Classes that share such a shingle are candidates
 if their sizes allow the threshold (length filter) and if the positions leave
 room for enough common shingles (positional filter); the parities of ``PARITIES``
@@ -36,18 +38,22 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, blocks, discard, mix, order_within, shingle_hashes, stage_table
+from .common import U64, as_signed, blocks, discard, mix, shingle_hashes, stage_table
 from .graph import components
 
-ORDER_BITS = 18  # buckets of the frequency table: 2 MB, whatever the corpus
+ORDER_BITS = 21  # places of the frequency table: 2 MB, whatever the corpus
+COUNT_PARTS = 1024  # in which shingles are counted, by their last bits
+PART_MOST = 256  # frequent shingles that a part gives to the table, which stays seven eighths empty
+COUNT_AT_ONCE = 1 << 20  # shingles that a task holds for counting
 SHORT_LIST = 32  # members up to which a list's pairs are joined directly; longer ones take hub rounds
 BINS = 64  # of the suffix filter's histogram
 PARITIES = 256  # parts of a set whose sizes are known to be even or odd
 SKETCH = [f"p{k}" for k in range(PARITIES // 64)]
 FEW = 1 << 17  # classes whose numbers are broadcast (2 MB) to pick their rows; more meet them in a shuffle
+ID_BITS = 23  # of the map of ids that keeps most rows nobody asks for out of that shuffle
 
 
 def _class_of(d: np.ndarray, g: np.ndarray, n_docs: int) -> np.ndarray:
@@ -68,70 +74,134 @@ def _parities(d: np.ndarray, g: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_docs, -1)
 
 
-def profile(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Per document: set size, class and histogram; per task: its shingle counts
-    (``counts`` is null on document rows and set on the others)."""
+def prefix_length(size, percent: int):
+    return size - -(-size * percent // 100) + 1
+
+
+def _least_size(percent: int) -> int:
+    """Smaller sets link only if equal."""
+    return next(m for m in range(1, 1000) if 100 * m >= percent * (m + 1))
+
+
+def _rank_within(d: np.ndarray, n_docs: int) -> np.ndarray:
+    """Number of each row within its document (``d`` ascending)."""
+    count = np.bincount(d, minlength=n_docs)
+    return np.arange(len(d)) - (np.cumsum(count) - count)[d]
+
+
+def _one_of_equal(cls: np.ndarray) -> np.ndarray:
+    """Whether a document is the first of its class in the block."""
+    first = np.zeros(len(cls), bool)
+    first[np.unique(cls, return_index=True)[1]] = True
+    return first
+
+
+def profile(docs: DataFrame, n: int, key: str, text: str, percent: int = 90) -> DataFrame:
+    """Per document: set size, class and histogram; per task: the shingles to be counted, by
+    part (``counts`` is null on document rows and set on the others)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    least = _least_size(percent)
+    names = ["doc_id", "size", "cls", "bins", *SKETCH, "part", "counts"]
+
+    def counted(found: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        g = np.concatenate(found)
+        part = (g & U64(COUNT_PARTS - 1)).astype(np.int64)
+        g = g[np.argsort(part, kind="stable")]
+        ends = np.cumsum(np.bincount(part, minlength=COUNT_PARTS))
+        parts = [(k, x.tobytes()) for k, x in enumerate(np.split(g, ends[:-1])) if len(x)]
+        m = len(parts)
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(m, id_type), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())),
+             *[pa.nulls(m, pa.int64()) for _ in SKETCH], pa.array([k for k, _ in parts], pa.int32()),
+             pa.array([x for _, x in parts], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
-        id_type = None
+        found, held, id_type = [], 0, None
         for batch in batches:
             id_type = batch.column(0).type
             for b in blocks(batch.column(1)):
                 d, g = shingle_hashes(b, n)
-                counts += np.bincount((g >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
                 size = np.bincount(d, minlength=b.n)
+                cls = _class_of(d, g, b.n)
+                most = np.where((size >= least) & _one_of_equal(cls), 3 * prefix_length(size, percent) // 2 + 8, 0)
+                found.append(g[_rank_within(d, b.n) < most[d]])
+                held += len(found[-1])
                 bins = np.bincount(d * BINS + (g & U64(BINS - 1)).astype(np.int64), minlength=b.n * BINS)
                 odd = _parities(d, g, b.n)
                 ids = batch.column(0).slice(b.first, b.n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size, pa.int64()),
-                     pa.array(_class_of(d, g, b.n), mask=size == 0),
+                    [ids, pa.array(size, pa.int64()), pa.array(cls, mask=size == 0),
                      pa.ListArray.from_arrays(pa.array(np.arange(b.n + 1) * BINS, pa.int32()),
                                               pa.array(bins.astype(np.int32))),
                      *[pa.array(odd[:, k]) for k in range(len(SKETCH))],
-                     pa.nulls(b.n, pa.binary())], names=["doc_id", "size", "cls", "bins", *SKETCH, "counts"])
-        if id_type is not None and counts.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.int64()),
-                 pa.nulls(1, pa.list_(pa.int32())), *[pa.nulls(1, pa.int64()) for _ in SKETCH],
-                 pa.array([counts.tobytes()], pa.binary())],
-                names=["doc_id", "size", "cls", "bins", *SKETCH, "counts"])
+                     pa.nulls(b.n, pa.int32()), pa.nulls(b.n, pa.binary())], names=names)
+                if held >= COUNT_AT_ONCE:
+                    yield counted(found, id_type)
+                    found, held = [], 0
+        if held:
+            yield counted(found, id_type)
 
     sketch = "".join(f"{p} long, " for p in SKETCH)
-    return stage_table(rows.mapInArrow(run, f"doc_id {kind}, size long, cls long, bins array<int>, {sketch}counts binary"),
+    return stage_table(rows.mapInArrow(run, f"doc_id {kind}, size long, cls long, bins array<int>, {sketch}part int, counts binary"),
                        "profile")
 
 
+def _place(g: np.ndarray) -> np.ndarray:
+    """Of a shingle in the frequency table."""
+    return (g & U64((1 << ORDER_BITS) - 1)).astype(np.int64)
+
+
 def frequency_table(profiles: DataFrame) -> np.ndarray:
-    """Counts of all shingles by bucket; 2**ORDER_BITS numbers reach the driver."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                c = np.frombuffer(x, np.int64)
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], names=["bucket", "n"])
-
-    table = profiles.where(F.col("counts").isNotNull()).select("counts") \
-        .mapInArrow(unpack, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << ORDER_BITS, np.int64)
-    out[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    """By place: 0, or 1 and more (a step for a fifth) for the shingles that most documents have.
+    COUNT_PARTS * PART_MOST rows reach the driver at most."""
+    def frequent(blobs: list[bytes]) -> pa.RecordBatch:
+        g = np.sort(np.frombuffer(b"".join(blobs), U64))
+        start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        count = np.diff(np.append(start, len(g)))
+        start, count = start[count > 1], count[count > 1]
+        top = np.argsort(-count, kind="stable")[:PART_MOST]
+        level = np.minimum(4 * np.log2(count[top]) - 3, 255).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(_place(g[start[top]])), pa.array(level)], names=["place", "level"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, blobs = None, []
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != held and blobs:
+                    yield frequent(blobs)
+                    blobs = []
+                held = part
+                blobs.append(x)
+        if blobs:
+            yield frequent(blobs)
+
+    rows = profiles.where(F.col("counts").isNotNull()).select("part", "counts")
+    table = rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "place long, level int").toPandas()
+    out = np.zeros(1 << ORDER_BITS, np.uint8)
+    np.maximum.at(out, table["place"].to_numpy(np.int64), table["level"].to_numpy(np.uint8))
     return out
 
 
-def prefix_length(size, percent: int):
-    return size - -(-size * percent // 100) + 1
+def _positions(d: np.ndarray, level: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Position of each shingle in the global order of its document, as its rows come by
+    document and fingerprint; of the frequent ones, if there are ``take`` others, any behind these."""
+    n_docs = len(take)
+    rare = level == 0
+    n_rare = np.bincount(d[rare], minlength=n_docs)
+    pos = take[d]
+    pos[rare] = _rank_within(d[rare], n_docs)
+    late = np.flatnonzero(~rare & (n_rare < take)[d])
+    late = late[np.lexsort((level[late], d[late]))]  # stable: equal ones stay in order of fingerprints
+    pos[late] = n_rare[d[late]] + _rank_within(d[late], n_docs)
+    return pos
 
 
 def postings(docs: DataFrame, freq: np.ndarray, n: int, percent: int, text: str) -> DataFrame:
     """``token, cls, size, pos`` for the prefix of every set that can link at all; of equal
     sets in a block, one."""
-    rank = np.empty(len(freq), np.int64)
-    rank[np.argsort(freq, kind="stable")] = np.arange(len(freq))
-    table = docs.sparkSession.sparkContext.broadcast(rank.astype(np.int32))
-    least = next(m for m in range(1, 1000) if 100 * m >= percent * (m + 1))  # smaller sets link only if equal
+    table = docs.sparkSession.sparkContext.broadcast(freq)
+    least = _least_size(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,16 +209,11 @@ def postings(docs: DataFrame, freq: np.ndarray, n: int, percent: int, text: str)
                 d, g = shingle_hashes(b, n)
                 size = np.bincount(d, minlength=b.n)
                 cls = _class_of(d, g, b.n)
-                size[np.setdiff1d(np.arange(b.n), np.unique(cls, return_index=True)[1])] = 0
-                d, g = (x[size[d] >= least] for x in (d, g))
-                size[size < least] = 0
-                # rare first: the bucket's rank in place of its number, so by bucket count, then value
-                low = U64(64 - ORDER_BITS)
-                often = table.value[(g >> low).astype(np.int64)].astype(U64) << low | g & U64((1 << 64 - ORDER_BITS) - 1)
-                order = order_within(d, often)
-                d, g = d[order], g[order]
-                pos = np.arange(len(d)) - (np.cumsum(size) - size)[d]
-                keep = pos < prefix_length(size, percent)[d]
+                size[(size < least) | ~_one_of_equal(cls)] = 0
+                d, g = (x[size[d] > 0] for x in (d, g))
+                take = prefix_length(size, percent)
+                pos = _positions(d, table.value[_place(g)], take)
+                keep = pos < take[d]
                 d, g, pos = d[keep], g[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(as_signed(g)), pa.array(cls[d]), pa.array(size[d].astype(np.int32)),
@@ -216,13 +281,27 @@ class Linker:
             names = F.broadcast(names)
         return self.reps.select("cls", *columns).join(names, "cls")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """Whole shingle sets of the classes in ``pairs``, from one document of each."""
-        n = self.n
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """``wanted, text``: the classes in ``pairs`` and what has the id of one document of each.
+        If they are many, a map of bits goes before the shuffle, so few other texts enter it."""
         wanted = self.named(pairs, "rep").withColumnRenamed("cls", "wanted")
+        docs = self.docs
         if pairs.count() <= FEW // 2:
             wanted = F.broadcast(wanted)
-        rows = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
+        else:
+            def place(key):
+                return F.xxhash64(key).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+            ids = wanted.select(place("rep").alias("at"))
+            bits = ids.groupBy(F.shiftright("at", 6).alias("word")).agg(
+                F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+            docs = docs.withColumn("at", place("doc_id")).join(
+                F.broadcast(bits), F.expr("shiftright(at, 6) = word and (shiftright(bits, cast(at & 63 as int)) & 1) = 1"),
+                "left_semi").drop("at")
+        return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """Whole shingle sets of the classes in ``pairs``, from one document of each."""
+        n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -235,7 +314,22 @@ class Linker:
                     asked = np.asarray(batch.column(0).slice(b.first, b.n))
                     yield out.filter(pa.array(cls == asked))  # one id may carry several texts
 
-        return stage_table(rows.mapInArrow(run, "cls long, shingles array<long>"), "sets")
+        return stage_table(self.texts(pairs).mapInArrow(run, "cls long, shingles array<long>"), "sets")
+
+    def shingles(self, pairs: DataFrame) -> DataFrame:
+        """``cls, token``: the sets of ``sets`` as rows; those of a class again if its id and text are."""
+        n = self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                asked = np.asarray(batch.column(0))
+                for b in blocks(batch.column(1)):
+                    d, g = shingle_hashes(b, n)
+                    cls = _class_of(d, g, b.n)
+                    keep = (cls == asked[b.first:b.first + b.n])[d]
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[d[keep]]), pa.array(as_signed(g[keep]))], names=["cls", "token"])
+
+        return self.texts(pairs).mapInArrow(run, "cls long, token long")
 
     def suffix_filter(self, pairs: DataFrame) -> DataFrame:
         """Histograms differ by no more than two linked sets can."""
@@ -300,15 +394,24 @@ class Linker:
             discard(t)
 
 
-def _unfinished(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of lists that may still hold a link between two components: sizes that can
-    link lie in one size band or in two adjacent ones (a band is a little wider than
-    the ratio), so bands without two components in them are finished."""
-    band = F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent)))
-    spread = rows.withColumn("band", F.explode(F.array(band, band - 1)))
-    mixed = spread.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .where(F.col("lo") != F.col("hi")).select("token", "band")
-    return spread.join(mixed, ["token", "band"]).drop("band").distinct()
+def _band(percent: int) -> Column:
+    return F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent)))
+
+
+def _mixed(rows: DataFrame, percent: int) -> DataFrame:
+    """``token, bands``: the size bands in which a list may still hold a link between two
+    components: sizes that can link lie in one band or in two adjacent ones (a band is a
+    little wider than the ratio), so bands without two components in them are finished."""
+    band = _band(percent)
+    spread = rows.select("token", "comp", F.explode(F.array(band, band - 1)).alias("band"))
+    return spread.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .where(F.col("lo") != F.col("hi")).groupBy("token").agg(F.collect_list("band").alias("bands"))
+
+
+def _within(rows: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """The rows of such bands, each once."""
+    band = _band(percent)
+    return rows.join(mixed, "token").where(F.array_contains("bands", band) | F.array_contains("bands", band - 1)).drop("bands")
 
 
 def _with_components(rows: DataFrame, linker: Linker) -> DataFrame:
@@ -335,9 +438,14 @@ def _hub_rounds(lists: DataFrame, linker: Linker, most: int) -> DataFrame:
         met = lists.join(hub, "token").where(F.col("cls") != F.col("hub.cls"))
         near = met.select("hub", F.struct("cls", "size", "pos", "shared", *SKETCH).alias("own")).where(_fits("own", "hub", percent))
         linker.close(near.select(F.col("own.cls").alias("x"), F.col("hub.cls").alias("y")))
-        rest = _with_components(met.drop("hub", "comp"), linker)
-        old, lists = lists, stage_table(_unfinished(rest, percent), "lists")
-        discard(old)
+        # which lists go on is told from rows without the parities, and written before theirs are read
+        first = lists.groupBy("token").agg(F.min(F.struct("rank", "cls"))["cls"].alias("hub"))
+        rest = lists.select("token", "cls", "size").join(first, "token").where(F.col("cls") != F.col("hub")).drop("hub")
+        mixed = stage_table(_mixed(_with_components(rest, linker), percent), "mixed")
+        left = _within(lists.drop("comp"), mixed, percent).join(first, "token").where(F.col("cls") != F.col("hub")).drop("hub")
+        old, lists = lists, stage_table(_with_components(left, linker), "lists")
+        for t in (old, mixed):
+            discard(t)
         if lists.isEmpty():
             break
     return lists
@@ -350,20 +458,21 @@ def _exact_lists(linker: Linker, classes: DataFrame) -> DataFrame:
     percent = linker.percent
     classes = stage_table(classes, "unfinished")
     own = classes.select(F.col("cls").alias("x"), F.col("cls").alias("y"))
-    sets = linker.sets(own)
-    each = sets.select("cls", F.explode("shingles").alias("token"))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    ordered = each.join(often, "token").groupBy("cls") \
-        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all"))
-    size = F.size("all")
-    alone = F.size(F.filter("all", lambda t: t["often"] == 1))
-    keep = (size - F.ceil(size * F.lit(percent) / 100 - F.lit(1e-9)) + 1).cast("int")
-    at = ordered.select("cls", size.alias("size"), alone.alias("rank"), F.posexplode(F.slice("all", F.lit(1), keep)).alias("pos", "t"))
-    rows = at.where(F.col("t.often") > 1).select(
-        F.col("t.token").alias("token"), "cls", "size", "pos", (F.col("pos") - F.col("rank")).alias("shared"), "rank")
+    # one shuffle of all shingles; those of one class alone are only numbers from here on
+    w = Window.partitionBy("token")
+    met = linker.shingles(own).select("cls", "token", F.count(F.lit(1)).over(w).alias("often"),
+                                      F.min("cls").over(w).alias("lo"), F.max("cls").over(w).alias("hi")).where("lo != hi")
+    ordered = met.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("often", "token"))).alias("all"))
+    size, alone = F.col("size"), F.col("size") - F.size("all")
+    keep = size - F.ceil(size * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    at = ordered.join(linker.named(own, "size", *SKETCH), "cls").select(
+        "cls", size.cast("int").alias("size"), alone.cast("int").alias("rank"), *SKETCH,
+        F.posexplode(F.slice("all", F.lit(1), F.greatest(keep - alone, F.lit(0)).cast("int"))).alias("shared", "t"))
+    rows = stage_table(at.select(F.col("t.token").alias("token"), "cls", "size", (F.col("rank") + F.col("shared")).alias("pos"),
+                                 "shared", "rank", *SKETCH), "exact-rows")
     several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("token")
-    out = stage_table(rows.join(several, "token").join(linker.named(own, *SKETCH), "cls"), "exact-lists")
-    discard(sets)
+    out = stage_table(rows.join(several, "token"), "exact-lists")
+    discard(rows)
     discard(classes)
     return out
 
@@ -371,8 +480,10 @@ def _exact_lists(linker: Linker, classes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``; two documents link when 100 times their
     common shingles are at least ``percent`` times their united ones."""
-    profiles = profile(docs, n, key, text)
-    freq = frequency_table(profiles)
+    full = profile(docs, n, key, text, percent)
+    freq = frequency_table(full)
+    profiles = stage_table(full.where(F.col("counts").isNull()).drop("part", "counts"), "profile")  # without the shingles
+    discard(full)
     linker = Linker(docs, profiles, n, percent, key, text)
     lists = stage_table(shared_lists(postings(docs, freq, n, percent, text)).join(linker.reps.select("cls", *SKETCH), "cls")
                         .withColumn("shared", F.col("pos")).withColumn("rank", F.col("size")), "lists")
@@ -381,13 +492,13 @@ def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
         few = left.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SHORT_LIST).select("token")
         _all_pairs(left.join(few, "token"), linker)
         long = _with_components(left.join(few, "token", "left_anti").drop("comp"), linker)
-        old, left = left, stage_table(_unfinished(long, percent), "lists")
+        old, left = left, stage_table(_within(long, _mixed(long, percent), percent), "lists")
         discard(old)
     if not left.isEmpty():
         left = _hub_rounds(_exact_lists(linker, left.select("cls").distinct()), linker, 3)
         if not left.isEmpty():
             _all_pairs(left, linker)
-    rows = profiles.where(F.col("counts").isNull()).select("doc_id", F.col("size").alias("n_shingles"), "cls")
+    rows = profiles.select("doc_id", F.col("size").alias("n_shingles"), "cls")
     if linker.comps is not None:
         c = linker.comps.select(F.col("node").alias("cls"), "comp")
         rows = rows.join(c, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
